@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import grouped_splits, mixing, packing, speaker_turns, split_overlap, token_budget
+from lakeloom.llm import chunking, grouped_splits, mixing, packing, speaker_turns, split_overlap, token_budget
 
-MODULES = [token_budget, speaker_turns, grouped_splits, split_overlap, packing, mixing]
+MODULES = [token_budget, speaker_turns, grouped_splits, split_overlap, packing, mixing, chunking]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
