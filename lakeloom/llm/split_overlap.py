@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +45,12 @@ def with_roles(records: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def _comparable_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _comparable_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p in batches:
-        texts = [comparable(t) for t in p["target"]]
-        keep = np.array([len(t) >= LEAST_CHARS for t in texts], bool)
-        yield pd.DataFrame({"id": p["id"].to_numpy()[keep], "train": p["train"].to_numpy()[keep], "norm": [t for t in texts if len(t) >= LEAST_CHARS]})
+        texts = [comparable(t) for t in p.column("target").to_pylist()]
+        keep = pa.array([len(t) >= LEAST_CHARS for t in texts], pa.bool_())
+        norm = pa.array([t for t in texts if len(t) >= LEAST_CHARS], pa.string())
+        yield pa.RecordBatch.from_arrays([p.column("id").filter(keep), p.column("train").filter(keep), norm], ["id", "train", "norm"])
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +68,7 @@ def text_pairs(rows: DataFrame) -> DataFrame:
     hashes; only a training and an evaluation text that share a bucket become candidates; the edit distance decides.
     """
     texts = rows.where(F.col("task").isin(TEXT_TASKS) & F.col("target").isNotNull()).select("id", "train", "target")
-    kept = checkpointed(texts.mapInPandas(_comparable_rows, "id string, train boolean, norm string"))
+    kept = checkpointed(texts.mapInArrow(_comparable_rows, "id string, train boolean, norm string"))
     keyed = kept.select("id", "train", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("second"), "norm").alias("k2"))
     distinct = keyed.groupBy("norm", "k1", "k2").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
     schema = "bucket long, k long, chars int"
