@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import metrics, selection, turn_periods
+from lakeloom.plans import metrics, selection, timeline, turn_periods
 
-MODULES = [turn_periods, selection, metrics]
+MODULES = [turn_periods, selection, metrics, timeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,3 +34,15 @@ CLEAN_SQL = "CASE WHEN json_type(metadata, '$.clean.pass') = 'BOOLEAN' THEN json
 TIMED_SQL = f"""{RECORDS_SQL}, {INDEX_SQL},
 flat AS (SELECT id, task, dataset_id, version, split, language, target, source_record_id, {CLEAN_SQL} AS clean, {MAIN_SQL} AS main FROM records),
 timed AS (SELECT f.* EXCLUDE (main), f.main.ref.cut_id AS cut_id, coalesce(f.main.ref.duration, i.duration) AS duration FROM flat f LEFT JOIN idx i ON i.cut_id = f.main.ref.cut_id)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest delivery of each turn with valid bounds in hundredths of a second and one spelling of its speaker."""
+    t = table(spark, sf_dir, "turns").select("turn_id", "window_id", "dataset_id", "split", "speaker", "chars", "text", "ingested_at", F.round(F.col("start_sec") * 100).cast("long").alias("s"), F.round(F.col("end_sec") * 100).cast("long").alias("e"))
+    best = t.groupBy("turn_id").agg(F.max_by(F.struct("window_id", "dataset_id", "split", "speaker", "chars", "text", "s", "e"), "ingested_at").alias("b")).select("turn_id", "b.*")
+    number = F.regexp_extract(F.trim("speaker"), r"([0-9]+)$", 1)
+    return best.where("s is not null and e is not null and e > s").withColumn("speaker", F.when(number != "", F.concat(F.lit("S"), number.cast("int"))))
+
+
+TURNS_SQL = """best AS (SELECT turn_id, window_id, dataset_id, split, regexp_extract(trim(speaker), '([0-9]+)$', 1) AS num, chars, text, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns),
+t AS (SELECT turn_id, window_id, dataset_id, split, CASE WHEN num <> '' THEN 'S' || CAST(CAST(num AS INTEGER) AS VARCHAR) END AS speaker, chars, text, s, e FROM best WHERE rn = 1 AND s IS NOT NULL AND e IS NOT NULL AND e > s)"""
