@@ -189,7 +189,8 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], vo
                         for k, (a, c, e, size, kind) in enumerate(doc.pieces(capacity, overlap)):
                             x, y = int(doc.char[a]), int(doc.char[e])
                             rows.append((name, doc_id, k, x, y, int(doc.char[c]), size, "end" if e == doc.n else names[kind], text[x:y]))
-            yield pd.DataFrame(rows, columns=["limit_name", "doc_id", "piece_no", "start_char", "end_char", "core_start", "tokens", "cut_at", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["limit_name", "doc_id", "piece_no", "start_char", "end_char", "core_start", "tokens", "cut_at", "text"])
 
     return documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text").mapInPandas(split, PIECE_SCHEMA)
 

@@ -234,7 +234,9 @@ def clean_turns(records: DataFrame, catalog: DataFrame, train_records: int = TRA
 
     def turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield turns_of_batch(p["id"].tolist(), [clean_utterances(t, m, c) for t, m, c in zip(p["target"], p["metadata"], p["meant"])], model)
+            made = turns_of_batch(p["id"].tolist(), [clean_utterances(t, m, c) for t, m, c in zip(p["target"], p["metadata"], p["meant"])], model)
+            if len(made):
+                yield made
 
     return rows.mapInPandas(turns, TURN_SCHEMA)
 
