@@ -19,19 +19,16 @@ from lakeloom.sources.tables import table
 HASH_WINDOW, MIN_PART, SLACK = 16, 4, 4
 PIECE_SCHEMA = "limit_name string, doc_id long, piece_no int, start_char int, end_char int, core_start int, tokens int, cut_at string, text string"
 
-# Natural boundaries, from strong to weak; a cut is where the match ends.
-BOUNDARIES = [
-    ("paragraph", 0.25, re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+|(?:\r\n|\n|\r)(?=#{1,6} )")),
-    ("line", 0.5, re.compile(r"\r\n|[\n\r  ]")),
-    ("sentence", 1.0, re.compile(r"[。！？；…]+[”’」』）)]*|[.!?;]+[\"'”’)\]]*(?=\s)")),
-    ("clause", 3.0, re.compile(r"[，、：]|[,:](?=\s)")),
-    ("word", 6.0, re.compile(r"(?<=\S)(?=[ \t])")),
-]
+# Natural boundaries from strong to weak, and how far one may lie from a landmark relative to others.
+BOUNDARIES = [("paragraph", 0.25), ("line", 0.5), ("sentence", 1.0), ("clause", 3.0), ("word", 6.0)]
+_PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+|(?:\r\n|\n|\r)(?=#{1,6} )")
+_CLAUSE_WIDE, _CLAUSE, _SENTENCE_WIDE, _SENTENCE, _CLOSING = 4, 8, 16, 32, 64
+_MARKS = {_CLAUSE_WIDE: "，、：", _CLAUSE: ",:", _SENTENCE_WIDE: "。！？；…", _SENTENCE: ".!?;", _CLOSING: "”’」』）)]\"'"}
 
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """0 other, 1 letter, 2 number, 3 space, for every code point."""
+    """For every code point 0 other, 1 letter, 2 number or 3 space, and the bits of the marks it is one of."""
     out = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         k = unicodedata.category(chr(c))[0]
@@ -40,18 +37,55 @@ def _classes() -> np.ndarray:
         elif k == "N":
             out[c] = 2
     out[[c for c in range(0x3001) if chr(c).isspace()]] = 3
+    for bit, marks in _MARKS.items():
+        out[[ord(c) for c in marks]] |= bit
     return out
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(enc) -> np.ndarray:
+    """The length in bytes of every token of a vocabulary."""
+    out = np.zeros(enc.max_token_value + 1, np.int64)
+    for i in range(len(out)):
+        try:
+            out[i] = len(enc.decode_single_token_bytes(i))
+        except KeyError:  # a free id
+            continue
+    return out
+
+
+def boundary_kinds(text: str, code: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """For each place between characters the number of its strongest boundary in BOUNDARIES, from 1; 0 for none."""
+    kind = np.zeros(len(code) + 1, np.int8)
+    space = (cls & 3) == 3
+    spaced = np.r_[space[1:], True]
+    kind[1:-1][space[1:] & ~space[:-1]] = 5
+
+    def after(ends: np.ndarray, k: int) -> None:
+        at = np.flatnonzero(ends) + 1
+        inner = at[at < len(code)]
+        closed = inner[(cls[inner] & _CLOSING) != 0]
+        kind[at] = np.where(np.r_[cls, np.uint8(0)][at] & _CLOSING, kind[at], k)
+        kind[closed + 1] = k
+
+    kind[np.flatnonzero((cls & _CLAUSE_WIDE != 0) | ((cls & _CLAUSE != 0) & spaced)) + 1] = 4
+    closes = cls & _CLOSING != 0
+    after((cls & _SENTENCE_WIDE != 0) | ((cls & _SENTENCE != 0) & (spaced | np.r_[closes[1:], False])), 3)
+    line = (code == 10) | ((code == 13) & (np.r_[code[1:], 0] != 10)) | (code == 0x2028) | (code == 0x2029)
+    kind[np.flatnonzero(line) + 1] = 2
+    for m in _PARAGRAPH.finditer(text):
+        kind[m.end()] = 1
+    return kind
+
+
 class Document:
     """A text as tokens: where each token may end a piece, what lies there, and a rolling hash of what precedes."""
 
-    def __init__(self, text: str, enc):
+    def __init__(self, text: str, enc, ids: list[int] | None = None):
         self.text, self.enc = text, enc
-        self.ids = np.array(enc.encode_ordinary(text), np.int64)
+        self.ids = np.array(enc.encode_ordinary(text) if ids is None else ids, np.int64)
         raw = text.encode("utf-8", "replace")
-        lengths = np.fromiter(map(len, enc.decode_tokens_bytes(self.ids.tolist())), np.int64, len(self.ids))
-        ends = np.r_[0, np.cumsum(lengths)]
+        ends = np.r_[0, np.cumsum(_token_bytes(enc)[self.ids])]
         first = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
         chars = np.r_[0, np.cumsum(first)]
         whole = np.r_[first, True][ends]
@@ -63,20 +97,14 @@ class Document:
             h[j + 1 :] += (self.ids[: self.n - j] + 1).astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         self.hash = h ^ (h >> np.uint64(33))
-        self.cost = np.full(self.n + 1, np.inf)
-        self.kind = np.zeros(self.n + 1, np.int8)
-        where = np.flatnonzero(self.char >= 0)
-        at = self.char[where]
-        for k in range(len(BOUNDARIES) - 1, -1, -1):
-            cuts = np.fromiter((m.end() for m in BOUNDARIES[k][2].finditer(text)), np.int64)
-            found = where[np.isin(at, cuts)] if len(cuts) else where[:0]
-            self.cost[found], self.kind[found] = BOUNDARIES[k][1], k + 1
-        #: Token boundaries at which any text would be cut before its tokens are sought: there counts add up exactly.
         code = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
         cls = _classes()[code]
+        self.kind = np.where(self.char >= 0, boundary_kinds(text, code, cls)[np.maximum(self.char, 0)], 0)
+        self.cost = np.array([np.inf, *(c for _, c in BOUNDARIES)])[self.kind]
+        #: Token boundaries at which any text would be cut before its tokens are sought: there counts add up exactly.
         safe = np.zeros(len(code) + 1, bool)
         safe[0] = safe[-1] = True
-        a, b, quote = cls[:-1], cls[1:], code == 0x27
+        a, b, quote = cls[:-1] & 3, cls[1:] & 3, code == 0x27
         safe[1:-1] = (a != b) & ~quote[:-1] & ~quote[1:] & ((a != 3) | ((code[:-1] == 10) & (b != 3)))
         self.safe = (self.char >= 0) & safe[np.maximum(self.char, 0)]
         self.safe_at = np.flatnonzero(self.safe)
@@ -183,7 +211,10 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], vo
             for doc_id, text in zip(p["doc_id"], p["text"]):
                 if not limits or len(text.encode("utf-8", "replace")) <= least:
                     continue
-                doc = Document(text, enc)
+                ids = enc.encode_ordinary(text)
+                if len(ids) <= least:
+                    continue
+                doc = Document(text, enc, ids)
                 for name, capacity, overlap in limits:
                     if doc.n > capacity:
                         for k, (a, c, e, size, kind) in enumerate(doc.pieces(capacity, overlap)):
