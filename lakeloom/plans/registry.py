@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import metrics, selection, text_metrics, timeline, turn_periods
+from lakeloom.plans import metrics, sampling, selection, text_metrics, timeline, turn_periods
 
-MODULES = [turn_periods, selection, metrics, timeline, text_metrics]
+MODULES = [turn_periods, selection, metrics, timeline, text_metrics, sampling]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
