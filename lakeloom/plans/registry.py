@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import metrics, relations, sampling, selection, text_metrics, timeline, turn_periods
+from lakeloom.plans import metrics, relations, sampling, selection, text_metrics, timeline, turn_periods, versioning
 
-MODULES = [turn_periods, selection, metrics, timeline, text_metrics, sampling, relations]
+MODULES = [turn_periods, selection, metrics, timeline, text_metrics, sampling, relations, versioning]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
