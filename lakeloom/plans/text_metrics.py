@@ -66,17 +66,18 @@ def hotword_languages(spark, d):
 
 
 def hotword_retrieval(spark, d):
-    """For each Chinese target the five best words of its dataset's pool that share a bigram with it.
+    """For each Chinese target the five best words of its dataset's pool with a score over 1.
 
-    Words and texts meet through their bigrams, never through a cross join. Without a pronunciation table the
+    A word that isn't in the text scores 0.8 at most, so only contained words can pass: words and texts meet by the
+    word's first three characters (all of a shorter one), never through a cross join. Without a pronunciation table the
     pronunciation term is 0.
     """
     r = records(spark, d).where("language = 'zh' and target is not null and length(target) <= 400")
-    pool = r.select("dataset_id", F.explode("hotwords").alias("word")).distinct().where("length(word) >= 2")
-    grams = pool.select("dataset_id", "word", F.explode(X.char_ngrams(F.col("word"), 2)).alias("gram"))
-    texts = r.select("dataset_id", "id", F.explode(X.char_ngrams(F.col("target"), 2)).alias("gram"))
-    hits = texts.join(grams, ["dataset_id", "gram"]).select("id", "word").distinct().join(r.select("id", "target"), "id")
-    score = 2.0 * X.substring_bonus(F.col("word"), F.col("target")) + 0.5 * X.overlap_recall(F.col("word"), F.col("target")) + 0.3 * let(X.char_ngrams(F.col("word"), 2), lambda a: X.jaccard(a, X.char_ngrams(F.col("target"), 2)))
+    pool = r.select("dataset_id", F.explode("hotwords").alias("word")).distinct().where("length(word) >= 2").withColumn("gram", F.substring("word", 1, 3))
+    grams = F.array_union(X.char_ngrams(F.col("target"), 2), X.char_ngrams(F.col("target"), 3))
+    texts = r.select("dataset_id", "id", F.explode(grams).alias("gram"))
+    hits = texts.join(pool, ["dataset_id", "gram"]).select("id", "word").join(r.select("id", "target"), "id").where(F.contains("target", F.col("word")))
+    score = 2.0 * X.substring_bonus(F.col("word"), F.col("target")) + 0.5 * X.overlap_recall(F.col("word"), F.col("target")) + 0.3 * let(X.char_ngrams(F.col("word"), 2), lambda a: let(X.char_ngrams(F.col("target"), 2), lambda b: X.jaccard(a, b)))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "word")
     return hits.withColumn("score", F.round(score, 6)).where("score > 1.0").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("id", "rank", "word", "score")
 
