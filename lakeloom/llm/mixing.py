@@ -13,7 +13,7 @@ from lakeloom.llm.tokens import encoding, read_vocabulary
 from lakeloom.session import broadcast_within, checkpointed
 from lakeloom.sources.tables import table
 
-SEED, BUCKET_BITS, MAX_SOURCES = 7, 12, 10_000
+SEED, BUCKET_BITS, MAX_SOURCES = 7, 10, 10_000
 MIX_SCHEMA = "source string, doc_id long, epoch int, tokens long, taken long"
 
 
@@ -52,7 +52,7 @@ def mix(sized: DataFrame, mix_targets: DataFrame, total_tokens: int | None = Non
     """Rows (source, doc_id, epoch, tokens, taken) of the mix, and (source, available, budget) of every target.
 
     Each document gets a random key by hash; within a source keys are cut into ranges (buckets), whose token sums are
-    prefix-summed, so that no window holds more than a bucket, a 2^-12th of a source. Full epochs take all documents;
+    prefix-summed, so that no window holds more than a bucket, a 2^-10th of a source. Full epochs take all documents;
     the last takes those in key order up to the budget, of the one on the edge the first ``taken`` tokens. Documents
     without tokens, and of sources without target, aren't in the mix. Only one sum per target reaches the driver.
     """
