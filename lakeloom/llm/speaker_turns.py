@@ -25,11 +25,11 @@ TURN_SCHEMA = "id string, turn_no int, start_cs long, end_cs long, speaker strin
 _TIME = r"(?:\d+:){0,2}\d+(?:[.,]\d+)?"
 # A header gives the speaker and the start, mostly the end; what follows it is text.
 _HEADERS = [
-    re.compile(rf"\s*\[\s*(?P<who>[^\[\]]+?)\s*\]\s*\[\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*(?P<unit>ms|s)?\s*\]\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*(?P<start>{_TIME})\s*-->\s*(?P<end>{_TIME})\s+(?P<who>[^:：]+?)\s*[:：]\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*\(\s*(?P<start>{_TIME})\s*\)\s*(?P<who>[^<>]+?)\s*>\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*(?P<who>[^:：()\[\]<>]+?)\s*\(\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*\)\s*[:：]\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*<\s*(?P<start>{_TIME})\s*>\s*<\s*(?P<end>{_TIME})\s*>\s*(?P<who>[^:：]+?)\s*[:：]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*\[\s*(?P<who>[^\[\]]{{1,80}}?)\s*\]\s*\[\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*(?P<unit>ms|s)?\s*\]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*(?P<start>{_TIME})\s*-->\s*(?P<end>{_TIME})\s+(?P<who>[^:：]{{1,80}}?)\s{{0,20}}[:：]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*\(\s*(?P<start>{_TIME})\s*\)\s*(?P<who>[^<>]{{1,80}}?)\s{{0,20}}>\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*(?P<who>[^:：()\[\]<>]{{1,80}}?)\s{{0,20}}\(\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*\)\s*[:：]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*<\s*(?P<start>{_TIME})\s*>\s*<\s*(?P<end>{_TIME})\s*>\s*(?P<who>[^:：]{{1,80}}?)\s{{0,20}}[:：]\s?(?P<text>.*)", re.S),
 ]
 _STARTS = re.compile(r"\s*(?:\[|\(|<|\d|[^\s(]{1,40}[^(]{0,40}\()")
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")

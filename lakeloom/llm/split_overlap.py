@@ -38,7 +38,7 @@ def with_roles(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of a train, validation or test split with ``train`` (boolean); all others are neither and drop out."""
     names = broadcast_within(catalogue_names(catalog).select("spelled", F.col("catalogue_id").alias("named")))
     splits = broadcast_within(split_groups(catalog).where("split_group in ('train', 'validation', 'test')"))
-    rows = records.where("id is not null")
+    rows = records.where("id is not null").select("id", "task", "target", "audio_slots", "dataset_id", "version", "split")
     found = rows.join(names, spelling(rows["dataset_id"]) == names["spelled"])
     return found.join(splits, (F.col("named") == F.col("catalogue_id")) & (rows["version"] == F.col("catalogue_version")) & (rows["split"] == F.col("catalogue_split"))).select(
         rows["id"], rows["task"], rows["target"], rows["audio_slots"], (F.col("split_group") == "train").alias("train")
