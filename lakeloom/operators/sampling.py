@@ -70,7 +70,7 @@ def duration_bin(cost: Column, longest: Column, bins: int) -> Column:
 
 
 def _greedy(padded: bool, max_cost: float, max_samples: int):
-    def cut(key, p: pd.DataFrame) -> pd.DataFrame:
+    def cut(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["cost", "id"] if padded else ["at", "id"])
         batch, n, total, out = 0, 0, 0.0, []
         for c in p["cost"]:

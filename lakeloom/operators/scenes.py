@@ -114,7 +114,7 @@ def meeting_plans(template: DataFrame, material: DataFrame) -> DataFrame:
     the same rank: (window_id, speaker, turn, utt, start). Groups are one window or one voice, so they are bounded."""
     t = template.withColumn("grp", F.dense_rank().over(Window.partitionBy("window_id").orderBy("speaker")))
 
-    def fill(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         b = b.sort_values("utt")
         for (window, speaker), g in a.groupby(["window_id", "speaker"], sort=True):
