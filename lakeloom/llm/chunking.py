@@ -167,15 +167,17 @@ class Document:
         return i
 
     def _cut(self, lo: int, hi: int, mask: np.uint64) -> tuple[int, int]:
-        """The first landmark in [lo, hi], else ``hi``, moved to the natural boundary that is nearest, stronger ones
-        counting as nearer; to a boundary between characters where there is none."""
+        """The first landmark in [lo, hi], else ``hi``, moved to the nearest end of a sentence, line or paragraph, stronger
+        ones counting as nearer; without one there to a clause, then to a word, then between characters."""
         marks = np.flatnonzero((self.hash[lo : hi + 1] & mask) == 0)
         mark = lo + int(marks[0]) if len(marks) else hi
-        cost = self.cost[lo : hi + 1]
-        if np.isfinite(cost).any():
-            far = (np.abs(np.arange(lo, hi + 1) - mark) + 1.0) * cost
-            end = lo + int(far.argmin())
-            return end, int(self.kind[end])
+        kind, cost = self.kind[lo : hi + 1], self.cost[lo : hi + 1]
+        for weakest in (3, 4, 5):
+            usable = (kind > 0) & (kind <= weakest)
+            if usable.any():
+                far = np.where(usable, (np.abs(np.arange(lo, hi + 1) - mark) + 1.0) * np.where(usable, cost, 0), np.inf)
+                end = lo + int(far.argmin())
+                return end, int(self.kind[end])
         return self.back(mark), 0
 
 

@@ -1,0 +1,19 @@
+"""Every query of the subpackage on the smallest tables, beside its SQL where it has one."""
+
+import os
+
+import pytest
+
+import verify
+from lakeloom.llm import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", list(registry.queries()))
+def test_query(spark, name):
+    mine = verify.spark_rows(registry.queries()[name](spark, SF))
+    assert mine[1]
+    if name in registry.oracle_sql():
+        assert mine == verify.sql_rows(verify.connect(SF), registry.oracle_sql()[name])
