@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.draws import hash_order, u
+from lakeloom.operators.ordering import ordered_positions
+from lakeloom.session import broadcast_within
 
 
 def numbered(rows: DataFrame, source: str, order: list) -> DataFrame:
     """With ``ix``, each row's number in its source, and ``n``, the source's size."""
-    w = Window.partitionBy(source)
-    return rows.withColumn("ix", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(w))
+    sizes = broadcast_within(rows.groupBy(source).agg(F.count("*").alias("n")))
+    return ordered_positions(rows, [source], order).join(sizes, source)
 
 
 def rotated(rows: DataFrame, samples: Column, reps: Column, epoch: int) -> DataFrame:
@@ -37,9 +39,8 @@ def interleaved(rows: DataFrame, source: str, weight: Column, seed: int, key: st
 
     The k-th row of a source comes at (k + u) / weight. Every row is drawn once; a source that is exhausted leaves.
     """
-    w = Window.partitionBy(source).orderBy(hash_order(seed, "mux", F.col(key)), F.col(key))
-    k = F.row_number().over(w) - 1
-    return rows.withColumn("at", (k + u(seed, "mux-time", F.col(key))) / weight)
+    k = ordered_positions(rows, [source], [hash_order(seed, "mux", F.col(key)), F.col(key)], "k")
+    return k.withColumn("at", (F.col("k") + u(seed, "mux-time", F.col(key))) / weight).drop("k")
 
 
 def replay_positions(quotas: DataFrame, windows: int, epoch: int, full: bool = False) -> DataFrame:
@@ -56,8 +57,8 @@ def replay_positions(quotas: DataFrame, windows: int, epoch: int, full: bool = F
 def replayed(positions: DataFrame, rows: DataFrame, source: str, key: str, seed: int) -> DataFrame:
     """The row at each position: the offset-th of its source in the hash order of the cycle."""
     cycles = positions.select("source", "cycle").distinct()
-    w = Window.partitionBy("source", "cycle").orderBy(hash_order(seed, "replay", F.col("cycle"), F.col(key)), F.col(key))
-    order = cycles.join(rows.select(F.col(source).alias("source"), key), "source").withColumn("offset", F.row_number().over(w) - 1)
+    shuffled = cycles.join(rows.select(F.col(source).alias("source"), key), "source")
+    order = ordered_positions(shuffled, ["source", "cycle"], [hash_order(seed, "replay", F.col("cycle"), F.col(key)), F.col(key)], "offset")
     return positions.join(order, ["source", "cycle", "offset"])
 
 
@@ -92,7 +93,7 @@ def bucket_batches(rows: DataFrame, buffer_size: int, bins: int, max_cost: float
 
     Buckets are formed inside each buffer of ``buffer_size`` draws, which bounds the group a task sees.
     """
-    numbered_rows = rows.withColumn("buffer", F.floor((F.row_number().over(Window.partitionBy("slots").orderBy("at", "id")) - 1) / buffer_size))
+    numbered_rows = ordered_positions(rows, ["slots"], ["at", "id"]).withColumn("buffer", F.floor(F.col("ix") / buffer_size))
     longest = rows.agg(F.max("cost").alias("longest"))
     binned = numbered_rows.crossJoin(F.broadcast(longest)).withColumn("bin", duration_bin(F.col("cost"), F.col("longest"), bins))
     return binned.select("id", "at", "slots", "buffer", "bin", "cost").groupBy("slots", "buffer", "bin").applyInPandas(_greedy(False, max_cost, max_samples), BATCH_SCHEMA)
@@ -101,7 +102,7 @@ def bucket_batches(rows: DataFrame, buffer_size: int, bins: int, max_cost: float
 def sorted_batches(rows: DataFrame, window: int, max_cost: float, max_samples: int) -> DataFrame:
     """(id, at, slots, cost) -> batches of ascending cost within windows of ``window`` draws; the padded size, cost of the
     longest times number, stays within ``max_cost``. One row over it is a batch of its own."""
-    placed = rows.withColumn("buffer", F.floor((F.row_number().over(Window.partitionBy("slots").orderBy("at", "id")) - 1) / window)).withColumn("bin", F.lit(0))
+    placed = ordered_positions(rows, ["slots"], ["at", "id"]).withColumn("buffer", F.floor(F.col("ix") / window)).withColumn("bin", F.lit(0))
     return placed.select("id", "at", "slots", "buffer", "bin", "cost").groupBy("slots", "buffer").applyInPandas(_greedy(True, max_cost, max_samples), BATCH_SCHEMA)
 
 
@@ -109,15 +110,13 @@ def balanced_updates(batches: DataFrame, world_size: int, accumulation: int, see
     """(batch_id, n, longest) -> (batch_id, update, row, rank, position): batches by padded size in groups of
     ``world_size * accumulation``, odd rows of complete groups reversed, groups in hash order."""
     size = world_size * accumulation
-    w = Window.orderBy(F.round(F.col("n") * F.col("longest"), 9), "batch_id")
-    p = batches.withColumn("k", (F.row_number().over(w) - 1).cast("long")).withColumn("update", F.floor(F.col("k") / size)).withColumn("in_group", F.pmod("k", F.lit(size)))
+    p = ordered_positions(batches, [], [F.round(F.col("n") * F.col("longest"), 9), F.col("batch_id")], "k").withColumn("update", F.floor(F.col("k") / size)).withColumn("in_group", F.pmod("k", F.lit(size)))
     whole = F.count("*").over(Window.partitionBy("update")) == size
     row = F.floor(F.col("in_group") / world_size)
     column = F.pmod("in_group", F.lit(world_size))
     p = p.withColumn("whole", whole).withColumn("row", row).withColumn("rank", F.when(F.col("whole") & (row % 2 == 1), world_size - 1 - column).otherwise(column))
-    groups = Window.orderBy(hash_order(seed, "groups", F.col("update")))
-    shuffled = p.select("update").distinct().withColumn("place", F.row_number().over(groups) - 1)
-    return p.join(F.broadcast(shuffled), "update").select("batch_id", "place", "row", "rank")
+    shuffled = ordered_positions(p.select("update").distinct(), [], [hash_order(seed, "groups", F.col("update"))], "place")
+    return p.join(shuffled, "update").select("batch_id", "place", "row", "rank")
 
 
 def with_tail(batches: DataFrame, world_size: int, drop_last: bool) -> DataFrame:
@@ -137,6 +136,11 @@ def of_rank(batches: DataFrame, rank: int, world_size: int) -> DataFrame:
     return batches.where(F.pmod("position", F.lit(world_size)) == rank)
 
 
+def in_hash_order(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with ``position`` in the order of their key's SHA-256."""
+    return ordered_positions(rows, [], [F.sha2(F.col(key).cast("string"), 256), F.col(key)], "position")
+
+
 def resumed(batches: DataFrame, consumed: int) -> DataFrame:
     """The plan from a cursor on."""
     return batches.where(F.col("position") >= consumed)

@@ -75,15 +75,13 @@ def balance(spark, d):
 
 def rank_partition(spark, d):
     """The batches of rank 1 of 7, the first ones repeated to fill up."""
-    w = Window.orderBy(F.sha2(F.col("o_orderkey").cast("string"), 256))
-    b = table(spark, d, "orders").where("o_custkey < 100").select("o_orderkey", (F.row_number().over(w) - 1).alias("position"))
+    b = S.in_hash_order(table(spark, d, "orders").where("o_custkey < 100").select("o_orderkey"), "o_orderkey")
     return S.of_rank(S.with_tail(b, 7, False), 1, 7)
 
 
 def resume_suffix(spark, d):
     """What is left after a cursor saved by 4 ranks at 30 is taken over by 8, last batches dropped."""
-    w = Window.orderBy(F.sha2(F.col("o_orderkey").cast("string"), 256))
-    b = table(spark, d, "orders").where("o_custkey < 100").select("o_orderkey", (F.row_number().over(w) - 1).alias("position"))
+    b = S.in_hash_order(table(spark, d, "orders").where("o_custkey < 100").select("o_orderkey"), "o_orderkey")
     consumed = S.migrated_cursor(30, 4, 8) * 8
     return S.resumed(S.with_tail(b, 8, True), consumed)
 

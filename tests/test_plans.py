@@ -167,3 +167,16 @@ def test_batches_are_written_once(spark, tmp_path):
     for _ in range(2):
         Z.consumed_batches(Z.stream(spark, str(tmp_path / "in")), F.floor(F.col("id") / 4), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_ordered_positions(spark):
+    from lakeloom.operators.ordering import ordered_positions
+
+    rows = [("a" if i % 3 else None if i % 2 else "b", (i * 37) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v int, id long").repartition(8)
+    got = {r["id"]: r["ix"] for r in ordered_positions(df, ["g"], ["v", "id"]).collect()}
+    for g in ("a", "b", None):
+        order = [i for x, v, i in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))]
+        assert [got[i] for i in order] == list(range(len(order)))
+    assert sorted(r["ix"] for r in ordered_positions(df, [], ["id"]).collect()) == list(range(1000))
+    assert ordered_positions(df.limit(0), ["g"], ["id"]).count() == 0
