@@ -163,3 +163,16 @@ def batched(f: Callable, kind: str):
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)])
 
     return run
+
+
+def syllables(text: str, table: dict[str, str]) -> list[str]:
+    """Characters by their pronunciation in a given table, others as they are."""
+    return [table.get(c, c) for c in text]
+
+
+def sounds_like(word: str, text: str, table: dict[str, str]) -> float:
+    """The largest share of a word's syllables that a stretch of the text of its length has in place; 0 if it is shorter."""
+    w, t = syllables(word, table), syllables(text, table)
+    if not w or len(t) < len(w):
+        return 0.0
+    return max(sum(a == b for a, b in zip(w, t[i : i + len(w)])) for i in range(len(t) - len(w) + 1)) / len(w)

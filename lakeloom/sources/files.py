@@ -102,3 +102,17 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
 def manifest_seconds(rows: DataFrame, tracks: Column) -> DataFrame:
     """(id, seconds): of a mixed cut the end of its last track, else its duration."""
     return rows.select("id", F.coalesce(F.array_max(F.transform(tracks, lambda t: t["offset"] + t["duration"])), F.col("duration")).alias("seconds"))
+
+
+def tree_digest(digests: DataFrame) -> DataFrame:
+    """One row: count, bytes and a digest of (path, sha256) that doesn't depend on the order files are listed in."""
+    pair = F.xxhash64("path", "sha256")
+    return digests.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.bit_xor(pair).alias("xor"), F.sum(pair.cast("decimal(38,0)")).alias("total"))
+
+
+def integrity_errors(digests: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, error) of files that are missing, or differ in bytes or sha256 from what is declared."""
+    d = declared.select("path", F.col("expected_bytes").alias("want_bytes"), F.col("sha256").alias("want_sha"))
+    j = d.join(digests, "path", "left")
+    error = F.when(F.col("bytes").isNull(), "missing").when(F.col("want_bytes") != F.col("bytes"), "bytes").when(F.col("want_sha") != F.col("sha256"), "sha256")
+    return j.select("path", error.alias("error")).where("error is not null")

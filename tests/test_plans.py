@@ -180,3 +180,41 @@ def test_ordered_positions(spark):
         assert [got[i] for i in order] == list(range(len(order)))
     assert sorted(r["ix"] for r in ordered_positions(df, [], ["id"]).collect()) == list(range(1000))
     assert ordered_positions(df.limit(0), ["g"], ["id"]).count() == 0
+
+
+def test_named_functions(spark):
+    from lakeloom.functions import alignment, registry
+
+    registry.register(spark)
+    assert spark.sql("select unit_accuracy('a b', 'a c') as x, token_edits('a b', 'b') as y").first() == (0.5, 1)
+    rows = spark.sql("select * from parse_turns('[S1][0.00-2.50] hi\nbad\n[S12][3-4] yo')").collect()
+    assert [tuple(r) for r in rows] == [(1, 0.0, 2.5, "hi"), (12, 3.0, 4.0, "yo")]
+    assert alignment.sounds_like("ab", "xcb", {"c": "a"}) == 1.0 and alignment.sounds_like("abc", "a", {}) == 0.0
+
+
+def test_declared_sources():
+    from lakeloom.operators import config
+
+    assert config.checked([{"name": "a"}])[0]["reps"] == 1
+    for bad in ([], [{"name": "a", "odd": 1}], [{"name": "a"}, {"name": "a"}], [{"name": "a", "weight": 1}, {"name": "b"}], [{"name": "a", "weight": 0}], [{"name": "a", "weight": 1, "samples": 2}]):
+        with pytest.raises(ValueError):
+            config.checked(bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lakeloom import cli
+
+    assert cli.main(["list"]) == 0 and "p2_found" in capsys.readouterr().out
+    spark.createDataFrame([("a", 1)], "id string, x int").write.parquet(str(tmp_path / "t" / "1"))
+    assert cli.main(["compact", str(tmp_path / "t" / "1"), str(tmp_path / "t" / "2"), "--files", "1"]) == 0
+    assert cli.main(["cleanup", str(tmp_path / "t"), "--keep", "2"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"deleted": ["1"]}
+
+
+def test_integrity(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x").write_text("abc")
+    d = R.file_digests(spark, str(tmp_path / "f")).cache()
+    path, n, sha = d.first()
+    want = spark.createDataFrame([(path, 3, sha), (path + "y", 1, "0")], "path string, expected_bytes long, sha256 string")
+    assert [tuple(r) for r in R.integrity_errors(d, want).collect()] == [(path + "y", "missing")] and R.tree_digest(d).first()["files"] == 1
