@@ -58,7 +58,7 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a in range(0, len(p), 2000):
             q = p.iloc[a : a + 2000]
             keys = band_keys(q["norm"].tolist())
-            yield pd.DataFrame({"bucket": keys.ravel(), "k": np.repeat(q["k1"].to_numpy(), keys.shape[1]), "chars": np.repeat(q["norm"].str.len().to_numpy(np.int32), keys.shape[1])})
+            yield pd.DataFrame({"bucket": keys.ravel(), "k": np.repeat(q["k1"].to_numpy(), keys.shape[1])})
 
 
 def text_pairs(rows: DataFrame) -> DataFrame:
@@ -66,18 +66,20 @@ def text_pairs(rows: DataFrame) -> DataFrame:
 
     Texts are first reduced to distinct ones, so a hot group of copies is one row. Distinct texts are banded by minwise
     hashes; only a training and an evaluation text that share a bucket become candidates; the edit distance decides.
+    A band row is two numbers: the bucket, and a key of 48 hash bits and 16 bits of length (longer ones count as 65,535,
+    which lets no pair of similar lengths drop out). Keys only lead to texts; texts that share one are all compared.
     """
     texts = rows.where(F.col("task").isin(TEXT_TASKS) & F.col("target").isNotNull()).select("id", "train", "target")
     kept = checkpointed(texts.mapInArrow(_comparable_rows, "id string, train boolean, norm string"))
-    keyed = kept.select("id", "train", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("second"), "norm").alias("k2"))
+    keyed = kept.select("id", "train", "norm", F.expr("(xxhash64(norm) & -65536L) | least(length(norm), 65535)").alias("k1"), F.xxhash64(F.lit("second"), "norm").alias("k2"))
     distinct = keyed.groupBy("norm", "k1", "k2").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
-    schema = "bucket long, k long, chars int"
+    schema = "bucket long, k long"
     known = distinct.where("in_train").select("norm", "k1").mapInPandas(_bands, schema)
     asked = distinct.where("in_eval").select("norm", "k1").mapInPandas(_bands, schema)
     a, b = known.alias("a"), asked.alias("b")
     near = (
         a.join(b, F.col("a.bucket") == F.col("b.bucket"))
-        .where("a.k <> b.k and 10 * abs(a.chars - b.chars) <= greatest(a.chars, b.chars)")
+        .where("a.k <> b.k and 10 * abs((a.k & 65535) - (b.k & 65535)) <= greatest(a.k & 65535, b.k & 65535)")
         .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
         .distinct()
     )

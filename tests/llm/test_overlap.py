@@ -78,4 +78,4 @@ def test_copies_and_empties(spark):
 
 def test_band_keys():
     k = band_keys(["abcdefgh" * 9, "abcdefgh" * 9, "zyxwvuts" * 9, "a", ""])
-    assert (k[0] == k[1]).all() and not (k[0] == k[2]).any() and k.shape == (5, 40) and band_keys([]).shape == (0, 40)
+    assert (k[0] == k[1]).all() and not (k[0] == k[2]).any() and k.shape == (5, 48) and band_keys([]).shape == (0, 48)
