@@ -72,7 +72,7 @@ def event_projection(spark, d):
 def lookalike_topk(spark, d):
     """Five nearest of another label below 0.4."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return Y.cosine_top_k(e, e, 5, 0.4).select("id", "rank", "neighbour", F.round("cosine", 4).alias("cosine"))
+    return Y.cosine_top_k(e, e, 5, 0.4).select("id", "rank", "neighbour")
 
 
 def lookalike_draw(spark, d):
@@ -145,7 +145,7 @@ SQL = {
     "round_trip": f"WITH {RECORDS_SQL} SELECT count(*) AS rows, 0 AS lost FROM records",
     "numeric_tree": "SELECT 'top/k' AS path, count(*) AS n, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 3) AS total FROM events UNION ALL SELECT 'v', count(*), round(count(*) * 1.5, 3) FROM events",
     "event_projection": "SELECT concat_ws(':', event_type, event_id % 50) AS key, round(arg_max(value, event_id), 4) AS value, count(*) AS n FROM events GROUP BY ALL",
-    "lookalike_topk": f"WITH {_TOP} SELECT id, rank, neighbour, round(cosine, 4) AS cosine FROM top WHERE rank <= 5",
+    "lookalike_topk": f"WITH {_TOP} SELECT id, rank, neighbour FROM top WHERE rank <= 5",
     "lookalike_draw": f"WITH {_TOP}, p AS (SELECT id, list(neighbour ORDER BY rank) AS n FROM top WHERE rank <= 3 GROUP BY id), q AS (SELECT id, coalesce(n[CAST(floor({u_sql(12, 'which', 'id')} * 3) AS BIGINT) + 1], -1) AS pick FROM p) SELECT id, CASE WHEN {u_sql(12, 'take', 'id')} < 0.3 AND pick >= 0 THEN pick ELSE id END AS used FROM q",
     "label_consistency": f"WITH {_MEANS}, s AS (SELECT label, pos, sum(x) AS t, count(*) AS n FROM x GROUP BY ALL), j AS (SELECT x.vec_id, x.x, (s.t - x.x) / (s.n - 1) AS r, s.n FROM x JOIN s USING (label, pos)) SELECT vec_id, CASE WHEN max(n) > 1 THEN round(sum(x * r) / sqrt(sum(x * x) * sum(r * r)), 4) END AS consistency FROM j GROUP BY vec_id",
     "centroid_norms": f"WITH {_MEANS}, s AS (SELECT label, pos, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT label, round(sqrt(sum(m * m)), 4) AS length, max(n) AS n FROM s GROUP BY label",
