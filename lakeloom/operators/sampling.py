@@ -161,15 +161,22 @@ def advance_cursor(epoch: int, consumed: int, length: int, signature: str, saved
     return (epoch + 1, 0) if consumed >= length else (epoch, consumed)
 
 
-def hotword_list(rows: DataFrame, pool: Column, seed: int, prompt: float, miss: float, most: int) -> DataFrame:
-    """(id, hotwords) -> (id, offered): with probability ``prompt`` the real words, each missed with ``miss``, filled up
-    to a drawn size with other words of the pool, in hash order; else ``N/A``."""
-    x = rows.withColumn("pool_words", F.array_except(pool, F.col("hotwords")))
-    kept = F.filter(F.array_distinct("hotwords"), lambda w: u(seed, "miss", F.col("id"), w) >= miss)
-    ranked = F.array_sort(F.transform("pool_words", lambda w: F.struct(u(seed, "distract", F.col("id"), w).alias("r"), w.alias("w"))))
-    room = F.greatest(F.lit(most) - F.size("kept"), F.lit(0))
-    count = F.floor(u(seed, "count", F.col("id")) * (F.least(room, F.size("pool_words")) + 1)).cast("int")
-    x = x.withColumn("kept", kept).withColumn("drawn", F.transform(F.slice(ranked, F.lit(1), count), lambda s: s["w"]))
-    every = F.array_sort(F.transform(F.concat("kept", "drawn"), lambda w: F.struct(u(seed, "shuffle", F.col("id"), w).alias("r"), w.alias("w"))))
-    said = F.array_join(F.transform(every, lambda s: s["w"]), ", ")
-    return x.select("id", F.when((u(seed, "prompt", F.col("id")) < prompt) & (said != ""), said).otherwise("N/A").alias("offered"))
+def hotword_list(rows: DataFrame, pool: DataFrame, seed: int, prompt: float, miss: float, most: int) -> DataFrame:
+    """(id, pool, hotwords) and (pool, word) -> (id, offered): with probability ``prompt`` the real words, each missed with
+    ``miss``, and up to a drawn number of others, in hash order; else ``N/A``.
+
+    Others are drawn by number in the sorted pool, so a record meets only the words it draws, however large the pool.
+    """
+    words = ordered_positions(pool.where("word is not null").distinct(), ["pool"], ["word"])
+    sizes = words.groupBy("pool").agg(F.count("*").alias("size"))
+    own = F.filter(F.array_distinct("hotwords"), lambda w: w.isNotNull())
+    kept = F.filter("own", lambda w: u(seed, "miss", F.col("id"), w) >= miss)
+    x = rows.withColumn("own", own).withColumn("kept", kept)
+    count = F.floor(u(seed, "count", F.col("id")) * (F.greatest(F.lit(most) - F.size("kept"), F.lit(0)) + 1)).cast("int")
+    tries = x.join(broadcast_within(sizes), "pool").where(count > 0).select("id", "pool", "own", "size", F.explode(F.sequence(F.lit(0), count - 1)).alias("j"))
+    tries = tries.select("id", "pool", "own", F.floor(u(seed, "distract", "id", "j") * F.col("size")).cast("long").alias("ix"))
+    drawn = tries.join(words.select("pool", "ix", "word"), ["pool", "ix"]).where(~F.array_contains("own", F.col("word"))).groupBy("id").agg(F.collect_set("word").alias("drawn"))
+    j = x.join(drawn, "id", "left").withColumn("every", F.concat("kept", F.coalesce("drawn", F.array().cast("array<string>"))))
+    shuffled = F.array_sort(F.transform("every", lambda w: F.struct(u(seed, "shuffle", F.col("id"), w).alias("r"), w.alias("w"))))
+    said = F.array_join(F.transform(shuffled, lambda s: s["w"]), ", ")
+    return j.select("id", F.when((u(seed, "prompt", F.col("id")) < prompt) & (said != ""), said).otherwise("N/A").alias("offered"))

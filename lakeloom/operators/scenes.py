@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from lakeloom.functions.alignment import best_assignment, edit_distance, units
 
 
-def scene_extent(durations: Column, mode: Column, gap: float) -> Column:
-    """The longest a scene can get: ``durations`` holds an array per speaker. In mode ``alternate`` all speakers in turn,
-    else each with gaps of its own, the longest counting."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    per = F.transform(durations, lambda a: total(a) + gap * F.greatest(F.size(a) - 1, F.lit(0)))
-    every = F.flatten(durations)
-    return F.when(mode == "alternate", total(every) + gap * F.greatest(F.size(every) - 1, F.lit(0))).otherwise(F.coalesce(F.array_max(per), F.lit(0.0)))
+def scene_extents(t: DataFrame, mode: Column, gap: float) -> DataFrame:
+    """(window_id, speaker, seconds) -> (window_id, extent): the longest a window's scene can get. In mode ``alternate`` all
+    speakers in turn, else each with gaps of its own, the longest counting. Sums only; no list is gathered."""
+    per = t.groupBy("window_id", "speaker").agg(F.sum("seconds").alias("total"), F.count("*").alias("n"))
+    sums = per.groupBy("window_id").agg(F.sum("total").alias("all_s"), F.sum("n").alias("all_n"), F.max(F.col("total") + gap * (F.col("n") - 1)).alias("longest"))
+    return sums.select("window_id", F.when(mode == "alternate", F.col("all_s") + gap * (F.col("all_n") - 1)).otherwise(F.col("longest")).alias("extent"))
 
 
 def gap_windows(t: DataFrame, longest: int) -> DataFrame:
@@ -129,21 +128,30 @@ def meeting_plans(template: DataFrame, material: DataFrame) -> DataFrame:
 def error_components(ref: list[tuple[str, int, int]], hyp: list[tuple[str, int, int]], collar: int = 0) -> tuple[int, int, int, int]:
     """(missed, false, confused, total) units of speaker time, with the speakers mapped for most agreement; ``collar``
     units around reference bounds aren't scored."""
-    marks = sorted({x for _, s, e in ref + hyp for x in (s, e)} | {x + d for _, s, e in ref for x in (s, e) for d in (-collar, collar)})
     rs, hs = sorted({r for r, _, _ in ref}), sorted({h for h, _, _ in hyp})
-    together, spans = np.zeros((len(rs), len(hs))), []
-    for a, b in zip(marks, marks[1:]):
-        if collar and any(abs((a + b) / 2 - x) < collar for _, s, e in ref for x in (s, e)):
-            continue
-        r = {n for n, s, e in ref if s < b and a < e}
-        h = {n for n, s, e in hyp if s < b and a < e}
-        spans.append((b - a, r, h))
+    events = [(s, 0, n, 1) for n, s, _ in ref] + [(e, 0, n, -1) for n, _, e in ref] + [(s, 1, n, 1) for n, s, _ in hyp] + [(e, 1, n, -1) for n, _, e in hyp]
+    if collar:
+        events += [(x - collar, 2, "", 1) for _, s, e in ref for x in (s, e)] + [(x + collar, 2, "", -1) for _, s, e in ref for x in (s, e)]
+    events.sort(key=lambda v: v[0])
+    active: list[dict[str, int]] = [{}, {}, {}]
+    together, lengths, at = np.zeros((len(rs), len(hs))), {}, None
+    for x, side, name, step in events:
+        if at is not None and x > at and not active[2]:
+            key = (frozenset(active[0]), frozenset(active[1]))
+            lengths[key] = lengths.get(key, 0) + x - at
+        at = x
+        left = active[side].get(name, 0) + step
+        if left:
+            active[side][name] = left
+        else:
+            del active[side][name]
+    for (r, h), n in lengths.items():
         for x in r:
             for y in h:
-                together[rs.index(x), hs.index(y)] += b - a
+                together[rs.index(x), hs.index(y)] += n
     mapped = {rs[i]: hs[j] for i, j in best_assignment(-together) if together[i, j] > 0}
     missed = false = confused = total = 0
-    for n, r, h in spans:
+    for (r, h), n in lengths.items():
         right = sum(mapped.get(x) in h for x in r)
         missed += n * max(0, len(r) - len(h))
         false += n * max(0, len(h) - len(r))

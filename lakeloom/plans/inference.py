@@ -13,7 +13,7 @@ from lakeloom.sources.tables import table
 
 
 def _parts(spark, d, strata=False):
-    l = table(spark, d, "lineitem").where("l_suppkey < 60")
+    l = table(spark, d, "lineitem")
     g = [F.col("l_linestatus")] if strata else []
     return l.groupBy(*g, F.col("l_suppkey").alias("key")).agg(F.round(F.sum((F.col("l_discount") - F.col("l_tax")) * F.col("l_quantity")), 6).alias("diff"), F.sum("l_quantity").alias("n"))
 
@@ -90,14 +90,14 @@ def role_fit(spark, d):
 
 def probe_auc(spark, d):
     """Out-of-fold area of a probe that tells expensive lines by quantity, discount and tax."""
-    l = table(spark, d, "lineitem").where("l_orderkey < 1500").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") > 40000).cast("int").alias("y"))
+    l = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") > 40000).cast("int").alias("y"))
     l = l.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3)))
     return auc(I.fitted_probe(l, ["l_quantity", "l_discount", "l_tax"], "y", "fold", 3).withColumn("g", F.lit("all")), ["g"], F.col("y") == 1, F.col("score")).select("g", F.round("auc", 3).alias("auc"))
 
 
 QUERIES = {f.__name__: f for f in [window_bootstrap, cluster_bootstrap, checkpoint_decision, metric_by_spec, rejection_sweep, length_fit, run_comparison, confusion_groups, edge_buckets, role_fit, probe_auc]}
 
-_PARTS = "p AS (SELECT {g} l_suppkey AS key, round(sum((l_discount - l_tax) * l_quantity), 6) AS diff, sum(l_quantity) AS n FROM lineitem WHERE l_suppkey < 60 GROUP BY ALL)"
+_PARTS = "p AS (SELECT {g} l_suppkey AS key, round(sum((l_discount - l_tax) * l_quantity), 6) AS diff, sum(l_quantity) AS n FROM lineitem GROUP BY ALL)"
 
 
 def _boot(strata, draws, seed):

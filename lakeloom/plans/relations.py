@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import relations as R
+from lakeloom.operators.ordering import ordered_positions
 from lakeloom.plans.views import INDEX_SQL, MAIN_SQL, RECORDS_SQL, TIMED_SQL, TURNS_SQL, index, records, timed_records, turns
 from lakeloom.sources.tables import table
 
@@ -83,9 +84,8 @@ def context_join(spark, d):
 def voice_ranks(spark, d):
     """The speakers of a template window by need beside the customers of a nation by balance."""
     need = turns(spark, d).where("dataset_id = 'stonecourt' and speaker is not null").groupBy("window_id", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("need")).withColumn("g", F.pmod(F.length("window_id"), F.lit(5)))
-    top = need.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("need"), "window_id", "speaker"))).where("r <= 10").drop("r")
-    voices = table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_nationkey").cast("int").alias("g"), "c_custkey", "c_acctbal")
-    return R.rank_zip(top, voices, "g", [F.desc("need"), F.col("window_id"), F.col("speaker")], [F.desc("c_acctbal"), F.col("c_custkey")]).select("g", "k", "window_id", "speaker", "c_custkey")
+    voices = table(spark, d, "customer").select(F.pmod("c_nationkey", F.lit(5)).cast("int").alias("g"), "c_custkey", "c_acctbal")
+    return R.rank_zip(need, voices, "g", [F.desc("need"), F.col("window_id"), F.col("speaker")], [F.desc("c_acctbal"), F.col("c_custkey")]).select("g", "k", "window_id", "speaker", "c_custkey")
 
 
 def identity_reuse(spark, d):
@@ -149,10 +149,9 @@ def take_positions(spark, d):
 
 
 def sorted_turns(spark, d):
-    """A window's turns in order of start and speaker as one string."""
-    t = turns(spark, d).where("split = 'eval'")
-    x = F.array_sort(F.collect_list(F.struct("s", F.coalesce("speaker", F.lit("")).alias("p"), "turn_id")))
-    return t.groupBy("window_id").agg(F.array_join(F.transform(x, lambda v: v["turn_id"].cast("string")), ",").alias("ids"))
+    """Each turn's place in its window by start and speaker."""
+    t = turns(spark, d).select("window_id", "turn_id", "s", F.coalesce("speaker", F.lit("")).alias("speaker"))
+    return ordered_positions(t, ["window_id"], ["s", "speaker", "turn_id"]).select("window_id", "turn_id", "ix")
 
 
 def extremes(spark, d):
@@ -168,7 +167,7 @@ def ordered_dedup(spark, d):
 
 def last_delivery(spark, d):
     """T14."""
-    return R.last_write(table(spark, d, "turns").where("turn_id % 10 < 5").select("turn_id", "window_id", "chars", "ingested_at"), "turn_id", "ingested_at").select("turn_id", "window_id", "chars")
+    return R.last_write(table(spark, d, "turns").select("turn_id", "window_id", "chars", "ingested_at"), "turn_id", "ingested_at").select("turn_id", "window_id", "chars")
 
 
 def set_operations(spark, d):
@@ -193,7 +192,7 @@ SQL = {
     "lineage_family": "WITH RECURSIVE c AS (SELECT dataset_id || '@' || version AS ref, derived_from FROM dataset_catalog), w(ref, root, up, steps) AS (SELECT ref, ref, derived_from, 0 FROM c UNION ALL SELECT w.ref, w.up, c.derived_from, w.steps + 1 FROM w LEFT JOIN c ON c.ref = w.up WHERE w.up IS NOT NULL AND w.steps < 20) SELECT ref, root, steps, false AS cyclic FROM w WHERE up IS NULL",
     "index_verification": f"WITH a AS ({_FIRST_LAST.format(f='arg_min_null')}), b AS ({_FIRST_LAST.format(f='arg_max_null')}) SELECT unnest(['task', 'target', 'language', 'dataset_id']) AS column, unnest([sum((a.task IS DISTINCT FROM b.task)::INT), sum((a.target IS DISTINCT FROM b.target)::INT), sum((a.language IS DISTINCT FROM b.language)::INT), sum((a.dataset_id IS DISTINCT FROM b.dataset_id)::INT)]) AS differing FROM a JOIN b USING (id)",
     "context_join": "SELECT m.max_repeats, count(*) AS n, sum(n_chars) AS chars FROM documents d LEFT JOIN mix_targets m USING (source) GROUP BY ALL",
-    "voice_ranks": f"WITH {TURNS_SQL}, need AS (SELECT window_id, speaker, sum(e - s) AS need, length(window_id) % 5 AS g FROM t WHERE dataset_id = 'stonecourt' AND speaker IS NOT NULL GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY need DESC, window_id, speaker) AS k FROM need), v AS (SELECT c_nationkey AS g, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer WHERE c_nationkey < 5) SELECT g, k, window_id, speaker, c_custkey FROM x JOIN v USING (g, k) WHERE k <= 10",
+    "voice_ranks": f"WITH {TURNS_SQL}, need AS (SELECT window_id, speaker, sum(e - s) AS need, length(window_id) % 5 AS g FROM t WHERE dataset_id = 'stonecourt' AND speaker IS NOT NULL GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY need DESC, window_id, speaker) AS k FROM need), v AS (SELECT c_nationkey % 5 AS g, c_custkey, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT g, k, window_id, speaker, c_custkey FROM x JOIN v USING (g, k)",
     "identity_reuse": "WITH k AS (SELECT sha256(array_to_string(list_sort(list_transform(artifacts, lambda a: coalesce(a.sha256, '-'))), ',')) AS identity FROM dataset_catalog) SELECT versions, count(*) AS n FROM (SELECT identity, count(*) AS versions FROM k GROUP BY ALL) GROUP BY ALL",
     "index_gaps": f"WITH {RECORDS_SQL}, s AS (SELECT dataset_id, version, unnest(map_keys(splits)) AS split FROM dataset_catalog) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.dataset_id = s.dataset_id AND r.version = s.version AND r.split = s.split)",
     "resolve_split": "WITH c AS (SELECT dataset_id, version, artifacts, unnest(map_entries(splits)) AS e FROM dataset_catalog), r AS (SELECT dataset_id, version, artifacts, e.key AS split, unnest(map_entries(e.value.artifacts)) AS ra FROM c), n AS (SELECT dataset_id, version, split, artifacts, ra.key AS role, unnest(ra.value) AS name, generate_subscripts(ra.value, 1) - 1 AS pos FROM r) SELECT dataset_id, version, split, role, pos, name, list_filter(artifacts, lambda a: a.name = n.name)[1].relative_path AS path, list_filter(artifacts, lambda a: a.name = n.name)[1].kind AS kind FROM n",
@@ -203,9 +202,9 @@ SQL = {
     "pool_clips": f"WITH {RECORDS_SQL}, s AS (SELECT dataset_id AS home, unnest(audio_slots) AS s FROM records) SELECT home, CASE WHEN s.ref.start IS NOT NULL THEN CASE WHEN s.ref.dataset_id = home THEN 'span' ELSE 'foreign_span' END ELSE 'whole' END AS kind, count(*) AS n FROM s GROUP BY ALL",
     "read_ids": "SELECT a.id, r.id IS NOT NULL AS found FROM (SELECT 'hdc-train-0000' || lpad(CAST(i * 60 AS VARCHAR), 4, '0') AS id FROM range(40) x(i)) a LEFT JOIN (SELECT DISTINCT id FROM audio_records) r ON r.id = a.id",
     "take_positions": f"WITH {RECORDS_SQL}, r AS (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM records) SELECT dataset_id, ix, id FROM r WHERE ix IN (0, CAST(floor((n - 1) / 4) AS BIGINT), CAST(floor(2 * (n - 1) / 4) AS BIGINT), CAST(floor(3 * (n - 1) / 4) AS BIGINT), n - 1)",
-    "sorted_turns": f"WITH {TURNS_SQL} SELECT window_id, string_agg(CAST(turn_id AS VARCHAR), ',' ORDER BY s, coalesce(speaker, ''), turn_id) AS ids FROM t WHERE split = 'eval' GROUP BY ALL",
+    "sorted_turns": f"WITH {TURNS_SQL} SELECT window_id, turn_id, row_number() OVER (PARTITION BY window_id ORDER BY s, coalesce(speaker, ''), turn_id) - 1 AS ix FROM t",
     "extremes": f"WITH {TIMED_SQL} SELECT dataset_id, arg_min(id, (duration, id)) AS shortest, arg_max(id, (duration, id)) AS longest FROM timed WHERE duration IS NOT NULL GROUP BY ALL",
     "ordered_dedup": f"WITH {RECORDS_SQL} SELECT id, array_to_string(list_filter(list_transform(range(1, len(hotwords) + 1), lambda i: CASE WHEN list_position(hotwords, hotwords[i]) = i THEN hotwords[i] END), lambda x: x IS NOT NULL), '|') AS words FROM records WHERE hotwords IS NOT NULL",
-    "last_delivery": "SELECT turn_id, window_id, chars FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns WHERE turn_id % 10 < 5) WHERE rn = 1",
+    "last_delivery": "SELECT turn_id, window_id, chars FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns) WHERE rn = 1",
     "set_operations": f"WITH {RECORDS_SQL}, a AS (SELECT DISTINCT unnest(audio_slots).ref.cut_id AS c FROM records), b AS (SELECT DISTINCT cut_id AS c FROM audio_index) SELECT CASE WHEN a.c IS NOT NULL AND b.c IS NOT NULL THEN 'both' WHEN b.c IS NULL THEN 'records' ELSE 'index' END AS side, count(*) AS n FROM a FULL JOIN b ON a.c = b.c GROUP BY ALL",
 }

@@ -19,10 +19,10 @@ def shard_rotation(spark, d):
 
 
 def weighted_mux(spark, d):
-    """The first 300 draws of all sources, interleaved by target share."""
+    """All records, their sources interleaved by target share."""
     w = table(spark, d, "mix_targets").select(F.col("source").alias("dataset_id"), "target_share")
     r = records(spark, d).select("id", "dataset_id").join(F.broadcast(w), "dataset_id")
-    return S.interleaved(r, "dataset_id", F.col("target_share"), 42, "id").orderBy("at", "id").limit(300).select("id", "dataset_id", F.round("at", 6).alias("at"))
+    return S.interleaved(r, "dataset_id", F.col("target_share"), 42, "id").select("id", "dataset_id", F.round("at", 6).alias("at"))
 
 
 def _quotas(spark, d):
@@ -70,18 +70,18 @@ def _order_batches(spark, d):
 
 def balance(spark, d):
     """Snake order inside updates of 4 x 2 batches."""
-    return S.balanced_updates(_order_batches(spark, d).where("batch_id < 3000"), 4, 2, 3)
+    return S.balanced_updates(_order_batches(spark, d), 4, 2, 3)
 
 
 def rank_partition(spark, d):
     """The batches of rank 1 of 7, the first ones repeated to fill up."""
-    b = S.in_hash_order(table(spark, d, "orders").where("o_custkey < 100").select("o_orderkey"), "o_orderkey")
+    b = S.in_hash_order(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     return S.of_rank(S.with_tail(b, 7, False), 1, 7)
 
 
 def resume_suffix(spark, d):
     """What is left after a cursor saved by 4 ranks at 30 is taken over by 8, last batches dropped."""
-    b = S.in_hash_order(table(spark, d, "orders").where("o_custkey < 100").select("o_orderkey"), "o_orderkey")
+    b = S.in_hash_order(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     consumed = S.migrated_cursor(30, 4, 8) * 8
     return S.resumed(S.with_tail(b, 8, True), consumed)
 
@@ -102,8 +102,8 @@ def contrast_groups(spark, d):
 def hotword_lists(spark, d):
     """Offered hotwords."""
     r = records(spark, d).where("hotwords is not null").select("id", "dataset_id", "hotwords")
-    pool = r.select("dataset_id", F.explode("hotwords").alias("w")).distinct().groupBy("dataset_id").agg(F.slice(F.array_sort(F.collect_list("w")), 1, 20).alias("words"))
-    return S.hotword_list(r.join(F.broadcast(pool), "dataset_id"), F.col("words"), 4, 0.7, 0.2, 8)
+    pool = r.select(F.col("dataset_id").alias("pool"), F.explode("hotwords").alias("word")).distinct()
+    return S.hotword_list(r.select("id", F.col("dataset_id").alias("pool"), "hotwords"), pool, 4, 0.7, 0.2, 8)
 
 
 def enrollment_draws(spark, d):
@@ -152,23 +152,21 @@ _COSTED = f"{TIMED_SQL}, costed AS (SELECT id, CASE WHEN task = 'target_speaker_
 _CAT = "CASE WHEN {x} < 0.5 THEN 1 WHEN {x} < 0.8 THEN 2 ELSE 3 END"
 SQL = {
     "shard_rotation": f"WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM records), c AS (SELECT *, least(40, n) AS cap FROM r), s AS (SELECT *, (3 % CAST(ceil(n / cap) AS BIGINT)) * cap AS start FROM c) SELECT dataset_id, id, unnest([1, 2]) AS rep FROM s WHERE ((ix - start) % n + n) % n < cap",
-    "weighted_mux": f"WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, target_share FROM records JOIN mix_targets ON source = dataset_id), m AS (SELECT id, dataset_id, (row_number() OVER (PARTITION BY dataset_id ORDER BY {hash_sql(42, 'mux', 'id')}, id) - 1 + {u_sql(42, 'mux-time', 'id')}) / target_share AS at_ FROM r) SELECT id, dataset_id, round(at_, 6) AS \"at\" FROM m ORDER BY at_, id LIMIT 300",
+    "weighted_mux": f"WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, target_share FROM records JOIN mix_targets ON source = dataset_id), m AS (SELECT id, dataset_id, (row_number() OVER (PARTITION BY dataset_id ORDER BY {hash_sql(42, 'mux', 'id')}, id) - 1 + {u_sql(42, 'mux-time', 'id')}) / target_share AS at_ FROM r) SELECT id, dataset_id, round(at_, 6) AS \"at\" FROM m",
     "replay_plan": f"WITH {RECORDS_SQL}, {_QUOTAS}, d AS (SELECT source, quota, n, unnest(range(0, CAST(quota * 5 AS BIGINT))) AS draw FROM quotas), p AS (SELECT source, draw, CAST(floor(draw / quota) AS BIGINT) AS w, CAST(floor((2 * quota * 5 + draw) / n) AS BIGINT) AS cycle, CAST((2 * quota * 5 + draw) % n AS BIGINT) AS off FROM d), o AS (SELECT c.source, c.cycle, r.id, row_number() OVER (PARTITION BY c.source, c.cycle ORDER BY sha256(concat_ws(':', '9', 'replay', CAST(c.cycle AS VARCHAR), r.id)), r.id) - 1 AS off FROM (SELECT DISTINCT source, cycle FROM p) c JOIN records r ON r.dataset_id = c.source) SELECT p.source, p.draw, p.w AS \"window\", p.cycle, p.off AS \"offset\", o.id FROM p JOIN o USING (source, cycle, off)",
     "full_coverage": f"WITH {RECORDS_SQL}, {_QUOTAS} SELECT CAST(max(ceil(n / quota)) AS BIGINT) AS windows FROM quotas",
     "bucket_keys": f"WITH {_COSTED} SELECT slots, CAST(least(7, floor(cost / ((SELECT max(cost) FROM costed) / 8))) AS INTEGER) AS bin, count(*) AS n, round(sum(cost), 3) AS seconds FROM costed GROUP BY ALL",
-    "balance": f"WITH b AS (SELECT l_orderkey AS batch_id, count(*) AS n, max(l_quantity) AS longest FROM lineitem WHERE l_orderkey < 3000 GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY round(n * longest, 9), batch_id) - 1 AS k FROM b), g AS (SELECT *, k // 8 AS up, k % 8 AS i, count(*) OVER (PARTITION BY k // 8) = 8 AS whole FROM k), o AS (SELECT up, row_number() OVER (ORDER BY {hash_sql(3, 'groups', 'up')}) - 1 AS place FROM (SELECT DISTINCT up FROM g)) SELECT batch_id, place, i // 4 AS row, CASE WHEN whole AND (i // 4) % 2 = 1 THEN 3 - i % 4 ELSE i % 4 END AS rank FROM g JOIN o USING (up)",
-    "rank_partition": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders WHERE o_custkey < 100), t AS (SELECT count(*) AS total FROM b), a AS (SELECT o_orderkey, p FROM b UNION ALL SELECT o_orderkey, p + total FROM b, t WHERE p < (7 - total % 7) % 7) SELECT o_orderkey, p AS position FROM a WHERE p % 7 = 1",
-    "resume_suffix": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders WHERE o_custkey < 100), t AS (SELECT count(*) AS total FROM b) SELECT o_orderkey, p AS position FROM b, t WHERE p < total - total % 8 AND p >= 120",
+    "balance": f"WITH b AS (SELECT l_orderkey AS batch_id, count(*) AS n, max(l_quantity) AS longest FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY round(n * longest, 9), batch_id) - 1 AS k FROM b), g AS (SELECT *, k // 8 AS up, k % 8 AS i, count(*) OVER (PARTITION BY k // 8) = 8 AS whole FROM k), o AS (SELECT up, row_number() OVER (ORDER BY {hash_sql(3, 'groups', 'up')}) - 1 AS place FROM (SELECT DISTINCT up FROM g)) SELECT batch_id, place, i // 4 AS row, CASE WHEN whole AND (i // 4) % 2 = 1 THEN 3 - i % 4 ELSE i % 4 END AS rank FROM g JOIN o USING (up)",
+    "rank_partition": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders), t AS (SELECT count(*) AS total FROM b), a AS (SELECT o_orderkey, p FROM b UNION ALL SELECT o_orderkey, p + total FROM b, t WHERE p < (7 - total % 7) % 7) SELECT o_orderkey, p AS position FROM a WHERE p % 7 = 1",
+    "resume_suffix": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders), t AS (SELECT count(*) AS total FROM b) SELECT o_orderkey, p AS position FROM b, t WHERE p < total - total % 8 AND p >= 120",
     "mined_prompts": f"SELECT o_custkey, CAST(floor({u_sql(8, 'mined', 'o_custkey')} * 3) AS BIGINT) AS draws FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1)",
     "contrast_groups": "SELECT l_orderkey, max(l_linenumber) AS last, sum((l_linestatus = 'O')::INT) AS open FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')",
-    "hotword_lists": f"""WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, hotwords FROM records WHERE hotwords IS NOT NULL), pw AS (SELECT dataset_id, w, row_number() OVER (PARTITION BY dataset_id ORDER BY w) AS k FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS w FROM r) WHERE w IS NOT NULL),
-have AS (SELECT DISTINCT dataset_id FROM pw), rr AS (SELECT * FROM r WHERE dataset_id IN (SELECT dataset_id FROM have)),
-own AS (SELECT DISTINCT id, unnest(hotwords) AS w FROM rr), kept AS (SELECT id, w FROM own WHERE {u_sql(4, 'miss', 'id', 'w')} >= 0.2),
-free AS (SELECT rr.id, pw.w FROM rr JOIN pw ON pw.dataset_id = rr.dataset_id AND pw.k <= 20 WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.id = rr.id AND o.w = pw.w)),
-room AS (SELECT rr.id, CAST(floor({u_sql(4, 'count', 'rr.id')} * (least(greatest(8 - (SELECT count(*) FROM kept k WHERE k.id = rr.id), 0), (SELECT count(*) FROM free f WHERE f.id = rr.id)) + 1)) AS BIGINT) AS c FROM rr),
-drawn AS (SELECT id, w FROM (SELECT f.id, f.w, row_number() OVER (PARTITION BY f.id ORDER BY {u_sql(4, 'distract', 'f.id', 'f.w')}, f.w) AS rn FROM free f) x JOIN room USING (id) WHERE rn <= c),
+    "hotword_lists": f"""WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, hotwords FROM records WHERE hotwords IS NOT NULL), pw AS (SELECT dataset_id, w, row_number() OVER (PARTITION BY dataset_id ORDER BY w) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS w FROM r) WHERE w IS NOT NULL),
+own AS (SELECT DISTINCT id, unnest(hotwords) AS w FROM r), kept AS (SELECT id, w FROM own WHERE w IS NOT NULL AND {u_sql(4, 'miss', 'id', 'w')} >= 0.2), sizes AS (SELECT dataset_id, max(n) AS n FROM pw GROUP BY ALL),
+room AS (SELECT r.id, r.dataset_id, s.n, CAST(floor({u_sql(4, 'count', 'r.id')} * (greatest(8 - (SELECT count(*) FROM kept k WHERE k.id = r.id), 0) + 1)) AS BIGINT) AS c FROM r JOIN sizes s USING (dataset_id)),
+tries AS (SELECT id, dataset_id, n, unnest(range(0, c)) AS j FROM room), drawn AS (SELECT DISTINCT t.id, p.w FROM tries t JOIN pw p ON p.dataset_id = t.dataset_id AND p.ix = CAST(floor({u_sql(4, 'distract', 't.id', 't.j')} * t.n) AS BIGINT) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.id = t.id AND o.w = p.w)),
 said AS (SELECT id, string_agg(w, ', ' ORDER BY {u_sql(4, 'shuffle', 'id', 'w')}, w) AS s FROM (SELECT * FROM kept UNION ALL SELECT * FROM drawn) GROUP BY id)
-SELECT rr.id, CASE WHEN {u_sql(4, 'prompt', 'rr.id')} < 0.7 AND s IS NOT NULL THEN s ELSE 'N/A' END AS offered FROM rr LEFT JOIN said USING (id)""",
+SELECT r.id, CASE WHEN {u_sql(4, 'prompt', 'r.id')} < 0.7 AND s IS NOT NULL THEN s ELSE 'N/A' END AS offered FROM r LEFT JOIN said USING (id)""",
     "enrollment_draws": f"WITH {TIMED_SQL}, x AS (SELECT id, duration, least(exp(ln(2.0) + {u_sql(2, 'crop', 'id')} * (ln(8.0) - ln(2.0))), duration) AS length FROM timed WHERE task = 'target_speaker_asr' AND duration IS NOT NULL) SELECT id, {_CAT.format(x=u_sql(2, 'k', 'id'))} AS targets, {u_sql(2, 'absent', 'id')} < 0.15 AS absent, round(length, 4) AS crop, round({u_sql(2, 'start', 'id')} * (duration - length), 4) AS start FROM x",
     "think_choice": f"WITH {RECORDS_SQL}, j AS (SELECT r.id, {u_sql(6, 'think', 'r.id')} AS p, n.note FROM records r LEFT JOIN (SELECT id, max(labels) AS note FROM audio_records WHERE labels IS NOT NULL GROUP BY id) n USING (id) WHERE r.task = 'asr') SELECT CASE WHEN note IS NULL THEN 'none' WHEN p < 0.5 THEN 'on' WHEN p < 0.8 THEN 'empty' ELSE 'off' END AS kind, count(*) AS n FROM j GROUP BY ALL",
     "source_choice": f"WITH {RECORDS_SQL} SELECT id, arg_min(source, k) AS source FROM (SELECT id, source, -ln({u_sql(10, 'source', 'id', 'source')} + 1e-12) / target_share AS k FROM records CROSS JOIN mix_targets WHERE split = 'dev' AND target_share > 0) GROUP BY id",

@@ -16,10 +16,8 @@ from lakeloom.sources.tables import table
 
 def scene_extents(spark, d):
     """Extents of windows as scenes, by mode."""
-    t = turns(spark, d).where("speaker is not null and window_id <> 'harbourdesk-live-w000'")
-    per = t.groupBy("window_id", "speaker").agg(F.collect_list((F.col("e") - F.col("s")) / 100.0).alias("x")).groupBy("window_id").agg(F.collect_list("x").alias("x"))
-    mode = F.when(F.pmod(F.length("window_id"), F.lit(2)) == 0, "alternate").otherwise("burst")
-    return per.select("window_id", F.round(C.scene_extent(F.col("x"), mode, 0.5), 3).alias("extent"))
+    t = turns(spark, d).where("speaker is not null").select("window_id", "speaker", ((F.col("e") - F.col("s")) / 100.0).alias("seconds"))
+    return C.scene_extents(t, F.when(F.pmod(F.length("window_id"), F.lit(2)) == 0, "alternate").otherwise("burst"), 0.5).select("window_id", F.round("extent", 3).alias("extent"))
 
 
 def gap_cuts(spark, d):
@@ -53,7 +51,7 @@ def room_groups(spark, d):
 def diarization_errors(spark, d):
     """Missed, false and confused time of the first deliveries against the latest, collar 0.25 s."""
     bounds = [F.round(F.col(c) * 100).cast("long").alias(n) for c, n in (("start_sec", "s"), ("end_sec", "e"))]
-    t = table(spark, d, "turns").where("speaker is not null and split = 'eval'").select("turn_id", "window_id", F.upper(F.regexp_replace("speaker", "[^0-9]", "")).alias("speaker"), "ingested_at", *bounds).where("e > s")
+    t = table(spark, d, "turns").where("speaker is not null").select("turn_id", "window_id", F.upper(F.regexp_replace("speaker", "[^0-9]", "")).alias("speaker"), "ingested_at", *bounds).where("e > s")
     x = t.groupBy("turn_id").agg(F.min_by(F.struct("window_id", "speaker", "s", "e"), "ingested_at").alias("first"), F.max_by(F.struct("window_id", "speaker", "s", "e"), "ingested_at").alias("last"))
     sides = x.select(F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("last").alias("t")), F.struct(F.lit("hyp").alias("side"), F.col("first").alias("t")))).alias("u")).select("u.side", "u.t.*")
 
@@ -88,7 +86,7 @@ def latency_metrics(spark, d):
 QUERIES = {f.__name__: f for f in [scene_extents, gap_cuts, quiet_points, meeting_plan, room_groups, diarization_errors, duplicate_lines, session_lines, latency_metrics]}
 
 SQL = {
-    "scene_extents": f"WITH {TURNS_SQL}, p AS (SELECT window_id, speaker, sum((e - s) / 100) AS total, count(*) AS n FROM t WHERE speaker IS NOT NULL AND window_id <> 'harbourdesk-live-w000' GROUP BY ALL) SELECT window_id, round(CASE WHEN length(window_id) % 2 = 0 THEN sum(total) + 0.5 * (sum(n) - 1) ELSE max(total + 0.5 * (n - 1)) END, 3) AS extent FROM p GROUP BY window_id",
+    "scene_extents": f"WITH {TURNS_SQL}, p AS (SELECT window_id, speaker, sum((e - s) / 100) AS total, count(*) AS n FROM t WHERE speaker IS NOT NULL GROUP BY ALL) SELECT window_id, round(CASE WHEN length(window_id) % 2 = 0 THEN sum(total) + 0.5 * (sum(n) - 1) ELSE max(total + 0.5 * (n - 1)) END, 3) AS extent FROM p GROUP BY window_id",
     "room_groups": r"SELECT room, count(*) AS positions FROM (SELECT DISTINCT cut_id, regexp_extract(cut_id, '^(.*\d{3})\d{2}$', 1) AS room FROM audio_index) WHERE room <> '' GROUP BY room HAVING count(*) >= 3",
     "session_lines": rf"WITH {RECORDS_SQL}, l AS (SELECT id, unnest(string_split(target, chr(10))) AS line, generate_subscripts(string_split(target, chr(10)), 1) - 1 AS pos FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL), h AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\[S\d+\]\[\d') THEN pos END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS head FROM l) SELECT id, head, string_agg(line, ' ' ORDER BY pos) AS text FROM h WHERE head IS NOT NULL GROUP BY ALL",
     "latency_metrics": "WITH e AS (SELECT *, (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1e6 AS lag_s FROM events) SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN lag_s END), 3) AS after_purchase, round(quantile_cont(lag_s, 0.9), 3) AS p90 FROM e GROUP BY ALL",

@@ -72,7 +72,7 @@ def hotword_retrieval(spark, d):
     word's first three characters (all of a shorter one), never through a cross join. Without a pronunciation table the
     pronunciation term is 0.
     """
-    r = records(spark, d).where("language = 'zh' and target is not null and length(target) <= 400")
+    r = records(spark, d).where("language = 'zh' and target is not null")
     pool = r.select("dataset_id", F.explode("hotwords").alias("word")).distinct().where("length(word) >= 2").withColumn("gram", F.substring("word", 1, 3))
     grams = F.array_union(X.char_ngrams(F.col("target"), 2), X.char_ngrams(F.col("target"), 3))
     texts = r.select("dataset_id", "id", F.explode(grams).alias("gram"))
@@ -124,7 +124,7 @@ def unit_accuracy(spark, d):
 
 def fuzzy_scores(spark, d):
     """Subsequence, partial and semi-global similarity of neighbouring turns."""
-    p = _pairs(spark, d).where("length(text) <= 200 and length(other) <= 200")
+    p = _pairs(spark, d)
     return p.select("turn_id", F.round(A.batched(lambda a, b: A.lcs_ratio(a.split(), b.split()), "double")("text", "other"), 6).alias("lcs"), F.round(A.batched(A.partial_ratio, "double")("text", "other"), 6).alias("partial"), A.batched(lambda a, b: A.semi_global(a.split(), b.split()), "long")("text", "other").alias("semi_global"))
 
 
@@ -187,7 +187,7 @@ SELECT id, prompted, CASE WHEN len(words) + len(wanted) = 0 THEN 1.0 ELSE round(
  round(CASE WHEN len(two) > 0 THEN 1.0 ELSE 0.0 END - least(1.0, len(list_filter(words, lambda w: NOT list_contains(two, w) AND contains(target, w))) / greatest(1, len(two))), 6) AS reward,
  CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w: contains(target, w) = contains(substr(target, 1, 20), w))) / len(words), 6) ELSE 1.0 END AS candidates FROM y""",
     "hotword_languages": rf"WITH {RECORDS_SQL}, w AS (SELECT unnest(hotwords) AS w FROM records) SELECT CASE WHEN regexp_matches(w, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' WHEN regexp_matches(w, '[\x{{ac00}}-\x{{d7af}}]') THEN 'ko' WHEN regexp_matches(w, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' WHEN regexp_matches(w, '[A-Za-z]') THEN 'en' ELSE 'other' END AS script, CASE WHEN length(w) > 0 THEN length(regexp_replace(w, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) / length(w) ELSE 0 END >= 0.3 AS dominant, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY ALL",
-    "hotword_retrieval": f"""WITH {RECORDS_SQL}, r AS (SELECT * FROM records WHERE language = 'zh' AND target IS NOT NULL AND length(target) <= 400), pool AS (SELECT * FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS word FROM r) WHERE length(word) >= 2),
+    "hotword_retrieval": f"""WITH {RECORDS_SQL}, r AS (SELECT * FROM records WHERE language = 'zh' AND target IS NOT NULL), pool AS (SELECT * FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS word FROM r) WHERE length(word) >= 2),
 tg AS (SELECT id, dataset_id, target, {_GRAMS.format(x='target')} AS g FROM r), wg AS (SELECT *, {_GRAMS.format(x='word')} AS h FROM pool),
 c AS (SELECT id, word, round(2.0 * contains(target, word)::INT + 0.5 * len(list_filter(string_split(word, ''), lambda ch: ch <> '' AND contains(target, ch))) / len(string_split(word, '')) + 0.3 * len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS score FROM tg JOIN wg USING (dataset_id) WHERE len(list_intersect(g, h)) > 0)
 SELECT id, rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS rank FROM c WHERE score > 1.0) WHERE rank <= 5""",

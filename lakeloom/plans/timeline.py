@@ -52,14 +52,14 @@ def turn_overlap_pairs(spark, d):
 
 def nearby_turns(spark, d):
     """Turns of others within two seconds."""
-    t = turns(spark, d).where("split = 'eval' and speaker is not null").select("turn_id", "window_id", "speaker", "s", "e")
+    t = turns(spark, d).where("speaker is not null").select("turn_id", "window_id", "speaker", "s", "e")
     p = L.overlapping(t, t, ["window_id"], margin=200).where("a_speaker <> b_speaker")
     return p.groupBy(F.col("a_turn_id").alias("turn_id")).agg(F.count("*").alias("near"))
 
 
 def closest_turn(spark, d):
     """Of the turns of others within 15 s the one that starts closest."""
-    t = turns(spark, d).where("split = 'dev' and speaker is not null").select("turn_id", "window_id", "speaker", "s", "e")
+    t = turns(spark, d).where("speaker is not null").select("turn_id", "window_id", "speaker", "s", "e")
     p = L.overlapping(t, t, ["window_id"], margin=1500).where("a_speaker <> b_speaker")
     off = F.abs(F.col("a_s") - F.col("b_s"))
     return p.groupBy(F.col("a_turn_id").alias("turn_id")).agg(F.min(F.struct(off.alias("off"), F.col("b_turn_id").alias("closest"))).alias("m")).select("turn_id", "m.closest", "m.off")
@@ -107,7 +107,7 @@ def segment_bounds(spark, d):
 
 def cursor_placement(spark, d):
     """Turns laid end to end with a gap of half a second, in hash order."""
-    t = turns(spark, d).where("window_id <> 'harbourdesk-live-w000'")
+    t = turns(spark, d)
     w = Window.partitionBy("window_id").orderBy(F.sha2(F.col("turn_id").cast("string"), 256)).rowsBetween(Window.unboundedPreceding, -1)
     return t.select("turn_id", F.coalesce(F.sum(F.col("e") - F.col("s") + 50).over(w), F.lit(0)).alias("placed"))
 
@@ -182,8 +182,8 @@ SQL = {
 u AS ({_ISLANDS.format(k='turn_id', t='p')}), c AS (SELECT turn_id, sum(e - s) AS covered FROM u GROUP BY ALL), l AS (SELECT turn_id, max(coalesce(chars, 0)) AS largest FROM p GROUP BY ALL)
 SELECT t.turn_id, CASE WHEN largest IS NULL THEN 'none' WHEN largest <= 2 THEN 'backchannel_only' WHEN covered / (e - s) < 0.3 THEN 'light' WHEN covered / (e - s) < 0.7 THEN 'medium' ELSE 'heavy' END AS category FROM t LEFT JOIN c USING (turn_id) LEFT JOIN l USING (turn_id) WHERE t.chars > 3 AND t.speaker IS NOT NULL""",
     "turn_overlap_pairs": f"WITH {TURNS_SQL} SELECT a.window_id, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS shared FROM t a JOIN t b ON a.window_id = b.window_id AND a.turn_id < b.turn_id AND a.speaker <> b.speaker AND a.s < b.e AND b.s < a.e GROUP BY ALL",
-    "nearby_turns": f"WITH {TURNS_SQL}, x AS (SELECT * FROM t WHERE split = 'eval' AND speaker IS NOT NULL) SELECT a.turn_id, count(*) AS near FROM x a JOIN x b ON a.window_id = b.window_id AND a.speaker <> b.speaker AND a.s - 200 < b.e AND b.s < a.e + 200 GROUP BY ALL",
-    "closest_turn": f"WITH {TURNS_SQL}, x AS (SELECT * FROM t WHERE split = 'dev' AND speaker IS NOT NULL), p AS (SELECT a.turn_id, b.turn_id AS closest, abs(a.s - b.s) AS off FROM x a JOIN x b ON a.window_id = b.window_id AND a.speaker <> b.speaker AND a.s - 1500 < b.e AND b.s < a.e + 1500) SELECT turn_id, closest, off FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY off, closest) AS rn FROM p) WHERE rn = 1",
+    "nearby_turns": f"WITH {TURNS_SQL}, x AS (SELECT * FROM t WHERE speaker IS NOT NULL) SELECT a.turn_id, count(*) AS near FROM x a JOIN x b ON a.window_id = b.window_id AND a.speaker <> b.speaker AND a.s - 200 < b.e AND b.s < a.e + 200 GROUP BY ALL",
+    "closest_turn": f"WITH {TURNS_SQL}, x AS (SELECT * FROM t WHERE speaker IS NOT NULL), p AS (SELECT a.turn_id, b.turn_id AS closest, abs(a.s - b.s) AS off FROM x a JOIN x b ON a.window_id = b.window_id AND a.speaker <> b.speaker AND a.s - 1500 < b.e AND b.s < a.e + 1500) SELECT turn_id, closest, off FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY off, closest) AS rn FROM p) WHERE rn = 1",
     "activity_frames": f"WITH {TURNS_SQL}, {_FRAMES} SELECT window_id, code, count(*) AS frames FROM frames GROUP BY ALL",
     "activity_runs": f"WITH {TURNS_SQL}, {_FRAMES}, n AS (SELECT *, frame - row_number() OVER (PARTITION BY window_id, code ORDER BY frame) AS run FROM frames) SELECT window_id, code, min(frame) AS first, max(frame) AS last FROM n GROUP BY window_id, code, run",
     "sliding": f"""WITH {TURNS_SQL}, ends AS (SELECT window_id, max(e) AS total FROM t GROUP BY ALL), k AS (SELECT *, CASE WHEN total >= 3000 THEN CAST(floor((total - 3000) / 1500) AS BIGINT) ELSE -1 END AS last FROM ends),
@@ -194,7 +194,7 @@ SELECT m.window_id, m.w_start, count(t.turn_id) AS turns FROM made m LEFT JOIN t
     "segment_bounds": f"""WITH {RECORDS_SQL}, x AS (SELECT id, audio_slots[1].ref.duration AS total, unnest(CAST(json_extract(metadata, '$.segments[*]') AS JSON[])) AS x, generate_subscripts(CAST(json_extract(metadata, '$.segments[*]') AS JSON[]), 1) AS pos FROM records),
 y AS (SELECT id, total, pos, CAST(x->>'start' AS DOUBLE) AS s, CAST(x->>'start' AS DOUBLE) + CAST(x->>'duration' AS DOUBLE) AS e FROM x), z AS (SELECT *, lag(e) OVER (PARTITION BY id ORDER BY s, pos) AS prev FROM y)
 SELECT id, min((s >= 0 AND e <= total + 1e-6)::INT) AS inside, sum((s < prev - 1e-6)::INT) AS overlaps FROM z GROUP BY ALL""",
-    "cursor_placement": f"WITH {TURNS_SQL} SELECT turn_id, CAST(coalesce(sum(e - s + 50) OVER (PARTITION BY window_id ORDER BY sha256(CAST(turn_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS placed FROM t WHERE window_id <> 'harbourdesk-live-w000'",
+    "cursor_placement": f"WITH {TURNS_SQL} SELECT turn_id, CAST(coalesce(sum(e - s + 50) OVER (PARTITION BY window_id ORDER BY sha256(CAST(turn_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS placed FROM t",
     "mixture_timing": f"""WITH {TURNS_SQL}, s AS (SELECT window_id, speaker, min(s) AS s, max(e) AS e, sum(e - s) AS n FROM t WHERE speaker IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, speaker) AS rn FROM s),
 j AS (SELECT a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2 FROM r a JOIN r b ON a.window_id = b.window_id AND a.rn = 1 AND b.rn = 2)
 SELECT CASE WHEN e2 <= s1 THEN 'lead' WHEN s2 >= e1 THEN 'trail' WHEN s2 < s1 AND e2 <= e1 THEN 'enter' WHEN s2 >= s1 AND e2 > e1 THEN 'leave' WHEN s2 >= s1 AND e2 <= e1 THEN 'middle' ELSE 'around' END AS kind, count(*) AS n FROM j GROUP BY ALL""",
