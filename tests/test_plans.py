@@ -218,3 +218,14 @@ def test_integrity(spark, tmp_path):
     path, n, sha = d.first()
     want = spark.createDataFrame([(path, 3, sha), (path + "y", 1, "0")], "path string, expected_bytes long, sha256 string")
     assert [tuple(r) for r in R.integrity_errors(d, want).collect()] == [(path + "y", "missing")] and R.tree_digest(d).first()["files"] == 1
+
+
+def test_char_error_rate_of_any_script(spark):
+    from lakeloom.functions import text as X
+    from lakeloom.functions.alignment import edit_distance
+
+    rows = [("阿布", "阿卡啊"), ("", ""), ("x", ""), ("", "äö"), ("😀a", "😀b"), (None, "a"), ("a" * 500, "a" * 499 + "b")]
+    df = spark.createDataFrame(rows, "hyp string, ref string").select("hyp", "ref", X.char_error_rate(F.col("hyp"), F.col("ref")).alias("c"))
+    for r in df.collect():
+        want = None if r["hyp"] is None else edit_distance(list(r["ref"]), list(r["hyp"])) / len(r["ref"]) if r["ref"] else float(bool(r["hyp"]))
+        assert r["c"] == want
