@@ -23,9 +23,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int, cap: float, blocks: int | None = None) -> DataFrame:
+def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int, cap: float, blocks: int | None = None, same_label: bool = False) -> DataFrame:
     """(id, v, label) on both sides -> (id, neighbour, cosine, rank): of the pool the ``k`` most alike below ``cap`` that
-    have another label. Ties go to the smaller neighbour; rows with a null vector aren't compared.
+    have another label (with ``same_label`` that one and another id). Ties go to the smaller neighbour; rows with a null vector aren't compared.
 
     Queries against all rows, in blocks: the pool is cut into blocks of about ROWS_PER_BLOCK rows, every query block
     meets every pool block as one matrix product, and only each query's best ``k`` of a block are shuffled on.
@@ -46,7 +46,9 @@ def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int, cap: float, blocks
         x, y = (np.stack(s["v"].to_numpy()).astype(np.float64) for s in (a, b))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
         c = np.round(x @ y.T, 6)
-        c[(a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]) | (c >= cap)] = -np.inf
+        alike = a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]
+        barred = ~alike | (a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]) if same_label else alike
+        c[barred | (c >= cap)] = -np.inf
         n = min(k, c.shape[1])
         top = np.argsort(-c, axis=1, kind="stable")[:, :n]
         value = np.take_along_axis(c, top, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import aggregates as A
+from lakeloom.operators.ordering import ordered_positions
 from lakeloom.plans.views import INDEX_SQL, RECORDS_SQL, TIMED_SQL, index, records, timed_records
 from lakeloom.sources.tables import table
 
@@ -162,9 +163,9 @@ def auc_pooled(spark, d):
 
 
 def hotword_pool(spark, d):
-    """Sorted distinct hotwords per dataset and language."""
-    w = records(spark, d).select("dataset_id", "language", F.explode("hotwords").alias("w")).distinct()
-    return w.groupBy("dataset_id", "language").agg(F.array_join(F.array_sort(F.collect_set("w")), "|").alias("words"), F.count("*").alias("n"))
+    """The distinct hotwords of each dataset and language in order, a row each, so that no pool is gathered."""
+    w = records(spark, d).select("dataset_id", "language", F.explode("hotwords").alias("word")).where("word is not null").distinct()
+    return ordered_positions(w, ["dataset_id", "language"], ["word"]).select("dataset_id", "language", "word", "ix")
 
 
 def ordered_digest(spark, d):
@@ -235,7 +236,7 @@ SQL = {
     "family_chart": "SELECT s_nationkey, arg_max(s_suppkey, (s_acctbal, s_suppkey)) AS best, round(max(s_acctbal), 2) AS most, count(*) AS n FROM supplier GROUP BY ALL ORDER BY most DESC, s_nationkey LIMIT 20",
     "auc_rank": "SELECT l_linestatus, round(auc, 6) AS auc FROM (" + _AUC.format(g="l_linestatus", s="l_extendedprice", t="lineitem") + ")",
     "auc_pooled": "WITH t AS (SELECT *, year(l_shipdate) AS year FROM lineitem), a AS (" + _AUC.format(g="year", s="l_discount", t="t") + "), p AS (SELECT year, sum((l_returnflag = 'R')::INT) * sum((l_returnflag <> 'R')::INT) AS pairs FROM t GROUP BY ALL) SELECT round(sum(auc * pairs) / sum(pairs), 6) AS pooled FROM a JOIN p USING (year)",
-    "hotword_pool": f"WITH {RECORDS_SQL}, w AS (SELECT DISTINCT dataset_id, language, unnest(hotwords) AS w FROM records) SELECT dataset_id, language, string_agg(w, '|' ORDER BY w) AS words, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY ALL",
+    "hotword_pool": f"WITH {RECORDS_SQL}, w AS (SELECT DISTINCT dataset_id, language, unnest(hotwords) AS w FROM records) SELECT dataset_id, language, w AS word, row_number() OVER (PARTITION BY dataset_id, language ORDER BY w) - 1 AS ix FROM w WHERE w IS NOT NULL",
     "ordered_digest": "SELECT l_orderkey, sha256(string_agg(concat_ws('-', l_linenumber, l_partkey, l_suppkey), ',' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS digest FROM lineitem GROUP BY ALL",
     "level_report": f"WITH {TIMED_SQL}, r AS (SELECT *, coalesce(trim(target), '') = '' AS empty FROM timed), p AS (SELECT task, quantile_cont(duration, 0.1) AS p10 FROM r WHERE NOT empty GROUP BY ALL) SELECT task, empty, count(*) AS n, round(quantile_cont(duration, 0.5), 4) AS p50, round(avg((duration < p10)::INT), 6) AS below FROM r JOIN p USING (task) GROUP BY ALL",
     "repeated_ngram_share": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang IN ('en', 'de') AND text IS NOT NULL), g AS (SELECT doc_id, CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) ELSE [] END AS g FROM w) SELECT doc_id, CASE WHEN len(g) > 0 THEN round(1 - len(list_distinct(g)) / len(g), 6) ELSE 0.0 END AS repeated FROM g",

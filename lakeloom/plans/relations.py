@@ -122,9 +122,9 @@ def reader_shards(spark, d):
 
 
 def enrollment_lists(spark, d):
-    """Clips of each speaker in order."""
+    """Clips of each speaker in order, a row each."""
     r = records(spark, d).where("task = 'asr' and source_record_id is not null").withColumn("speaker", F.regexp_extract("source_record_id", r"^([A-Z]\d+)_", 1)).where("speaker <> ''")
-    return r.groupBy("dataset_id", "speaker").agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("clips"), F.count("*").alias("n"))
+    return ordered_positions(r.select("dataset_id", "speaker", "id"), ["dataset_id", "speaker"], ["id"])
 
 
 def pool_clips(spark, d):
@@ -198,7 +198,7 @@ SQL = {
     "resolve_split": "WITH c AS (SELECT dataset_id, version, artifacts, unnest(map_entries(splits)) AS e FROM dataset_catalog), r AS (SELECT dataset_id, version, artifacts, e.key AS split, unnest(map_entries(e.value.artifacts)) AS ra FROM c), n AS (SELECT dataset_id, version, split, artifacts, ra.key AS role, unnest(ra.value) AS name, generate_subscripts(ra.value, 1) - 1 AS pos FROM r) SELECT dataset_id, version, split, role, pos, name, list_filter(artifacts, lambda a: a.name = n.name)[1].relative_path AS path, list_filter(artifacts, lambda a: a.name = n.name)[1].kind AS kind FROM n",
     "resolved_paths": r"SELECT DISTINCT cut_id, root_alias, CASE WHEN NOT regexp_matches(relative_path, '(^|/)\.\.(/|$)|^/') THEN '/roots/' || root_alias || '/' || relative_path END AS path FROM audio_index",
     "reader_shards": "WITH u AS (SELECT DISTINCT origin_id FROM documents), o AS (SELECT origin_id, (row_number() OVER (ORDER BY sha256(concat_ws(':', '5', '3', origin_id))) - 1) % 4 AS shard FROM u) SELECT * FROM o WHERE origin_id IS NOT NULL",
-    "enrollment_lists": rf"WITH {RECORDS_SQL}, r AS (SELECT dataset_id, id, regexp_extract(source_record_id, '^([A-Z]\d+)_', 1) AS speaker FROM records WHERE task = 'asr' AND source_record_id IS NOT NULL) SELECT dataset_id, speaker, string_agg(id, ' ' ORDER BY id) AS clips, count(*) AS n FROM r WHERE speaker <> '' GROUP BY ALL",
+    "enrollment_lists": rf"WITH {RECORDS_SQL}, r AS (SELECT dataset_id, id, regexp_extract(source_record_id, '^([A-Z]\d+)_', 1) AS speaker FROM records WHERE task = 'asr' AND source_record_id IS NOT NULL) SELECT dataset_id, speaker, id, row_number() OVER (PARTITION BY dataset_id, speaker ORDER BY id) - 1 AS ix FROM r WHERE speaker <> ''",
     "pool_clips": f"WITH {RECORDS_SQL}, s AS (SELECT dataset_id AS home, unnest(audio_slots) AS s FROM records) SELECT home, CASE WHEN s.ref.start IS NOT NULL THEN CASE WHEN s.ref.dataset_id = home THEN 'span' ELSE 'foreign_span' END ELSE 'whole' END AS kind, count(*) AS n FROM s GROUP BY ALL",
     "read_ids": "SELECT a.id, r.id IS NOT NULL AS found FROM (SELECT 'hdc-train-0000' || lpad(CAST(i * 60 AS VARCHAR), 4, '0') AS id FROM range(40) x(i)) a LEFT JOIN (SELECT DISTINCT id FROM audio_records) r ON r.id = a.id",
     "take_positions": f"WITH {RECORDS_SQL}, r AS (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM records) SELECT dataset_id, ix, id FROM r WHERE ix IN (0, CAST(floor((n - 1) / 4) AS BIGINT), CAST(floor(2 * (n - 1) / 4) AS BIGINT), CAST(floor(3 * (n - 1) / 4) AS BIGINT), n - 1)",

@@ -106,8 +106,10 @@ def medoid_cohort(spark, d):
 
 
 def identity_conflicts(spark, d):
-    """Labels with a pair of vectors so alike that roles would clash."""
-    return _label_pairs(spark, d).groupBy("label").agg(F.max((F.col("cosine") >= 0.3).cast("int")).alias("conflict"))
+    """Labels with a pair of vectors so alike that roles would clash: by each one's nearest, no pairs are listed."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    best = Y.cosine_top_k(e, e, 1, 2.0, same_label=True).join(e.select("id", "label"), "id")
+    return best.groupBy("label").agg(F.max((F.col("cosine") >= 0.3).cast("int")).alias("conflict"))
 
 
 def recall_at_k(spark, d):
