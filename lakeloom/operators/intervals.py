@@ -20,10 +20,11 @@ SHARD = 1 << SHARD_BITS
 BITMAP_SCHEMA = "entity string, shard long, first long, head_end long, tail_start long, last long, runs int, bitmap binary"
 
 
-def to_units(seconds: Column, per_second: int = 100) -> Column:
-    """Whole units of a time in seconds, rounded half away from zero; null, NaN and infinite times give null."""
+def to_units(seconds: Column, per_second: int = 100, below_s: float = 1e9) -> Column:
+    """Whole units of a time in seconds, rounded half away from zero; null for null, NaN, and times of ``below_s`` (by
+    default 31 years) or more in size, which no recording has and whose shards couldn't be listed."""
     x = seconds.cast("double")
-    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(9e15 / per_second))
+    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(below_s))
     return F.when(ok, F.round(x * per_second).cast("long"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.operators.intervals import to_units
 from lakeloom.operators.selection import clean_flag, main_slot
 from lakeloom.sources.tables import table
 
@@ -38,10 +39,10 @@ timed AS (SELECT f.* EXCLUDE (main), f.main.ref.cut_id AS cut_id, coalesce(f.mai
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest delivery of each turn with valid bounds in hundredths of a second and one spelling of its speaker."""
-    t = table(spark, sf_dir, "turns").select("turn_id", "window_id", "dataset_id", "split", "speaker", "chars", "text", "ingested_at", F.round(F.col("start_sec") * 100).cast("long").alias("s"), F.round(F.col("end_sec") * 100).cast("long").alias("e"))
+    t = table(spark, sf_dir, "turns").select("turn_id", "window_id", "dataset_id", "split", "speaker", "chars", "text", "ingested_at", to_units(F.col("start_sec")).alias("s"), to_units(F.col("end_sec")).alias("e"))
     best = t.groupBy("turn_id").agg(F.max_by(F.struct("window_id", "dataset_id", "split", "speaker", "chars", "text", "s", "e"), "ingested_at").alias("b")).select("turn_id", "b.*")
     number = F.regexp_extract(F.trim("speaker"), r"([0-9]+)$", 1)
-    return best.where("s is not null and e is not null and e > s").withColumn("speaker", F.when(number != "", F.concat(F.lit("S"), number.cast("int"))))
+    return best.where("s is not null and e is not null and e > s").withColumn("speaker", F.when(number != "", F.concat(F.lit("S"), number.try_cast("int"))))
 
 
 TURNS_SQL = """best AS (SELECT turn_id, window_id, dataset_id, split, regexp_extract(trim(speaker), '([0-9]+)$', 1) AS num, chars, text, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns),

@@ -68,11 +68,11 @@ def test_slices_cover_exactly(spark):
 
 
 def test_units(spark):
-    rows = [(0.005,), (1.234,), (float("nan"),), (float("inf"),), (None,), (-0.5,)]
+    rows = [(0.005,), (1.234,), (float("nan"),), (float("inf"),), (None,), (-0.5,), (1e12,)]
     from pyspark.sql import functions as F
 
     got = [r[0] for r in spark.createDataFrame(rows, "x double").select(to_units(F.col("x"))).collect()]
-    assert got == [1, 123, None, None, None, -50]
+    assert got == [1, 123, None, None, None, -50, None]
 
 
 def test_latest_delivery(spark):
