@@ -22,7 +22,7 @@ from lakeloom.sources.tables import table
 TRAIN_RECORDS = 300
 TURN_SCHEMA = "id string, turn_no int, start_cs long, end_cs long, speaker string, text string, utterances int"
 
-_TIME = r"(?:\d+:){0,2}\d+(?:[.,]\d+)?"
+_TIME = r"(?:\d{1,9}:){0,2}\d{1,12}(?:[.,]\d{1,12})?"
 # A header gives the speaker and the start, mostly the end; what follows it is text.
 _HEADERS = [
     re.compile(rf"\s*\[\s*(?P<who>[^\[\]]{{1,80}}?)\s*\]\s*\[\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*(?P<unit>ms|s)?\s*\]\s?(?P<text>.*)", re.S),
@@ -33,7 +33,7 @@ _HEADERS = [
 ]
 _STARTS = re.compile(r"\s*(?:\[|\(|<|\d|[^\s(]{1,40}[^(]{0,40}\()")
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_NUMBERED = re.compile(r"(?:s|spk|speaker|spkr|说话人|发言人|讲话人|sprecher)?[\s_\-#.]*0*(\d+)", re.I)
+_NUMBERED = re.compile(r"(?:s|spk|speaker|spkr|说话人|发言人|讲话人|sprecher)?[\s_\-#.]{0,20}0*(\d{1,18})", re.I)
 _ANNOTATION = re.compile(
     r"\[\[[^\[\]]{0,80}\]\]|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|（[^（）]{0,80}）|【[^【】]{0,80}】|<[^<>]{0,80}>|＜[^＜＞]{0,80}＞|\{[^{}]{0,80}\}|［[^［］]{0,80}］|〔[^〔〕]{0,80}〕|\*[^*\s][^*]{0,40}\*|♪[^♪]{0,80}♪"
 )
@@ -94,7 +94,7 @@ def _number(value) -> Decimal | None:
         return None
     try:
         d = Decimal(str(value).strip())
-        return d if d.is_finite() else None
+        return d if d.is_finite() and abs(d) < 10**12 else None
     except InvalidOperation:
         return None
 
@@ -107,7 +107,7 @@ def utterances_of(target: str | None, metadata: str | None) -> list[Utterance]:
     """The utterances as written: of the target's timed lines, else of ``metadata.segments``.
 
     A line without header continues the one above; before any header it is nobody's and left out. A segment without a
-    valid start takes that of the one above. Unreadable metadata counts as empty.
+    valid start (a number below 10^12) takes that of the one above. Unreadable metadata counts as empty.
     """
     try:
         meta = json.loads(metadata) if metadata else {}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.catalog import catalogue_names, spelling, split_groups
 from lakeloom.llm.minhash import band_keys
+from lakeloom.operators.intervals import to_units
 from lakeloom.session import broadcast_within, checkpointed
 from lakeloom.sources.tables import table
 
@@ -98,10 +99,10 @@ def audio_pairs(rows: DataFrame) -> DataFrame:
     where both give a span, share at least half of the shorter one.
 
     Spans are joined per cut and minute, so that a long recording with many spans doesn't pair all of them; a pair is
-    taken in the first minute both touch. A span without a start, or without a positive duration, counts as none.
+    taken in the first minute both touch. A span without a start, or without a positive duration, both below 10^7 s, counts as none.
     """
     slot = rows.select("id", "train", F.explode("audio_slots").alias("s")).where("s.name in ('primary', 'mixture') and s.ref.cut_id is not null")
-    start, length = F.round(F.col("s.ref.start") * 1000).cast("long"), F.round(F.col("s.ref.duration") * 1000).cast("long")
+    start, length = to_units(F.col("s.ref.start"), 1000, 1e7), to_units(F.col("s.ref.duration"), 1000, 1e7)
     cuts = slot.select("id", "train", same_cut_id(F.col("s.ref.cut_id")).alias("cut"), F.when(length > 0, start).alias("start"), F.when(start.isNotNull() & (length > 0), start + length).alias("end"))
     cuts = cuts.distinct()
     spans, whole = cuts.where("start is not null"), cuts.where("start is null")

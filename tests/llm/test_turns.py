@@ -41,6 +41,9 @@ def test_odd_inputs():
         assert turns(target, meta) == []
     long = "[S1][0.0-1.0] " + "word " * 200_000 + "\n" + " " * 100_000 + "(" + "x" * 100_000 + "\n" + "[" * 50_000
     assert len(turns(long)) == 1
+    huge = json.dumps({"segments": [{"speaker": "S" + "9" * 6000, "start": 1e300, "text": "a"}, {"speaker": 7, "start": float("inf"), "text": "b"}, {"speaker": True, "start": "2.5", "text": "c"}]})
+    assert [t[0] for t in turns(None, huge)] == [0, 0, 250]
+    assert turns("[S1][" + "9" * 40 + "-1.0] x") == [] and turns("[S1][999999999999-1.0] x")[0][0] == 99999999999900
     assert turns("[Bob][0.0-1.0] hello\n[Bob][2.0-3.0] again")[0][1] == "Bob"
 
 
