@@ -89,7 +89,9 @@ def candidate_accuracy(hyp: Column, ref: Column, candidates: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """The distinct character n-grams; none for a text shorter than ``n``."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    # From an array of characters, as each substring would be sought from the start of the text.
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    grams = let(chars, lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, n), "")))
     return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(empty())
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import alignment as A
 from lakeloom.functions import text as X
-from lakeloom.operators.aggregates import let
 from lakeloom.plans.views import RECORDS_SQL, TURNS_SQL, records, turns
 from lakeloom.sources.tables import table
 
@@ -71,12 +70,13 @@ def hotword_retrieval(spark, d):
     word's first three characters (all of a shorter one), never through a cross join. Without a pronunciation table the
     pronunciation term is 0.
     """
-    r = records(spark, d).where("language = 'zh' and target is not null")
+    r = records(spark, d).where("language = 'zh' and target is not null").select("id", "dataset_id", "hotwords", "target", F.size(X.char_ngrams(F.col("target"), 2)).alias("bigrams"))
     pool = r.select("dataset_id", F.explode("hotwords").alias("word")).distinct().where("length(word) >= 2").withColumn("gram", F.substring("word", 1, 3))
     grams = F.array_union(X.char_ngrams(F.col("target"), 2), X.char_ngrams(F.col("target"), 3))
     texts = r.select("dataset_id", "id", F.explode(grams).alias("gram"))
-    hits = texts.join(pool, ["dataset_id", "gram"]).select("id", "word").join(r.select("id", "target"), "id").where(F.contains("target", F.col("word")))
-    score = 2.0 * X.substring_bonus(F.col("word"), F.col("target")) + 0.5 * X.overlap_recall(F.col("word"), F.col("target")) + 0.3 * let(X.char_ngrams(F.col("word"), 2), lambda a: let(X.char_ngrams(F.col("target"), 2), lambda b: X.jaccard(a, b)))
+    hits = texts.join(pool, ["dataset_id", "gram"]).select("id", "word").join(r.select("id", "target", "bigrams"), "id").where(F.contains("target", F.col("word")))
+    # A contained word has all its characters and bigrams in the text, so its Jaccard similarity is a quotient of sizes.
+    score = 2.0 * X.substring_bonus(F.col("word"), F.col("target")) + 0.5 + 0.3 * F.size(X.char_ngrams(F.col("word"), 2)) / F.col("bigrams")
     w = Window.partitionBy("id").orderBy(F.desc("score"), "word")
     return hits.withColumn("score", F.round(score, 6)).where("score > 1.0").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("id", "rank", "word", "score")
 
