@@ -45,3 +45,18 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * a[j] + b[j], starts))
         out[:, band] = key
     return out.view(np.int64)
+
+
+def parity_sketches(texts: list[str], bits: int, k: int) -> np.ndarray:
+    """(bits / 64, texts) words of the parities of hashed k-gram counts; ``bits`` is a power of two, 64 at least.
+
+    An edit takes away at most k grams and adds at most k, so two texts within d edits differ in at most 2 k d bits.
+    """
+    out = np.zeros((bits // 64, len(texts)), np.uint64)
+    step = max(1, 2**21 // bits)
+    for a in range(0, len(texts), step):
+        h, starts = shingle_hashes(texts[a : a + step], k)
+        row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(h)]))
+        odd = np.bincount(row * bits + (h & np.uint32(bits - 1)), minlength=len(starts) * bits) & 1
+        out[:, a : a + len(starts)] = np.packbits(odd.astype(np.uint8).reshape(len(starts), bits), axis=1).view(np.uint64).T
+    return out

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.catalog import catalogue_names, spelling, split_groups
-from lakeloom.llm.minhash import band_keys
+from lakeloom.llm.minhash import parity_sketches
 from lakeloom.operators.intervals import to_units
 from lakeloom.session import broadcast_within, checkpointed
 from lakeloom.sources.tables import table
 
 LEAST_CHARS, PART_EDITED = 40, 10
+CELL_TEXTS = 100_000
 BUCKET_MS = 60_000
 TEXT_TASKS = ["asr", "target_speaker_asr"]
 _NOT_CONTENT = re.compile(r"[\W_]+")
@@ -54,36 +55,61 @@ def _comparable_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([p.column("id").filter(keep), p.column("train").filter(keep), norm], ["id", "train", "norm"])
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        for a in range(0, len(p), 2000):
-            q = p.iloc[a : a + 2000]
-            keys = band_keys(q["norm"].tolist())
-            yield pd.DataFrame({"bucket": keys.ravel(), "k": np.repeat(q["k1"].to_numpy(), keys.shape[1])})
+def _bits_apart(words: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words ^ other[:, None]).sum(axis=0, dtype=np.int32)
+
+
+def _alike(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one cell whose lengths and sketches don't rule a tenth of edits out; (ka, x) beside (kb, y)."""
+    none = pd.DataFrame({"ka": np.zeros(0, np.int64), "kb": np.zeros(0, np.int64)})
+    if known.empty or asked.empty:
+        return none
+    n = known["x"].str.len().to_numpy()
+    by = np.argsort(n, kind="stable")
+    n, x, ka = n[by], known["x"].to_numpy()[by], known["ka"].to_numpy()[by]
+    y, kb = asked["y"].to_numpy(), asked["kb"].to_numpy()
+    bits = max(256, 1 << int(8 * n[-1] - 1).bit_length())
+    (left, left3), (right, right3) = ([parity_sketches(list(t), bits, k) for k in (2, 3)] for t in (x, y))
+    half, found = len(left) // 2, []
+    for j, text in enumerate(y):
+        m = len(text)
+        a, b = np.searchsorted(n, m - m // PART_EDITED), np.searchsorted(n, m * PART_EDITED // (PART_EDITED - 1), "right")
+        edits = np.maximum(n[a:b], m) // PART_EDITED
+        differ = np.zeros(b - a, np.int32)
+        for word, w in zip(left[:half, a:b], right[:half, j]):
+            differ += np.bitwise_count(word ^ w)
+        at = np.flatnonzero(differ <= 4 * edits)
+        at = at[differ[at] + _bits_apart(left[half:, at + a], right[half:, j]) <= 4 * edits[at]]
+        at = at[_bits_apart(left3[:, at + a], right3[:, j]) <= 6 * edits[at]]
+        found += [(ka[i], kb[j]) for i in at + a if x[i] != text]
+    return pd.DataFrame(found, columns=["ka", "kb"]) if found else none
 
 
 def text_pairs(rows: DataFrame) -> DataFrame:
     """(train_id, eval_id) of rows (id, task, target, train) whose targets are the same but for a tenth of edits.
 
-    Texts are first reduced to distinct ones, so a hot group of copies is one row. Distinct texts are banded by minwise
-    hashes; only a training and an evaluation text that share a bucket become candidates; the edit distance decides.
-    A band row is two numbers: the bucket, and a key of 48 hash bits and 16 bits of length (longer ones count as 65,535,
-    which lets no pair of similar lengths drop out). Keys only lead to texts; texts that share one are all compared.
+    Texts are first reduced to distinct ones, so a hot group of copies is one row. Distinct texts meet in cells of
+    similar length, of at most about ``CELL_TEXTS`` on either side. Within a cell all pairs are compared by sketches that
+    never rule a true pair out, so nothing is left to chance; the edit distance decides. The work grows with the square
+    of the distinct texts. Keys only lead to texts; texts that share one are all compared.
     """
     texts = rows.where(F.col("task").isin(TEXT_TASKS) & F.col("target").isNotNull()).select("id", "train", "target")
     kept = checkpointed(texts.mapInArrow(_comparable_rows, "id string, train boolean, norm string"))
     keyed = kept.select("id", "train", "norm", F.expr("(xxhash64(norm) & -65536L) | least(length(norm), 65535)").alias("k1"), F.xxhash64(F.lit("second"), "norm").alias("k2"))
     distinct = keyed.groupBy("norm", "k1", "k2").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
-    schema = "bucket long, k long"
-    known = distinct.where("in_train").select("norm", "k1").mapInPandas(_bands, schema)
-    asked = distinct.where("in_eval").select("norm", "k1").mapInPandas(_bands, schema)
-    a, b = known.alias("a"), asked.alias("b")
-    near = (
-        a.join(b, F.col("a.bucket") == F.col("b.bucket"))
-        .where("a.k <> b.k and 10 * abs((a.k & 65535) - (b.k & 65535)) <= greatest(a.k & 65535, b.k & 65535)")
-        .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
-        .distinct()
-    )
+    n = F.length("norm")
+    level = lambda size: F.floor(F.log(size.cast("double")) * 10).cast("int")
+    known = distinct.where("in_train").select("norm", "k1", level(n).alias("level"))
+    reach = F.sequence(level(n - F.floor(n / PART_EDITED)), level(F.floor(n * PART_EDITED / (PART_EDITED - 1))))
+    asked = distinct.where("in_eval").select("norm", "k1", F.explode(reach).alias("level"))
+    parts = lambda df, name: df.groupBy("level").agg(F.ceil(F.count("*") / CELL_TEXTS).cast("int").alias(name))
+    grid = broadcast_within(parts(known, "rows").join(parts(asked, "columns"), "level"))
+    own = lambda k: F.pmod(F.xxhash64("norm"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    cell = ["level", "row", "column"]
+    a = known.join(grid, "level").select(F.col("k1").alias("ka"), F.col("norm").alias("x"), "level", own("rows").alias("row"), every("columns").alias("column"))
+    b = asked.join(grid, "level").select(F.col("k1").alias("kb"), F.col("norm").alias("y"), "level", every("rows").alias("row"), own("columns").alias("column"))
+    near = a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(_alike, "ka long, kb long")
     left = distinct.where("in_train").select(F.col("k1").alias("ka"), F.col("k2").alias("ka2"), F.col("norm").alias("x"))
     right = distinct.where("in_eval").select(F.col("k1").alias("kb"), F.col("k2").alias("kb2"), F.col("norm").alias("y"))
     limit = f"cast(greatest(length(x), length(y)) div {PART_EDITED} as int)"

@@ -68,6 +68,23 @@ def test_text_against_brute_force(spark):
     assert pairs(spark, rows) == want and len(want) > 20
 
 
+def test_text_at_the_limit(spark):
+    """Exactly a tenth of edits, spread evenly; of such pairs bands of minwise hashes lose a third."""
+    rng = random.Random(5)
+    train = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in [40, 50, 90, 120, 400, 700] * 10]
+    test = ["".join("0" if k % 10 == 5 else c for k, c in enumerate(t)) for t in train]
+    over = ["".join("0" if k % 10 == 5 or k == 0 else c for k, c in enumerate(t)) for t in train]
+    cut = ["".join(c for k, c in enumerate(t) if k % 10 != 5) for t in train if len(t) >= 50]
+    rows = [record(f"{s}{i:02d}", "train" if s == "t" else "eval", t) for s, ts in (("t", train), ("e", test), ("o", over), ("c", cut)) for i, t in enumerate(ts)]
+    at = [i for i, t in enumerate(train) if len(t) >= 50]
+    assert pairs(spark, rows) == {(f"e{i:02d}", f"t{i:02d}") for i in range(60)} | {(f"c{k:02d}", f"t{i:02d}") for k, i in enumerate(at)}
+
+
+def test_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(O, "CELL_TEXTS", 3)
+    test_text_at_the_limit(spark)
+
+
 def test_copies_and_empties(spark):
     text = "the same sentence is in both splits and is long enough"
     rows = [record(f"t{i}", "train", text) for i in range(3)] + [record(f"e{i}", "eval", text + ".") for i in range(2)] + [record("t0", "train", text)]
