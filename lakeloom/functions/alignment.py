@@ -57,6 +57,13 @@ def accuracy(ref: str | None, hyp: str | None) -> float:
     return max(0.0, 1 - edit_distance(r, h) / len(r)) if r else float(not h)
 
 
+def repeated_grams(text: str, n: int = 8) -> float:
+    """The share of character n-grams of the text's units that occur before in it; 0 for fewer than ``n`` characters."""
+    t = "".join(units(text))
+    total = len(t) - n + 1
+    return 1 - len({t[i : i + n] for i in range(total)}) / total if total > 0 else 0.0
+
+
 def semi_global(ref: list, hyp: list) -> int:
     """The least edits between the reference and any stretch of the hypothesis."""
     return int(distance_table(ref, hyp, True)[-1].min())

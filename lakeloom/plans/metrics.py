@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.alignment import batched, repeated_grams
 from lakeloom.operators import aggregates as A
 from lakeloom.operators.ordering import ordered_positions
 from lakeloom.plans.views import INDEX_SQL, RECORDS_SQL, TIMED_SQL, index, records, timed_records
@@ -182,11 +183,17 @@ def level_report(spark, d):
 
 
 def repeated_ngram_share(spark, d):
-    """A36."""
+    """The share of repeated word 8-grams of English and German documents, as its SQL has it; A36 is ``repeated_character_ngrams``."""
     t = table(spark, d, "documents").where("lang in ('en', 'de') and text is not null")
     return t.select("doc_id", F.round(A.repeated_ngrams(F.col("text"), 8), 6).alias("repeated"))
 
 
+def repeated_character_ngrams(spark, d):
+    """The share of repeated character 8-grams of the normalised text of every document with text, whatever its language."""
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.round(batched(repeated_grams, "double")("text", F.lit(8)), 6).alias("repeated"))
+
+
 def kernel_families(spark, d):
     """Rows by the first matching name pattern."""
     fam = A.first_match(F.col("p_name"), [("ring", "ring|band"), ("red", "^red "), ("widget", "widget$")])
@@ -208,7 +215,7 @@ def benchmark_pivot(spark, d):
     return p.select("l_returnflag", F.col("F").alias("rate_f"), F.col("O").alias("rate_o"))
 
 
-QUERIES = {f.__name__: f for f in [pooled_rate, utterance_weighted, attribution_coverage, boundary_scores, grouping_sets, condition_keys, meeting_summary, macro_average, miss_and_false_alarm, wrong_target, contingency, common_users, value_spread, nearest_rank_percentile, category_histogram, mixing_distance, distinct_sources, exact_hours, mixed_duration, duration_precedence, family_chart, auc_rank, auc_pooled, hotword_pool, ordered_digest, level_report, repeated_ngram_share, kernel_families, confidence_features, benchmark_pivot]}
+QUERIES = {f.__name__: f for f in [pooled_rate, utterance_weighted, attribution_coverage, boundary_scores, grouping_sets, condition_keys, meeting_summary, macro_average, miss_and_false_alarm, wrong_target, contingency, common_users, value_spread, nearest_rank_percentile, category_histogram, mixing_distance, distinct_sources, exact_hours, mixed_duration, duration_precedence, family_chart, auc_rank, auc_pooled, hotword_pool, ordered_digest, level_report, repeated_ngram_share, repeated_character_ngrams, kernel_families, confidence_features, benchmark_pivot]}
 
 _E, _U = "l_discount * l_quantity", "l_quantity"
 _AUC = "SELECT {g}, sum(p * (below + n * 0.5)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {g} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {g}, {s} AS score, sum((l_returnflag = 'R')::INT) AS p, sum((l_returnflag <> 'R')::INT) AS n FROM {t} GROUP BY ALL)) GROUP BY ALL"

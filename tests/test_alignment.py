@@ -66,3 +66,19 @@ def test_units_and_accents():
     assert A.units(None) == [] and A.strip_accents("Ärger, né?") == "arger ne" and A.strip_accents(None) is None
     assert A.accuracy("", "") == 1.0 and A.accuracy("", "x") == 0.0 and A.accuracy("a b", "a c") == 0.5
     assert A.partial_ratio("bcd", "abcde") == 1.0 and A.partial_ratio("", "x") == 0.0
+
+
+def test_repeated_grams():
+    assert round(A.repeated_grams("abcdefgh" * 2), 6) == round(1 / 9, 6) == round(A.repeated_grams("Ab, cdefgＨ! abcdefgh"), 6)
+    assert round(A.repeated_grams("没人知道那边为什么，" * 2), 6) == round(2 / 11, 6)
+    assert A.repeated_grams("abcdefg") == 0 and A.repeated_grams("") == 0
+
+
+def test_repeated_character_ngrams(spark, tmp_path):
+    """Every language and null ones count; only a null text gives no row."""
+    from lakeloom.plans.metrics import repeated_character_ngrams
+
+    rows = [(1, "没人知道那边为什么" * 2, "zh"), (2, "abcdefgh" * 2, None), (3, "abcdefgh" * 2, "en-US"), (4, None, "en"), (5, "", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["repeated"] for r in repeated_character_ngrams(spark, str(tmp_path)).collect()}
+    assert found == {1: 0.181818, 2: 0.111111, 3: 0.111111, 5: 0.0}
