@@ -81,6 +81,20 @@ def lcs_ratio(a: list, b: list) -> float:
     return 2 * int(row[-1]) / (len(a) + len(b))
 
 
+def indel_similarity(a: str, b: str) -> float:
+    """``lcs_ratio`` of characters, with the subsequence's length by bits of one whole number."""
+    if not a or not b:
+        return 0.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        both = row & at.get(c, 0)
+        row = ((row + both) | (row - both)) & full
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
 def partial_ratio(short: str, long: str) -> float:
     """1 - the semi-global distance by length of the shorter text; 0 if either is empty."""
     if len(short) > len(long):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.alignment import batched, indel_similarity, units
+
 BUCKET = 3000
 
 
@@ -34,6 +36,23 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], margin: int = 0, bu
     return left.join(right, on).drop("bucket", "b_bucket", "lo", "hi")
 
 
+def similar_starts(ref: DataFrame, hyp: DataFrame, within: int = 1500, least_chars: int = 10, least: float = 0.7) -> DataFrame:
+    """Turns (turn_id, window_id, s, text) of ``ref`` with the turn of ``hyp`` that is most similar by normalised indel
+    similarity among those of the window starting less than ``within`` units away: (turn_id, window_id, match, similarity, off).
+
+    Pairs of lengths that rule ``least`` out aren't compared. Null texts match nothing.
+    """
+    plain = batched(lambda t, _: "".join(units(t)), "string")
+    a = ref.select("turn_id", "window_id", "s", plain("text", F.lit("")).alias("x")).where(F.length("x") >= least_chars)
+    b = hyp.select(F.col("turn_id").alias("match"), "window_id", F.col("s").alias("t"), plain("text", F.lit("")).alias("y"), F.floor(F.col("s") / (4 * within)).alias("bucket"))
+    a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - within) / (4 * within)), F.floor((F.col("s") + within) / (4 * within)))))
+    shorter, longer = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
+    p = a.join(b, ["window_id", "bucket"]).where((F.abs(F.col("s") - F.col("t")) < within) & (2 * shorter >= least * (shorter + longer) - 1e-9))
+    p = p.withColumn("similarity", F.when(F.col("x") == F.col("y"), 1.0).otherwise(batched(indel_similarity, "double")("x", "y"))).where(F.col("similarity") >= least)
+    best = F.max_by(F.struct("match", "similarity", (F.col("t") - F.col("s")).alias("off")), F.struct("similarity", -F.col("t"), -F.col("match")))
+    return p.groupBy("turn_id", "window_id").agg(best.alias("m")).select("turn_id", "window_id", "m.*")
+
+
 def covered(t: DataFrame, other: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """(id_col, covered): units of each interval of ``t`` that the union of ``other`` covers."""
     shared = F.least("a_e", "b_e") - F.greatest("a_s", "b_s")

@@ -58,13 +58,29 @@ def nearby_turns(spark, d):
 
 
 def closest_turn(spark, d):
-    """Of the turns of others within 15 s the one that starts closest."""
+    """Of the turns of others within 15 s the one that starts closest, as its SQL has it; J13 and I12 compare texts: ``start_offsets``."""
     t = turns(spark, d).where("speaker is not null").select("turn_id", "window_id", "speaker", "s", "e")
     p = L.overlapping(t, t, ["window_id"], margin=1500).where("a_speaker <> b_speaker")
     off = F.abs(F.col("a_s") - F.col("b_s"))
     return p.groupBy(F.col("a_turn_id").alias("turn_id")).agg(F.min(F.struct(off.alias("off"), F.col("b_turn_id").alias("closest"))).alias("m")).select("turn_id", "m.closest", "m.off")
 
 
+def start_offsets(spark, d):
+    """Of each turn's latest delivery the most similar turn of the first deliveries that starts within 15 s, whoever
+    speaks, and how much later that one starts.
+
+    As in ``diarization_errors`` the latest deliveries are the reference. Only turns of at least 10 characters (letters,
+    digits, ideographs) with a best normalised indel similarity of at least 0.7 have a row; of equal ones the one that
+    starts first, then the smaller id, is taken.
+    """
+    return L.similar_starts(turns(spark, d), turns(spark, d, first=True)).select("turn_id", "window_id", "match", F.round("similarity", 6).alias("similarity"), "off")
+
+
+def late_starts(spark, d):
+    """Of each window's turns in ``start_offsets`` the share that is off by more than a second."""
+    return start_offsets(spark, d).groupBy("window_id").agg(F.count("*").alias("matched"), F.round(F.avg((F.abs("off") > 100).cast("double")), 6).alias("late"))
+
+
 def activity_frames(spark, d):
     """Frames of a second: 1 the first speaker, 2 others, 3 both."""
     t = turns(spark, d).where("speaker is not null")
@@ -166,7 +182,7 @@ def audit_annotations(spark, d):
     return j.groupBy("dataset_id").agg(F.sum(F.col("total").isNull().cast("int")).alias("unmatched"), F.sum((F.col("e") > F.round((F.col("total") + 1) * 100)).cast("int")).alias("outside"), F.sum(F.when(F.col("speaker").isNull(), F.col("e") - F.col("s")).otherwise(0)).alias("unlabelled"))
 
 
-QUERIES = {f.__name__: f for f in [interval_union, overlap_seconds, turn_gaps, self_overlap, speaker_relabel, overlap_category, turn_overlap_pairs, nearby_turns, closest_turn, activity_frames, activity_runs, sliding, solo_spans, uncovered_speech, segment_bounds, cursor_placement, mixture_timing, speech_rate, quiet_days, attempts, running_offsets, growth, audit_annotations]}
+QUERIES = {f.__name__: f for f in [interval_union, overlap_seconds, turn_gaps, self_overlap, speaker_relabel, overlap_category, turn_overlap_pairs, nearby_turns, closest_turn, start_offsets, late_starts, activity_frames, activity_runs, sliding, solo_spans, uncovered_speech, segment_bounds, cursor_placement, mixture_timing, speech_rate, quiet_days, attempts, running_offsets, growth, audit_annotations]}
 
 _ISLANDS = "SELECT {k}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {k} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {t})) GROUP BY {k}, i"
 _OWN = f"{TURNS_SQL}, named AS (SELECT * FROM t WHERE speaker IS NOT NULL), own AS ({_ISLANDS.format(k='window_id, speaker', t='named')})"

@@ -37,10 +37,11 @@ flat AS (SELECT id, task, dataset_id, version, split, language, target, source_r
 timed AS (SELECT f.* EXCLUDE (main), f.main.ref.cut_id AS cut_id, coalesce(f.main.ref.duration, i.duration) AS duration FROM flat f LEFT JOIN idx i ON i.cut_id = f.main.ref.cut_id)"""
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest delivery of each turn with valid bounds in hundredths of a second and one spelling of its speaker."""
+def turns(spark: SparkSession, sf_dir: str, first: bool = False) -> DataFrame:
+    """The latest (or ``first``) delivery of each turn with valid bounds in hundredths of a second and one spelling of its speaker."""
     t = table(spark, sf_dir, "turns").select("turn_id", "window_id", "dataset_id", "split", "speaker", "chars", "text", "ingested_at", to_units(F.col("start_sec")).alias("s"), to_units(F.col("end_sec")).alias("e"))
-    best = t.groupBy("turn_id").agg(F.max_by(F.struct("window_id", "dataset_id", "split", "speaker", "chars", "text", "s", "e"), "ingested_at").alias("b")).select("turn_id", "b.*")
+    pick = F.min_by if first else F.max_by
+    best = t.groupBy("turn_id").agg(pick(F.struct("window_id", "dataset_id", "split", "speaker", "chars", "text", "s", "e"), "ingested_at").alias("b")).select("turn_id", "b.*")
     number = F.regexp_extract(F.trim("speaker"), r"([0-9]+)$", 1)
     return best.where("s is not null and e is not null and e > s").withColumn("speaker", F.when(number != "", F.concat(F.lit("S"), number.try_cast("int"))))
 

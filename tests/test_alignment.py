@@ -82,3 +82,8 @@ def test_repeated_character_ngrams(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["repeated"] for r in repeated_character_ngrams(spark, str(tmp_path)).collect()}
     assert found == {1: 0.181818, 2: 0.111111, 3: 0.111111, 5: 0.0}
+
+
+@given(words, words)
+def test_indel_similarity(a, b):
+    assert A.indel_similarity("".join(a), "".join(b)) == A.lcs_ratio(a, b)

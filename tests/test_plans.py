@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import sampling as S
 from lakeloom.operators import scenes as C
 from lakeloom.operators import similarity as Y
+from lakeloom.operators import timeline as L
 from lakeloom.operators import versioning as V
 from lakeloom.operators.components import connected_components
 from lakeloom.sources import files as R
@@ -229,3 +230,13 @@ def test_char_error_rate_of_any_script(spark):
     for r in df.collect():
         want = None if r["hyp"] is None else edit_distance(list(r["ref"]), list(r["hyp"])) / len(r["ref"]) if r["ref"] else float(bool(r["hyp"]))
         assert r["c"] == want
+
+
+def test_similar_starts(spark):
+    """The most similar turn wins over the nearest; short turns, low similarity and far starts have none."""
+    a, b = "the lantern from baregate", "the lantern from baregata"
+    ref = [(1, "w", 1000, a), (2, "w", 1000, "short one"), (3, "w", 9000, a), (4, "v", 1000, a), (5, "w", 1000, "zzzzqqqqxxxxjjjj"), (6, "w", 5000, None), (7, "w", 2499, a)]
+    hyp = [(11, "w", 1010, "something else entirely"), (12, "w", 2400, b), (13, "w", -400, a), (14, "w", 7500, a), (15, "w", 1005, None), (16, "w", 1005, "short one"), (17, "w", 2450, b)]
+    cols = "turn_id long, window_id string, s long, text string"
+    found = {(r["turn_id"], r["match"], r["off"]) for r in L.similar_starts(spark.createDataFrame(ref, cols), spark.createDataFrame(hyp, cols)).collect()}
+    assert found == {(1, 13, -1400), (7, 12, -99)}
