@@ -123,9 +123,18 @@ def think_choice(spark, d):
 
 
 def source_choice(spark, d):
+    """The draws of ``source_draws`` for records of split dev, as its SQL has it."""
+    return _source_draws(records(spark, d).where("split = 'dev'"), spark, d)
+
+
+def source_draws(spark, d):
     """One source of all with a weight for each record, by least -ln(u) / weight."""
+    return _source_draws(records(spark, d), spark, d)
+
+
+def _source_draws(rows, spark, d):
     w = table(spark, d, "mix_targets").where("target_share > 0").select("source", "target_share")
-    r = records(spark, d).where("split = 'dev'").select("id")
+    r = rows.select("id")
     scored = r.crossJoin(F.broadcast(w)).withColumn("k", -F.log(u(10, "source", "id", "source") + 1e-12) / F.col("target_share"))
     return scored.groupBy("id").agg(F.min_by("source", "k").alias("source"))
 
@@ -145,7 +154,7 @@ def task_grid(spark, d):
     return cells.join(ok, ["dataset_id", "language"], "left_semi")
 
 
-QUERIES = {f.__name__: f for f in [shard_rotation, weighted_mux, replay_plan, full_coverage, bucket_keys, bucket_batching, sorted_packing, balance, rank_partition, resume_suffix, mined_prompts, contrast_groups, hotword_lists, enrollment_draws, think_choice, source_choice, stratified_folds, task_grid]}
+QUERIES = {f.__name__: f for f in [shard_rotation, weighted_mux, replay_plan, full_coverage, bucket_keys, bucket_batching, sorted_packing, balance, rank_partition, resume_suffix, mined_prompts, contrast_groups, hotword_lists, enrollment_draws, think_choice, source_choice, source_draws, stratified_folds, task_grid]}
 
 _QUOTAS = "q0 AS (SELECT source, target_share * 100.0 / sum(target_share) OVER () AS exact FROM mix_targets), q1 AS (SELECT *, CAST(floor(exact) AS BIGINT) AS base FROM q0), q2 AS (SELECT source, base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, source) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q1), sizes AS (SELECT dataset_id AS source, count(*) AS n FROM records GROUP BY ALL), quotas AS (SELECT source, quota, n FROM q2 JOIN sizes USING (source) WHERE quota > 0)"
 _COSTED = f"{TIMED_SQL}, costed AS (SELECT id, CASE WHEN task = 'target_speaker_asr' THEN 2 ELSE 1 END AS slots, least(duration, 30.0) AS cost FROM timed WHERE duration IS NOT NULL)"

@@ -240,3 +240,12 @@ def test_similar_starts(spark):
     cols = "turn_id long, window_id string, s long, text string"
     found = {(r["turn_id"], r["match"], r["off"]) for r in L.similar_starts(spark.createDataFrame(ref, cols), spark.createDataFrame(hyp, cols)).collect()}
     assert found == {(1, 13, -1400), (7, 12, -99)}
+
+
+def test_source_draws_cover_every_record(spark):
+    from lakeloom.plans import sampling, views
+
+    sf = "/root/testdata/sf0.001"
+    drawn = {r["id"]: r["source"] for r in sampling.source_draws(spark, sf).collect()}
+    assert set(drawn) == {r["id"] for r in views.records(spark, sf).select("id").collect()}
+    assert {(r["id"], r["source"]) for r in sampling.source_choice(spark, sf).collect()} < set(drawn.items())
