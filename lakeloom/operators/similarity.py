@@ -89,6 +89,26 @@ def medoids(pairs: DataFrame) -> DataFrame:
     return m.groupBy("label").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("medoid"), F.max("m").alias("median"))
 
 
+def cohort_decisions(pairs: DataFrame, least: float = 0.65, share: float = 0.6) -> DataFrame:
+    """(label, a, b, cosine) of pairs in both orders -> each item's decision (label, id, medoid, in_cohort, cohort_share,
+    median, passed), all items being references.
+
+    The cohort of a label are its medoid and the items with at least ``least`` to it. It is consistent with three items
+    or more that are at least ``share`` of the label's. An item passes if its label is consistent, two or more others of
+    the cohort have at least ``least`` to it, and so has their median. A label of fewer than three items has no cohort; one of a single
+    item has no pairs and so no row.
+    """
+    sizes = pairs.groupBy("label").agg((F.count_distinct("a")).alias("n"))
+    center = medoids(pairs).select("label", "medoid")
+    near = pairs.join(center, "label").where((F.col("a") == F.col("medoid")) & (F.col("cosine") >= least)).select("label", F.col("b").alias("member"))
+    cohort = near.unionByName(center.select("label", F.col("medoid").alias("member"))).join(sizes.where("n >= 3").select("label"), "label")
+    labels = sizes.join(center, "label").join(cohort.groupBy("label").agg(F.count("*").alias("size")), "label", "left").select("label", "medoid", "n", F.coalesce("size", F.lit(0)).alias("size"))
+    seen = pairs.join(cohort.select("label", F.col("member").alias("b")), ["label", "b"]).groupBy("label", F.col("a").alias("id")).agg(F.median("cosine").alias("median"), F.count("*").alias("peers"), F.sum((F.col("cosine") >= least).cast("int")).alias("good"))
+    items = pairs.select("label", F.col("a").alias("id")).distinct().join(labels, "label").join(seen, ["label", "id"], "left").join(cohort.select("label", F.col("member").alias("id"), F.lit(True).alias("own")), ["label", "id"], "left")
+    passed = (F.col("size") >= 3) & (F.col("size") >= share * F.col("n")) & (F.col("peers") >= 2) & (F.col("median") >= least) & (F.col("good") >= 2)
+    return items.select("label", "id", "medoid", F.coalesce("own", F.lit(False)).alias("in_cohort"), (F.col("size") / F.col("n")).alias("cohort_share"), "median", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
 def link_clusters(similarity: np.ndarray, threshold: float, cannot: np.ndarray | None = None) -> list[int]:
     """Average-linkage clusters above a threshold; pairs in ``cannot`` never share one. Labels in order of first item."""
     n = len(similarity)

@@ -249,3 +249,27 @@ def test_source_draws_cover_every_record(spark):
     drawn = {r["id"]: r["source"] for r in sampling.source_draws(spark, sf).collect()}
     assert set(drawn) == {r["id"] for r in views.records(spark, sf).select("id").collect()}
     assert {(r["id"], r["source"]) for r in sampling.source_choice(spark, sf).collect()} < set(drawn.items())
+
+
+def test_cohort_decisions_against_the_definition(spark):
+    rng = np.random.default_rng(4)
+    pairs, want = [], {}
+    for label, n in enumerate([2, 3, 4, 8, 9, 7]):
+        x = np.array([1.0, 0, 0, 0]) + rng.normal(0, 0.25 + 0.1 * label, (n, 4))
+        x[: n // 4] = rng.normal(0, 1, (n // 4, 4))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sim = x @ x.T
+        pairs += [(label, i, j, float(sim[i, j])) for i in range(n) for j in range(n) if i != j]
+        cohort = []
+        if n >= 3:
+            scores = sim.copy()
+            np.fill_diagonal(scores, np.nan)
+            medoid = int(np.nanargmax(np.nanmedian(scores, axis=1)))
+            cohort = [i for i in range(n) if sim[medoid, i] >= 0.65]
+        for i in range(n):
+            refs = [j for j in cohort if j != i]
+            ok = len(cohort) >= 3 and len(cohort) >= 0.6 * n and len(refs) >= 2 and np.median(sim[i, refs]) >= 0.65 and (sim[i, refs] >= 0.65).sum() >= 2
+            want[label, i] = (i in cohort, bool(ok))
+    found = Y.cohort_decisions(spark.createDataFrame(pairs, "label int, a int, b int, cosine double")).collect()
+    assert {(r["label"], r["id"]): (r["in_cohort"], r["passed"]) for r in found} == want
+    assert len({ok for _, ok in want.values()}) == 2
