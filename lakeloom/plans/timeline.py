@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import timeline as L
+from lakeloom.operators.relations import in_ranges
 from lakeloom.plans.views import RECORDS_SQL, TURNS_SQL, records, turns
 from lakeloom.sources.tables import table
 
@@ -159,7 +160,7 @@ def attempts(spark, d):
 
 
 def running_offsets(spark, d):
-    """Cumulated ends of sources, and the source of every thousandth row."""
+    """Cumulated ends of sources, and the source of twelve positions, as its SQL has it; J23 is ``record_sources``."""
     n = records(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"))
     w = Window.orderBy("dataset_id")
     ends = n.select("dataset_id", F.sum("n").over(w).alias("stop"), (F.sum("n").over(w) - F.col("n")).alias("start"))
@@ -167,6 +168,15 @@ def running_offsets(spark, d):
     return probe.join(F.broadcast(ends), (F.col("ix") >= F.col("start")) & (F.col("ix") < F.col("stop"))).select("ix", "dataset_id", (F.col("ix") - F.col("start")).alias("local"))
 
 
+def record_sources(spark, d):
+    """The source of every thousandth record, and its place there, with sources end to end by name."""
+    n = records(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"))
+    w = Window.orderBy("dataset_id")
+    ends = n.select("dataset_id", F.sum("n").over(w).alias("stop"), (F.sum("n").over(w) - F.col("n")).alias("start"))
+    probe = n.agg(F.sum("n").alias("total")).where("total > 0").select(F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(1000))).alias("ix"))
+    return in_ranges(probe, ends, "ix").select("ix", "dataset_id", (F.col("ix") - F.col("start")).alias("local"))
+
+
 def growth(spark, d):
     """Order value by customer and year that more than doubled and passed a floor."""
     o = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -182,7 +192,7 @@ def audit_annotations(spark, d):
     return j.groupBy("dataset_id").agg(F.sum(F.col("total").isNull().cast("int")).alias("unmatched"), F.sum((F.col("e") > F.round((F.col("total") + 1) * 100)).cast("int")).alias("outside"), F.sum(F.when(F.col("speaker").isNull(), F.col("e") - F.col("s")).otherwise(0)).alias("unlabelled"))
 
 
-QUERIES = {f.__name__: f for f in [interval_union, overlap_seconds, turn_gaps, self_overlap, speaker_relabel, overlap_category, turn_overlap_pairs, nearby_turns, closest_turn, start_offsets, late_starts, activity_frames, activity_runs, sliding, solo_spans, uncovered_speech, segment_bounds, cursor_placement, mixture_timing, speech_rate, quiet_days, attempts, running_offsets, growth, audit_annotations]}
+QUERIES = {f.__name__: f for f in [interval_union, overlap_seconds, turn_gaps, self_overlap, speaker_relabel, overlap_category, turn_overlap_pairs, nearby_turns, closest_turn, start_offsets, late_starts, activity_frames, activity_runs, sliding, solo_spans, uncovered_speech, segment_bounds, cursor_placement, mixture_timing, speech_rate, quiet_days, attempts, running_offsets, record_sources, growth, audit_annotations]}
 
 _ISLANDS = "SELECT {k}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {k} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {t})) GROUP BY {k}, i"
 _OWN = f"{TURNS_SQL}, named AS (SELECT * FROM t WHERE speaker IS NOT NULL), own AS ({_ISLANDS.format(k='window_id, speaker', t='named')})"

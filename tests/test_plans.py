@@ -273,3 +273,11 @@ def test_cohort_decisions_against_the_definition(spark):
     found = Y.cohort_decisions(spark.createDataFrame(pairs, "label int, a int, b int, cosine double")).collect()
     assert {(r["label"], r["id"]): (r["in_cohort"], r["passed"]) for r in found} == want
     assert len({ok for _, ok in want.values()}) == 2
+
+
+def test_record_sources_reach_the_end(spark, tmp_path):
+    from lakeloom.plans.timeline import record_sources
+
+    rows = spark.range(4500).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 3200, "a").when(F.col("id") < 4000, "b").otherwise("c").alias("dataset_id"))
+    rows.write.parquet(f"{tmp_path}/audio_records.parquet")
+    assert sorted(map(tuple, record_sources(spark, str(tmp_path)).collect())) == [(0, "a", 0), (1000, "a", 1000), (2000, "a", 2000), (3000, "a", 3000), (4000, "c", 0)]
