@@ -82,12 +82,21 @@ def context_join(spark, d):
 
 
 def voice_ranks(spark, d):
-    """The speakers of a template window by need beside the customers of a nation by balance."""
+    """J26 for the windows of stonecourt, as its SQL has it; ``dataset_voice_ranks`` has those of all datasets."""
     need = turns(spark, d).where("dataset_id = 'stonecourt' and speaker is not null").groupBy("window_id", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("need")).withColumn("g", F.pmod(F.length("window_id"), F.lit(5)))
     voices = table(spark, d, "customer").select(F.pmod("c_nationkey", F.lit(5)).cast("int").alias("g"), "c_custkey", "c_acctbal")
     return R.rank_zip(need, voices, "g", [F.desc("need"), F.col("window_id"), F.col("speaker")], [F.desc("c_acctbal"), F.col("c_custkey")]).select("g", "k", "window_id", "speaker", "c_custkey")
 
 
+def dataset_voice_ranks(spark, d):
+    """The speakers of each dataset's template windows by need beside the customers of a nation by balance."""
+    need = turns(spark, d).where("speaker is not null").groupBy("dataset_id", "window_id", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("need")).withColumn("g", F.pmod(F.length("window_id"), F.lit(5)))
+    need = need.withColumn("k", F.row_number().over(Window.partitionBy("dataset_id", "g").orderBy(F.desc("need"), "window_id", "speaker")))
+    voices = table(spark, d, "customer").select(F.pmod("c_nationkey", F.lit(5)).cast("int").alias("g"), "c_custkey", "c_acctbal")
+    voices = voices.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c_acctbal"), "c_custkey")))
+    return need.join(voices, ["g", "k"]).select("dataset_id", "g", "k", "window_id", "speaker", "c_custkey")
+
+
 def identity_reuse(spark, d):
     """Catalogue rows whose artifacts' identity another version has."""
     c = table(spark, d, "dataset_catalog").select("dataset_id", "version", F.array_sort(F.transform("artifacts", lambda a: F.coalesce(a["sha256"], F.lit("-")))).alias("shas"))
@@ -177,7 +186,7 @@ def set_operations(spark, d):
     return a.intersect(b).select(F.lit("both").alias("side")).unionByName(a.exceptAll(b).select(F.lit("records").alias("side"))).unionByName(b.exceptAll(a).select(F.lit("index").alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in [cut_scan, slot_locations, annotation_match, alignment_join, eligible_semi, run_pairs, same_mixture, lineage_family, index_verification, context_join, voice_ranks, identity_reuse, index_gaps, resolve_split, resolved_paths, reader_shards, enrollment_lists, pool_clips, read_ids, take_positions, sorted_turns, extremes, ordered_dedup, last_delivery, set_operations]}
+QUERIES = {f.__name__: f for f in [cut_scan, slot_locations, annotation_match, alignment_join, eligible_semi, run_pairs, same_mixture, lineage_family, index_verification, context_join, voice_ranks, dataset_voice_ranks, identity_reuse, index_gaps, resolve_split, resolved_paths, reader_shards, enrollment_lists, pool_clips, read_ids, take_positions, sorted_turns, extremes, ordered_dedup, last_delivery, set_operations]}
 
 _FIRST_LAST = "SELECT id, {f}(task, ingested_at) AS task, {f}(target, ingested_at) AS target, {f}(language, ingested_at) AS language, {f}(dataset_id, ingested_at) AS dataset_id FROM (SELECT * FROM audio_records) GROUP BY id"
 _SLOT = "list_filter(audio_slots, lambda s: s.name = '{n}')[1].ref.cut_id"

@@ -281,3 +281,13 @@ def test_record_sources_reach_the_end(spark, tmp_path):
     rows = spark.range(4500).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 3200, "a").when(F.col("id") < 4000, "b").otherwise("c").alias("dataset_id"))
     rows.write.parquet(f"{tmp_path}/audio_records.parquet")
     assert sorted(map(tuple, record_sources(spark, str(tmp_path)).collect())) == [(0, "a", 0), (1000, "a", 1000), (2000, "a", 2000), (3000, "a", 3000), (4000, "c", 0)]
+
+
+def test_voice_ranks_of_all_datasets(spark):
+    from lakeloom.plans import relations, views
+
+    sf = "/root/testdata/sf0.01"
+    rows = relations.dataset_voice_ranks(spark, sf).collect()
+    assert {r["dataset_id"] for r in rows} == {r[0] for r in views.turns(spark, sf).where("speaker is not null").select("dataset_id").distinct().collect()}
+    one = {(r["g"], r["k"], r["window_id"], r["speaker"], r["c_custkey"]) for r in rows if r["dataset_id"] == "stonecourt"}
+    assert one == set(map(tuple, relations.voice_ranks(spark, sf).collect())) and len(one) < len(rows)
