@@ -16,32 +16,30 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.catalog import catalogue_names, spelling, two_letter_language
 from lakeloom.llm.boosting import BoostedTrees
+from lakeloom.llm.fillers import FillerModel, train_fillers
 from lakeloom.session import broadcast_within
 from lakeloom.sources.tables import table
 
 TRAIN_RECORDS = 300
-TURN_SCHEMA = "id string, turn_no int, start_cs long, end_cs long, speaker string, text string, utterances int"
+TURN_SCHEMA = "id string, turn_no int, start_cs long, end_cs long, speaker string, text string, utterances int, corrected int"
 
 _TIME = r"(?:\d{1,9}:){0,2}\d{1,12}(?:[.,]\d{1,12})?"
-# A header gives the speaker and the start, mostly the end; what follows it is text.
+_SPAN = rf"\s*+(?P<start>{_TIME})\s*+[-–~]\s*+(?P<end>{_TIME})\s*+"
+# A header gives the speaker and the start, mostly the end; what follows it is text. Possessive, so that a line of any
+# length is read once.
 _HEADERS = [
-    re.compile(rf"\s*\[\s*(?P<who>[^\[\]]{{1,80}}?)\s*\]\s*\[\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*(?P<unit>ms|s)?\s*\]\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*(?P<start>{_TIME})\s*-->\s*(?P<end>{_TIME})\s+(?P<who>[^:：]{{1,80}}?)\s{{0,20}}[:：]\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*\(\s*(?P<start>{_TIME})\s*\)\s*(?P<who>[^<>]{{1,80}}?)\s{{0,20}}>\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*(?P<who>[^:：()\[\]<>]{{1,80}}?)\s{{0,20}}\(\s*(?P<start>{_TIME})\s*[-–~]\s*(?P<end>{_TIME})\s*\)\s*[:：]\s?(?P<text>.*)", re.S),
-    re.compile(rf"\s*<\s*(?P<start>{_TIME})\s*>\s*<\s*(?P<end>{_TIME})\s*>\s*(?P<who>[^:：]{{1,80}}?)\s{{0,20}}[:：]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*+\[(?P<who>[^\[\]]*+)\]\s*+\[{_SPAN}(?P<unit>ms|s)?\s*+\]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*+(?P<start>{_TIME})\s*+-->\s*+(?P<end>{_TIME})\s(?P<who>[^:：]*+)[:：]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*+\(\s*+(?P<start>{_TIME})\s*+\)(?P<who>[^<>]*+)>\s?(?P<text>.*)", re.S),
+    re.compile(rf"(?P<who>[^:：()\[\]<>]*+)\({_SPAN}\)\s*+[:：]\s?(?P<text>.*)", re.S),
+    re.compile(rf"\s*+<\s*+(?P<start>{_TIME})\s*+>\s*+<\s*+(?P<end>{_TIME})\s*+>(?P<who>[^:：]*+)[:：]\s?(?P<text>.*)", re.S),
 ]
-_STARTS = re.compile(r"\s*(?:\[|\(|<|\d|[^\s(]{1,40}[^(]{0,40}\()")
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_NUMBERED = re.compile(r"(?:s|spk|speaker|spkr|说话人|发言人|讲话人|sprecher)?[\s_\-#.]{0,20}0*(\d{1,18})", re.I)
-_ANNOTATION = re.compile(
-    r"\[\[[^\[\]]{0,80}\]\]|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|（[^（）]{0,80}）|【[^【】]{0,80}】|<[^<>]{0,80}>|＜[^＜＞]{0,80}＞|\{[^{}]{0,80}\}|［[^［］]{0,80}］|〔[^〔〕]{0,80}〕|\*[^*\s][^*]{0,40}\*|♪[^♪]{0,80}♪"
-)
-# Hesitations, as characters of Chinese and as letter patterns of English and German.
-_FILLER_CHARACTERS = "嗯呃啊哦诶唔噢喔欸额呣哎唉"
-_FILLER_WORD = re.compile(r"u+h+m*|u+m+|e+r+m*|e+h+m*|a+h+m*|h+m+|m{2,}|m+h+m+|ä+h+m*|ö+h+m*|ü+h+m*")
-_WORDS_IN = {"de": {"er", "um", "ehe"}}
-_TOKEN = re.compile(rf"(?<![^\W_])(?:[{_FILLER_CHARACTERS}]+|[^\W\d_一-鿿]+)(?![^\W_])[ ]*(?:\.{{2,}}|…+|[,，.。、~～—-])?")
+_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+_NUMBERED = re.compile(r"(?:s|spk|speaker|spkr|说话人|发言人|讲话人|sprecher)?[\s_\-#.]*+(\d++)", re.I)
+_BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">", "（": "）", "【": "】", "＜": "＞", "［": "］", "〔": "〕"}
+_CLOSING = {b: a for a, b in _BRACKETS.items()}
+_BRACKET = re.compile(r"[()\[\]{}<>（）【】＜＞［］〔〕]")
+_MARKED = re.compile(r"\*[^*\s][^*]*+\*|♪[^♪]*+♪")
 
 
 class Utterance(NamedTuple):
@@ -52,22 +50,34 @@ class Utterance(NamedTuple):
     text: str
 
 
-def is_filler(token: str, language: str = "und") -> bool:
-    """Whether a token is a hesitation, not a word, in the language."""
-    word = unicodedata.normalize("NFC", token).casefold().strip(" .,，。、…~～—-")
-    if not word or word in _WORDS_IN.get(language, ()):
-        return False
-    return all(c in _FILLER_CHARACTERS for c in word) or _FILLER_WORD.fullmatch(word) is not None
-
-
-def clean_text(text: str, language: str = "und") -> str:
+def without_annotations(text: str) -> str:
+    """The text with every sound annotation replaced by a space: what stands in paired brackets of one kind, nested ones
+    included, between two asterisks or between two notes, of any length. Brackets without a partner stay."""
+    if _BRACKET.search(text):
+        open_at: dict[str, list[int]] = {}
+        spans: list[list[int]] = []
+        for m in _BRACKET.finditer(text):
+            c, at = m.group(), m.start()
+            if c in _BRACKETS:
+                open_at.setdefault(c, []).append(at)
+            elif open_at.get(_CLOSING[c]):
+                start = open_at[_CLOSING[c]].pop()
+                while spans and spans[-1][0] >= start:
+                    spans.pop()
+                if spans and spans[-1][1] >= start:
+                    start = spans.pop()[0]
+                spans.append([start, at + 1])
+        out, last = [], 0
+        for start, end in spans:
+            out += [text[last:start], " "]
+            last = end
+        text = "".join(out) + text[last:]
+    return _MARKED.sub(" ", text) if "*" in text or "♪" in text else text
+
+
+def clean_text(text: str, fillers: FillerModel, language: str = "und") -> str:
     """The text without sound annotations and hesitations; empty if no letter or digit remains."""
-    if "[" in text or "(" in text or "（" in text or "【" in text or "<" in text or "＜" in text or "{" in text or "*" in text or "［" in text or "〔" in text or "♪" in text:
-        for _ in range(3):
-            text, n = _ANNOTATION.subn(" ", text)
-            if not n:
-                break
-    text = _TOKEN.sub(lambda m: " " if is_filler(m.group(), language) else m.group(), text)
+    text = fillers.removed(without_annotations(text), language)
     text = re.sub(r"\s+", " ", text).strip()
     text = re.sub(r"(?<=[一-鿿]) (?=[一-鿿])", "", text)
     text = re.sub(r"^[\s,，.。、…]+", "", text)
@@ -79,7 +89,7 @@ def speaker_of(label: str, identities: dict[str, str]) -> str | None:
     name = unicodedata.normalize("NFKC", label).strip().casefold()
     known = identities.get(name)
     number = _NUMBERED.fullmatch(known if known is not None else name)
-    return f"S{int(number.group(1))}" if number else None
+    return f"S{''.join(str(int(d)) for d in number.group(1)).lstrip('0') or '0'}" if number else None
 
 
 def _seconds(text: str, unit: str | None) -> Decimal:
@@ -118,16 +128,11 @@ def utterances_of(target: str | None, metadata: str | None) -> list[Utterance]:
     identities = {unicodedata.normalize("NFKC", v).strip().casefold(): unicodedata.normalize("NFKC", k).strip().casefold() for k, v in named.items() if isinstance(v, str)} if isinstance(named, dict) else {}
     out: list[list] = []
     for line in _LINES.split(target or ""):
-        found = None
-        if _STARTS.match(line):
-            for header in _HEADERS:
-                found = header.fullmatch(line)
-                if found:
-                    break
+        found = next((m for h in _HEADERS if (m := h.fullmatch(line)) and m["who"].strip()), None)
         if found:
             g = found.groupdict()
             start, end = _seconds(g["start"], g.get("unit")), _seconds(g["end"], g.get("unit")) if g.get("end") else None
-            out.append([g["who"], start, end, [g["text"]]])
+            out.append([g["who"].strip(), start, end, [g["text"]]])
         elif out and line.strip():
             out[-1][3].append(line)
     if not out and isinstance(meta.get("segments"), list):
@@ -140,9 +145,9 @@ def utterances_of(target: str | None, metadata: str | None) -> list[Utterance]:
     return [Utterance(who, speaker_of(who, identities), start, end, " ".join(text)) for who, start, end, text in out]
 
 
-def clean_utterances(target: str | None, metadata: str | None, language: str = "und") -> list[Utterance]:
+def clean_utterances(target: str | None, metadata: str | None, fillers: FillerModel, language: str = "und") -> list[Utterance]:
     """Utterances in which a word remains, in order of start (ties as written), with clean text."""
-    kept = [u._replace(text=text) for u in utterances_of(target, metadata) if (text := clean_text(u.text, language))]
+    kept = [u._replace(text=text) for u in utterances_of(target, metadata) if (text := clean_text(u.text, fillers, language))]
     kept.sort(key=lambda u: u.start)
     return kept
 
@@ -188,53 +193,63 @@ def train_boundaries(samples: list[list[Utterance]]) -> BoostedTrees:
     return BoostedTrees().fit(np.array(x, float).reshape(-1, len(FEATURES)), np.array(y))
 
 
+def _named(u: Utterance) -> str:
+    return u.who or unicodedata.normalize("NFKC", u.label).strip().casefold()
+
+
 def turns_of_batch(ids: list, utterances: list[list[Utterance]], model: BoostedTrees) -> pd.DataFrame:
-    """Turns of many records at once: one prediction for all adjacent pairs.
+    """Turns of many records at once: one prediction for all adjacent pairs, known speakers or not.
 
-    The exact check that follows: where both speakers are known a boundary is where they differ; the model's decision
-    stands where a label tells no speaker. A turn's speaker is the first known one in it, else the label as written.
+    The exact check that follows: where both utterances name a speaker, by number or else by label, a boundary is where
+    these differ. ``corrected`` counts the decisions at or in a turn that the check had to change. A turn's speaker is
+    the first known number in it, else the label as written.
     """
     rows = [r for us in utterances for r in pair_features(us)]
     cut = model.probability(np.array(rows)) >= 0.5 if rows else np.zeros(0, bool)
     out, at = [], 0
     for rid, us in zip(ids, utterances):
         turns: list[list[Utterance]] = []
+        wrong: list[int] = []
         for i, u in enumerate(us):
-            if i == 0:
-                new = True
-            else:
-                a = turns[-1][-1]
-                new = bool(cut[at]) if a.who is None or u.who is None else a.who != u.who
+            new, changed = True, 0
+            if i:
+                new, one, two = bool(cut[at]), _named(us[i - 1]), _named(u)
                 at += 1
+                if one and two and new != (one != two):
+                    new, changed = not new, 1
             if new:
                 turns.append([u])
+                wrong.append(changed)
             else:
                 turns[-1].append(u)
+                wrong[-1] += changed
         for n, t in enumerate(turns):
             who = next((u.who for u in t if u.who), None) or unicodedata.normalize("NFKC", t[0].label).strip()
             ends = [u.end for u in t if u.end is not None]
-            out.append((rid, n, _cs(t[0].start), _cs(max(ends)) if ends else None, who, " ".join(u.text for u in t), len(t)))
-    p = pd.DataFrame(out, columns=["id", "turn_no", "start_cs", "end_cs", "speaker", "text", "utterances"])
+            out.append((rid, n, _cs(t[0].start), _cs(max(ends)) if ends else None, who, " ".join(u.text for u in t), len(t), wrong[n]))
+    p = pd.DataFrame(out, columns=["id", "turn_no", "start_cs", "end_cs", "speaker", "text", "utterances", "corrected"])
     return p.astype({"start_cs": "Int64", "end_cs": "Int64"})
 
 
 def clean_turns(records: DataFrame, catalog: DataFrame, train_records: int = TRAIN_RECORDS) -> DataFrame:
     """Turns of every ``speaker_attributed_asr`` row of ``records``, without a shuffle.
 
-    The boundary model is fitted on the driver on at most ``train_records`` records. A record without utterances, or
-    with a null id, gives no row; a redelivered record gives its rows again.
+    Both models are fitted on the driver: the boundaries on at most ``train_records`` records, those least by the hash
+    of their id, the fillers on the labelled forms. A record without utterances, or with a null id, gives no row; a
+    redelivered record gives its rows again.
     """
     names = broadcast_within(catalogue_names(catalog).select("spelled", "only_language"))
     mine = records.where("task = 'speaker_attributed_asr' and id is not null").select("id", "target", "metadata", "language", "dataset_id")
     rows = mine.join(names, spelling(mine["dataset_id"]) == names["spelled"], "left").select(
         "id", "target", "metadata", two_letter_language(F.col("language"), F.col("only_language")).alias("meant")
     )
-    sample = rows.limit(train_records).toPandas()
-    model = train_boundaries([clean_utterances(t, m, c) for t, m, c in zip(sample["target"], sample["metadata"], sample["meant"])])
+    fillers = train_fillers()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(train_records).toPandas()
+    model = train_boundaries([clean_utterances(t, m, fillers, c) for t, m, c in zip(sample["target"], sample["metadata"], sample["meant"])])
 
     def turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            made = turns_of_batch(p["id"].tolist(), [clean_utterances(t, m, c) for t, m, c in zip(p["target"], p["metadata"], p["meant"])], model)
+            made = turns_of_batch(p["id"].tolist(), [clean_utterances(t, m, fillers, c) for t, m, c in zip(p["target"], p["metadata"], p["meant"])], model)
             if len(made):
                 yield made
 
