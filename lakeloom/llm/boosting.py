@@ -66,3 +66,12 @@ class BoostedTrees:
         for tree in self.forest:
             score += self._walk(tree, x)
         return 1 / (1 + np.exp(-score))
+
+    def decide(self, x: list[float]) -> bool:
+        """Whether one row's probability is a half or more, without arrays."""
+        score = self.base
+        for tree in self.forest:
+            while isinstance(tree, tuple):
+                tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+            score += tree
+        return score >= 0

@@ -52,7 +52,8 @@ def form_features(form: str, language: str) -> tuple[float, ...]:
 
 
 class FillerModel:
-    """Decides every token of a text; forms and places met before are looked up, so a batch asks the trees rarely."""
+    """Decides every token of a text; forms and places met before are looked up, so a batch asks the trees rarely. What
+    the driver met while it read the training sample goes to the workers with the trees."""
 
     def __init__(self, trees: BoostedTrees):
         self.trees = trees
@@ -60,7 +61,7 @@ class FillerModel:
         self.forms: dict[tuple, tuple] = {}
 
     def __getstate__(self):
-        return {"trees": self.trees, "known": {}, "forms": {}}
+        return {"trees": self.trees, "known": self.known, "forms": {}}
 
     def decide(self, form: str, language: str, first: bool = True, alone: bool = True, pause: bool = False, repeated: bool = False) -> bool:
         f = self.forms.get((form, language))
@@ -71,7 +72,7 @@ class FillerModel:
         key = (f, first, alone, pause, repeated)
         got = self.known.get(key)
         if got is None:
-            got = self.known[key] = bool(self.trees.probability(np.array([[*f, first, alone, pause, repeated]], float))[0] >= 0.5)
+            got = self.known[key] = self.trees.decide([*f, first, alone, pause, repeated])
         return got
 
     def removed(self, text: str, language: str = "und") -> str:

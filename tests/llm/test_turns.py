@@ -101,6 +101,7 @@ def test_boosting_holds_out():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     m = BoostedTrees(trees=60).fit(x[:2000], y[:2000])
     assert ((m.probability(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
+    assert [m.decide(r) for r in x[2000:2200].tolist()] == (m.probability(x[2000:2200]) >= 0.5).tolist()
     assert BoostedTrees().fit(x[:5], np.ones(5)).probability(x[:2]).min() > 0.99
 
 
