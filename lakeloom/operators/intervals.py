@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.session import checkpointed
+
 SHARD_BITS = 16
 SHARD = 1 << SHARD_BITS
 BITMAP_SCHEMA = "entity string, shard long, first long, head_end long, tail_start long, last long, runs int, bitmap binary"
@@ -125,7 +127,9 @@ def periods_and_gaps(bitmaps: DataFrame) -> DataFrame:
 
     Most rows come from a bitmap alone. Only runs that touch a shard edge are stitched, in a window per entity
     over at most two rows a shard: its size follows the time an entity spans, never the number of its intervals.
+    The bitmaps feed three branches, so they are built once and checkpointed.
     """
+    bitmaps = checkpointed(bitmaps)
     inner = bitmaps.select("entity", "shard", "bitmap").mapInPandas(_inner, "entity string, kind string, start long, end long")
     edge = bitmaps.drop("bitmap")
     base, stop = F.col("shard") * SHARD, (F.col("shard") + 1) * SHARD

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = 8, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, the rows of each key spread by the hash of ``spread`` over ``salts`` tasks, so that a
+    key with a third of all rows makes no task of that size; ``small`` is copied to each. Inner or left join."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, in_a, in_b): keys that aren't exactly once on both sides; no row if the tables match."""
     x = a.groupBy(key).agg(F.count("*").alias("in_a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +20,35 @@ def get_spark(app: str = "lakeloom", cpus: str = "*", shuffle_partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def own_folder(spark: SparkSession, use: str) -> str:
+    """A folder of this machine, removed at exit, for sessions with a local master; an error on a cluster."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder for {use}")
+    made = tempfile.mkdtemp(prefix="lakeloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def shared_folder(spark: SparkSession, use: str) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of its own only where that is unset and local."""
+    return spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark, use)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a temporary folder used. Checkpoint files are replicated by the shared store, so a lost executor
-    costs no recomputation from the scan.
+    Checkpoint files are replicated by the shared store, so a lost executor costs no recomputation from the scan.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lakeloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
