@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHINGLE, BANDS, ROWS, SEED = 3, 48, 6, 20260214
+SHINGLE, BANDS, ROWS, SEED = 3, 48, 4, 20260214
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +47,20 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
     return out.view(np.int64)
 
 
+def count_sketches(texts: list[str]) -> np.ndarray:
+    """64-bit words of the counts of characters hashed into 16 bins, each modulo 16.
+
+    An edit changes two counts by one at most, so two texts within d edits differ by at most 2 d in the sum over bins of
+    the circular differences.
+    """
+    if not texts:
+        return np.zeros(0, np.int64)
+    h, starts = shingle_hashes(texts, 1)
+    row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(h)]))
+    counts = np.bincount(row * 16 + (h & np.uint32(15)), minlength=len(starts) * 16).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
+    return np.bitwise_or.reduce(counts << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+
 def parity_sketches(texts: list[str], bits: int, k: int) -> np.ndarray:
     """(bits / 64, texts) words of the parities of hashed k-gram counts; ``bits`` is a power of two, 64 at least.
 
