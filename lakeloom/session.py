@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a compressed table in the shared folder and read again: a checkpoint for wide rows that
+    several branches read, each only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, 'tables').rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_within(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Hint a broadcast only after counting that the side is within ``max_rows``; else leave it to the optimizer."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
