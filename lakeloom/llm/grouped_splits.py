@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.catalog import catalogue_names, spelling
 from lakeloom.operators.components import connected_components
+from lakeloom.operators.relations import salted_join
 from lakeloom.session import broadcast_within, checkpointed
 from lakeloom.sources.tables import table
 
 BINS = 200
 SHARD_COMPONENTS = 200_000
-MAX_SHARDS = 4096
+MERGED_SHARDS = 64
 
 
 def speaker_codes(source_record_id: Column) -> Column:
@@ -50,11 +50,11 @@ def record_speakers(records: DataFrame, catalog: DataFrame) -> DataFrame:
 def groups(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, group_key, related): the component of each record; ``related`` is false for one that names no speaker,
     whose group is itself (``group_key`` ``record:<id>``)."""
-    named = record_speakers(records, catalog)
+    named = checkpointed(record_speakers(records, catalog))
     links = named.where("size(speakers) > 1").select(F.explode(F.transform(F.slice("speakers", 2, F.size("speakers")), lambda s: F.struct(F.get("speakers", F.lit(0)).alias("u"), s.alias("v")))).alias("e")).select("e.u", "e.v")
     parts = connected_components(links)
     at = named.select("id", F.get("speakers", F.lit(0)).alias("speaker"))
-    return at.join(parts, at["speaker"] == parts["node"], "left").select(
+    return salted_join(at, parts.withColumnRenamed("node", "speaker"), ["speaker"], ["id"], how="left").select(
         "id", F.coalesce("component", "speaker", F.concat(F.lit("record:"), "id")).alias("group_key"), F.col("speaker").isNotNull().alias("related")
     )
 
@@ -104,37 +104,52 @@ def allocate_bins(sizes: list[int], targets: list[tuple[str, float]]) -> list[st
     return out
 
 
-def assign_splits(records: DataFrame, catalog: DataFrame, plan: DataFrame, bins: int = BINS) -> DataFrame:
+def _differenced(weights: DataFrame, keys: list[str], shard: str, part: str, bins: int) -> DataFrame:
+    """Rows (keys, weight, shard) with the bin of each weight among those of its shard as ``part``."""
+
+    def difference(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["weight", *keys], ascending=[False] + [True] * len(keys))
+        return p.assign(**{part: largest_differencing(p["weight"].tolist(), bins)})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in weights.schema.fields)
+    return weights.groupBy(shard).applyInPandas(difference, f"{schema}, {part} int")
+
+
+def assign_splits(records: DataFrame, catalog: DataFrame, plan: DataFrame, bins: int = BINS, shard_components: int = SHARD_COMPONENTS, merged: int = MERGED_SHARDS) -> DataFrame:
     """(id, group_key, related, group_size, bin, split): every record once, each group whole in one split.
 
-    Components are hashed into shards of about SHARD_COMPONENTS, differenced there into ``bins`` equal bins, and the
-    shards' bins are differenced again; only those sums (at most MAX_SHARDS * bins numbers) reach the driver. Without a
-    valid plan (positive shares) it is an error. An empty table gives no row.
+    Components are hashed into shards of about ``shard_components`` and differenced there into ``bins`` equal bins. The
+    bins of up to ``merged`` shards are differenced again, and so on up a tree, until that many shards are left; only
+    their sums (at most ``merged`` * bins numbers, whatever the size) reach the driver. Without a valid plan (positive
+    shares) it is an error. An empty table gives no row.
     """
     targets = sorted(((r[0], float(r[1])) for r in plan.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share")).limit(1001).collect()), key=lambda t: (-t[1], t[0]))
     if not targets or len(targets) > 1000:
         raise ValueError("the plan must name 1 to 1000 splits with a positive share")
     grouped = checkpointed(groups(records, catalog))
-    sizes = grouped.groupBy("group_key").agg(F.count("*").alias("group_size"))
-    shards = max(1, min(MAX_SHARDS, -(-sizes.count() // SHARD_COMPONENTS)))
-
-    def difference(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["group_size", "group_key"], ascending=[False, True])
-        return p.assign(part=largest_differencing(p["group_size"].tolist(), bins))
-
-    placed = checkpointed(
-        sizes.withColumn("shard", F.pmod(F.xxhash64("group_key"), F.lit(shards)).cast("int"))
-        .groupBy("shard")
-        .applyInPandas(difference, "group_key string, group_size long, shard int, part int")
-    )
-    sums = sorted(tuple(r) for r in placed.groupBy("shard", "part").agg(F.sum("group_size")).collect())
-    merged = largest_differencing([n for _, _, n in sums], bins)
+    sizes = checkpointed(grouped.groupBy("group_key").agg(F.count("*").alias("weight")))
+    shards = max(1, -(-sizes.count() // shard_components))
+    placed = _differenced(sizes.withColumn("shard", F.pmod(F.xxhash64("group_key"), F.lit(shards)).cast("int")), ["group_key"], "shard", "part", bins)
+    placed = checkpointed(placed.withColumnRenamed("weight", "group_size"))
+    sums = placed.groupBy("shard", "part").agg(F.sum("group_size").alias("weight"))
+    steps = []
+    while shards > merged:
+        up = checkpointed(_differenced(sums.withColumn("above", F.expr(f"shard div {merged}").cast("int")), ["shard", "part"], "above", "over", bins))
+        steps.append(up.select("shard", "part", "above", "over"))
+        sums = up.groupBy(F.col("above").alias("shard"), F.col("over").alias("part")).agg(F.sum("weight").alias("weight"))
+        shards = -(-shards // merged)
+    last = sorted(tuple(r) for r in sums.select("shard", "part", "weight").collect())
+    top = largest_differencing([n for _, _, n in last], bins)
     totals = [0] * bins
-    for b, (_, _, n) in zip(merged, sums):
+    for b, (_, _, n) in zip(top, last):
         totals[b] += n
     split = allocate_bins(totals, targets)
-    where = placed.sparkSession.createDataFrame([(s, p, b, split[b]) for b, (s, p, _) in zip(merged, sums)], "shard int, part int, bin int, split string")
-    return grouped.join(placed, "group_key").join(broadcast_within(where, MAX_SHARDS * bins), ["shard", "part"]).select("id", "group_key", "related", "group_size", "bin", "split")
+    where = placed.sparkSession.createDataFrame([(s, p, b, split[b]) for b, (s, p, _) in zip(top, last)], "shard int, part int, bin int, split string")
+    for up in reversed(steps):
+        where = up.join(where.withColumnsRenamed({"shard": "above", "part": "over"}), ["above", "over"]).select("shard", "part", "bin", "split")
+    where = broadcast_within(where, 50_000)
+    at = placed.join(where, ["shard", "part"]).select("group_key", "group_size", "bin", "split")
+    return salted_join(grouped, at, ["group_key"], ["id"]).select("id", "group_key", "related", "group_size", "bin", "split")
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,11 +37,10 @@ def test_groups_and_splits(spark):
     assert len({got[k]["split"] for k in "1234"}) == 1
 
 
-def test_shares_with_a_giant_group(spark, monkeypatch):
-    monkeypatch.setattr(G, "SHARD_COMPONENTS", 200)
+def test_shares_with_a_giant_group(spark):
     rng = random.Random(2)
     rows = [(f"g{i}", "aa", "K1_U1") for i in range(700)] + [(f"r{i}", "bb", f"M{rng.randrange(600)}_U{i}") for i in range(1400)]
-    df = G.assign_splits(records(spark, rows), catalog(spark), plan(spark))
+    df = G.assign_splits(records(spark, rows), catalog(spark), plan(spark), shard_components=40, merged=3)
     got = {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert sum(got.values()) == 2100 and df.select("id").distinct().count() == 2100
     assert abs(got["train"] - 1890) <= 15 and abs(got["test"] - 105) <= 15 and abs(got["validation"] - 105) <= 15
