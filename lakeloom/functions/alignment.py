@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-_UNIT = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
+_UNIT = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+(?:'[^\W_぀-ヿ㐀-鿿가-힯]+)*")
 
 
 def units(text: str | None) -> list[str]:
-    """Ideographs, kana and syllables one by one, other words whole; compatibility form, lower case."""
+    """Ideographs, kana and syllables one by one, other words whole, apostrophes inside included; compatibility form,
+    lower case."""
     return _UNIT.findall(unicodedata.normalize("NFKC", text).lower()) if text else []
 
 

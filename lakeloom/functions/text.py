@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import let
 
+# Patterns of repetition loops and of turn lines.
 LOOP = r"(.{1,4}?)\1{7,}"
-DEGENERATE = r"(.)\1{29,}|(.{2,10})\2{19,}"
+DEGENERATE = r"(?s)(.)\1{29,}|(.{2,10}?)\2{19,}"
 TURN = r"^\[S(\d+)\]\[(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)\]\s?(.*)$"
 
 
@@ -27,11 +28,13 @@ def well_formed(output: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """One unit per ideograph, kana or hangul syllable, one per run of other letters or digits; lower case.
+    """One unit per ideograph, kana or hangul syllable, one per word of other letters or digits, apostrophes inside it
+    included; lower case.
 
     For text that is already in compatibility form; ``alignment.units`` also folds width.
     """
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([぀-ヿ㐀-鿿가-힯]|[\p{L}\p{N}&&[^぀-ヿ㐀-鿿가-힯]]+)"), 1)
+    letter = r"[\p{L}\p{N}&&[^぀-ヿ㐀-鿿가-힯]]"
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"([぀-ヿ㐀-鿿가-힯]|{letter}+(?:'{letter}+)*)"), 1)
 
 
 def char_error_rate(hyp: Column, ref: Column) -> Column:
@@ -40,9 +43,8 @@ def char_error_rate(hyp: Column, ref: Column) -> Column:
 
 
 def presence(hyp: Column, ref: Column) -> Column:
-    """1 for text where there is text or none where there is none, -1 for text where there should be none, else 0."""
-    h, r = F.trim(hyp) != "", F.trim(ref) != ""
-    return F.when(h == r, 1).when(h & ~r, -1).otherwise(0)
+    """Of two unit lists: without a reference 1 for no output and -1 for any; with one -1 for no output, else 0."""
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 1).otherwise(-1)).otherwise(F.when(F.size(hyp) == 0, -1).otherwise(0))
 
 
 def contains_tokens(tokens: Column, part: Column) -> Column:
@@ -73,12 +75,30 @@ def set_f1(found: Column, wanted: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 
 
-def hotword_reward(hyp: Column, wanted: Column, offered: Column) -> Column:
-    """Recall of wanted words minus false alarms by the words spoken, the latter at most 1; words count if contained."""
-    hit = F.size(F.filter(wanted, lambda w: F.contains(hyp, w)))
-    false = F.size(F.filter(F.array_except(offered, wanted), lambda w: F.contains(hyp, w)))
-    recall = F.when(F.size(wanted) > 0, hit / F.size(wanted)).otherwise(0.0)
-    return recall - F.least(F.lit(1.0), false / F.greatest(F.lit(1), F.size(wanted)))
+def spaced(unit_list: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(unit_list, " "), F.lit(" "))
+
+
+def hotword_reward(hyp: Column, ref: Column, offered: Column) -> Column:
+    """Of texts ``hyp`` and ``ref`` and the listed words: the share of the listed words in the reference that the output
+    has, 1 if none is spoken, minus those it has that aren't spoken, by the spoken ones, at most 1.
+
+    Words count as whole units in a row. Null without a list; a word without units is in neither.
+    """
+    words = F.filter(F.transform(offered, lambda w: F.trim(w)), lambda w: w != "")
+    listed = F.transform(words, lambda w: spaced(units(w)))
+    h, r = spaced(units(hyp)), spaced(units(ref))
+    has = lambda text, w: (w != "  ") & F.contains(text, w)
+
+    def score(x: Column) -> Column:
+        spoken = F.size(F.filter(x["words"], lambda w: has(x["r"], w)))
+        hits = F.size(F.filter(x["words"], lambda w: has(x["r"], w) & has(x["h"], w)))
+        false = F.size(F.filter(x["words"], lambda w: ~has(x["r"], w) & has(x["h"], w)))
+        recall = F.when(spoken > 0, hits / spoken).otherwise(1.0)
+        return recall - F.least(F.lit(1.0), false / F.greatest(F.lit(1), spoken))
+
+    none = (F.coalesce(F.size(words), F.lit(0)) <= 0) | ((F.size(words) == 1) & (F.get(words, F.lit(0)) == "N/A"))
+    return F.when(~none, let(F.struct(listed.alias("words"), h.alias("h"), r.alias("r")), score))
 
 
 def candidate_accuracy(hyp: Column, ref: Column, candidates: Column) -> Column:

@@ -30,3 +30,25 @@ def ordered_positions(rows: DataFrame, groups: list[str], order: list[Column | s
     for i, c in enumerate(groups):
         on = on & (F.coalesce(F.col(c).cast("string"), F.lit("\0")) == F.col(f"_g{i}"))
     return placed.join(broadcast_within(offsets), on).withColumn(name, F.col("_at") + F.col("_offset")).drop("_pid", "_at", "_p", "_offset", *names)
+
+
+def quantiles(rows: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:
+    """(groups, q0, q1, …): interpolated quantiles of the values that aren't null; a group without any has no row.
+
+    Values are numbered in range partitions, so no group's values are gathered; only the two rows beside each quantile
+    are looked at.
+    """
+    placed = ordered_positions(rows.select(*groups, F.col(value).cast("double").alias("_value")).where("_value is not null"), groups, ["_value"], "_ix")
+    sizes = placed.groupBy(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(groups)]).agg(F.count("*").alias("_size"))
+    on = F.lit(True)
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_s{i}"))
+    j = placed.join(broadcast_within(sizes), on) if groups else placed.crossJoin(F.broadcast(sizes))
+    spot = [F.lit(q) * (F.col("_size") - 1) for q in at]
+    beside = [x for s in spot for x in (F.floor(s), F.ceil(s))]
+    near = j.where(F.array_contains(F.array(*beside), F.col("_ix")))
+    out = []
+    for i, s in enumerate(spot):
+        low, high = F.max(F.when(F.col("_ix") == F.floor(s), F.col("_value"))), F.max(F.when(F.col("_ix") == F.ceil(s), F.col("_value")))
+        out.append((low + (high - low) * F.max(s - F.floor(s))).alias(f"q{i}"))
+    return near.groupBy(*groups).agg(*out)

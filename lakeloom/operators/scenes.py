@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.alignment import best_assignment, edit_distance, units
+from lakeloom.operators.timeline import islands
+from lakeloom.session import broadcast_within
 
 
 def scene_extents(t: DataFrame, mode: Column, gap: float) -> DataFrame:
@@ -21,26 +23,26 @@ def scene_extents(t: DataFrame, mode: Column, gap: float) -> DataFrame:
     return sums.select("window_id", F.when(mode == "alternate", F.col("all_s") + gap * (F.col("all_n") - 1)).otherwise(F.col("longest")).alias("extent"))
 
 
-def gap_windows(t: DataFrame, longest: int) -> DataFrame:
-    """(window_id, s, e, turn_id) -> (window_id, cut, s, e, turns): windows of at most ``longest`` that end where nobody
-    speaks; one grows past that only if an uncut stretch of speech is longer."""
+def gap_windows(t: DataFrame, longest: int, anchor: int = 360_000) -> DataFrame:
+    """(window_id, s, e) -> (window_id, s, e, periods): windows of at most ``longest`` that end where nobody speaks; one
+    grows past that only if an uncut stretch of speech is longer.
 
-    def cut(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["s", "e"])
-        s, top = p["s"].to_numpy(), np.maximum.accumulate(p["e"].to_numpy())
-        new = np.r_[True, s[1:] >= top[:-1]]
-        starts, ends = s[new], top[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
-        counts = np.diff(np.r_[np.flatnonzero(new), len(s)])
-        out, first, n = [], 0, 0
-        for k in range(len(starts)):
-            if k > first and ends[k] - starts[first] > longest:
-                out.append((starts[first], ends[k - 1], n))
-                first, n = k, 0
-            n += int(counts[k])
-        out.append((starts[first], ends[-1], n))
-        return pd.DataFrame([(p["window_id"].iloc[0], i, a, b, n) for i, (a, b, n) in enumerate(out)], columns=["window_id", "cut", "s", "e", "turns"])
+    Cutting starts anew with the first speech after each multiple of ``anchor``, so a recording that never ends is cut in
+    many tasks, each over the periods of one stretch of ``anchor``.
+    """
+
+    def cut(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("s")
+        out: list[list[int]] = []
+        for s, e in zip(p["s"], p["e"]):
+            if out and e - out[-1][0] <= longest:
+                out[-1][1:] = [e, out[-1][2] + 1]
+            else:
+                out.append([s, e, 1])
+        return pd.DataFrame([(key[0], *x) for x in out], columns=["window_id", "s", "e", "periods"])
 
-    return t.select("window_id", "turn_id", "s", "e").groupBy("window_id").applyInPandas(cut, "window_id string, cut int, s long, e long, turns int")
+    speech = islands(t.select("window_id", "s", "e"), ["window_id"]).withColumn("stretch", F.floor(F.col("s") / anchor))
+    return speech.groupBy("window_id", "stretch").applyInPandas(cut, "window_id string, s long, e long, periods int")
 
 
 def quiet_cuts(energy: np.ndarray, target: int, search: int) -> list[int]:
@@ -108,35 +110,48 @@ def whole_conversations(sizes: list[int], count: int) -> list[int]:
     return [min(cover)[1]] if cover else []
 
 
-def meeting_plans(template: DataFrame, material: DataFrame) -> DataFrame:
+def meeting_plans(template: DataFrame, material: DataFrame, stretch: int = 360_000, shard: int = 512, templates: int = 256) -> DataFrame:
     """Template turns (window_id, speaker, s, e, chars) filled from material (grp, utt, duration, chars) of the group of
-    the same rank: (window_id, speaker, turn, utt, start). Groups are one window or one voice, so they are bounded."""
-    t = template.withColumn("grp", F.dense_rank().over(Window.partitionBy("window_id").orderBy("speaker")))
+    the speaker's rank in the window: (window_id, speaker, stretch, turn, utt, start).
+
+    A template is one speaker's turns in a stretch of ``stretch`` units of a window, with material of one shard of about
+    ``shard`` utterances of its group, drawn by hash; at most about ``templates`` templates meet a copy of a shard. So
+    no task's size follows the number of windows, the length of a window or the material of a voice.
+    """
+    speakers = template.select("window_id", "speaker").distinct()
+    ranked = speakers.withColumn("grp", F.dense_rank().over(Window.partitionBy("window_id").orderBy("speaker")))
+    t = template.join(ranked, ["window_id", "speaker"]).withColumn("stretch", F.floor(F.col("s") / stretch))
+    asked = t.select("window_id", "speaker", "stretch", "grp").distinct().groupBy("grp").agg(F.count("*").alias("asked"))
+    sizes = material.groupBy("grp").agg(F.ceil(F.count("*") / shard).alias("shards")).join(asked, "grp")
+    sizes = broadcast_within(sizes.select("grp", "shards", F.ceil(F.col("asked") / (F.col("shards") * templates)).alias("copies")))
+    pick = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "window_id", "speaker", "stretch"), F.col(n)).alias(name)
+    a = t.join(sizes, "grp").select("grp", pick("shards", "shard"), pick("copies", "copy"), "window_id", "speaker", "stretch", "s", "e", "chars")
+    b = material.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("utt"), F.col("shards")).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "utt", "duration", F.col("chars").alias("size"))
 
     def fill(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         b = b.sort_values("utt")
-        for (window, speaker), g in a.groupby(["window_id", "speaker"], sort=True):
+        durations, sizes, utts = b["duration"].to_numpy(), b["size"].to_numpy(), b["utt"].to_numpy()
+        for (window, speaker, at), g in a.groupby(["window_id", "speaker", "stretch"], sort=True):
             g = g.sort_values(["s", "e"])
-            got = fill_template(list(zip(g["s"] / 100, g["e"] / 100, g["chars"])), b["duration"].to_numpy(), b["chars"].to_numpy(), float(g["e"].max()) / 100 + 5) if len(b) else []
-            out += [(window, speaker, k, int(b["utt"].iloc[i]), float(s)) for k, i, s in got]
-        return pd.DataFrame(out, columns=["window_id", "speaker", "turn", "utt", "start"]).astype({"turn": "int32", "utt": "int64", "start": float})
+            got = fill_template(list(zip(g["s"] / 100, g["e"] / 100, g["chars"])), durations, sizes, float(g["e"].max()) / 100 + 5) if len(b) else []
+            out += [(window, speaker, at, k, int(utts[i]), float(s)) for k, i, s in got]
+        return pd.DataFrame(out, columns=["window_id", "speaker", "stretch", "turn", "utt", "start"]).astype({"stretch": "int64", "turn": "int32", "utt": "int64", "start": float})
 
-    return t.groupBy("grp").cogroup(material.groupBy("grp")).applyInPandas(fill, "window_id string, speaker string, turn int, utt long, start double")
+    cell = ["grp", "shard", "copy"]
+    return a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(fill, "window_id string, speaker string, stretch long, turn int, utt long, start double")
 
 
-def error_components(ref: list[tuple[str, int, int]], hyp: list[tuple[str, int, int]], collar: int = 0) -> tuple[int, int, int, int]:
-    """(missed, false, confused, total) units of speaker time, with the speakers mapped for most agreement; ``collar``
-    units around reference bounds aren't scored."""
-    rs, hs = sorted({r for r, _, _ in ref}), sorted({h for h, _, _ in hyp})
-    events = [(s, 0, n, 1) for n, s, _ in ref] + [(e, 0, n, -1) for n, _, e in ref] + [(s, 1, n, 1) for n, s, _ in hyp] + [(e, 1, n, -1) for n, _, e in hyp]
-    if collar:
-        events += [(x - collar, 2, "", 1) for _, s, e in ref for x in (s, e)] + [(x + collar, 2, "", -1) for _, s, e in ref for x in (s, e)]
+def active_sets(ref: list[tuple[str, int, int]], hyp: list[tuple[str, int, int]], unscored: list[tuple[int, int]]) -> dict[tuple[frozenset, frozenset], int]:
+    """How long each set of reference speakers is active together with each set of hypothesis speakers, outside of the
+    ``unscored`` spans."""
+    spans = [(s, e, 0, n) for n, s, e in ref] + [(s, e, 1, n) for n, s, e in hyp] + [(s, e, 2, "") for s, e in unscored]
+    events = [(s, side, n, 1) for s, e, side, n in spans] + [(e, side, n, -1) for s, e, side, n in spans]
     events.sort(key=lambda v: v[0])
     active: list[dict[str, int]] = [{}, {}, {}]
-    together, lengths, at = np.zeros((len(rs), len(hs))), {}, None
+    lengths, at = {}, None
     for x, side, name, step in events:
-        if at is not None and x > at and not active[2]:
+        if at is not None and x > at and not active[2] and (active[0] or active[1]):
             key = (frozenset(active[0]), frozenset(active[1]))
             lengths[key] = lengths.get(key, 0) + x - at
         at = x
@@ -145,6 +160,13 @@ def error_components(ref: list[tuple[str, int, int]], hyp: list[tuple[str, int,
             active[side][name] = left
         else:
             del active[side][name]
+    return lengths
+
+
+def scored_sets(lengths: dict[tuple[frozenset, frozenset], int]) -> tuple[int, int, int, int]:
+    """(missed, false, confused, total) units of speaker time, with the speakers mapped for most agreement."""
+    rs, hs = sorted({x for r, _ in lengths for x in r}), sorted({y for _, h in lengths for y in h})
+    together = np.zeros((len(rs), len(hs)))
     for (r, h), n in lengths.items():
         for x in r:
             for y in h:
@@ -160,6 +182,40 @@ def error_components(ref: list[tuple[str, int, int]], hyp: list[tuple[str, int,
     return missed, false, confused, total
 
 
+def error_components(ref: list[tuple[str, int, int]], hyp: list[tuple[str, int, int]], collar: int = 0) -> tuple[int, int, int, int]:
+    """``scored_sets`` of two annotations; ``collar`` units around reference bounds aren't scored."""
+    return scored_sets(active_sets(ref, hyp, [(x - collar, x + collar) for _, s, e in ref for x in (s, e)] if collar else []))
+
+
+def diarization(sides: DataFrame, collar: int, shard: int = 360_000) -> DataFrame:
+    """(side, window_id, speaker, s, e) of sides ``ref`` and ``hyp`` -> (window_id, missed, false_alarm, confused, total).
+
+    Spans are cut at multiples of ``shard`` and swept there; a window's mapping needs only how long each pair of speaker
+    sets is active, summed over its shards. So no task holds the turns of a window that is always on.
+    """
+    zones = sides.where("side = 'ref'").select(F.lit("zone").alias("side"), "window_id", F.lit("").alias("speaker"), F.explode(F.array("s", "e")).alias("x"))
+    spans = sides.select("side", "window_id", "speaker", "s", "e")
+    if collar:
+        spans = spans.unionByName(zones.select("side", "window_id", "speaker", (F.col("x") - collar).alias("s"), (F.col("x") + collar).alias("e")))
+    at = spans.select("*", F.explode(F.sequence(F.floor(F.col("s") / shard), F.floor((F.col("e") - 1) / shard))).alias("shard"))
+    base = F.col("shard") * shard
+    at = at.select("window_id", "shard", "side", "speaker", F.greatest("s", base).alias("s"), F.least("e", base + shard).alias("e"))
+
+    def sweep(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        pick = lambda side: [(r.speaker, int(r.s), int(r.e)) for r in p[p["side"] == side].itertuples()]
+        got = active_sets(pick("ref"), pick("hyp"), [(s, e) for _, s, e in pick("zone")])
+        return pd.DataFrame([(key[0], sorted(r), sorted(h), n) for (r, h), n in got.items()], columns=["window_id", "ref", "hyp", "n"])
+
+    sets = at.groupBy("window_id", "shard").applyInPandas(sweep, "window_id string, ref array<string>, hyp array<string>, n long")
+    sums = sets.groupBy("window_id", "ref", "hyp").agg(F.sum("n").alias("n"))
+
+    def score(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        lengths = {(frozenset(r), frozenset(h)): int(n) for r, h, n in zip(p["ref"], p["hyp"], p["n"])}
+        return pd.DataFrame([(key[0], *scored_sets(lengths))], columns=["window_id", "missed", "false_alarm", "confused", "total"])
+
+    return sums.groupBy("window_id").applyInPandas(score, "window_id string, missed long, false_alarm long, confused long, total long")
+
+
 def repeated_lines(t: DataFrame, least_units: int = 4, similarity: float = 0.8) -> DataFrame:
     """(window_id, pairs): neighbouring turns (of the next three) of different speakers that overlap by half of the
     shorter one and say nearly the same."""

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.session import broadcast_within, checkpointed
+
 ROWS_PER_BLOCK = 4096
 
 
@@ -83,30 +85,82 @@ def rest_consistency(rows: DataFrame, key: str, label: str, v: str) -> DataFrame
     return g.select(key, label, F.when(F.col("n") > 1, F.col("d") / F.sqrt(F.col("a") * F.col("b"))).alias("consistency"))
 
 
-def medoids(pairs: DataFrame) -> DataFrame:
-    """(label, a, b, cosine) of pairs in both orders -> (label, medoid, median): the item with the highest median."""
-    m = pairs.groupBy("label", "a").agg(F.round(F.median("cosine"), 6).alias("m"))
-    return m.groupBy("label").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("medoid"), F.max("m").alias("median"))
+BINS = 10_000
 
 
-def cohort_decisions(pairs: DataFrame, least: float = 0.65, share: float = 0.6) -> DataFrame:
-    """(label, a, b, cosine) of pairs in both orders -> each item's decision (label, id, medoid, in_cohort, cohort_share,
-    median, passed), all items being references.
+def similarity_counts(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(id, v, label) on both sides -> (id, label, bin, n): how many rows of the pool of its label, itself aside, have each
+    cosine to a query, in steps of 1 / BINS.
 
-    The cohort of a label are its medoid and the items with at least ``least`` to it. It is consistent with three items
-    or more that are at least ``share`` of the label's. An item passes if its label is consistent, two or more others of
-    the cohort have at least ``least`` to it, and so has their median. A label of fewer than three items has no cohort; one of a single
-    item has no pairs and so no row.
+    Labels are cut into blocks of about ROWS_PER_BLOCK rows; blocks of queries meet blocks of the pool as one matrix
+    product, and only the counts, at most 2 * BINS + 1 a query and block, are passed on. No pairs are listed, so a label
+    with a third of all rows makes more blocks, not a larger task.
+    """
+    q, p = (x.where("v is not null").select("id", "v", "label") for x in (queries, pool))
+    blocks = lambda x, name: x.groupBy("label").agg(F.ceil(F.count("*") / ROWS_PER_BLOCK).alias(name))
+    grid = broadcast_within(blocks(q, "qn").join(blocks(p, "pn"), "label"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = q.join(grid, "label").select("label", own("qn").alias("qb"), every("pn").alias("pb"), F.lit(0).alias("side"), "id", "v")
+    right = p.join(grid, "label").select("label", every("qn").alias("qb"), own("pn").alias("pb"), F.lit(1).alias("side"), "id", "v")
+
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["side"] == 0], group[group["side"] == 1]
+        out = {"id": [np.zeros(0, np.int64)], "bin": [np.zeros(0, np.int64)], "n": [np.zeros(0, np.int64)]}
+        if len(a) and len(b):
+            x, y = (np.stack(s["v"].to_numpy()).astype(np.float64) for s in (a, b))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+            at = np.rint(x @ y.T * BINS).astype(np.int64)
+            others = a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
+            for i, rid in enumerate(a["id"].to_numpy()):
+                bins, n = np.unique(at[i][others[i]], return_counts=True)
+                out["id"].append(np.full(len(bins), rid))
+                out["bin"].append(bins)
+                out["n"].append(n)
+        p = pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
+        return p.assign(label=[key[0]] * len(p))
+
+    schema = f"id long, bin long, n long, label {pool.schema['label'].dataType.simpleString()}"
+    return left.unionByName(right).groupBy("label", "qb", "pb").applyInPandas(count, schema).groupBy("id", "label", "bin").agg(F.sum("n").alias("n"))
+
+
+def count_medians(counts: DataFrame, least: float = 2.0) -> DataFrame:
+    """(id, label, median, peers, good) of ``similarity_counts``: ``good`` of the peers have a cosine of at least ``least``."""
+    sizes = counts.groupBy("id", "label").agg(F.sum("n").alias("peers"), F.sum(F.when(F.col("bin") >= F.lit(round(least * BINS)), F.col("n")).otherwise(0)).alias("good"))
+    w = Window.partitionBy("id", "label").orderBy("bin")
+    seen = counts.withColumn("upto", F.sum("n").over(w)).join(sizes, ["id", "label"])
+    low, high = (F.min(F.when(F.col("upto") >= at, F.col("bin"))) for at in (F.expr("(peers + 1) div 2"), F.expr("peers div 2 + 1")))
+    return seen.groupBy("id", "label").agg(((low + high) / 2.0 / BINS).alias("median"), F.max("peers").alias("peers"), F.max("good").alias("good"))
+
+
+def medoids(candidates: DataFrame, pool: DataFrame) -> DataFrame:
+    """(label, medoid, median): of each label's candidates the one with the highest median cosine, in steps of 1 / BINS, to
+    the other rows of the label; ties go to the smaller id. A label of a single row has none."""
+    m = count_medians(similarity_counts(candidates, pool))
+    return m.groupBy("label").agg(F.max_by("id", F.struct("median", -F.col("id"))).alias("medoid"), F.max("median").alias("median"))
+
+
+def cohort_decisions(candidates: DataFrame, pool: DataFrame, queries: DataFrame, least: float = 0.65, share: float = 0.6) -> DataFrame:
+    """Each query's decision (label, id, medoid, in_cohort, cohort_share, median, passed), all rows being references.
+
+    The medoid is one of the candidates. The cohort of a label are its medoid and the rows with at least ``least`` to it.
+    It is consistent with three rows or more that are at least ``share`` of the label's. A query passes if its label is
+    consistent, two or more others of the cohort have at least ``least`` to it, and so has their median. A label of
+    fewer than three rows has no cohort; one of a single row has no row here.
     """
-    sizes = pairs.groupBy("label").agg((F.count_distinct("a")).alias("n"))
-    center = medoids(pairs).select("label", "medoid")
-    near = pairs.join(center, "label").where((F.col("a") == F.col("medoid")) & (F.col("cosine") >= least)).select("label", F.col("b").alias("member"))
-    cohort = near.unionByName(center.select("label", F.col("medoid").alias("member"))).join(sizes.where("n >= 3").select("label"), "label")
-    labels = sizes.join(center, "label").join(cohort.groupBy("label").agg(F.count("*").alias("size")), "label", "left").select("label", "medoid", "n", F.coalesce("size", F.lit(0)).alias("size"))
-    seen = pairs.join(cohort.select("label", F.col("member").alias("b")), ["label", "b"]).groupBy("label", F.col("a").alias("id")).agg(F.median("cosine").alias("median"), F.count("*").alias("peers"), F.sum((F.col("cosine") >= least).cast("int")).alias("good"))
-    items = pairs.select("label", F.col("a").alias("id")).distinct().join(labels, "label").join(seen, ["label", "id"], "left").join(cohort.select("label", F.col("member").alias("id"), F.lit(True).alias("own")), ["label", "id"], "left")
+    pool = pool.where("v is not null")
+    center = checkpointed(medoids(candidates, pool).select("label", "medoid"))
+    vectors = pool.join(broadcast_within(center), "label").where("id = medoid").select("label", "medoid", unit(F.col("v")).alias("center"))
+    scored = pool.join(broadcast_within(vectors), "label").select("id", "v", "label", "medoid", F.rint(dot(unit(F.col("v")), F.col("center")) * BINS).alias("to"))
+    scored = scored.withColumn("member", (F.col("id") == F.col("medoid")) | (F.col("to") >= least * BINS))
+    labels = scored.groupBy("label").agg(F.max("medoid").alias("medoid"), F.count("*").alias("n"), F.sum(F.col("member").cast("long")).alias("size"))
+    labels = broadcast_within(labels.select("label", "medoid", "n", F.when(F.col("n") >= 3, F.col("size")).otherwise(0).alias("size")))
+    seen = count_medians(similarity_counts(queries, scored.where("member").select("id", "v", "label")), least)
+    own = scored.select("id", "label", "member")
+    items = queries.where("v is not null").select("id", "label").join(own, ["id", "label"]).join(labels, "label").join(seen, ["id", "label"], "left")
+    none = F.col("size") == 0
     passed = (F.col("size") >= 3) & (F.col("size") >= share * F.col("n")) & (F.col("peers") >= 2) & (F.col("median") >= least) & (F.col("good") >= 2)
-    return items.select("label", "id", "medoid", F.coalesce("own", F.lit(False)).alias("in_cohort"), (F.col("size") / F.col("n")).alias("cohort_share"), "median", F.coalesce(passed, F.lit(False)).alias("passed"))
+    return items.select("label", "id", "medoid", (F.col("member") & ~none).alias("in_cohort"), (F.col("size") / F.col("n")).alias("cohort_share"), F.when(~none, F.col("median")).alias("median"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def link_clusters(similarity: np.ndarray, threshold: float, cannot: np.ndarray | None = None) -> list[int]:

@@ -12,10 +12,30 @@ from pyspark.sql import functions as F
 from lakeloom.functions.alignment import batched, indel_similarity, units
 
 BUCKET = 3000
+SHARD = 1 << 18
 
 
-def islands(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Unions of overlapping or touching intervals per key: (keys, s, e)."""
+def _across(rows: DataFrame, keys: list[str], shard: Column, summary: dict[str, Column], after: dict) -> DataFrame:
+    """Rows with ``_shard`` and what ``after`` says of the shards around theirs, as functions of a window over one summary
+    row per shard: no window ever holds more than a shard's rows, or one row per shard."""
+    at = rows.withColumn("_shard", shard)
+    sums = at.groupBy(*keys, "_shard").agg(*[c.alias(n) for n, c in summary.items()])
+    w = Window.partitionBy(*keys).orderBy("_shard")
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shard").alias("_other"), *[c(w).alias(n) for n, c in after.items()])
+    on = F.col("_shard") == F.col("_other")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return at.join(sums, on).drop("_other", *[f"_k{i}" for i in range(len(keys))])
+
+
+def running_total(rows: DataFrame, keys: list[str], shard: Column, order: Column, value: Column, name: str) -> DataFrame:
+    """Rows with the sum of ``value`` of those before them in their key's order; ``shard`` must be monotone in it."""
+    got = _across(rows.withColumn("_v", value), keys, shard, {"_sum": F.sum("_v")}, {"_before": lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    w = Window.partitionBy(*keys, "_shard").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return got.withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_v").over(w), F.lit(0))).drop("_v", "_before", "_shard")
+
+
+def _unions(t: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("s", "e")
     top = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = t.withColumn("new", F.when(F.col("s") <= top, 0).otherwise(1))
@@ -23,6 +43,24 @@ def islands(t: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
+def islands(t: DataFrame, keys: list[str], shard: int | None = SHARD) -> DataFrame:
+    """Unions of overlapping or touching intervals per key: (keys, s, e).
+
+    Unions are made within shards of ``shard`` units; those that touch a shard's edge, at most two a shard, are joined
+    in a second window per key, so a key that is always on makes no task of its size. Without shards keys are bounded.
+    """
+    if shard is None:
+        return _unions(t.select(*keys, "s", "e"), keys)
+    at = t.select(*keys, "s", "e", F.explode(F.sequence(F.floor(F.col("s") / shard), F.floor((F.col("e") - 1) / shard))).alias("_shard"))
+    base = F.col("_shard") * shard
+    local = _unions(at.select(*keys, "_shard", F.greatest("s", base).alias("s"), F.least("e", base + shard).alias("e")), [*keys, "_shard"])
+    part = local.withColumn("_part", F.when((F.col("s") > base) & (F.col("e") < base + shard), F.col("_shard")))
+    w = Window.partitionBy(*keys, "_part").orderBy("s")
+    part = part.withColumn("_new", F.when(F.col("s") == F.lag("e").over(w), 0).otherwise(1))
+    part = part.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "_part", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_part", "_run")
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], margin: int = 0, bucket: int = BUCKET) -> DataFrame:
     """Pairs of rows of ``a`` (columns a_…) and ``b`` (b_…) with equal keys whose intervals, ``a`` widened by
     ``margin``, share time. A pair is taken in the first bucket both touch."""
@@ -65,21 +103,27 @@ def active_spans(t: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, s, e, active): between any two neighbouring bounds how many intervals are active."""
     steps = t.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x"))
     sums = steps.groupBy(*keys, F.col("x.at").alias("s")).agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("s")
-    return sums.select(*keys, "s", F.lead("s").over(w).alias("e"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("active")).where("e is not null")
+    got = _across(sums, keys, F.floor(F.col("s") / SHARD), {"_sum": F.sum("d"), "_first": F.min("s")}, {"_before": lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_next": lambda w: F.lead("_first").over(w)})
+    w = Window.partitionBy(*keys, "_shard").orderBy("s")
+    active = F.coalesce("_before", F.lit(0)) + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return got.select(*keys, "s", F.coalesce(F.lead("s").over(w), "_next").alias("e"), active.alias("active")).where("e is not null")
 
 
 def speaker_change_gaps(t: DataFrame) -> DataFrame:
     """(window_id, gap): time from each turn's end to the next start where another speaker follows; negative if they overlap."""
-    w = Window.partitionBy("window_id").orderBy("s", "e", "turn_id")
-    n = t.withColumn("next_s", F.lead("s").over(w)).withColumn("next_speaker", F.lead("speaker").over(w))
-    return n.where("next_speaker is not null and speaker is not null and next_speaker <> speaker").select("window_id", (F.col("next_s") - F.col("e")).alias("gap"))
+    row = F.struct("s", "e", "turn_id", "speaker")
+    got = _across(t.select("window_id", "s", "e", "turn_id", "speaker"), ["window_id"], F.floor(F.col("s") / SHARD), {"_first": F.min(row)}, {"_next": lambda w: F.lead("_first").over(w)})
+    w = Window.partitionBy("window_id", "_shard").orderBy("s", "e", "turn_id")
+    n = got.withColumn("n", F.coalesce(F.lead(row).over(w), "_next"))
+    return n.where("n.speaker is not null and speaker is not null and n.speaker <> speaker").select("window_id", (F.col("n.s") - F.col("e")).alias("gap"))
 
 
 def self_overlaps(t: DataFrame) -> DataFrame:
     """Turns that start before an earlier turn of their own speaker has ended."""
-    w = Window.partitionBy("window_id", "speaker").orderBy("s", "e", "turn_id").rowsBetween(Window.unboundedPreceding, -1)
-    return t.where("speaker is not null").withColumn("top", F.max("e").over(w)).where("s < top").drop("top")
+    keys = ["window_id", "speaker"]
+    got = _across(t.where("speaker is not null"), keys, F.floor(F.col("s") / SHARD), {"_top": F.max("e")}, {"_before": lambda w: F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    w = Window.partitionBy(*keys, "_shard").orderBy("s", "e", "turn_id").rowsBetween(Window.unboundedPreceding, -1)
+    return got.withColumn("top", F.greatest(F.max("e").over(w), "_before")).where("s < top").drop("top", "_before", "_shard")
 
 
 def first_speech_labels(t: DataFrame) -> DataFrame:
@@ -97,10 +141,8 @@ def frames(t: DataFrame, hop: int, bit: Column) -> DataFrame:
 
 def frame_runs(f: DataFrame) -> DataFrame:
     """(window_id, code, first, last): runs of neighbouring frames of one code."""
-    w = Window.partitionBy("window_id").orderBy("frame")
-    new = F.when((F.col("frame") == F.lag("frame").over(w) + 1) & (F.col("code") == F.lag("code").over(w)), 0).otherwise(1)
-    runs = f.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("window_id", "run", "code").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).drop("run")
+    runs = islands(f.select("window_id", "code", F.col("frame").alias("s"), (F.col("frame") + 1).alias("e")), ["window_id", "code"])
+    return runs.select("window_id", "code", F.col("s").alias("first"), (F.col("e") - 1).alias("last"))
 
 
 def sliding_windows(t: DataFrame, length: int, least_tail: int) -> DataFrame:
@@ -137,7 +179,7 @@ def overlap_categories(t: DataFrame, min_chars: int = 3, backchannel: int = 2) -
     small = pairs.groupBy(F.col("a_turn_id").alias("turn_id")).agg(F.max(F.coalesce("b_chars", F.lit(0))).alias("largest"))
     # The union of the others' shares: pieces clipped to the turn, joined per turn.
     clipped = pairs.select(F.col("a_turn_id").alias("turn_id"), F.greatest("a_s", "b_s").alias("s"), F.least("a_e", "b_e").alias("e"))
-    share = islands(clipped, ["turn_id"]).groupBy("turn_id").agg(F.sum(F.col("e") - F.col("s")).alias("covered"))
+    share = islands(clipped, ["turn_id"], None).groupBy("turn_id").agg(F.sum(F.col("e") - F.col("s")).alias("covered"))
     j = scored.select("turn_id", "s", "e").join(small, "turn_id", "left").join(share, "turn_id", "left")
     part = F.col("covered") / (F.col("e") - F.col("s"))
     return j.select("turn_id", F.when(F.col("largest").isNull(), "none").when(F.col("largest") <= backchannel, "backchannel_only").when(part < 0.3, "light").when(part < 0.7, "medium").otherwise("heavy").alias("category"))

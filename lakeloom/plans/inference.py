@@ -102,13 +102,11 @@ _PARTS = "p AS (SELECT {g} l_suppkey AS key, round(sum((l_discount - l_tax) * l_
 
 def _boot(strata, draws, seed):
     g = "l_linestatus, " if strata else ""
-    part = "PARTITION BY l_linestatus" if strata else ""
     keys = ("l_linestatus",) if strata else ()
-    on = "AND k.l_linestatus = d.l_linestatus" if strata else ""
-    return f"""WITH {_PARTS.format(g=g)}, k AS (SELECT *, row_number() OVER ({part} ORDER BY key) - 1 AS rank, count(*) OVER ({part}) AS size FROM p),
-d AS (SELECT {g} draw, CAST(floor({u_sql(seed, 'boot', *keys, 'draw', 'rank')} * size) AS BIGINT) AS pick FROM (SELECT *, unnest(range(0, {draws})) AS draw FROM k)),
-r AS (SELECT draw, avg(r) AS r FROM (SELECT d.draw, {'d.l_linestatus,' if strata else ''} sum(k.diff) / sum(k.n) AS r FROM d JOIN k ON k.rank = d.pick {on} GROUP BY ALL) GROUP BY draw),
-o AS (SELECT avg(r) AS difference FROM (SELECT {g} sum(diff) / sum(n) AS r FROM k GROUP BY ALL))
+    times = " + ".join(f"(x >= {p!r})::INT" for p in I.POISSON)
+    return f"""WITH {_PARTS.format(g=g)}, d AS (SELECT *, {u_sql(seed, 'boot', *keys, 'draw', 'key')} AS x FROM (SELECT *, unnest(range(0, {draws})) AS draw FROM p)), w AS (SELECT *, {times} AS times FROM d),
+r AS (SELECT draw, avg(r) AS r FROM (SELECT {g} draw, sum(times * diff) / sum(times * n) AS r FROM w WHERE times > 0 GROUP BY ALL) GROUP BY draw),
+o AS (SELECT avg(r) AS difference FROM (SELECT {g} sum(diff) / sum(n) AS r FROM p GROUP BY ALL))
 SELECT round(any_value(o.difference), 6) AS difference, round(quantile_cont(r.r, 0.025), 6) AS low, round(quantile_cont(r.r, 0.975), 6) AS high FROM r, o"""
 
 

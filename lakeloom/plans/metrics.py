@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.alignment import batched, repeated_grams
 from lakeloom.operators import aggregates as A
-from lakeloom.operators.ordering import ordered_positions
+from lakeloom.operators.ordering import ordered_positions, quantiles
 from lakeloom.plans.views import INDEX_SQL, RECORDS_SQL, TIMED_SQL, index, records, timed_records
+from lakeloom.session import checkpointed
 from lakeloom.sources.tables import table
 
 def errors():
@@ -98,8 +99,10 @@ def common_users(spark, d):
 
 def value_spread(spark, d):
     """Spread and interpolated percentiles."""
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(c, 4).alias(n) for c, n in zip(A.spread(v), ["lowest", "highest", "range", "mean", "sd"])], F.round(F.median(v), 4).alias("p50"), F.round(F.percentile(v, 0.9), 4).alias("p90"))
+    e = table(spark, d, "events")
+    at = quantiles(e, ["event_type"], "value", [0.5, 0.9])
+    sums = e.groupBy("event_type").agg(*[F.round(c, 4).alias(n) for c, n in zip(A.spread(F.col("value")), ["lowest", "highest", "range", "mean", "sd"])])
+    return sums.join(at, "event_type").select(*sums.columns, F.round("q0", 4).alias("p50"), F.round("q1", 4).alias("p90"))
 
 
 def nearest_rank_percentile(spark, d):
@@ -178,8 +181,10 @@ def ordered_digest(spark, d):
 def level_report(spark, d):
     """Loudness-like percentiles by task and presence, and the share of empty rows below the p10 of the others."""
     r = timed_records(spark, d).withColumn("empty", F.coalesce(F.trim("target"), F.lit("")) == "")
-    p10 = r.where("not empty").groupBy("task").agg(F.percentile("duration", 0.1).alias("p10"))
-    return r.join(p10, "task").groupBy("task", "empty").agg(F.count("*").alias("n"), F.round(F.percentile("duration", 0.5), 4).alias("p50"), F.round(F.avg((F.col("duration") < F.col("p10")).cast("double")), 6).alias("below"))
+    at = checkpointed(quantiles(r, ["task", "empty"], "duration", [0.1, 0.5]))
+    p10 = F.broadcast(at.where("not empty").select("task", F.col("q0").alias("p10")))
+    sums = r.join(p10, "task").groupBy("task", "empty").agg(F.count("*").alias("n"), F.round(F.avg((F.col("duration") < F.col("p10")).cast("double")), 6).alias("below"))
+    return sums.join(F.broadcast(at.select("task", "empty", "q1")), ["task", "empty"], "left").select("task", "empty", "n", F.round("q1", 4).alias("p50"), "below")
 
 
 def repeated_ngram_share(spark, d):

@@ -36,10 +36,10 @@ def quiet_points(spark, d):
 
 
 def meeting_plan(spark, d):
-    """Windows of one dataset as templates, filled from another's turns."""
-    t = turns(spark, d).where("dataset_id = 'stonecourt' and speaker is not null and chars is not null").select("window_id", "speaker", "s", "e", "chars")
-    m = turns(spark, d).where("dataset_id = 'lanternlecture' and speaker is not null and chars is not null").select(F.expr("cast(substring(speaker, 2) as int)").alias("grp"), F.col("turn_id").alias("utt"), ((F.col("e") - F.col("s")) / 100.0).alias("duration"), "chars")
-    return C.meeting_plans(t, m)
+    """Every window as a template, filled from all turns of the voice of each speaker's rank."""
+    t = turns(spark, d).where("speaker is not null and chars is not null")
+    m = t.select(F.expr("cast(substring(speaker, 2) as int)").alias("grp"), F.col("turn_id").alias("utt"), ((F.col("e") - F.col("s")) / 100.0).alias("duration"), "chars")
+    return C.meeting_plans(t.select("window_id", "speaker", "s", "e", "chars"), m)
 
 
 def room_groups(spark, d):
@@ -55,11 +55,7 @@ def diarization_errors(spark, d):
     x = t.groupBy("turn_id").agg(F.min_by(F.struct("window_id", "speaker", "s", "e"), "ingested_at").alias("first"), F.max_by(F.struct("window_id", "speaker", "s", "e"), "ingested_at").alias("last"))
     sides = x.select(F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("last").alias("t")), F.struct(F.lit("hyp").alias("side"), F.col("first").alias("t")))).alias("u")).select("u.side", "u.t.*")
 
-    def score(p: pd.DataFrame) -> pd.DataFrame:
-        pick = lambda side: [(r.speaker, int(r.s), int(r.e)) for r in p[p["side"] == side].itertuples()]
-        return pd.DataFrame([(p["window_id"].iloc[0], *C.error_components(pick("ref"), pick("hyp"), 25))], columns=["window_id", "missed", "false_alarm", "confused", "total"])
-
-    return sides.groupBy("window_id").applyInPandas(score, "window_id string, missed long, false_alarm long, confused long, total long")
+    return C.diarization(sides, 25)
 
 
 def duplicate_lines(spark, d):
@@ -85,7 +81,9 @@ def latency_metrics(spark, d):
 
 QUERIES = {f.__name__: f for f in [scene_extents, gap_cuts, quiet_points, meeting_plan, room_groups, diarization_errors, duplicate_lines, session_lines, latency_metrics]}
 
+_SPEECH = "SELECT window_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY window_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY window_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM t)) GROUP BY window_id, i"
 SQL = {
+    "gap_cuts": f"WITH RECURSIVE {TURNS_SQL}, speech AS ({_SPEECH}), k AS (SELECT *, s // 360000 AS h, row_number() OVER (PARTITION BY window_id, s // 360000 ORDER BY s) AS i FROM speech), r AS (SELECT window_id, h, i, s AS first, e AS last FROM k WHERE i = 1 UNION ALL SELECT k.window_id, k.h, k.i, CASE WHEN k.e - r.first <= 3000 THEN r.first ELSE k.s END, k.e FROM r JOIN k ON k.window_id = r.window_id AND k.h = r.h AND k.i = r.i + 1) SELECT window_id, first AS s, max(last) AS e, CAST(count(*) AS INTEGER) AS periods FROM r GROUP BY window_id, h, first",
     "scene_extents": f"WITH {TURNS_SQL}, p AS (SELECT window_id, speaker, sum((e - s) / 100) AS total, count(*) AS n FROM t WHERE speaker IS NOT NULL GROUP BY ALL) SELECT window_id, round(CASE WHEN length(window_id) % 2 = 0 THEN sum(total) + 0.5 * (sum(n) - 1) ELSE max(total + 0.5 * (n - 1)) END, 3) AS extent FROM p GROUP BY window_id",
     "room_groups": r"SELECT room, count(*) AS positions FROM (SELECT DISTINCT cut_id, regexp_extract(cut_id, '^(.*\d{3})\d{2}$', 1) AS room FROM audio_index) WHERE room <> '' GROUP BY room HAVING count(*) >= 3",
     "session_lines": rf"WITH {RECORDS_SQL}, l AS (SELECT id, unnest(string_split(target, chr(10))) AS line, generate_subscripts(string_split(target, chr(10)), 1) - 1 AS pos FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL), h AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\[S\d+\]\[\d') THEN pos END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS head FROM l) SELECT id, head, string_agg(line, ' ' ORDER BY pos) AS text FROM h WHERE head IS NOT NULL GROUP BY ALL",

@@ -37,7 +37,7 @@ def bigram_jaccard(spark, d):
 def word_overlap(spark, d):
     """X6, X24, X40, X5."""
     p = _pairs(spark, d)
-    return p.select("turn_id", F.round(X.content_overlap(F.col("text"), F.col("other"), STOP), 6).alias("overlap"), X.contains_tokens(F.lower("other"), F.lit("the")).alias("has_the"), X.bare(F.col("text")).alias("bare"), X.presence(F.regexp_replace("text", "^[a-m].*", ""), F.regexp_replace("other", "^[a-m].*", "")).alias("presence"))
+    return p.select("turn_id", F.round(X.content_overlap(F.col("text"), F.col("other"), STOP), 6).alias("overlap"), X.contains_tokens(F.lower("other"), F.lit("the")).alias("has_the"), X.bare(F.col("text")).alias("bare"), X.presence(X.units(F.regexp_replace("other", "^[a-m].*", "")), X.units(F.regexp_replace("text", "^[a-m].*", ""))).alias("presence"))
 
 
 def output_parsing(spark, d):
@@ -48,13 +48,16 @@ def output_parsing(spark, d):
 
 
 def hotword_scores(spark, d):
-    """Hotwords of records against their targets."""
-    r = records(spark, d).where("size(hotwords) > 0 and target is not null")
-    prompt = F.concat(F.lit("Transcribe.\nHotwords: "), F.array_join("hotwords", ", "))
-    x = r.select("id", "target", F.array_distinct("hotwords").alias("words"), X.prompt_hotwords(prompt).alias("prompted"))
-    wanted = F.filter("words", lambda w: F.contains(F.col("target"), w))
-    x = x.withColumn("wanted", wanted)
-    return x.select("id", F.size("prompted").alias("prompted"), F.round(X.set_f1(F.col("words"), F.col("wanted")), 6).alias("f1"), F.round(X.hotword_reward(F.col("target"), F.slice("wanted", 1, 2), F.col("words")), 6).alias("reward"), F.round(X.candidate_accuracy(F.col("target"), F.substring(F.col("target"), 1, 20), F.col("words")), 6).alias("candidates"))
+    """Outputs of all records with a target, in which the first offered word is missing and the
+    last one is added. Records without hotwords have no reward; some outputs have no offered word, some no spoken one."""
+    r = records(spark, d).where("target is not null")
+    prompt = F.concat(F.lit("Transcribe.\nHotwords: "), F.coalesce(F.array_join("hotwords", ", "), F.lit("N/A")))
+    offered = F.coalesce(F.array_distinct("hotwords"), X.empty())
+    x = r.select("id", "target", offered.alias("words"), X.prompt_hotwords(prompt).alias("prompted"))
+    first, last = F.coalesce(F.get("words", F.lit(0)), F.lit("")), F.coalesce(F.get("words", F.size("words") - 1), F.lit(""))
+    cut = F.when(first == "", F.col("target")).otherwise(F.replace("target", first, F.lit("")))
+    x = x.withColumn("said", F.concat(cut, F.lit(" "), last)).withColumn("wanted", F.filter("words", lambda w: F.contains(F.col("target"), w)))
+    return x.select("id", F.size("prompted").alias("prompted"), F.round(X.set_f1(F.col("words"), F.col("wanted")), 6).alias("f1"), F.round(X.hotword_reward(F.col("said"), F.col("target"), F.col("words")), 6).alias("reward"), F.round(X.candidate_accuracy(F.col("said"), F.col("target"), F.col("words")), 6).alias("candidates"))
 
 
 def hotword_languages(spark, d):
@@ -169,6 +172,7 @@ def correction_outcomes(spark, d):
 QUERIES = {f.__name__: f for f in [cer_pairs, bigram_jaccard, word_overlap, output_parsing, hotword_scores, hotword_languages, hotword_retrieval, turn_parsing, target_views, sizes, backchannel_ladder, loop_flags, unit_accuracy, fuzzy_scores, speaker_errors, correction_outcomes]}
 
 _PAIRS = f"{TURNS_SQL}, l AS (SELECT turn_id, text, lead(text) OVER (PARTITION BY window_id ORDER BY s, e, turn_id) AS other FROM t WHERE text IS NOT NULL), p AS (SELECT * FROM l WHERE other IS NOT NULL)"
+_UNITS = r"regexp_extract_all(lower({x}), '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[a-z0-9\x{{00df}}-\x{{024f}}]+(?:''[a-z0-9\x{{00df}}-\x{{024f}}]+)*')"
 _GRAMS = "list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
 _JACCARD = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
 _LINES = r"""r AS (SELECT id, target, audio_slots[1].ref.duration AS total FROM records WHERE regexp_matches(target, '^\[S\d+\]\[\d+\.\d+-\d+\.\d+\] ')),
@@ -177,13 +181,15 @@ lines AS (SELECT id, total, pos, l, regexp_matches(l, '^\[S\d+\]\[\d+(\.\d+)?-\d
 SQL = {
     "bigram_jaccard": f"WITH {_PAIRS}, g AS (SELECT turn_id, {_GRAMS.format(x='lower(text)')} AS a, {_GRAMS.format(x='lower(other)')} AS b FROM p) SELECT turn_id, round({_JACCARD.format(a='a', b='b')}, 6) AS j FROM g",
     "word_overlap": rf"""WITH {_PAIRS}, x AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), lambda w: w NOT IN ('the', 'a', 'of', 'we', 'i', 'to', 'in')) AS w, regexp_split_to_array(lower(other), '\s+') AS o, regexp_replace(text, '^[a-m].*', '') AS h, regexp_replace(other, '^[a-m].*', '') AS f FROM p)
-SELECT turn_id, CASE WHEN len(w) > 0 THEN round(len(list_intersect(w, o)) / len(w), 6) ELSE 0.0 END AS overlap, contains(' ' || lower(other) || ' ', ' the ') AS has_the, lower(regexp_replace(text, '[\p{{P}}\p{{Z}}\p{{S}}]', '', 'g')) AS bare, CASE WHEN (trim(h) <> '') = (trim(f) <> '') THEN 1 WHEN trim(h) <> '' THEN -1 ELSE 0 END AS presence FROM x""",
+SELECT turn_id, CASE WHEN len(w) > 0 THEN round(len(list_intersect(w, o)) / len(w), 6) ELSE 0.0 END AS overlap, contains(' ' || lower(other) || ' ', ' the ') AS has_the, lower(regexp_replace(text, '[\p{{P}}\p{{Z}}\p{{S}}]', '', 'g')) AS bare, CASE WHEN len({_UNITS.format(x='h')}) = 0 THEN CASE WHEN len({_UNITS.format(x='f')}) = 0 THEN 1 ELSE -1 END WHEN len({_UNITS.format(x='f')}) = 0 THEN -1 ELSE 0 END AS presence FROM x""",
     "output_parsing": "SELECT p_partkey, p_name AS said, p_size % 3 <> 0 AS formed, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS transcription, p_brand AS hotwords, round(CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END / 3, 6) AS reward FROM part",
-    "hotword_scores": f"""WITH {RECORDS_SQL}, x AS (SELECT id, target, list_distinct(hotwords) AS words, len(list_filter(list_transform(hotwords, lambda w: trim(w)), lambda w: w <> '' AND w <> 'N/A')) AS prompted, list_filter(list_transform(range(1, len(hotwords) + 1), lambda i: CASE WHEN list_position(hotwords, hotwords[i]) = i AND contains(target, hotwords[i]) THEN hotwords[i] END), lambda w: w IS NOT NULL) AS wanted FROM records WHERE len(hotwords) > 0 AND target IS NOT NULL),
-y AS (SELECT *, wanted[1:2] AS two FROM x)
+    "hotword_scores": f"""WITH {RECORDS_SQL}, x AS (SELECT id, target, coalesce(list_filter(list_transform(range(1, len(hotwords) + 1), lambda i: CASE WHEN list_position(hotwords, hotwords[i]) = i THEN hotwords[i] END), lambda w: w IS NOT NULL), []::VARCHAR[]) AS words, coalesce(len(list_filter(list_transform(hotwords, lambda w: trim(w)), lambda w: w <> '' AND w <> 'N/A')), 0) AS prompted FROM records WHERE target IS NOT NULL),
+y AS (SELECT *, CASE WHEN coalesce(words[1], '') = '' THEN target ELSE replace(target, words[1], '') END || ' ' || coalesce(words[-1], '') AS said, list_filter(words, lambda w: contains(target, w)) AS wanted FROM x),
+z AS (SELECT *, ' ' || array_to_string({_UNITS.format(x='said')}, ' ') || ' ' AS h, ' ' || array_to_string({_UNITS.format(x='target')}, ' ') || ' ' AS r, list_filter(list_transform(words, lambda w: ' ' || array_to_string({_UNITS.format(x='w')}, ' ') || ' '), lambda w: w <> '  ') AS listed FROM y),
+n AS (SELECT *, len(list_filter(listed, lambda w: contains(r, w))) AS spoken, len(list_filter(listed, lambda w: contains(r, w) AND contains(h, w))) AS hits, len(list_filter(listed, lambda w: NOT contains(r, w) AND contains(h, w))) AS wrong FROM z)
 SELECT id, prompted, CASE WHEN len(words) + len(wanted) = 0 THEN 1.0 ELSE round(2.0 * len(wanted) / (len(words) + len(wanted)), 6) END AS f1,
- round(CASE WHEN len(two) > 0 THEN 1.0 ELSE 0.0 END - least(1.0, len(list_filter(words, lambda w: NOT list_contains(two, w) AND contains(target, w))) / greatest(1, len(two))), 6) AS reward,
- CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w: contains(target, w) = contains(substr(target, 1, 20), w))) / len(words), 6) ELSE 1.0 END AS candidates FROM y""",
+ CASE WHEN len(words) > 0 THEN round(CASE WHEN spoken > 0 THEN hits / spoken ELSE 1.0 END - least(1.0, wrong / greatest(1, spoken)), 6) END AS reward,
+ CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w: contains(target, w) = contains(said, w))) / len(words), 6) ELSE 1.0 END AS candidates FROM n""",
     "hotword_languages": rf"WITH {RECORDS_SQL}, w AS (SELECT unnest(hotwords) AS w FROM records) SELECT CASE WHEN regexp_matches(w, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' WHEN regexp_matches(w, '[\x{{ac00}}-\x{{d7af}}]') THEN 'ko' WHEN regexp_matches(w, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' WHEN regexp_matches(w, '[A-Za-z]') THEN 'en' ELSE 'other' END AS script, CASE WHEN length(w) > 0 THEN length(regexp_replace(w, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) / length(w) ELSE 0 END >= 0.3 AS dominant, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY ALL",
     "hotword_retrieval": f"""WITH {RECORDS_SQL}, r AS (SELECT * FROM records WHERE language = 'zh' AND target IS NOT NULL), pool AS (SELECT * FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS word FROM r) WHERE length(word) >= 2),
 tg AS (SELECT id, dataset_id, target, {_GRAMS.format(x='target')} AS g FROM r), wg AS (SELECT *, {_GRAMS.format(x='word')} AS h FROM pool),

@@ -124,9 +124,8 @@ def segment_bounds(spark, d):
 
 def cursor_placement(spark, d):
     """Turns laid end to end with a gap of half a second, in hash order."""
-    t = turns(spark, d)
-    w = Window.partitionBy("window_id").orderBy(F.sha2(F.col("turn_id").cast("string"), 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return t.select("turn_id", F.coalesce(F.sum(F.col("e") - F.col("s") + 50).over(w), F.lit(0)).alias("placed"))
+    t = turns(spark, d).select("turn_id", "window_id", "s", "e", F.sha2(F.col("turn_id").cast("string"), 256).alias("h"))
+    return L.running_total(t, ["window_id"], F.substring("h", 1, 2), F.col("h"), F.col("e") - F.col("s") + 50, "placed").select("turn_id", "placed")
 
 
 def mixture_timing(spark, d):

@@ -65,8 +65,10 @@ def test_scene_functions():
 
 def test_gap_windows(spark):
     t = spark.createDataFrame([("w", i, s, e) for i, (s, e) in enumerate([(0, 10), (5, 20), (30, 40), (50, 300), (310, 320)])], "window_id string, turn_id long, s long, e long")
-    got = [(r["s"], r["e"], r["turns"]) for r in C.gap_windows(t, 45).orderBy("cut").collect()]
-    assert got == [(0, 40, 3), (50, 300, 1), (310, 320, 1)]
+    got = [(r["s"], r["e"], r["periods"]) for r in C.gap_windows(t, 45).orderBy("s").collect()]
+    assert got == [(0, 40, 2), (50, 300, 1), (310, 320, 1)]
+    got = [(r["s"], r["e"], r["periods"]) for r in C.gap_windows(t, 45, anchor=20).orderBy("s").collect()]
+    assert got == [(0, 20, 1), (30, 40, 1), (50, 300, 1), (310, 320, 1)]
 
 
 def test_clusters():
@@ -253,13 +255,13 @@ def test_source_draws_cover_every_record(spark):
 
 def test_cohort_decisions_against_the_definition(spark):
     rng = np.random.default_rng(4)
-    pairs, want = [], {}
+    rows, want = [(900, None, 0), (901, None, 7)], {}
     for label, n in enumerate([2, 3, 4, 8, 9, 7]):
         x = np.array([1.0, 0, 0, 0]) + rng.normal(0, 0.25 + 0.1 * label, (n, 4))
         x[: n // 4] = rng.normal(0, 1, (n // 4, 4))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sim = x @ x.T
-        pairs += [(label, i, j, float(sim[i, j])) for i in range(n) for j in range(n) if i != j]
+        sim = np.rint(x @ x.T * 10_000) / 10_000
+        rows += [(100 * label + i, x[i].tolist(), label) for i in range(n)]
         cohort = []
         if n >= 3:
             scores = sim.copy()
@@ -269,12 +271,74 @@ def test_cohort_decisions_against_the_definition(spark):
         for i in range(n):
             refs = [j for j in cohort if j != i]
             ok = len(cohort) >= 3 and len(cohort) >= 0.6 * n and len(refs) >= 2 and np.median(sim[i, refs]) >= 0.65 and (sim[i, refs] >= 0.65).sum() >= 2
-            want[label, i] = (i in cohort, bool(ok))
-    found = Y.cohort_decisions(spark.createDataFrame(pairs, "label int, a int, b int, cosine double")).collect()
+            want[label, 100 * label + i] = (i in cohort, bool(ok))
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    found = Y.cohort_decisions(df, df, df).collect()
     assert {(r["label"], r["id"]): (r["in_cohort"], r["passed"]) for r in found} == want
     assert len({ok for _, ok in want.values()}) == 2
 
 
+def test_timelines_across_shards(spark, monkeypatch):
+    """Islands, activity, gaps and overlaps with shards far shorter than the spans, against sweeps over all units."""
+    from lakeloom.operators import timeline as L
+
+    rng = np.random.default_rng(9)
+    rows = [(w, f"S{rng.integers(1, 3)}", i, int(s), int(s + n)) for w in ("a", "b") for i, (s, n) in enumerate(zip(rng.integers(-30, 400, 60), rng.choice([1, 2, 5, 40, 90], 60)))]
+    t = spark.createDataFrame(rows, "window_id string, speaker string, turn_id int, s long, e long")
+    monkeypatch.setattr(L, "SHARD", 16)
+    on = {w: {x for v, _, _, s, e in rows if v == w for x in range(s, e)} for w in ("a", "b")}
+    for shard in (16, None):
+        got = [(r["window_id"], r["s"], r["e"]) for r in L.islands(t, ["window_id"], shard).collect()]
+        assert {w: {x for v, s, e in got if v == w for x in range(s, e)} for w in on} == on
+        assert all(s - 1 not in on[w] and e not in on[w] for w, s, e in got)
+    active = {(r["window_id"], r["s"]): (r["e"], r["active"]) for r in L.active_spans(t, ["window_id"]).collect()}
+    for (w, s), (e, n) in active.items():
+        assert all(sum(a <= x < b for v, _, _, a, b in rows if v == w) == n for x in range(s, e))
+    assert sum(e - s for (w, s), (e, n) in active.items() if n) == sum(map(len, on.values()))
+    order = {w: sorted((s, e, i, who) for v, who, i, s, e in rows if v == w) for w in on}
+    assert sorted((r["window_id"], r["gap"]) for r in L.speaker_change_gaps(t).collect()) == sorted((w, y[0] - x[1]) for w, o in order.items() for x, y in zip(o, o[1:]) if x[3] != y[3])
+    late = {(w, i) for w, o in order.items() for k, (s, e, i, who) in enumerate(o) if any(b > s for a, b, _, p in o[:k] if p == who)}
+    assert {(r["window_id"], r["turn_id"]) for r in L.self_overlaps(t).collect()} == late
+    total = L.running_total(t, ["window_id"], F.floor(F.col("turn_id") / 7), F.col("turn_id"), F.col("e") - F.col("s"), "before")
+    assert {(r["window_id"], r["turn_id"]): r["before"] for r in total.collect()} == {(w, i): sum(e - s for v, _, j, s, e in rows if v == w and j < i) for w, _, i, _, _ in rows}
+
+
+def test_diarization_across_shards(spark):
+    rng = np.random.default_rng(10)
+    spans = lambda: [(f"S{rng.integers(1, 4)}", int(s), int(s + n)) for s, n in zip(rng.integers(0, 900, 25), rng.integers(1, 120, 25))]
+    ref, hyp = spans(), spans()
+    rows = [("ref", "w", *x) for x in ref] + [("hyp", "w", *x) for x in hyp] + [("hyp", "v", "S1", 0, 10)]
+    df = spark.createDataFrame(rows, "side string, window_id string, speaker string, s long, e long")
+    for collar in (0, 7):
+        got = {r["window_id"]: tuple(r)[1:] for r in C.diarization(df, collar, shard=50).collect()}
+        assert got == {"w": C.error_components(ref, hyp, collar), "v": (0, 10, 0, 0)}
+
+
+def test_meeting_plans(spark):
+    """Each template is filled in its own time with material of its group, none twice in one template."""
+    t = spark.createDataFrame([(f"w{i}", f"S{k}", j * 1000, j * 1000 + 600, 10) for i in range(30) for k in (1, 2) for j in range(5)], "window_id string, speaker string, s long, e long, chars int")
+    m = spark.createDataFrame([(1 + i % 2, i, 1.0 + i % 7, 9) for i in range(200)], "grp int, utt long, duration double, chars int")
+    got = C.meeting_plans(t, m, shard=40, templates=5).toPandas()
+    assert got.groupby(["window_id", "speaker"]).ngroups == 60 and not got.duplicated(["window_id", "speaker", "utt"]).any()
+    assert ((got["utt"] % 2 + 1) == got["speaker"].str[1:].astype(int)).all() and (got["start"] >= got["turn"] * 10).all()
+    assert C.meeting_plans(t, m.limit(0)).count() == 0
+
+
+def test_quantiles_and_bootstrap(spark):
+    from lakeloom.operators import inference as I
+    from lakeloom.operators.ordering import quantiles
+
+    rows = spark.createDataFrame([("a", float(x)) for x in [5, 1, 4, 4, 9]] + [("b", None), ("c", 7.0), (None, 1.0), (None, 2.0)], "g string, v double")
+    assert {r["g"]: (r["q0"], r["q1"]) for r in quantiles(rows, ["g"], "v", [0.5, 0.9]).collect()} == {"a": (4.0, 7.4), "c": (7.0, 7.0), None: (1.5, 1.9)}
+    assert quantiles(rows.limit(0), [], "v", [0.5]).first()["q0"] is None
+    rng = np.random.default_rng(3)
+    diff = rng.normal(0.1, 1, 400)
+    k = spark.createDataFrame([(i, float(x), 1.0) for i, x in enumerate(diff)], "key int, diff double, n double")
+    r = I.paired_bootstrap(k, 300, 5).first()
+    half = 1.96 * diff.std() / 20
+    assert abs(r["difference"] - diff.mean()) < 1e-9 and abs(r["low"] - (diff.mean() - half)) < 0.03 and abs(r["high"] - (diff.mean() + half)) < 0.03
+
+
 def test_record_sources_reach_the_end(spark, tmp_path):
     from lakeloom.plans.timeline import record_sources
 
