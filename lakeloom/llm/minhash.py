@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHINGLE, BANDS, ROWS, SEED = 3, 48, 4, 20260214
+SHINGLE, BANDS, ROWS, SEED = 3, 64, 5, 20260214
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from lakeloom.functions.catalog import catalogue_names, spelling, split_groups
 from lakeloom.functions.text import char_ngrams, jaccard
 from lakeloom.llm.minhash import SHINGLE, band_keys, count_sketches, parity_sketches
 from lakeloom.operators.intervals import to_units
-from lakeloom.session import broadcast_within, checkpointed
+from lakeloom.session import broadcast_within, checkpointed, stored
 from lakeloom.sources.tables import table
 
 LEAST_CHARS, PART_EDITED = 40, 10
@@ -78,13 +78,13 @@ def _comparable_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def prepared(records: DataFrame, catalog: DataFrame) -> DataFrame:
-    """What is compared, read and normalised once and checkpointed: ``with_roles`` with ``norm``, the comparable text of at
+    """What is compared, read and normalised once and written to the shared folder: ``with_roles`` with ``norm``, the comparable text of at
     least LEAST_CHARS characters or null, in place of ``target``, and two keys of it."""
     rows = with_roles(records, catalog)
     schema = "id string, train boolean, norm string, spans array<struct<cut: string, start: long, end: long>>, catalogue_id string, version string, split string"
     made = rows.mapInArrow(_comparable_batches, schema)
     k1 = F.expr("(xxhash64(norm) & -65536L) | least(length(norm), 65535)")
-    return checkpointed(made.withColumn("k1", F.when(F.col("norm").isNotNull(), k1)).withColumn("k2", F.when(F.col("norm").isNotNull(), F.xxhash64(F.lit("second"), "norm"))))
+    return stored(made.withColumn("k1", F.when(F.col("norm").isNotNull(), k1)).withColumn("k2", F.when(F.col("norm").isNotNull(), F.xxhash64(F.lit("second"), "norm"))))
 
 
 def _bits_apart(words: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def text_classes(rows: DataFrame, exact: bool = False) -> DataFrame:
     of similar length instead, which finds every pair at a cost that grows with the square. The edit distance decides.
     Keys only lead to texts; texts that share one are all compared.
     """
-    distinct = rows.where("norm is not null").groupBy("norm", "k1", "k2").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
+    distinct = stored(rows.where("norm is not null").groupBy("norm", "k1", "k2").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")))
     near = _celled(distinct) if exact else _banded(distinct)
     left = distinct.where("in_train").select(F.col("k1").alias("ka"), F.col("k2").alias("ka2"), F.col("norm").alias("x"))
     right = distinct.where("in_eval").select(F.col("k1").alias("kb"), F.col("k2").alias("kb2"), F.col("norm").alias("y"))
@@ -190,8 +190,10 @@ def audio_matches(sides: DataFrame, carry: list[str]) -> DataFrame:
 
     Spans meet per cut in buckets of time: the longer of two in buckets of its own level, a minute and 64 times as much
     from level to level, so none lies in more than 65 and a long recording with many spans doesn't pair all of them. A
-    pair is taken in the first bucket both touch. Only the levels that occur are listed.
+    pair is taken in the first bucket both touch. Only the levels that occur are listed, and only cuts of both sides.
     """
+    cuts = sides.groupBy("cut").agg(F.max("train").alias("known"), F.max(~F.col("train")).alias("asked")).where("known and asked").select("cut")
+    sides = stored(sides.join(broadcast_within(cuts, 200_000), "cut", "left_semi"))
     a_b = [[F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in carry] for s in ("a", "b")]
     out = a_b[0] + a_b[1]
     level = lambda n: sum((F.when(n > BUCKET_MS * BUCKET_STEP ** (k + 1), 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
@@ -231,7 +233,7 @@ def audio_sides(rows: DataFrame, *keep: str) -> DataFrame:
 
 def audio_pairs(rows: DataFrame) -> DataFrame:
     """(train_id, eval_id) of ``prepared`` rows whose slots match in ``audio_matches``."""
-    return audio_matches(audio_sides(rows, "id").distinct(), ["id"]).select(F.col("a_id").alias("train_id"), F.col("b_id").alias("eval_id"))
+    return audio_matches(audio_sides(rows, "id"), ["id"]).select(F.col("a_id").alias("train_id"), F.col("b_id").alias("eval_id"))
 
 
 def cross_split_pairs(records: DataFrame, catalog: DataFrame, exact: bool = False) -> DataFrame:

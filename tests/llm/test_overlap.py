@@ -112,7 +112,7 @@ def test_recall_of_bands():
     got = {share: met([scattered(t, share) for t in base]) for share in (0.05, 0.07, 0.08, 0.09, 0.1)}
     even = met(["".join("0" if i % 10 == 5 else c for i, c in enumerate(t)) for t in base])
     print(got, even)
-    assert got[0.05] == 1 and got[0.07] >= 0.998 and got[0.08] >= 0.995 and got[0.09] >= 0.99 and got[0.1] >= 0.98 and even >= 0.93
+    assert got[0.05] == 1 and got[0.07] >= 0.995 and got[0.08] >= 0.99 and got[0.09] >= 0.98 and got[0.1] >= 0.95 and even >= 0.9
 
 
 def test_sketches_rule_no_pair_out():
@@ -150,4 +150,4 @@ def test_copies_and_empties(spark):
 
 def test_band_keys():
     k = band_keys(["abcdefgh" * 9, "abcdefgh" * 9, "zyxwvuts" * 9, "a", ""])
-    assert (k[0] == k[1]).all() and not (k[0] == k[2]).any() and k.shape == (5, 48) and band_keys([]).shape == (0, 48)
+    assert (k[0] == k[1]).all() and not (k[0] == k[2]).any() and k.shape == (5, 64) and band_keys([]).shape == (0, 64)
