@@ -48,8 +48,27 @@ def distance_table(ref: list, hyp: list, free_ends: bool = False) -> np.ndarray:
     return d
 
 
+def _last_row(ref: list, hyp: list, free_ends: bool) -> list[int]:
+    """Edit distances of the whole reference to every prefix of the hypothesis, one word of differences a column."""
+    n, at = len(ref), {}
+    for i, x in enumerate(ref):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n >> 1
+    up, down, score = full, 0, n
+    out = [n]
+    for x in hyp:
+        same = at.get(x, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(level | up)), up & level
+        score += bool(more & top) - bool(less & top) if n else not free_ends
+        more, less = (more << 1 | (not free_ends)) & full, less << 1 & full
+        up, down = less | (full & ~(level | more)), more & level
+        out.append(score)
+    return out
+
+
 def edit_distance(ref: list, hyp: list) -> int:
-    return int(distance_table(ref, hyp)[-1, -1])
+    return _last_row(ref, hyp, False)[-1]
 
 
 def accuracy(ref: str | None, hyp: str | None) -> float:
@@ -67,7 +86,7 @@ def repeated_grams(text: str, n: int = 8) -> float:
 
 def semi_global(ref: list, hyp: list) -> int:
     """The least edits between the reference and any stretch of the hypothesis."""
-    return int(distance_table(ref, hyp, True)[-1].min())
+    return min(_last_row(ref, hyp, True))
 
 
 def lcs_ratio(a: list, b: list) -> float:
@@ -125,6 +144,18 @@ def aligned_span(ref: list, hyp: list, start: int, end: int) -> list:
     return [hyp[j] for op, i, j in alignment(ref, hyp) if op in ("=", "sub") and start <= i < end or op == "ins" and start < i < end]
 
 
+def target_outcome(ref: list, hyp: list, start: int, end: int, alt: list) -> str:
+    """``gold`` if the hypothesis has the reference's own units at [start, end), ``alt`` if it has the confusable ones that
+    the context rules out (none if empty), else ``other``."""
+    written = aligned_span(ref, hyp, start, end)
+    return "gold" if written == ref[start:end] else "alt" if alt and written == alt else "other"
+
+
+def context_score(outcomes: list[str]) -> float | None:
+    """The mean over targets of 1 for gold, -1 for alt and 0 for other; None without targets."""
+    return sum((o == "gold") - (o == "alt") for o in outcomes) / len(outcomes) if outcomes else None
+
+
 def charged_edits(ref_owners: list, ref: list, hyp: list) -> dict:
     """Edits per owner of the reference tokens; an insertion is charged to the owner before it, or the first."""
     out = {o: 0 for o in ref_owners}
@@ -177,6 +208,71 @@ def speaker_mapping(ref: dict[str, list], hyp: dict[str, list]) -> tuple[dict[st
     return kept, total
 
 
+# Words that carry no content, weights of the score, penalties by length, and thresholds.
+STOPWORDS = frozenset("a an the of in on at to for and or is was are were be been has had do did not no but by with from as it its he she we they his her my this that which who what how all each".split())
+PENALTY = {3: 0.35, 4: 0.20, 5: 0.10}
+LEAST_SIMILAR, LEAST_COMMON, LEAST_RATIO = 0.65, 0.60, 1.30
+
+
+def partial_similarity(word: str, text: str) -> float:
+    """The best indel similarity of the shorter text to a stretch of the longer one, of its length or cut off at an end."""
+    short, long = (word, text) if len(word) <= len(text) else (text, word)
+    n = len(short)
+    if not n:
+        return 0.0
+    inside = [long[i : i + n] for i in range(len(long) - n + 1)]
+    ends = [long[:i] for i in range(1, n)] + [long[-i:] for i in range(1, n)]
+    return max(indel_similarity(short, x) for x in inside + ends)
+
+
+def common_share(word: str, text: str) -> float:
+    """The longest common subsequence by the word's length."""
+    return indel_similarity(word, text) * (len(word) + len(text)) / 2 / len(word) if word and text else 0.0
+
+
+def content_share(word: str, text: str) -> float:
+    """The share of a word's parts that carry content and are words of the text; of one without any 1 if all are there."""
+    parts, known = set(word.split()), set(text.split())
+    content = parts - STOPWORDS
+    return len(content & known) / len(content) if content else float(bool(parts) and parts <= known)
+
+
+def alphabetic_score(word: str, text: str) -> tuple[float, float, float, float, bool, int]:
+    """(score, similarity, common share, content share, contained, length) of a hotword for an alphabetic text."""
+    w, t = strip_accents(word), strip_accents(text)
+    bare, plain = w.replace(" ", ""), t.replace(" ", "")
+    shares = content_share(w, t), partial_similarity(bare, plain), common_share(bare, plain)
+    contained = bool(bare) and bare in plain
+    score = 3.0 * contained + 2.0 * shares[0] + 1.5 * shares[1] + 0.5 * shares[2] - PENALTY.get(max(3, len(bare)), 0.0)
+    return score, shares[1], shares[2], shares[0], contained, len(bare)
+
+
+def _verified(word: str, similar: float, common: float, content: float, contained: bool, n: int) -> bool:
+    if n <= 4:
+        return contained or content >= 1
+    if content >= 0.8 or contained:
+        return True
+    strict = n == 5 and content == 0
+    if similar < (0.75 if strict else LEAST_SIMILAR) or common < (0.70 if strict else LEAST_COMMON):
+        return False
+    several = len((strip_accents(word) or "").split()) >= 2 and content < 0.01
+    return not several or (similar >= 0.80 and common >= 0.75)
+
+
+def alphabetic_hotwords(words: list[str], text: str | None, most: int = 16) -> list[str]:
+    """The listed words a text supports, best first, at most ``most``; the first of the list for an empty text.
+
+    None if the best of ten or more scores less than LEAST_RATIO times the tenth: then nothing stands out. Short words
+    must be there, longer ones be similar enough. Equal scores keep the list's order.
+    """
+    if not text or not text.strip():
+        return words[:most]
+    scored = sorted(((alphabetic_score(w, text), w) for w in words), key=lambda x: -x[0][0])
+    if len(scored) >= 10 and scored[9][0][0] > 0 and scored[0][0][0] / scored[9][0][0] < LEAST_RATIO:
+        return []
+    return [w for s, w in scored if _verified(w, *s[1:])][:most]
+
+
 def batched(f: Callable, kind: str):
     """A scalar function of one or two values as an Arrow-batched column function; null arguments give null."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.ordering import ordered_positions
+
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = 8, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, the rows of each key spread by the hash of ``spread`` over ``salts`` tasks, so that a
@@ -35,11 +37,14 @@ def equality_report(a: DataFrame, b: DataFrame, key: str, columns: list[str]) ->
     return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0)).alias("differing")) for c in columns])).alias("x")).select("x.*")
 
 
-def rank_zip(a: DataFrame, b: DataFrame, group: str, order_a: list[Column], order_b: list[Column]) -> DataFrame:
-    """The k-th row of each group on one side beside the k-th on the other."""
-    x = a.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order_a)))
-    y = b.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order_b)))
-    return x.join(y, [group, "k"])
+def checked_lookup(asked: DataFrame, rows: DataFrame, key: str, named: int = 10) -> DataFrame:
+    """The rows of the asked keys, each once however often it is asked; keys without a row are an error that names the
+    first few."""
+    keys = asked.select(key).distinct()
+    gone = [r[0] for r in keys.join(rows.select(key), key, "left_anti").orderBy(key).limit(named).collect()]
+    if gone:
+        raise KeyError(f"no row for {gone}")
+    return rows.join(keys, key, "left_semi")
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
@@ -66,7 +71,8 @@ def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def shards(rows: DataFrame, unit: str, seed: int, epoch: int, count: int) -> DataFrame:
-    """(unit, shard): units of storage shuffled by seed and epoch and dealt to ``count`` readers in turn."""
+    """(unit, shard): units of storage shuffled by seed and epoch and dealt to ``count`` readers in turn, numbered by range
+    partitions of their hash."""
     units = rows.select(unit).distinct()
-    order = Window.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(unit).cast("string")), 256))
-    return units.withColumn("shard", F.pmod(F.row_number().over(order) - 1, F.lit(count)))
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(unit).cast("string")), 256)
+    return ordered_positions(units.withColumn("_order", order), [], ["_order"]).select(unit, F.pmod("ix", F.lit(count)).cast("int").alias("shard"))

@@ -180,3 +180,16 @@ def hotword_list(rows: DataFrame, pool: DataFrame, seed: int, prompt: float, mis
     shuffled = F.array_sort(F.transform("every", lambda w: F.struct(u(seed, "shuffle", F.col("id"), w).alias("r"), w.alias("w"))))
     said = F.array_join(F.transform(shuffled, lambda s: s["w"]), ", ")
     return j.select("id", F.when((u(seed, "prompt", F.col("id")) < prompt) & (said != ""), said).otherwise("N/A").alias("offered"))
+
+
+def merged_batches(batches: DataFrame, key: str, longest: Column, order: Column, merge: int, window: int) -> DataFrame:
+    """(key, step, place): batches in order, ``merge`` at a time as one step. Within windows of ``window`` batches, a
+    multiple of ``merge``, those of similar longest duration are paired, so every window keeps its batches.
+
+    Positions come from range partitions; a window is one small group.
+    """
+    if window % merge:
+        raise ValueError("a window must hold whole steps")
+    at = ordered_positions(batches.select(F.col(key), longest.alias("_longest"), order.alias("_order")), [], ["_order"]).withColumn("_window", F.floor(F.col("ix") / window))
+    i = F.row_number().over(Window.partitionBy("_window").orderBy("_longest", "ix")) - 1
+    return at.withColumn("_i", i).select(key, (F.col("_window") * (window // merge) + F.floor(F.col("_i") / merge)).alias("step"), F.pmod("_i", F.lit(merge)).alias("place"))

@@ -77,15 +77,6 @@ def miss_and_false_alarm(spark, d):
         F.round(F.try_divide(F.sum((~pos & (F.col("l_tax") > 0.05)).cast("double")), F.sum((~pos).cast("double"))), 6).alias("false_alarm"))
 
 
-def wrong_target(spark, d):
-    """Lines nearer to another of their order's prices than to their own discounted one."""
-    t = table(spark, d, "lineitem")
-    other = t.groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("lowest"))
-    j = t.join(other, "l_orderkey")
-    own = F.abs(F.col("l_extendedprice") * F.col("l_discount") - F.col("l_extendedprice") * 0.05)
-    return j.groupBy("l_linestatus").agg(F.round(F.avg((F.abs(F.col("lowest") - F.col("l_extendedprice")) < own).cast("double")), 6).alias("wrong_share"))
-
-
 def contingency(spark, d):
     """High values of one event type against another per user, and users high in all types."""
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg((F.max("value") > 200).alias("high"))
@@ -187,12 +178,6 @@ def level_report(spark, d):
     return sums.join(F.broadcast(at.select("task", "empty", "q1")), ["task", "empty"], "left").select("task", "empty", "n", F.round("q1", 4).alias("p50"), "below")
 
 
-def repeated_ngram_share(spark, d):
-    """The share of repeated word 8-grams of English and German documents, as its SQL has it; A36 is ``repeated_character_ngrams``."""
-    t = table(spark, d, "documents").where("lang in ('en', 'de') and text is not null")
-    return t.select("doc_id", F.round(A.repeated_ngrams(F.col("text"), 8), 6).alias("repeated"))
-
-
 def repeated_character_ngrams(spark, d):
     """The share of repeated character 8-grams of the normalised text of every document with text, whatever its language."""
     t = table(spark, d, "documents").where("text is not null")
@@ -220,7 +205,7 @@ def benchmark_pivot(spark, d):
     return p.select("l_returnflag", F.col("F").alias("rate_f"), F.col("O").alias("rate_o"))
 
 
-QUERIES = {f.__name__: f for f in [pooled_rate, utterance_weighted, attribution_coverage, boundary_scores, grouping_sets, condition_keys, meeting_summary, macro_average, miss_and_false_alarm, wrong_target, contingency, common_users, value_spread, nearest_rank_percentile, category_histogram, mixing_distance, distinct_sources, exact_hours, mixed_duration, duration_precedence, family_chart, auc_rank, auc_pooled, hotword_pool, ordered_digest, level_report, repeated_ngram_share, repeated_character_ngrams, kernel_families, confidence_features, benchmark_pivot]}
+QUERIES = {f.__name__: f for f in [pooled_rate, utterance_weighted, attribution_coverage, boundary_scores, grouping_sets, condition_keys, meeting_summary, macro_average, miss_and_false_alarm, contingency, common_users, value_spread, nearest_rank_percentile, category_histogram, mixing_distance, distinct_sources, exact_hours, mixed_duration, duration_precedence, family_chart, auc_rank, auc_pooled, hotword_pool, ordered_digest, level_report, repeated_character_ngrams, kernel_families, confidence_features, benchmark_pivot]}
 
 _E, _U = "l_discount * l_quantity", "l_quantity"
 _AUC = "SELECT {g}, sum(p * (below + n * 0.5)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {g} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {g}, {s} AS score, sum((l_returnflag = 'R')::INT) AS p, sum((l_returnflag <> 'R')::INT) AS n FROM {t} GROUP BY ALL)) GROUP BY ALL"
@@ -234,7 +219,6 @@ SQL = {
     "meeting_summary": "SELECT CASE WHEN speakers <= 2 THEN '2' WHEN speakers <= 4 THEN '3-4' ELSE '5+' END AS bucket, count(*) AS windows, round(avg(speech_cov), 6) AS coverage, round(sum(overlap_time * duration_s) / sum(CASE WHEN overlap_time IS NOT NULL THEN duration_s END), 6) AS overlap, round(avg((gap_median_s > 1)::INT), 6) AS slow_share, round(sum(duration_s), 2) AS seconds FROM label_stats WHERE overlap_time IS NOT NULL GROUP BY ALL",
     "macro_average": f"SELECT l_returnflag, round(avg(r), 6) AS macro FROM (SELECT l_returnflag, l_suppkey, sum({_E}) / sum({_U}) AS r FROM lineitem GROUP BY ALL) GROUP BY ALL",
     "miss_and_false_alarm": f"SELECT l_returnflag, round(sum(CASE WHEN p THEN {_E} END) / sum(CASE WHEN p THEN {_U} END), 6) AS cer, round(sum((p AND l_discount = 0)::INT) / sum(p::INT), 6) AS miss, round(sum((NOT p AND l_tax > 0.05)::INT) / sum((NOT p)::INT), 6) AS false_alarm FROM (SELECT *, l_linestatus = 'O' AS p FROM lineitem) GROUP BY ALL",
-    "wrong_target": "SELECT l_linestatus, round(avg((abs(lowest - l_extendedprice) < abs(l_extendedprice * l_discount - l_extendedprice * 0.05))::INT), 6) AS wrong_share FROM (SELECT *, min(l_extendedprice) OVER (PARTITION BY l_orderkey) AS lowest FROM lineitem) GROUP BY ALL",
     "contingency": "WITH e AS (SELECT user_id, event_type, max(value) > 200 AS high FROM events GROUP BY ALL), j AS (SELECT coalesce(a.high, false) AS a, coalesce(b.high, false) AS b FROM (SELECT * FROM e WHERE event_type = 'click') a FULL JOIN (SELECT * FROM e WHERE event_type = 'purchase') b USING (user_id)) SELECT CASE WHEN a AND b THEN 'kept' WHEN b THEN 'introduced' WHEN a THEN 'fixed' ELSE 'clean' END AS kind, count(*) AS n FROM j GROUP BY ALL",
     "common_users": "WITH e AS (SELECT user_id, event_type, max(value) > 100 AS high FROM events GROUP BY ALL) SELECT user_id FROM e GROUP BY user_id HAVING bool_and(high) AND count(*) = (SELECT count(DISTINCT event_type) FROM events)",
     "value_spread": "SELECT event_type, round(min(value), 4) AS lowest, round(max(value), 4) AS highest, round(max(value) - min(value), 4) AS range, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, round(median(value), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90 FROM events GROUP BY ALL",
@@ -251,7 +235,6 @@ SQL = {
     "hotword_pool": f"WITH {RECORDS_SQL}, w AS (SELECT DISTINCT dataset_id, language, unnest(hotwords) AS w FROM records) SELECT dataset_id, language, w AS word, row_number() OVER (PARTITION BY dataset_id, language ORDER BY w) - 1 AS ix FROM w WHERE w IS NOT NULL",
     "ordered_digest": "SELECT l_orderkey, sha256(string_agg(concat_ws('-', l_linenumber, l_partkey, l_suppkey), ',' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS digest FROM lineitem GROUP BY ALL",
     "level_report": f"WITH {TIMED_SQL}, r AS (SELECT *, coalesce(trim(target), '') = '' AS empty FROM timed), p AS (SELECT task, quantile_cont(duration, 0.1) AS p10 FROM r WHERE NOT empty GROUP BY ALL) SELECT task, empty, count(*) AS n, round(quantile_cont(duration, 0.5), 4) AS p50, round(avg((duration < p10)::INT), 6) AS below FROM r JOIN p USING (task) GROUP BY ALL",
-    "repeated_ngram_share": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang IN ('en', 'de') AND text IS NOT NULL), g AS (SELECT doc_id, CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) ELSE [] END AS g FROM w) SELECT doc_id, CASE WHEN len(g) > 0 THEN round(1 - len(list_distinct(g)) / len(g), 6) ELSE 0.0 END AS repeated FROM g",
     "kernel_families": "SELECT CASE WHEN regexp_matches(p_name, 'ring|band') THEN 'ring' WHEN regexp_matches(p_name, '^red ') THEN 'red' WHEN regexp_matches(p_name, 'widget$') THEN 'widget' ELSE 'other' END AS family, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY ALL",
     "confidence_features": "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings) SELECT vec_id, round(list_sum(x) / len(x), 5) AS mean, round(list_avg(list_sort(x)[1:greatest(1, len(x) // 4)]), 5) AS worst_quarter, round(list_min(x), 5) AS lowest, round(list_avg(x[1:16]), 5) AS head, round(list_avg(x[1:16]), 5) < -0.01 AS rejected FROM x",
     "benchmark_pivot": f"SELECT l_returnflag, round(sum(CASE WHEN l_linestatus = 'F' THEN {_E} END) / sum(CASE WHEN l_linestatus = 'F' THEN {_U} END), 6) AS rate_f, round(sum(CASE WHEN l_linestatus = 'O' THEN {_E} END) / sum(CASE WHEN l_linestatus = 'O' THEN {_U} END), 6) AS rate_o FROM lineitem GROUP BY ALL",

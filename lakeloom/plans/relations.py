@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import relations as R
 from lakeloom.operators.ordering import ordered_positions
-from lakeloom.plans.views import INDEX_SQL, MAIN_SQL, RECORDS_SQL, TIMED_SQL, TURNS_SQL, index, records, timed_records, turns
+from lakeloom.plans.views import INDEX_SQL, MAIN_SQL, NAMES_SQL, RECORDS_SQL, SPELLED_SQL, TIMED_SQL, TURNS_SQL, index, named, records, timed_records, turns
 from lakeloom.sources.tables import table
 
 
@@ -41,7 +41,7 @@ def alignment_join(spark, d):
 
 def eligible_semi(spark, d):
     """Records whose dataset version passed a report."""
-    ok = table(spark, d, "prep_reports").where("passed").select("dataset_id", "version")
+    ok = named(table(spark, d, "prep_reports").where("passed").select("dataset_id", "version"), spark, d)
     return records(spark, d).join(ok, ["dataset_id", "version"], "left_semi").select("id")
 
 
@@ -55,11 +55,12 @@ def run_pairs(spark, d):
 
 
 def same_mixture(spark, d):
-    """Target-speaker records of one mixture cut with different enrolments."""
+    """How many pairs of target-speaker records of one mixture cut have different enrolments; counted by enrolment,
+    no pair is made."""
     slot = lambda n: F.get(F.filter("audio_slots", lambda s: s["name"] == n), F.lit(0))["ref"]["cut_id"]
-    r = records(spark, d).where("task = 'target_speaker_asr'").select("id", slot("mixture").alias("mix"), slot("enrollment").alias("enr"))
-    a, b = r.alias("a"), r.alias("b")
-    return a.join(b, (F.col("a.mix") == F.col("b.mix")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.enr") != F.col("b.enr"))).groupBy(F.col("a.mix").alias("mix")).agg(F.count("*").alias("pairs"))
+    r = records(spark, d).where("task = 'target_speaker_asr'").select(slot("mixture").alias("mix"), slot("enrollment").alias("enr")).where("mix is not null and enr is not null")
+    n = r.groupBy("mix", "enr").agg(F.count("*").alias("n")).groupBy("mix").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"))
+    return n.select("mix", F.expr("(n * n - alike) div 2").alias("pairs")).where("pairs > 0")
 
 
 def lineage_family(spark, d):
@@ -78,23 +79,16 @@ def index_verification(spark, d):
 def context_join(spark, d):
     """Documents of the mix with their targets, bounded side broadcast by the optimizer."""
     m = table(spark, d, "mix_targets").select("source", "max_repeats")
-    return table(spark, d, "documents").join(m, "source", "left").groupBy("max_repeats").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-
-
-def voice_ranks(spark, d):
-    """J26 for the windows of stonecourt, as its SQL has it; ``dataset_voice_ranks`` has those of all datasets."""
-    need = turns(spark, d).where("dataset_id = 'stonecourt' and speaker is not null").groupBy("window_id", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("need")).withColumn("g", F.pmod(F.length("window_id"), F.lit(5)))
-    voices = table(spark, d, "customer").select(F.pmod("c_nationkey", F.lit(5)).cast("int").alias("g"), "c_custkey", "c_acctbal")
-    return R.rank_zip(need, voices, "g", [F.desc("need"), F.col("window_id"), F.col("speaker")], [F.desc("c_acctbal"), F.col("c_custkey")]).select("g", "k", "window_id", "speaker", "c_custkey")
+    return named(table(spark, d, "documents").select("source", "n_chars"), spark, d, "source").join(F.broadcast(m), "source", "left").groupBy("max_repeats").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 def dataset_voice_ranks(spark, d):
     """The speakers of each dataset's template windows by need beside the customers of a nation by balance."""
     need = turns(spark, d).where("speaker is not null").groupBy("dataset_id", "window_id", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("need")).withColumn("g", F.pmod(F.length("window_id"), F.lit(5)))
-    need = need.withColumn("k", F.row_number().over(Window.partitionBy("dataset_id", "g").orderBy(F.desc("need"), "window_id", "speaker")))
     voices = table(spark, d, "customer").select(F.pmod("c_nationkey", F.lit(5)).cast("int").alias("g"), "c_custkey", "c_acctbal")
-    voices = voices.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c_acctbal"), "c_custkey")))
-    return need.join(voices, ["g", "k"]).select("dataset_id", "g", "k", "window_id", "speaker", "c_custkey")
+    one = ordered_positions(need.withColumn("least", -F.col("need")), ["dataset_id", "g"], ["least", "window_id", "speaker"], "k")
+    two = ordered_positions(voices.withColumn("least", -F.col("c_acctbal")), ["g"], ["least", "c_custkey"], "k")
+    return one.join(two.select("g", "k", "c_custkey"), ["g", "k"]).select("dataset_id", "g", (F.col("k") + 1).alias("k"), "window_id", "speaker", "c_custkey")
 
 
 def identity_reuse(spark, d):
@@ -144,17 +138,19 @@ def pool_clips(spark, d):
 
 
 def read_ids(spark, d):
-    """Asked ids, found or missing."""
-    asked = spark.range(0, 40).select(F.concat(F.lit("hdc-train-0000"), F.lpad((F.col("id") * 60).cast("string"), 4, "0")).alias("id"))
+    """Asked ids, a twentieth of all by hash and some that are nowhere, found or missing."""
     have = records(spark, d).select("id", "task")
+    some = have.where("id is not null").withColumn("h", F.sha2("id", 256)).where("h < '0d'").select("id", "h")
+    asked = some.select("id").unionByName(some.where("h < '01'").select(F.concat("id", F.lit("-gone")).alias("id")))
     return asked.join(have, "id", "left").select("id", F.col("task").isNotNull().alias("found"))
 
 
 def take_positions(spark, d):
     """Rows at evenly spaced positions of a stable order."""
-    r = records(spark, d).select("id", "dataset_id").withColumn("ix", F.row_number().over(Window.partitionBy("dataset_id").orderBy("id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("dataset_id")))
-    at = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.floor(k * (F.col("n") - 1) / 4).cast("int"))
-    return r.where(F.array_contains(at, F.col("ix"))).select("dataset_id", "ix", "id")
+    r = ordered_positions(records(spark, d).select("id", "dataset_id"), ["dataset_id"], ["id"])
+    n = records(spark, d).groupBy(F.col("dataset_id").alias("other")).agg(F.count("*").alias("n"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.floor(k * (F.col("n") - 1) / 4))
+    return r.join(F.broadcast(n), F.col("dataset_id").eqNullSafe(F.col("other"))).where(F.array_contains(at, F.col("ix"))).select("dataset_id", "ix", "id")
 
 
 def sorted_turns(spark, d):
@@ -186,7 +182,7 @@ def set_operations(spark, d):
     return a.intersect(b).select(F.lit("both").alias("side")).unionByName(a.exceptAll(b).select(F.lit("records").alias("side"))).unionByName(b.exceptAll(a).select(F.lit("index").alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in [cut_scan, slot_locations, annotation_match, alignment_join, eligible_semi, run_pairs, same_mixture, lineage_family, index_verification, context_join, voice_ranks, dataset_voice_ranks, identity_reuse, index_gaps, resolve_split, resolved_paths, reader_shards, enrollment_lists, pool_clips, read_ids, take_positions, sorted_turns, extremes, ordered_dedup, last_delivery, set_operations]}
+QUERIES = {f.__name__: f for f in [cut_scan, slot_locations, annotation_match, alignment_join, eligible_semi, run_pairs, same_mixture, lineage_family, index_verification, context_join, dataset_voice_ranks, identity_reuse, index_gaps, resolve_split, resolved_paths, reader_shards, enrollment_lists, pool_clips, read_ids, take_positions, sorted_turns, extremes, ordered_dedup, last_delivery, set_operations]}
 
 _FIRST_LAST = "SELECT id, {f}(task, ingested_at) AS task, {f}(target, ingested_at) AS target, {f}(language, ingested_at) AS language, {f}(dataset_id, ingested_at) AS dataset_id FROM (SELECT * FROM audio_records) GROUP BY id"
 _SLOT = "list_filter(audio_slots, lambda s: s.name = '{n}')[1].ref.cut_id"
@@ -195,13 +191,13 @@ SQL = {
     "slot_locations": f"WITH {RECORDS_SQL}, {INDEX_SQL}, s AS (SELECT id, unnest(audio_slots) AS s FROM records) SELECT s.id, count(*) AS slots, sum((i.cut_id IS NULL)::INT) AS missing, round(sum(coalesce(s.s.ref.duration, i.duration)), 3) AS seconds FROM s LEFT JOIN idx i ON i.cut_id = s.s.ref.cut_id GROUP BY s.id",
     "annotation_match": "WITH a AS (SELECT DISTINCT window_id, 1 AS in_a FROM turns), b AS (SELECT window_id, count(*) AS in_b FROM (SELECT DISTINCT window_id, published_at FROM label_stats) GROUP BY ALL) SELECT window_id, coalesce(in_a, 0) AS in_a, coalesce(in_b, 0) AS in_b FROM a FULL JOIN b USING (window_id) WHERE coalesce(in_a, 0) <> 1 OR coalesce(in_b, 0) <> 1",
     "alignment_join": f"WITH {RECORDS_SQL} SELECT r.dataset_id, count(*) AS n, sum(list_contains(c.languages, r.language)::INT) AS language_ok, sum((r.audio_slots[1].ref.dataset_id = r.dataset_id)::INT) AS same_dataset, sum((r.audio_slots[1].ref.version = r.version)::INT) AS same_version FROM records r JOIN dataset_catalog c USING (dataset_id, version) GROUP BY ALL",
-    "eligible_semi": f"WITH {RECORDS_SQL} SELECT id FROM records r WHERE EXISTS (SELECT 1 FROM prep_reports p WHERE p.passed AND p.dataset_id = r.dataset_id AND p.version = r.version)",
+    "eligible_semi": f"WITH {RECORDS_SQL} SELECT id FROM records r WHERE EXISTS (SELECT 1 FROM prep_reports p LEFT JOIN names n ON n.spelled = {SPELLED_SQL.format(x='p.dataset_id')} WHERE p.passed AND coalesce(n.named, p.dataset_id) = r.dataset_id AND p.version = r.version)",
     "run_pairs": "WITH a AS (SELECT l_partkey, sum(l_quantity) AS qa FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), b AS (SELECT l_partkey, sum(l_quantity) AS qb FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT count(*) AS paired, round(sum(qb - qa), 2) AS net, round(sum(abs(qb - qa)), 2) AS absolute, sum((abs(qb - qa) > 1e-9)::INT) AS changed FROM a JOIN b USING (l_partkey)",
     "same_mixture": f"WITH {RECORDS_SQL}, r AS (SELECT id, {_SLOT.format(n='mixture')} AS mix, {_SLOT.format(n='enrollment')} AS enr FROM records WHERE task = 'target_speaker_asr') SELECT a.mix, count(*) AS pairs FROM r a JOIN r b ON a.mix = b.mix AND a.id < b.id AND a.enr <> b.enr GROUP BY ALL",
     "lineage_family": "WITH RECURSIVE c AS (SELECT dataset_id || '@' || version AS ref, derived_from FROM dataset_catalog), w(ref, root, up, steps) AS (SELECT ref, ref, derived_from, 0 FROM c UNION ALL SELECT w.ref, w.up, c.derived_from, w.steps + 1 FROM w LEFT JOIN c ON c.ref = w.up WHERE w.up IS NOT NULL AND w.steps < 20) SELECT ref, root, steps, false AS cyclic FROM w WHERE up IS NULL",
     "index_verification": f"WITH a AS ({_FIRST_LAST.format(f='arg_min_null')}), b AS ({_FIRST_LAST.format(f='arg_max_null')}) SELECT unnest(['task', 'target', 'language', 'dataset_id']) AS column, unnest([sum((a.task IS DISTINCT FROM b.task)::INT), sum((a.target IS DISTINCT FROM b.target)::INT), sum((a.language IS DISTINCT FROM b.language)::INT), sum((a.dataset_id IS DISTINCT FROM b.dataset_id)::INT)]) AS differing FROM a JOIN b USING (id)",
-    "context_join": "SELECT m.max_repeats, count(*) AS n, sum(n_chars) AS chars FROM documents d LEFT JOIN mix_targets m USING (source) GROUP BY ALL",
-    "voice_ranks": f"WITH {TURNS_SQL}, need AS (SELECT window_id, speaker, sum(e - s) AS need, length(window_id) % 5 AS g FROM t WHERE dataset_id = 'stonecourt' AND speaker IS NOT NULL GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY need DESC, window_id, speaker) AS k FROM need), v AS (SELECT c_nationkey % 5 AS g, c_custkey, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT g, k, window_id, speaker, c_custkey FROM x JOIN v USING (g, k)",
+    "context_join": f"WITH {NAMES_SQL} SELECT m.max_repeats, count(*) AS n, sum(n_chars) AS chars FROM documents d LEFT JOIN names n ON n.spelled = {SPELLED_SQL.format(x='d.source')} LEFT JOIN mix_targets m ON m.source = coalesce(n.named, d.source) GROUP BY ALL",
+    "dataset_voice_ranks": f"WITH {TURNS_SQL}, need AS (SELECT dataset_id, window_id, speaker, sum(e - s) AS need, length(window_id) % 5 AS g FROM t WHERE speaker IS NOT NULL GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, g ORDER BY need DESC, window_id, speaker) AS k FROM need), v AS (SELECT c_nationkey % 5 AS g, c_custkey, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT dataset_id, x.g, x.k, window_id, speaker, c_custkey FROM x JOIN v ON x.g = v.g AND x.k = v.k",
     "identity_reuse": "WITH k AS (SELECT sha256(array_to_string(list_sort(list_transform(artifacts, lambda a: coalesce(a.sha256, '-'))), ',')) AS identity FROM dataset_catalog) SELECT versions, count(*) AS n FROM (SELECT identity, count(*) AS versions FROM k GROUP BY ALL) GROUP BY ALL",
     "index_gaps": f"WITH {RECORDS_SQL}, s AS (SELECT dataset_id, version, unnest(map_keys(splits)) AS split FROM dataset_catalog) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.dataset_id = s.dataset_id AND r.version = s.version AND r.split = s.split)",
     "resolve_split": "WITH c AS (SELECT dataset_id, version, artifacts, unnest(map_entries(splits)) AS e FROM dataset_catalog), r AS (SELECT dataset_id, version, artifacts, e.key AS split, unnest(map_entries(e.value.artifacts)) AS ra FROM c), n AS (SELECT dataset_id, version, split, artifacts, ra.key AS role, unnest(ra.value) AS name, generate_subscripts(ra.value, 1) - 1 AS pos FROM r) SELECT dataset_id, version, split, role, pos, name, list_filter(artifacts, lambda a: a.name = n.name)[1].relative_path AS path, list_filter(artifacts, lambda a: a.name = n.name)[1].kind AS kind FROM n",
@@ -209,7 +205,7 @@ SQL = {
     "reader_shards": "WITH u AS (SELECT DISTINCT origin_id FROM documents), o AS (SELECT origin_id, (row_number() OVER (ORDER BY sha256(concat_ws(':', '5', '3', origin_id))) - 1) % 4 AS shard FROM u) SELECT * FROM o WHERE origin_id IS NOT NULL",
     "enrollment_lists": rf"WITH {RECORDS_SQL}, r AS (SELECT dataset_id, id, regexp_extract(source_record_id, '^([A-Z]\d+)_', 1) AS speaker FROM records WHERE task = 'asr' AND source_record_id IS NOT NULL) SELECT dataset_id, speaker, id, row_number() OVER (PARTITION BY dataset_id, speaker ORDER BY id) - 1 AS ix FROM r WHERE speaker <> ''",
     "pool_clips": f"WITH {RECORDS_SQL}, s AS (SELECT dataset_id AS home, unnest(audio_slots) AS s FROM records) SELECT home, CASE WHEN s.ref.start IS NOT NULL THEN CASE WHEN s.ref.dataset_id = home THEN 'span' ELSE 'foreign_span' END ELSE 'whole' END AS kind, count(*) AS n FROM s GROUP BY ALL",
-    "read_ids": "SELECT a.id, r.id IS NOT NULL AS found FROM (SELECT 'hdc-train-0000' || lpad(CAST(i * 60 AS VARCHAR), 4, '0') AS id FROM range(40) x(i)) a LEFT JOIN (SELECT DISTINCT id FROM audio_records) r ON r.id = a.id",
+    "read_ids": f"WITH {RECORDS_SQL}, s AS (SELECT id, sha256(id) AS h FROM records WHERE id IS NOT NULL AND sha256(id) < '0d') SELECT id, true AS found FROM s JOIN records USING (id) WHERE task IS NOT NULL UNION ALL SELECT id, false FROM s JOIN records USING (id) WHERE task IS NULL UNION ALL SELECT id || '-gone', false FROM s WHERE h < '01'",
     "take_positions": f"WITH {RECORDS_SQL}, r AS (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM records) SELECT dataset_id, ix, id FROM r WHERE ix IN (0, CAST(floor((n - 1) / 4) AS BIGINT), CAST(floor(2 * (n - 1) / 4) AS BIGINT), CAST(floor(3 * (n - 1) / 4) AS BIGINT), n - 1)",
     "sorted_turns": f"WITH {TURNS_SQL} SELECT window_id, turn_id, row_number() OVER (PARTITION BY window_id ORDER BY s, coalesce(speaker, ''), turn_id) - 1 AS ix FROM t",
     "extremes": f"WITH {TIMED_SQL} SELECT dataset_id, arg_min(id, (duration, id)) AS shortest, arg_max(id, (duration, id)) AS longest FROM timed WHERE duration IS NOT NULL GROUP BY ALL",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.draws import categorical, hash_sql, log_uniform, u, u_sql
 from lakeloom.operators import sampling as S
+from lakeloom.operators.ordering import ordered_positions
 from lakeloom.operators.selection import largest_remainder
 from lakeloom.plans.views import RECORDS_SQL, TIMED_SQL, records, timed_records
 from lakeloom.sources.tables import table
@@ -122,28 +123,17 @@ def think_choice(spark, d):
     return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def source_choice(spark, d):
-    """The draws of ``source_draws`` for records of split dev, as its SQL has it."""
-    return _source_draws(records(spark, d).where("split = 'dev'"), spark, d)
-
-
 def source_draws(spark, d):
     """One source of all with a weight for each record, by least -ln(u) / weight."""
-    return _source_draws(records(spark, d), spark, d)
-
-
-def _source_draws(rows, spark, d):
     w = table(spark, d, "mix_targets").where("target_share > 0").select("source", "target_share")
-    r = rows.select("id")
-    scored = r.crossJoin(F.broadcast(w)).withColumn("k", -F.log(u(10, "source", "id", "source") + 1e-12) / F.col("target_share"))
+    scored = records(spark, d).select("id").crossJoin(F.broadcast(w)).withColumn("k", -F.log(u(10, "source", "id", "source") + 1e-12) / F.col("target_share"))
     return scored.groupBy("id").agg(F.min_by("source", "k").alias("source"))
 
 
 def stratified_folds(spark, d):
     """Five folds, each class dealt out in hash order."""
-    r = records(spark, d)
-    fold = F.pmod(F.row_number().over(Window.partitionBy("task").orderBy(F.sha2("id", 256))) - 1, F.lit(5))
-    return r.select("id", "task", fold.alias("fold"))
+    r = records(spark, d).select("id", "task", F.sha2("id", 256).alias("h"))
+    return ordered_positions(r, ["task"], ["h"]).select("id", "task", F.pmod("ix", F.lit(5)).cast("int").alias("fold"))
 
 
 def task_grid(spark, d):
@@ -154,7 +144,7 @@ def task_grid(spark, d):
     return cells.join(ok, ["dataset_id", "language"], "left_semi")
 
 
-QUERIES = {f.__name__: f for f in [shard_rotation, weighted_mux, replay_plan, full_coverage, bucket_keys, bucket_batching, sorted_packing, balance, rank_partition, resume_suffix, mined_prompts, contrast_groups, hotword_lists, enrollment_draws, think_choice, source_choice, source_draws, stratified_folds, task_grid]}
+QUERIES = {f.__name__: f for f in [shard_rotation, weighted_mux, replay_plan, full_coverage, bucket_keys, bucket_batching, sorted_packing, balance, rank_partition, resume_suffix, mined_prompts, contrast_groups, hotword_lists, enrollment_draws, think_choice, source_draws, stratified_folds, task_grid]}
 
 _QUOTAS = "q0 AS (SELECT source, target_share * 100.0 / sum(target_share) OVER () AS exact FROM mix_targets), q1 AS (SELECT *, CAST(floor(exact) AS BIGINT) AS base FROM q0), q2 AS (SELECT source, base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, source) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q1), sizes AS (SELECT dataset_id AS source, count(*) AS n FROM records GROUP BY ALL), quotas AS (SELECT source, quota, n FROM q2 JOIN sizes USING (source) WHERE quota > 0)"
 _COSTED = f"{TIMED_SQL}, costed AS (SELECT id, CASE WHEN task = 'target_speaker_asr' THEN 2 ELSE 1 END AS slots, least(duration, 30.0) AS cost FROM timed WHERE duration IS NOT NULL)"
@@ -178,7 +168,7 @@ said AS (SELECT id, string_agg(w, ', ' ORDER BY {u_sql(4, 'shuffle', 'id', 'w')}
 SELECT r.id, CASE WHEN {u_sql(4, 'prompt', 'r.id')} < 0.7 AND s IS NOT NULL THEN s ELSE 'N/A' END AS offered FROM r LEFT JOIN said USING (id)""",
     "enrollment_draws": f"WITH {TIMED_SQL}, x AS (SELECT id, duration, least(exp(ln(2.0) + {u_sql(2, 'crop', 'id')} * (ln(8.0) - ln(2.0))), duration) AS length FROM timed WHERE task = 'target_speaker_asr' AND duration IS NOT NULL) SELECT id, {_CAT.format(x=u_sql(2, 'k', 'id'))} AS targets, {u_sql(2, 'absent', 'id')} < 0.15 AS absent, round(length, 4) AS crop, round({u_sql(2, 'start', 'id')} * (duration - length), 4) AS start FROM x",
     "think_choice": f"WITH {RECORDS_SQL}, j AS (SELECT r.id, {u_sql(6, 'think', 'r.id')} AS p, n.note FROM records r LEFT JOIN (SELECT id, max(labels) AS note FROM audio_records WHERE labels IS NOT NULL GROUP BY id) n USING (id) WHERE r.task = 'asr') SELECT CASE WHEN note IS NULL THEN 'none' WHEN p < 0.5 THEN 'on' WHEN p < 0.8 THEN 'empty' ELSE 'off' END AS kind, count(*) AS n FROM j GROUP BY ALL",
-    "source_choice": f"WITH {RECORDS_SQL} SELECT id, arg_min(source, k) AS source FROM (SELECT id, source, -ln({u_sql(10, 'source', 'id', 'source')} + 1e-12) / target_share AS k FROM records CROSS JOIN mix_targets WHERE split = 'dev' AND target_share > 0) GROUP BY id",
+    "source_draws": f"WITH {RECORDS_SQL} SELECT id, arg_min(source, k) AS source FROM (SELECT id, source, -ln({u_sql(10, 'source', 'id', 'source')} + 1e-12) / target_share AS k FROM records CROSS JOIN mix_targets WHERE target_share > 0) GROUP BY id",
     "stratified_folds": f"WITH {RECORDS_SQL} SELECT id, task, (row_number() OVER (PARTITION BY task ORDER BY sha256(id)) - 1) % 5 AS fold FROM records",
     "task_grid": f"WITH {RECORDS_SQL}, ok AS (SELECT dataset_id, language FROM records WHERE language IN ('zh', 'en', 'de') GROUP BY ALL HAVING count(*) >= 20) SELECT dataset_id, language, unnest([0, 1, 2]) AS repeat FROM ok",
 }

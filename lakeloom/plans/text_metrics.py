@@ -67,13 +67,14 @@ def hotword_languages(spark, d):
 
 
 def hotword_retrieval(spark, d):
-    """For each Chinese target the five best words of its dataset's pool with a score over 1.
+    """For each target that is Chinese by script, whatever language it is tagged with, the five best words
+    of its dataset's pool with a score over 1; alphabetic ones are in ``alphabetic_hotwords``.
 
     A word that isn't in the text scores 0.8 at most, so only contained words can pass: words and texts meet by the
     word's first three characters (all of a shorter one), never through a cross join. Without a pronunciation table the
     pronunciation term is 0.
     """
-    r = records(spark, d).where("language = 'zh' and target is not null").select("id", "dataset_id", "hotwords", "target", F.size(X.char_ngrams(F.col("target"), 2)).alias("bigrams"))
+    r = records(spark, d).where("target is not null").where(X.ideograph_share(F.regexp_replace("target", r"\s", "")) >= 0.3).select("id", "dataset_id", "hotwords", "target", F.size(X.char_ngrams(F.col("target"), 2)).alias("bigrams"))
     pool = r.select("dataset_id", F.explode("hotwords").alias("word")).distinct().where("length(word) >= 2").withColumn("gram", F.substring("word", 1, 3))
     grams = F.array_union(X.char_ngrams(F.col("target"), 2), X.char_ngrams(F.col("target"), 3))
     texts = r.select("dataset_id", "id", F.explode(grams).alias("gram"))
@@ -85,15 +86,16 @@ def hotword_retrieval(spark, d):
 
 
 def turn_parsing(spark, d):
-    """Lines of bracketed targets, retimed, and whether they are valid targets."""
-    r = records(spark, d).where(F.col("target").rlike(r"^\[S\d+\]\[\d+\.\d+-\d+\.\d+\] ")).select("id", X.turn_lines(F.col("target")).alias("t"), F.get("audio_slots", F.lit(0))["ref"]["duration"].alias("total"))
+    """Lines of all attributed targets, the bracketed ones retimed, and why a target isn't valid;
+    lines of other notations are malformed."""
+    r = records(spark, d).where("task = 'speaker_attributed_asr' and target is not null").select("id", X.turn_lines(F.col("target")).alias("t"), F.get("audio_slots", F.lit(0))["ref"]["duration"].alias("total"))
     good = F.filter("t", lambda t: t.isNotNull())
     return r.select("id", F.size("t").alias("lines"), F.size(good).alias("parsed"), F.round(F.array_max(F.transform(X.retimed(good, 0.5), lambda t: t["end"])), 3).alias("half_end"), X.turn_errors(F.col("t"), F.col("total")).alias("error"))
 
 
 def target_views(spark, d):
-    """Targets relabelled with speaker 2 as the wanted one."""
-    r = records(spark, d).where(F.col("target").rlike(r"^\[S\d+\]\[\d+\.\d+-\d+\.\d+\] ")).select("id", F.filter(X.turn_lines(F.col("target")), lambda t: t.isNotNull()).alias("t"))
+    """The bracketed lines of all attributed targets relabelled with speaker 2 as the wanted one."""
+    r = records(spark, d).where("task = 'speaker_attributed_asr' and target is not null").select("id", F.filter(X.turn_lines(F.col("target")), lambda t: t.isNotNull()).alias("t"))
     wanted = F.array(F.lit(2))
     return r.select("id", X.target_view(F.col("t"), wanted).alias("view"), X.target_view(F.col("t"), wanted, only=True).alias("only"))
 
@@ -156,17 +158,18 @@ def speaker_errors(spark, d):
 
 
 def correction_outcomes(spark, d):
-    """What the latest delivery of a turn has where the first has its third unit: kept, changed or lost."""
+    """What the latest delivery of a turn has where the first has its third unit, read off their alignment:
+    ``gold`` that unit, ``alt`` the confusable one, here the first's fourth unit where it differs, or ``other``; and the
+    mean score of +1, -1 and 0."""
     t = table(spark, d, "turns").where("text is not null").groupBy("turn_id").agg(F.min_by("text", "ingested_at").alias("first"), F.max_by("text", "ingested_at").alias("last"), F.count("*").alias("n")).where("n > 1")
 
     def outcome(a: str, b: str) -> str:
-        x, y = A.units(a), A.units(b)
-        if len(x) < 3:
-            return "short"
-        got = A.aligned_span(x, y, 2, 3)
-        return "kept" if got == x[2:3] else "changed" if got else "lost"
+        x = A.units(a)
+        alt = x[3:4] if x[2:3] != x[3:4] else []
+        return A.target_outcome(x, A.units(b), 2, 3, alt) if len(x) > 2 else "short"
 
-    return t.select(A.batched(outcome, "string")("first", "last").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    score = F.when(F.col("outcome") == "gold", 1).when(F.col("outcome") == "alt", -1).when(F.col("outcome") == "other", 0)
+    return t.select(A.batched(outcome, "string")("first", "last").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"), F.avg(score).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in [cer_pairs, bigram_jaccard, word_overlap, output_parsing, hotword_scores, hotword_languages, hotword_retrieval, turn_parsing, target_views, sizes, backchannel_ladder, loop_flags, unit_accuracy, fuzzy_scores, speaker_errors, correction_outcomes]}
@@ -175,7 +178,7 @@ _PAIRS = f"{TURNS_SQL}, l AS (SELECT turn_id, text, lead(text) OVER (PARTITION B
 _UNITS = r"regexp_extract_all(lower({x}), '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[a-z0-9\x{{00df}}-\x{{024f}}]+(?:''[a-z0-9\x{{00df}}-\x{{024f}}]+)*')"
 _GRAMS = "list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
 _JACCARD = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
-_LINES = r"""r AS (SELECT id, target, audio_slots[1].ref.duration AS total FROM records WHERE regexp_matches(target, '^\[S\d+\]\[\d+\.\d+-\d+\.\d+\] ')),
+_LINES = r"""r AS (SELECT id, target, audio_slots[1].ref.duration AS total FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL),
 raw AS (SELECT id, total, unnest(regexp_split_to_array(target, '\r\n|[\r\n]')) AS l, generate_subscripts(regexp_split_to_array(target, '\r\n|[\r\n]'), 1) AS pos FROM r),
 lines AS (SELECT id, total, pos, l, regexp_matches(l, '^\[S\d+\]\[\d+(\.\d+)?-\d+(\.\d+)?\]\s?[^\r]*$') AS ok, TRY_CAST(regexp_extract(l, '^\[S(\d+)\]', 1) AS INTEGER) AS spk, TRY_CAST(regexp_extract(l, '^\[S\d+\]\[(\d+(?:\.\d+)?)-', 1) AS DOUBLE) AS s, TRY_CAST(regexp_extract(l, '^\[S\d+\]\[\d+(?:\.\d+)?-(\d+(?:\.\d+)?)\]', 1) AS DOUBLE) AS e, regexp_extract(l, '^\[S\d+\]\[\d+(?:\.\d+)?-\d+(?:\.\d+)?\]\s?(.*)$', 1) AS said FROM raw WHERE trim(l) <> '')"""
 SQL = {
@@ -191,7 +194,7 @@ SELECT id, prompted, CASE WHEN len(words) + len(wanted) = 0 THEN 1.0 ELSE round(
  CASE WHEN len(words) > 0 THEN round(CASE WHEN spoken > 0 THEN hits / spoken ELSE 1.0 END - least(1.0, wrong / greatest(1, spoken)), 6) END AS reward,
  CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w: contains(target, w) = contains(said, w))) / len(words), 6) ELSE 1.0 END AS candidates FROM n""",
     "hotword_languages": rf"WITH {RECORDS_SQL}, w AS (SELECT unnest(hotwords) AS w FROM records) SELECT CASE WHEN regexp_matches(w, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' WHEN regexp_matches(w, '[\x{{ac00}}-\x{{d7af}}]') THEN 'ko' WHEN regexp_matches(w, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' WHEN regexp_matches(w, '[A-Za-z]') THEN 'en' ELSE 'other' END AS script, CASE WHEN length(w) > 0 THEN length(regexp_replace(w, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) / length(w) ELSE 0 END >= 0.3 AS dominant, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY ALL",
-    "hotword_retrieval": f"""WITH {RECORDS_SQL}, r AS (SELECT * FROM records WHERE language = 'zh' AND target IS NOT NULL), pool AS (SELECT * FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS word FROM r) WHERE length(word) >= 2),
+    "hotword_retrieval": f"""WITH {RECORDS_SQL}, r AS (SELECT * FROM records WHERE target IS NOT NULL AND length(regexp_replace(target, '\\s', '', 'g')) > 0 AND length(regexp_replace(target, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) / length(regexp_replace(target, '\\s', '', 'g')) >= 0.3), pool AS (SELECT * FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS word FROM r) WHERE length(word) >= 2),
 tg AS (SELECT id, dataset_id, target, {_GRAMS.format(x='target')} AS g FROM r), wg AS (SELECT *, {_GRAMS.format(x='word')} AS h FROM pool),
 c AS (SELECT id, word, round(2.0 * contains(target, word)::INT + 0.5 * len(list_filter(string_split(word, ''), lambda ch: ch <> '' AND contains(target, ch))) / len(string_split(word, '')) + 0.3 * len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS score FROM tg JOIN wg USING (dataset_id) WHERE len(list_intersect(g, h)) > 0)
 SELECT id, rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS rank FROM c WHERE score > 1.0) WHERE rank <= 5""",
@@ -199,7 +202,7 @@ SELECT id, rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY id
 SELECT id, count(*) AS lines, sum(ok::INT) AS parsed, round(max(CASE WHEN ok THEN e * 0.5 END), 3) AS half_end, CASE WHEN NOT bool_and(ok) THEN 'malformed' WHEN bool_or(s >= e OR e > total) THEN 'bounds' WHEN bool_or(s < ps) THEN 'order' WHEN bool_or(spk > seen + 1) THEN 'numbering' END AS error FROM w GROUP BY id""",
     "target_views": f"""WITH {RECORDS_SQL}, {_LINES}, k AS (SELECT * FROM lines WHERE ok), f AS (SELECT id, spk, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS n FROM k WHERE spk <> 2 GROUP BY id, spk),
 v AS (SELECT k.id, k.pos, k.spk, '[' || CASE WHEN k.spk = 2 THEN 'T1' ELSE 'S' || f.n END || '] ' || said AS line FROM k LEFT JOIN f ON f.id = k.id AND f.spk = k.spk)
-SELECT id, string_agg(line, chr(10) ORDER BY pos) AS view, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE spk = 2), '') AS only FROM v GROUP BY id""",
+SELECT r.id, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS view, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE spk = 2), '') AS only FROM r LEFT JOIN v ON v.id = r.id GROUP BY r.id""",
     "sizes": "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size * 1073741824::BIGINT WHEN p_size % 4 = 1 THEN CAST(p_size / 2 * 1048576 AS BIGINT) WHEN p_size % 4 = 2 THEN p_size END AS bytes, CASE WHEN p_size % 2 = 0 THEN '/fast/' ELSE '/new/' END || p_brand AS path FROM part",
     "backchannel_ladder": rf"WITH {TURNS_SQL} SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(text, '^[\[\(<{{（【＜*]') THEN 'sound' WHEN regexp_full_match(text, '[嗯呃啊哦诶]+[.，]*') THEN 'filler' WHEN length(text) <= 4 THEN 'backchannel' ELSE 'speech' END AS kind, count(*) AS n FROM t WHERE text IS NOT NULL GROUP BY ALL",
 }

@@ -158,17 +158,8 @@ def attempts(spark, d):
     return r.select("id", F.unix_micros("first").alias("first_us"), F.unix_micros("latest").alias("latest_us"), "deliveries")
 
 
-def running_offsets(spark, d):
-    """Cumulated ends of sources, and the source of twelve positions, as its SQL has it; J23 is ``record_sources``."""
-    n = records(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"))
-    w = Window.orderBy("dataset_id")
-    ends = n.select("dataset_id", F.sum("n").over(w).alias("stop"), (F.sum("n").over(w) - F.col("n")).alias("start"))
-    probe = spark.range(0, 3000, 250).select(F.col("id").alias("ix"))
-    return probe.join(F.broadcast(ends), (F.col("ix") >= F.col("start")) & (F.col("ix") < F.col("stop"))).select("ix", "dataset_id", (F.col("ix") - F.col("start")).alias("local"))
-
-
 def record_sources(spark, d):
-    """The source of every thousandth record, and its place there, with sources end to end by name."""
+    """The source of every thousandth record, and its place there, with sources end to end by name."""
     n = records(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"))
     w = Window.orderBy("dataset_id")
     ends = n.select("dataset_id", F.sum("n").over(w).alias("stop"), (F.sum("n").over(w) - F.col("n")).alias("start"))
@@ -191,7 +182,7 @@ def audit_annotations(spark, d):
     return j.groupBy("dataset_id").agg(F.sum(F.col("total").isNull().cast("int")).alias("unmatched"), F.sum((F.col("e") > F.round((F.col("total") + 1) * 100)).cast("int")).alias("outside"), F.sum(F.when(F.col("speaker").isNull(), F.col("e") - F.col("s")).otherwise(0)).alias("unlabelled"))
 
 
-QUERIES = {f.__name__: f for f in [interval_union, overlap_seconds, turn_gaps, self_overlap, speaker_relabel, overlap_category, turn_overlap_pairs, nearby_turns, closest_turn, start_offsets, late_starts, activity_frames, activity_runs, sliding, solo_spans, uncovered_speech, segment_bounds, cursor_placement, mixture_timing, speech_rate, quiet_days, attempts, running_offsets, record_sources, growth, audit_annotations]}
+QUERIES = {f.__name__: f for f in [interval_union, overlap_seconds, turn_gaps, self_overlap, speaker_relabel, overlap_category, turn_overlap_pairs, nearby_turns, closest_turn, start_offsets, late_starts, activity_frames, activity_runs, sliding, solo_spans, uncovered_speech, segment_bounds, cursor_placement, mixture_timing, speech_rate, quiet_days, attempts, record_sources, growth, audit_annotations]}
 
 _ISLANDS = "SELECT {k}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {k} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {t})) GROUP BY {k}, i"
 _OWN = f"{TURNS_SQL}, named AS (SELECT * FROM t WHERE speaker IS NOT NULL), own AS ({_ISLANDS.format(k='window_id, speaker', t='named')})"
@@ -226,7 +217,7 @@ SELECT CASE WHEN e2 <= s1 THEN 'lead' WHEN s2 >= e1 THEN 'trail' WHEN s2 < s1 AN
     "speech_rate": f"WITH {TURNS_SQL} SELECT window_id, round(sum(chars) / (sum(e - s) / 100), 4) AS chars_per_s, round(sum((chars <= 2)::INT) / ((max(e) - min(s)) / 6000), 4) AS backchannels_per_min FROM t WHERE chars IS NOT NULL GROUP BY ALL",
     "quiet_days": "WITH c AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NULL OR prev <> event_type), g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM c) SELECT user_id, count(*) AS changes, max(gap) AS longest_us FROM g WHERE gap IS NOT NULL GROUP BY ALL",
     "attempts": "SELECT id, epoch_us(min(ingested_at)) AS first_us, epoch_us(max(ingested_at)) AS latest_us, count(*) AS deliveries FROM audio_records GROUP BY id HAVING count(*) > 1",
-    "running_offsets": f"WITH {RECORDS_SQL}, n AS (SELECT dataset_id, count(*) AS n FROM records GROUP BY ALL), e AS (SELECT dataset_id, sum(n) OVER (ORDER BY dataset_id) AS stop, sum(n) OVER (ORDER BY dataset_id) - n AS start FROM n) SELECT r.ix, e.dataset_id, CAST(r.ix - e.start AS BIGINT) AS local FROM (SELECT unnest(range(0, 3000, 250)) AS ix) r JOIN e ON r.ix >= e.start AND r.ix < e.stop",
+    "record_sources": f"WITH {RECORDS_SQL}, n AS (SELECT dataset_id, count(*) AS n FROM records GROUP BY ALL), e AS (SELECT dataset_id, sum(n) OVER (ORDER BY dataset_id NULLS FIRST) AS stop, sum(n) OVER (ORDER BY dataset_id NULLS FIRST) - n AS start FROM n) SELECT r.ix, e.dataset_id, CAST(r.ix - e.start AS BIGINT) AS local FROM (SELECT unnest(range(0, (SELECT count(*) FROM records), 1000)) AS ix) r JOIN e ON r.ix >= e.start AND r.ix < e.stop",
     "growth": "WITH o AS (SELECT o_custkey, year(o_orderdate) AS year, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL), l AS (SELECT *, lag(total) OVER (PARTITION BY o_custkey ORDER BY year) AS before FROM o) SELECT o_custkey, year, round(total / before, 4) AS ratio FROM l WHERE total > 2 * before AND total > 300000",
     "audit_annotations": f"WITH {TURNS_SQL}, w AS (SELECT window_id, max(duration_s) AS total FROM label_stats GROUP BY ALL) SELECT dataset_id, sum((total IS NULL)::INT) AS unmatched, sum((e > round((total + 1) * 100))::INT) AS outside, CAST(sum(CASE WHEN speaker IS NULL THEN e - s ELSE 0 END) AS BIGINT) AS unlabelled FROM t LEFT JOIN w USING (window_id) GROUP BY ALL",
 }

@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.functions.catalog import catalogue_names, spelling
 from lakeloom.operators.intervals import to_units
 from lakeloom.operators.selection import clean_flag, main_slot
 from lakeloom.sources.tables import table
 
+MOST_NAMES = 20_000
+
+
+@cache
+def _names(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    found = catalogue_names(table(spark, sf_dir, "dataset_catalog")).select("spelled", "catalogue_id").limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError("the catalogue has more names than a broadcast may hold")
+    return [tuple(r) for r in found]
+
+
+def named(rows: DataFrame, spark: SparkSession, sf_dir: str, column: str = "dataset_id") -> DataFrame:
+    """Rows with the catalogue's id in place of whatever spelling or alias ``column`` has; unknown names stay.
+
+    The catalogue is a fixed table; its spellings are read once a session, and are at most MOST_NAMES.
+    """
+    names = spark.createDataFrame(_names(spark, sf_dir), "_spelled string, _named string")
+    j = rows.join(F.broadcast(names), spelling(F.col(column)) == F.col("_spelled"), "left")
+    return j.withColumn(column, F.coalesce("_named", column)).drop("_spelled", "_named")
+
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record id; redelivered rows are equal but for ``ingested_at``."""
-    return table(spark, sf_dir, "audio_records").dropDuplicates(["id"])
+    """One row per record id, its dataset by the catalogue's id; redelivered rows are equal but for ``ingested_at``."""
+    return named(table(spark, sf_dir, "audio_records").dropDuplicates(["id"]), spark, sf_dir)
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +51,9 @@ def timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.join(cuts, "cut_id", "left").withColumn("duration", F.coalesce("own_s", "cut_s")).drop("own_s", "cut_s")
 
 
-RECORDS_SQL = "records AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM audio_records) WHERE rn = 1)"
+SPELLED_SQL = r"regexp_replace(regexp_replace(lower(trim({x})), '\s*@.*$', ''), '[-\s_]+', '_', 'g')"
+NAMES_SQL = f"names AS (SELECT spelled, arg_min(dataset_id, (rank, dataset_id)) AS named FROM (SELECT dataset_id, {SPELLED_SQL.format(x='dataset_id')} AS spelled, 0 AS rank FROM dataset_catalog UNION ALL SELECT dataset_id, {SPELLED_SQL.format(x='alias')}, 1 FROM (SELECT dataset_id, unnest(aliases) AS alias FROM dataset_catalog)) WHERE spelled IS NOT NULL GROUP BY spelled)"
+RECORDS_SQL = f"{NAMES_SQL}, records AS (SELECT r.* REPLACE (coalesce(n.named, r.dataset_id) AS dataset_id) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM audio_records) r LEFT JOIN names n ON n.spelled = {SPELLED_SQL.format(x='r.dataset_id')} WHERE r.rn = 1)"
 INDEX_SQL = "idx AS (SELECT cut_id, max(duration) AS duration, max(num_frames) AS num_frames, max(sample_rate) AS sample_rate, max(channels) AS channels, max(root_alias) AS root_alias, max(relative_path) AS relative_path FROM audio_index GROUP BY cut_id)"
 MAIN_SQL = "coalesce(list_filter(audio_slots, lambda s: s.name = 'primary')[1], list_filter(audio_slots, lambda s: s.name = 'mixture')[1], audio_slots[-1])"
 CLEAN_SQL = "CASE WHEN json_type(metadata, '$.clean.pass') = 'BOOLEAN' THEN json_extract_string(metadata, '$.clean.pass') = 'true' END"

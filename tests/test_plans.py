@@ -250,7 +250,25 @@ def test_source_draws_cover_every_record(spark):
     sf = "/root/testdata/sf0.001"
     drawn = {r["id"]: r["source"] for r in sampling.source_draws(spark, sf).collect()}
     assert set(drawn) == {r["id"] for r in views.records(spark, sf).select("id").collect()}
-    assert {(r["id"], r["source"]) for r in sampling.source_choice(spark, sf).collect()} < set(drawn.items())
+
+
+def test_names_are_the_catalogues(spark):
+    from lakeloom.plans import sampling, views
+
+    sf = "/root/testdata/sf0.01"
+    known = {r[0] for r in spark.read.parquet(f"{sf}/dataset_catalog.parquet").select("dataset_id").collect()}
+    assert {r[0] for r in views.records(spark, sf).select("dataset_id").distinct().collect()} <= known | {None}
+    assert sampling.weighted_mux(spark, sf).count() == views.records(spark, sf).count()
+
+
+def test_checked_lookup(spark):
+    from lakeloom.operators.relations import checked_lookup
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, x int")
+    ask = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    assert [tuple(r) for r in checked_lookup(ask("b", "b"), rows, "id").collect()] == [("b", 2)]
+    with pytest.raises(KeyError, match="gone"):
+        checked_lookup(ask("a", "gone"), rows, "id")
 
 
 def test_cohort_decisions_against_the_definition(spark):
@@ -344,6 +362,7 @@ def test_record_sources_reach_the_end(spark, tmp_path):
 
     rows = spark.range(4500).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 3200, "a").when(F.col("id") < 4000, "b").otherwise("c").alias("dataset_id"))
     rows.write.parquet(f"{tmp_path}/audio_records.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/dataset_catalog.parquet").write.parquet(f"{tmp_path}/dataset_catalog.parquet")
     assert sorted(map(tuple, record_sources(spark, str(tmp_path)).collect())) == [(0, "a", 0), (1000, "a", 1000), (2000, "a", 2000), (3000, "a", 3000), (4000, "c", 0)]
 
 
@@ -353,5 +372,78 @@ def test_voice_ranks_of_all_datasets(spark):
     sf = "/root/testdata/sf0.01"
     rows = relations.dataset_voice_ranks(spark, sf).collect()
     assert {r["dataset_id"] for r in rows} == {r[0] for r in views.turns(spark, sf).where("speaker is not null").select("dataset_id").distinct().collect()}
-    one = {(r["g"], r["k"], r["window_id"], r["speaker"], r["c_custkey"]) for r in rows if r["dataset_id"] == "stonecourt"}
-    assert one == set(map(tuple, relations.voice_ranks(spark, sf).collect())) and len(one) < len(rows)
+    assert len({(r["dataset_id"], r["g"], r["k"]) for r in rows}) == len(rows)
+
+
+def test_attribution_kinds():
+    """Where each turn's text went, on hand-made outputs."""
+    from lakeloom.operators import attribution as T
+
+    def turn(k, who, at, text):
+        return T.Turn(k, who, float(at), at + 3.0, list(text))
+
+    ref = [turn(1, "S1", 0, "abcdefghij" + "0123456"), turn(2, "S2", 5, "klmnopqrst"), turn(3, "S1", 10, "uvwxyzabcd"), turn(4, "S3", 15, "efghijklmn")]
+    same = T.attributed(ref, [t._replace(speaker={"S1": "A", "S2": "B", "S3": "C"}[t.speaker]) for t in ref])
+    assert all(x.text_edits == x.speaker_edits == 0 and x.kind is None and not x.overlapped for x in same)
+    hyp = [turn(1, "A", 0, "abcdefghij" + "0123456"), turn(2, "B", 5, "klmnopqrst"), turn(3, "D", 10, "uvwxyzabcd"), turn(4, "B", 15, "efghijklmn")]
+    got = {x.key: x for x in T.attributed(ref[:3], hyp[:3])}
+    assert got[3].kind == "split" and got[3].speaker_edits == 10 and got[3].text_edits == 0
+    got = {x.key: x for x in T.attributed(ref, [hyp[0], hyp[1], hyp[2]._replace(speaker="A"), hyp[3]])}
+    assert got[4].kind == "merged" and got[4].speaker_edits == 10 and got[3].kind is None
+    swapped = [turn(1, "A", 0, "abcdefghij" + "0123456"), turn(2, "B", 5, "klmnopqrst"), turn(3, "B", 10, "uvwxyzabcd"), turn(4, "C", 15, "efghijklmn")]
+    assert {x.key: x.kind for x in T.attributed(ref, swapped)}[3] == "swap"
+    assert {x.key: (x.kind, x.text_edits) for x in T.attributed(ref, swapped[:3])}[4] == (None, 10)
+    assert T.attributed([], swapped) == [] and T.attributed(ref[:1], [])[0].text_edits == 17
+    over = T.attributed([turn(1, "S1", 0, "abcd"), turn(2, "S2", 1, "efgh")], [])
+    assert all(x.overlapped for x in over)
+
+
+def test_attribution_and_wrong_speakers(spark):
+    from lakeloom.operators import attribution as T
+
+    schema = "turn_id long, window_id string, speaker string, s long, e long, text string"
+    ref = spark.createDataFrame([(1, "w", "S1", 0, 300, "ab cd ef gh"), (2, "w", "S2", 100, 400, "ij kl mn op"), (3, "w", "S1", 90_000, 90_300, "qr st uv wx"), (4, "w", None, 0, 9, "x"), (5, "w", "S1", 0, 9, None)], schema)
+    hyp = spark.createDataFrame([(1, "w", "S1", 0, 300, "ij kl mn op"), (2, "w", "S2", 100, 400, "ij kl mn op"), (3, "w", "S1", 90_000, 90_300, "")], schema)
+    got = {r["turn_id"]: r for r in T.attribution(ref, hyp).collect()}
+    assert set(got) == {1, 2, 3} and got[2]["speaker_edits"] == 0 and got[3]["text_edits"] == 4 and got[1]["overlapped"] and not got[3]["overlapped"]
+    wrong = {r["turn_id"]: r["other"] < r["own"] for r in T.wrong_speakers(ref, hyp).collect()}
+    assert wrong == {1: True, 2: False}
+    assert T.attribution(ref.limit(0), hyp).count() == 0
+
+
+def test_alphabetic_hotwords():
+    from lakeloom.functions import alignment as A
+
+    assert A.alphabetic_hotwords(["Nagashino", "Verdun", "go", "of"], "the battle of nagasheno began") == ["of", "Nagashino"]
+    assert A.alphabetic_hotwords(["go"], "a gho appeared") == [] and A.alphabetic_hotwords(["a", "b"], " ") == ["a", "b"]
+    flat = [f"xy{c}zw" for c in "abcdefghijk"]
+    assert A.alphabetic_hotwords(flat, "xylzw there") == []
+    assert A.partial_similarity("abcd", "xxabcdyy") == 1.0 and A.partial_similarity("", "a") == 0.0
+    assert A.content_share("the of", "the of it") == 1.0 and A.content_share("the end", "an end") == 1.0
+    assert A.context_score(["gold", "alt", "other", "gold"]) == 0.25 and A.context_score([]) is None
+    assert A.target_outcome(list("abcd"), list("abxd"), 2, 3, ["x"]) == "alt" and A.target_outcome(list("abcd"), list("abd"), 2, 3, ["x"]) == "other"
+
+
+def test_text_rules(spark):
+    """Presence, hotword reward, units and loops by their rules, empty and missing cases among them."""
+    from lakeloom.functions import alignment as A
+    from lakeloom.functions import text as X
+
+    df = spark.createDataFrame([("", ""), ("a", ""), ("", "b"), ("a", "b"), ("...", "!")], "h string, r string")
+    assert [r[0] for r in df.select(X.presence(X.units(F.col("h")), X.units(F.col("r")))).collect()] == [1, -1, -1, 0, 1]
+    rows = [("don't stop", "don't stop", ["don't"], 1.0), ("hello", "hello", ["world"], 1.0), ("hello world", "hello", ["world"], 0.0), ("cats", "cats", ["cat"], 1.0), ("x", "new york", ["york", "x"], -1.0), ("x", "y", [], None), ("x", "y", ["N/A"], None), ("x", "y", None, None), ("我爱北京", "我爱北京", ["北京", "上海"], 1.0)]
+    df = spark.createDataFrame([r[:3] for r in rows], "h string, r string, w array<string>")
+    assert [r[0] for r in df.select(X.hotword_reward(F.col("h"), F.col("r"), F.col("w"))).collect()] == [r[3] for r in rows]
+    assert A.units("Don't do 北京 it's") == ["don't", "do", "北", "京", "it's"]
+    loops = spark.createDataFrame([("\n" * 40,), ("ab" * 25,), ("ok",)], "t string")
+    assert [r[0] for r in loops.select(F.col("t").rlike(X.DEGENERATE)).collect()] == [True, True, False]
+
+
+def test_merged_batches(spark):
+    b = spark.createDataFrame([(i, float(i * 7 % 10), f"{i:03d}") for i in range(21)], "k int, longest double, o string")
+    got = {r["k"]: (r["step"], r["place"]) for r in S.merged_batches(b, "k", F.col("longest"), F.col("o"), 2, 8).collect()}
+    assert len(got) == 21 and {got[k][0] // 4 for k in range(8)} == {0}
+    steps = [sorted(i * 7 % 10 for i in range(8))[j : j + 2] for j in range(0, 8, 2)]
+    assert [sorted(k * 7 % 10 for k in range(8) if got[k][0] == s) for s in range(4)] == steps
+    with pytest.raises(ValueError):
+        S.merged_batches(b, "k", F.col("longest"), F.col("o"), 3, 8)
