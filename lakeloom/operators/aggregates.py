@@ -98,6 +98,13 @@ def content_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
 
 
+def portable_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, xor and sum of the first 60 bits of each row's SHA-256: the same in any engine, order and partitioning."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"))
+
+
 def list_digest(items: Column) -> Column:
     """SHA-256 of a list in its order."""
     return F.sha2(F.concat_ws(",", items), 256)
@@ -111,14 +118,3 @@ def first_match(value: Column, families: list[tuple[str, str]], other: str = "ot
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once; inside lambdas Spark would compute it for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def repeated_ngrams(text: Column, n: int = 8) -> Column:
-    """The share of word n-grams that occur before in the text; 0 for a text with fewer than ``n`` words."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-
-    def share(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, let(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g))).otherwise(0.0)
-
-    return let(words, share)

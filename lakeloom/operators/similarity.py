@@ -206,8 +206,16 @@ def two_stage_clusters(similarity: np.ndarray, speech: np.ndarray, high: float,
     return [names[c] for c in out.tolist()]
 
 
-def session_clusters(rows: DataFrame, threshold: float) -> DataFrame:
-    """(session, id, v) -> (session, id, cluster), one session at a time; a null vector is a cluster of its own."""
+def session_clusters(rows: DataFrame, threshold: float, low: float | None = None, small: float = 0.0, stretch: int = 2048) -> DataFrame:
+    """(session, id, v) -> (session, id, cluster), one session at a time; a null vector is a cluster of its own.
+
+    With ``low`` and (speech, cut) columns in two stages: clusters with less than ``small`` of a session's speech join a
+    large one at ``low``, and rows of one cut never share a cluster. Sessions are bounded; one of more than ``stretch``
+    rows is clustered in parts of about that many by hash, and the parts' clusters don't meet.
+    """
+    two = low is not None
+    sizes = rows.groupBy("session").agg(F.ceil(F.count("*") / stretch).alias("parts"))
+    at = rows.join(sizes, "session").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
     def link(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
@@ -216,9 +224,18 @@ def session_clusters(rows: DataFrame, threshold: float) -> DataFrame:
         if has.any():
             x = np.stack(p["v"].to_numpy()[has]).astype(float)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            out[has] = link_clusters(np.round(x @ x.T, 9), threshold)
+            like = np.round(x @ x.T, 9)
+            if two:
+                cut = p["cut"].to_numpy()[has]
+                apart = (cut[:, None] == cut[None, :]) & ~np.eye(len(cut), dtype=bool)
+                out[has] = two_stage_clusters(like, p["speech"].to_numpy()[has], threshold, low, small, apart)
+            else:
+                out[has] = link_clusters(like, threshold)
         top = out.max() + 1
         out[~has] = top + np.arange((~has).sum())
-        return pd.DataFrame({"session": p["session"], "id": p["id"], "cluster": out})
+        return pd.DataFrame({"session": p["session"], "id": p["id"], "part": p["part"], "cluster": out})
 
-    return rows.select("session", "id", "v").groupBy("session").applyInPandas(link, "session long, id long, cluster int")
+    more = ["speech", "cut"] if two else []
+    found = at.select("session", "part", "id", "v", *more).groupBy("session", "part").applyInPandas(link, "session long, id long, part long, cluster int")
+    first = found.groupBy("session", "part").agg((F.max("cluster") + 1).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("session").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return found.join(first, ["session", "part"]).select("session", "id", (F.col("cluster") + F.col("first")).cast("int").alias("cluster"))

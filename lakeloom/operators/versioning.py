@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import content_digest
+from lakeloom.session import broadcast_within
 
 WRITABLE = r"^(target|language|hotwords|\$membership|metadata\..+|labels\..+)$"
 
@@ -83,5 +84,5 @@ def tree_rollup(files: DataFrame, max_depth: int) -> DataFrame:
 def classify_paths(nodes: DataFrame, zones: DataFrame) -> DataFrame:
     """(path, zone): the deepest zone that holds a path, else ``unregistered``."""
     up = nodes.select("path", F.explode(ancestors(F.col("path"))).alias("zone_path"))
-    best = up.join(F.broadcast(zones), "zone_path").groupBy("path").agg(F.max_by("zone", F.length("zone_path")).alias("zone"))
+    best = up.join(broadcast_within(zones), "zone_path").groupBy("path").agg(F.max_by("zone", F.length("zone_path")).alias("zone"))
     return nodes.select("path").join(best, "path", "left").select("path", F.coalesce("zone", F.lit("unregistered")).alias("zone"))

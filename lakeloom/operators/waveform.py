@@ -133,3 +133,35 @@ def mixed(target: np.ndarray, others: list[tuple[np.ndarray, int, float]]) -> np
 
 def hop_padded(x: np.ndarray, hop: int) -> np.ndarray:
     return np.r_[x, np.zeros(-len(x) % hop)]
+
+
+def cropped(x: np.ndarray, start: float, length: int) -> np.ndarray:
+    """``length`` samples from the share ``start`` of what can be left over; a shorter signal whole."""
+    return x if len(x) <= length else x[(at := int(start * (len(x) - length + 1))) : at + length]
+
+
+def contaminated(x: np.ndarray, other: np.ndarray, share: float, sir_db: float) -> np.ndarray:
+    """An enrolment with a stretch of another voice, ``share`` of its length, over its end at ``sir_db``."""
+    n = min(len(other), int(round(share * len(x))))
+    return mixed(x, [(other[:n], len(x) - n, sir_db)]) if n else x
+
+
+def reflected(x: np.ndarray, length: int) -> np.ndarray:
+    """Padded to ``length`` samples by reflection; a single sample repeats, an empty signal becomes silence."""
+    return x[:length] if len(x) >= length else np.zeros(length) if not len(x) else np.pad(x, (0, length - len(x)), "reflect" if len(x) > 1 else "edge")
+
+
+def placed_in_rooms(voices: list[np.ndarray], rooms: list[np.ndarray], levels_db: list[float], starts: list[int], snr_db: float, seed: int, peak: float = 0.99) -> np.ndarray:
+    """A meeting: each voice in its room at its level and start, noise at ``snr_db`` below all of it, limited to ``peak``."""
+    wet = [reverberant(v, r) for v, r in zip(voices, rooms)]
+    n = max((s + len(w) for s, w in zip(starts, wet)), default=0)
+    out = np.zeros(n)
+    for w, db, s in zip(wet, levels_db, starts):
+        rms = np.sqrt((w * w).mean()) if len(w) else 0.0
+        out[s : s + len(w)] += w * (10 ** (db / 20) / rms if rms > 0 else 0.0)
+    if n:
+        power = 10 * np.log10((out * out).mean() + 1e-12)
+        out = out + noise_floor(n, power - snr_db, "white", seed)
+        top = np.abs(out).max()
+        out = out * (peak / top) if top > peak else out
+    return out

@@ -77,7 +77,30 @@ def augmented(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, samples int, peak double, rms double").select("vec_id", "samples", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
 
 
-QUERIES = {f.__name__: f for f in [levels, gains, reverberation, frame_levels, sampling_costs, timestamps, family_keys, augmented]}
+def enrollment_signals(spark, d):
+    """Each signal cropped, contaminated with its own reverse, padded by reflection, masked as a feature
+    table, and placed twice in a room: lengths and levels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = np.r_[1.0, 0.4, 0.2]
+        for p in batches:
+            out = []
+            for k, v in zip(p["vec_id"], p["embedding"]):
+                x = np.asarray(v, float)
+                crop = G.cropped(x, (int(k) % 10) / 10, 3 * len(x) // 4)
+                dirty = G.contaminated(crop, x[::-1], 0.25, 5.0)
+                whole = G.reflected(dirty, len(x))
+                mask = G.masked(whole[: len(x) // 4 * 4].reshape(4, -1), 1, 2, 1, int(k))
+                meeting = G.placed_in_rooms([crop, dirty], [room, room[:1]], [-20.0, -23.0], [0, len(crop) // 2], 20.0, int(k))
+                out.append((k, len(crop), float(np.square(dirty - crop).sum()), int((mask == 0).sum()), len(meeting), float(np.abs(meeting).max())))
+            if out:
+                yield pd.DataFrame(out, columns=["vec_id", "cropped", "contamination", "masked", "samples", "peak"])
+
+    x = table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, cropped int, contamination double, masked int, samples int, peak double")
+    return x.select("vec_id", "cropped", F.round("contamination", 6).alias("contamination"), "masked", "samples", F.round("peak", 6).alias("peak"))
+
+
+QUERIES = {f.__name__: f for f in [levels, gains, reverberation, frame_levels, sampling_costs, timestamps, family_keys, augmented, enrollment_signals]}
 
 _X = "x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
 _MS = "list_sum(list_transform({x}, lambda v: v * v)) / len({x})"

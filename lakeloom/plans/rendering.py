@@ -50,11 +50,13 @@ def record_projection(spark, d):
 
 
 def round_trip(spark, d):
-    """Records to JSON lines and back, unequal rows counted."""
+    """Records to JSON lines and back: what comes back by task, and how many rows differ from what went in."""
     r = records(spark, d).select("id", "task", "target", "language", "hotwords")
     x = F.from_json(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), "id string, task string, target string, language string, hotwords array<string>", {"mode": "FAILFAST"})
-    same = r.withColumn("x", x).select(*[F.col(c).eqNullSafe(F.col(f"x.{c}")).alias(c) for c in r.columns])
-    return same.agg(F.count("*").alias("rows"), F.sum((~(F.col("id") & F.col("task") & F.col("target") & F.col("language") & F.col("hotwords"))).cast("long")).alias("lost"))
+    same = r.withColumn("x", x).withColumn("same", F.lit(True))
+    for c in r.columns:
+        same = same.withColumn("same", F.col("same") & F.col(c).eqNullSafe(F.col(f"x.{c}")))
+    return same.groupBy("x.task").agg(F.count("*").alias("rows"), F.sum(F.length("x.target")).alias("chars"), F.sum(F.size("x.hotwords")).alias("words"), F.count("x.language").alias("languages"), F.sum((~F.col("same")).cast("long")).alias("lost"))
 
 
 def numeric_tree(spark, d):
@@ -85,11 +87,14 @@ def lookalike_topk(spark, d):
 
 
 def lookalike_draw(spark, d):
-    """With probability 0.3 a drawn neighbour in place of the item."""
+    """With probability 0.3 a drawn neighbour at least as long in place of the item; lengths are drawn per item."""
     e = _vectors(spark, d)
-    t = Y.padded(Y.cosine_top_k(_asked(e), e, 3, 0.4), 3)
-    pick = F.get("neighbours", F.floor(u(12, "which", "id") * 3).cast("int"))
-    return t.select("id", F.when((u(12, "take", "id") < 0.3) & (pick >= 0), pick).otherwise(F.col("id")).alias("used"))
+    length = lambda c: 2 + 6 * u(12, "length", c)
+    top = Y.cosine_top_k(_asked(e), e, 3, 0.4)
+    ok = top.where(length("neighbour") >= length("id")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("n"))
+    t = _asked(e).select("id").join(ok, "id", "left")
+    pick = F.get("n", F.floor(u(12, "which", "id") * F.size("n")).cast("int"))
+    return t.select("id", F.when((u(12, "take", "id") < 0.3) & (F.size("n") > 0), pick).otherwise(F.col("id")).alias("used"))
 
 
 def label_consistency(spark, d):
@@ -142,7 +147,13 @@ def clusters(spark, d):
     return Y.session_clusters(e, 0.15)
 
 
-QUERIES = {f.__name__: f for f in [render_examples, native_messages, structured_answers, task_codes, record_projection, round_trip, numeric_tree, event_projection, lookalike_topk, lookalike_draw, label_consistency, centroid_norms, medoid_cohort, identity_decisions, identity_conflicts, recall_at_k, clusters]}
+def linked_clusters(spark, d):
+    """Two-stage clusters of vectors in sessions of 25, speech by label, rows of one cut kept apart."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("session"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("label") + 1).cast("double").alias("speech"), F.pmod("vec_id", F.lit(5)).alias("cut"))
+    return Y.session_clusters(e, 0.3, low=0.05, small=0.1)
+
+
+QUERIES = {f.__name__: f for f in [render_examples, native_messages, structured_answers, task_codes, record_projection, round_trip, numeric_tree, event_projection, lookalike_topk, lookalike_draw, label_consistency, centroid_norms, medoid_cohort, identity_decisions, identity_conflicts, recall_at_k, clusters, linked_clusters]}
 
 
 def _template_sql():
@@ -162,11 +173,11 @@ SQL = {
     "structured_answers": f"WITH {RECORDS_SQL} SELECT id, sha256('Language: ' || coalesce(language, 'N/A') || chr(10) || 'Hotwords: ' || CASE WHEN len(hotwords) > 0 THEN array_to_string(hotwords, ', ') ELSE 'N/A' END || chr(10) || 'Transcription: ' || coalesce(target, '')) AS answer FROM records",
     "task_codes": f"WITH {RECORDS_SQL}, c AS (SELECT task, CASE WHEN split = 'spare' THEN 5 WHEN task = 'target_speaker_asr' AND coalesce(trim(target), '') <> '' THEN 1 WHEN task = 'target_speaker_asr' THEN 2 WHEN task = 'speaker_attributed_asr' THEN 3 WHEN coalesce(len(hotwords), 0) > 0 THEN 4 ELSE 0 END AS code FROM records) SELECT '{{\"task\":\"' || task || '\",\"code\":' || code || '}}' AS meta, count(*) AS n FROM c GROUP BY ALL",
     "record_projection": f"WITH {RECORDS_SQL}, {INDEX_SQL}, m AS (SELECT id, coalesce(len(audio_slots), 0) AS slots, {MAIN_SQL} AS s FROM records) SELECT m.id, m.slots, m.s.name AS main, coalesce(m.s.ref.channel[1], -1) AS channel, coalesce(CAST(round_even(m.s.ref.start * i.sample_rate, 0) AS BIGINT), 0) AS start_frame, coalesce(CAST(round_even(m.s.ref.duration * i.sample_rate, 0) AS BIGINT), i.num_frames) AS num_frames FROM m LEFT JOIN idx i ON i.cut_id = m.s.ref.cut_id",
-    "round_trip": f"WITH {RECORDS_SQL} SELECT count(*) AS rows, 0 AS lost FROM records",
+    "round_trip": f"WITH {RECORDS_SQL} SELECT task, count(*) AS rows, sum(length(target)) AS chars, sum(len(hotwords)) AS words, count(language) AS languages, 0 AS lost FROM records GROUP BY task",
     "numeric_tree": "SELECT 'top/k' AS path, count(*) AS n, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 3) AS total FROM events UNION ALL SELECT 'v', count(*), round(count(*) * 1.5, 3) FROM events",
     "event_projection": "SELECT concat_ws(':', event_type, event_id % 50) AS key, round(arg_max(value, event_id), 4) AS value, count(*) AS n FROM events GROUP BY ALL",
     "lookalike_topk": f"WITH {_TOP} SELECT id, rank, neighbour FROM top WHERE rank <= 5",
-    "lookalike_draw": f"WITH {_TOP}, p AS (SELECT id, list(neighbour ORDER BY rank) AS n FROM top WHERE rank <= 3 GROUP BY id), q AS (SELECT id, coalesce(n[CAST(floor({u_sql(12, 'which', 'id')} * 3) AS BIGINT) + 1], -1) AS pick FROM p) SELECT id, CASE WHEN {u_sql(12, 'take', 'id')} < 0.3 AND pick >= 0 THEN pick ELSE id END AS used FROM q",
+    "lookalike_draw": f"WITH {_TOP}, p AS (SELECT id, list(neighbour ORDER BY rank) AS n FROM top WHERE rank <= 3 AND {u_sql(12, 'length', 'neighbour')} >= {u_sql(12, 'length', 'id')} GROUP BY id), q AS (SELECT e.vec_id AS id, n, coalesce(n[CAST(floor({u_sql(12, 'which', 'e.vec_id')} * len(n)) AS BIGINT) + 1], -1) AS pick FROM embeddings e LEFT JOIN p ON p.id = e.vec_id WHERE e.vec_id % 20 = 0) SELECT id, CASE WHEN {u_sql(12, 'take', 'id')} < 0.3 AND pick >= 0 THEN pick ELSE id END AS used FROM q",
     "label_consistency": f"WITH {_MEANS}, s AS (SELECT label, pos, sum(x) AS t, count(*) AS n FROM x GROUP BY ALL), j AS (SELECT x.vec_id, x.x, (s.t - x.x) / (s.n - 1) AS r, s.n FROM x JOIN s USING (label, pos)) SELECT vec_id, CASE WHEN max(n) > 1 THEN round(sum(x * r) / sqrt(sum(x * x) * sum(r * r)), 4) END AS consistency FROM j GROUP BY vec_id",
     "centroid_norms": f"WITH {_MEANS}, s AS (SELECT label, pos, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT label, round(sqrt(sum(m * m)), 4) AS length, max(n) AS n FROM s GROUP BY label",
     "medoid_cohort": f"WITH {_LIKE} SELECT label, medoid, round(median, 5) AS median FROM best",

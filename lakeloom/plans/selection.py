@@ -86,9 +86,10 @@ def read_rules(spark, d):
 
 
 def task_support(spark, d):
-    """records whose dataset version doesn't list their task."""
+    """records whose dataset version doesn't list their task; a thirtieth, by hash, are given one that none lists."""
+    planted = F.when(F.substring(F.sha2("id", 256), 1, 2) < "08", F.lit("translation")).otherwise(F.col("task"))
     c = table(spark, d, "dataset_catalog").select("dataset_id", "version", "tasks")
-    return records(spark, d).join(F.broadcast(c), ["dataset_id", "version"]).where(~F.array_contains("tasks", F.col("task"))).groupBy("dataset_id", "version", "task").agg(F.count("*").alias("n"))
+    return records(spark, d).withColumn("task", planted).join(F.broadcast(c), ["dataset_id", "version"]).where(~F.array_contains("tasks", F.col("task"))).groupBy("dataset_id", "version", "task").agg(F.count("*").alias("n"))
 
 
 def hash_partition(spark, d):
@@ -227,7 +228,7 @@ SELECT id, count(*) AS kept FROM s WHERE flag AND CAST(s->>'duration' AS DOUBLE)
 c AS (SELECT *, length(regexp_replace(bare, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) AS han, length(regexp_replace(bare, '[^\x{{3040}}-\x{{30ff}}]', '', 'g')) AS kana, length(regexp_replace(bare, '[^A-Za-z]', '', 'g')) AS latin FROM b)
 SELECT doc_kind, CASE WHEN n_chars / 15.0 > 120 THEN 'too_long' WHEN regexp_matches(bare, '</?[A-Za-z][^>]*>|\{{[^}}]*\}}|https?://') THEN 'markup' WHEN NOT regexp_matches(bare, '[\p{{L}}\p{{N}}]') THEN 'no_lexical'
  WHEN (CASE WHEN primary_tag = 'zh' THEN han = 0 AND latin > 0 WHEN primary_tag = 'ja' THEN kana = 0 AND han = 0 ELSE han >= 6 END) THEN 'script_mismatch' ELSE 'kept' END AS reason, count(*) AS n FROM c GROUP BY ALL""",
-    "task_support": f"WITH {RECORDS_SQL} SELECT r.dataset_id, r.version, r.task, count(*) AS n FROM records r JOIN dataset_catalog c USING (dataset_id, version) WHERE NOT list_contains(c.tasks, r.task) GROUP BY ALL",
+    "task_support": f"WITH {RECORDS_SQL}, p AS (SELECT * REPLACE (CASE WHEN substr(sha256(id), 1, 2) < '08' THEN 'translation' ELSE task END AS task) FROM records) SELECT r.dataset_id, r.version, r.task, count(*) AS n FROM p r JOIN dataset_catalog c USING (dataset_id, version) WHERE NOT list_contains(c.tasks, r.task) GROUP BY ALL",
     "hash_partition": f"WITH {RECORDS_SQL}, f AS (SELECT id, dataset_id, string_split(string_split(source_record_id, '|')[-2], '_')[1] AS family FROM records WHERE source_record_id LIKE '%|%') SELECT id, family, {_HELD.format(key=chr(39) + '7:' + chr(39) + ' || dataset_id || ' + chr(39) + ':' + chr(39) + ' || family', m=5)} AS held_out FROM f",
     "hotword_valid": f"WITH {RECORDS_SQL}, w AS (SELECT unnest(hotwords) AS w FROM records) SELECT length(replace(trim(w), ' ', '')) BETWEEN 2 AND 8 AS valid, count(*) AS n, count(DISTINCT w) AS words FROM w GROUP BY ALL",
     "validation_limit": f"""WITH {TIMED_SQL}, s AS (SELECT dataset_id, count(*) AS n FROM timed WHERE split IN ('dev', 'eval', 'train_probe') AND duration <= 150.0 GROUP BY dataset_id),

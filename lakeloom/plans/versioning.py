@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.draws import u, u_sql
 from lakeloom.operators import versioning as V
-from lakeloom.operators.aggregates import content_digest
+from lakeloom.operators.aggregates import portable_digest
+from lakeloom.plans.storage import DIGEST_SQL
 from lakeloom.plans.views import INDEX_SQL, RECORDS_SQL, TIMED_SQL, index, records, timed_records
 from lakeloom.sources.tables import table
 
@@ -50,13 +51,17 @@ def content_equality(spark, d):
 
 
 def digest_of_records(spark, d):
-    """A31."""
-    return content_digest(records(spark, d).select("id", "task"), ["id", "task"]).select("rows")
+    """An order-insensitive digest of the records, in values any engine gives."""
+    return portable_digest(records(spark, d), ["id", "task", "target", "language", "version"])
 
 
 def catalog_validation(spark, d):
     """V1, D3: repeated versions, aliases that two datasets claim, duplicate artifact names, dangling references."""
-    c = table(spark, d, "dataset_catalog")
+    c = table(spark, d, "dataset_catalog").select("dataset_id", "version", "aliases", "artifacts", "splits")
+    # Planted: the first row twice, its aliases claimed by a dataset of its own, an artifact name twice, and none at all.
+    first = c.orderBy("dataset_id", "version").limit(1)
+    c = c.unionByName(first).unionByName(first.withColumn("dataset_id", F.lit("planted_alias"))).unionByName(first.select(F.lit("planted_twice").alias("dataset_id"), "version", F.lit(None).cast("array<string>").alias("aliases"), F.concat("artifacts", "artifacts").alias("artifacts"), "splits"))
+    c = c.unionByName(first.select(F.lit("planted_none").alias("dataset_id"), "version", F.lit(None).cast("array<string>").alias("aliases"), F.filter("artifacts", lambda a: F.lit(False)).alias("artifacts"), "splits"))
     repeated = c.groupBy("dataset_id", "version").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("kind"), F.concat_ws("@", "dataset_id", "version").alias("what"))
     alias = c.select("dataset_id", F.explode("aliases").alias("a")).distinct().groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("alias").alias("kind"), F.col("a").alias("what"))
     names = c.select(F.concat_ws("@", "dataset_id", "version").alias("ref"), F.col("artifacts.name").alias("names"), "splits")
@@ -73,8 +78,12 @@ def versioned_lookup(spark, d):
 
 
 def transform_conflicts(spark, d):
-    """Which of four steps write over one another."""
-    steps = spark.createDataFrame([(1, ["metadata.clean"], []), (2, ["metadata.clean.pass", "target"], []), (3, ["target"], ["target"]), (4, ["metadata", "labels.note"], ["labels.note"])], "step int, writes array<string>, overrides array<string>")
+    """Which of the steps, one a kind of part that writes its type as a path (of two parts for odd sizes, of
+    three for even ones) and overrides it if it is large, write over one another."""
+    words = F.split("p_type", " ")
+    path = F.array_join(F.when(F.col("p_size") % 2 == 1, F.slice(words, 1, 2)).otherwise(words), ".")
+    kinds = table(spark, d, "part").select(F.struct(path.alias("path"), (F.col("p_size") > 25).alias("large")).alias("k"), "p_partkey").groupBy("k").agg(F.min("p_partkey").alias("step"))
+    steps = kinds.select("step", F.array("k.path").alias("writes"), F.when(F.col("k.large"), F.array("k.path")).otherwise(F.array().cast("array<string>")).alias("overrides"))
     return V.path_conflicts(steps)
 
 
@@ -138,14 +147,15 @@ SQL = {
     "layer_merge": f"WITH {RECORDS_SQL}, {_LAYER} SELECT r.id, CASE WHEN l.x IS NULL THEN r.language WHEN l.x < 0.2 THEN 'xx' ELSE 'yy' END AS language, CASE WHEN l.x >= 0.2 THEN true ELSE r.target IS NULL END AS bare FROM records r LEFT JOIN layer l USING (id) WHERE l.status IS NULL OR l.status <> 'delete'",
     "layer_validation": f"WITH {RECORDS_SQL}, {_LAYER}, e AS (SELECT 'no_parent' AS error FROM layer WHERE id NOT IN (SELECT id FROM records WHERE split <> 'spare') UNION ALL SELECT 'status' FROM layer WHERE id LIKE '%7' UNION ALL SELECT 'path' FROM layer WHERE id LIKE '%3' UNION ALL SELECT 'hash' FROM layer WHERE id LIKE '%7' OR id LIKE '%3') SELECT error, count(*) AS n FROM e GROUP BY ALL",
     "layer_replay": f"WITH {RECORDS_SQL}, {_LAYER} SELECT r.split, CASE WHEN r.split = 'dev' THEN 'zz' WHEN l.x IS NULL THEN r.language WHEN l.x < 0.2 THEN 'xx' ELSE 'yy' END AS language, count(*) AS n FROM records r LEFT JOIN layer l USING (id) WHERE l.status IS NULL OR l.status <> 'delete' GROUP BY ALL",
-    "content_equality": "SELECT 'moved' AS copy, true AS same_rows, true AS same_content UNION ALL SELECT 'changed', true, count(*) = 0 FROM orders WHERE o_orderkey = 5 AND o_orderstatus <> 'X'",
-    "digest_of_records": f"WITH {RECORDS_SQL} SELECT count(*) AS rows FROM records",
-    "catalog_validation": """WITH c AS (SELECT dataset_id || '@' || version AS ref, dataset_id, aliases, list_transform(artifacts, lambda a: a.name) AS names, splits FROM dataset_catalog),
+    "content_equality": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders) SELECT 'moved' AS copy, (SELECT count(*) FROM a) = (SELECT count(*) FROM a) AS same_rows, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM a)) = 0 AS same_content UNION ALL SELECT 'changed', (SELECT count(*) FROM a) = (SELECT count(*) FROM b), (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) = 0",
+    "digest_of_records": f"WITH {RECORDS_SQL} SELECT count(*) AS rows, bit_xor(h) AS xor, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total FROM (SELECT {DIGEST_SQL(['id', 'task', 'target', 'language', 'version'])} AS h FROM records)",
+    "catalog_validation": """WITH first AS (SELECT dataset_id, version, aliases, artifacts, splits FROM dataset_catalog ORDER BY dataset_id, version LIMIT 1), planted AS (SELECT dataset_id, version, aliases, artifacts, splits FROM dataset_catalog UNION ALL SELECT * FROM first UNION ALL SELECT 'planted_alias', version, aliases, artifacts, splits FROM first UNION ALL SELECT 'planted_twice', version, NULL, list_concat(artifacts, artifacts), splits FROM first UNION ALL SELECT 'planted_none', version, NULL, list_filter(artifacts, lambda a: false), splits FROM first),
+c AS (SELECT dataset_id || '@' || version AS ref, dataset_id, aliases, list_transform(artifacts, lambda a: a.name) AS names, splits FROM planted),
 k AS (SELECT 'repeated' AS kind, ref AS what FROM c GROUP BY ref HAVING count(*) > 1 UNION ALL SELECT 'alias', a FROM (SELECT DISTINCT dataset_id, unnest(aliases) AS a FROM c) GROUP BY a HAVING count(*) > 1 UNION ALL SELECT 'artifact', ref FROM c WHERE len(names) <> len(list_distinct(names))
 UNION ALL SELECT DISTINCT 'dangling', ref || '/' || used FROM (SELECT ref, names, unnest(flatten(list_transform(map_values(splits), lambda s: flatten(map_values(s.artifacts))))) AS used FROM c) WHERE NOT list_contains(names, used))
 SELECT kind, count(*) AS n FROM k GROUP BY ALL""",
     "versioned_lookup": "SELECT dataset_id, CASE WHEN count(*) = 1 THEN max(version) END AS version, count(*) > 1 AS ambiguous FROM dataset_catalog GROUP BY dataset_id",
-    "transform_conflicts": "SELECT * FROM (VALUES (1, 2, 'metadata.clean.pass'), (1, 4, 'metadata'), (2, 4, 'metadata')) v(a, b, path)",
+    "transform_conflicts": "WITH k AS (SELECT CASE WHEN p_size % 2 = 1 THEN array_to_string(string_split(p_type, ' ')[1:2], '.') ELSE replace(p_type, ' ', '.') END AS path, p_size > 25 AS large, min(p_partkey) AS step FROM part GROUP BY ALL) SELECT x.step AS a, y.step AS b, y.path FROM k x JOIN k y ON x.step < y.step AND (x.path = y.path OR starts_with(x.path, y.path || '.') OR starts_with(y.path, x.path || '.')) WHERE NOT y.large",
     "state_transitions": "WITH s AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) SELECT before, after, count(*) AS n FROM s WHERE before IS NOT NULL AND (before, after) NOT IN (VALUES ('view', 'click'), ('click', 'purchase'), ('view', 'view'), ('click', 'click'), ('purchase', 'view'), ('signup', 'view'), ('error', 'view')) GROUP BY ALL",
     "storage_rollup": "WITH f AS (SELECT cut_id, min(concat_ws('/', root_alias, relative_path)) AS path, max(num_frames * 2 * coalesce(channels, 1)) AS bytes FROM audio_index WHERE num_frames IS NOT NULL GROUP BY cut_id), a AS (SELECT bytes, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE len(string_split(path, '/')) >= k) SELECT path, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files FROM a GROUP BY ALL",
     "path_zones": "WITH n AS (SELECT DISTINCT root_alias || '/' || relative_path AS path, root_alias || '/' || string_split(relative_path, '/')[1] AS top FROM audio_index) SELECT CASE WHEN top NOT LIKE '%q%' THEN 'catalog' ELSE 'unregistered' END AS zone, count(*) AS n FROM n GROUP BY ALL",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,37 +19,41 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def declaration_files(folder: str) -> list[str]:
-    """The .yaml, .yml and .jsonl files of a folder in order of name, or the one file."""
-    p = Path(folder)
-    return [str(p)] if p.is_file() else sorted(str(f) for f in p.iterdir() if f.suffix in (".yaml", ".yml", ".jsonl"))
+def declaration_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the .yaml, .yml and .jsonl files of a folder, or of the one file, in order of name."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return files.where(F.col("file").rlike(r"\.(?:yaml|yml|jsonl)$")).orderBy("file")
 
 
-def read_declarations(path: str) -> list[tuple[int, dict]]:
-    """(line, object) of a small declaration file; blank lines and ``#`` comments are skipped, errors name the line."""
-    text = Path(path).read_text(encoding="utf-8")
-    if path.endswith(".jsonl"):
+def _declared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
         out = []
-        for n, line in enumerate(text.splitlines(), 1):
-            if line.strip() and not line.lstrip().startswith("#"):
+        for file, text in zip(p["file"], p["text"]):
+            if file.endswith(".jsonl"):
+                for n, line in enumerate(text.splitlines(), 1):
+                    if line.strip() and not line.lstrip().startswith("#"):
+                        try:
+                            out.append((file, n, json.dumps(json.loads(line))))
+                        except ValueError as e:
+                            raise ValueError(f"{file}:{n}: {e}") from None
+            else:
                 try:
-                    out.append((n, json.loads(line)))
-                except ValueError as e:
-                    raise ValueError(f"{path}:{n}: {e}") from None
-        return out
-    try:
-        import yaml
-    except ImportError:
-        raise RuntimeError("PyYAML isn't installed; declare in .jsonl") from None
-    got = yaml.safe_load(text) or []
-    return [(1, x) for x in (got if isinstance(got, list) else [got])]
-
-
-def load_catalog(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+                    import yaml
+                except ImportError:
+                    raise RuntimeError("PyYAML isn't installed; declare in .jsonl") from None
+                got = yaml.safe_load(text) or []
+                out += [(file, 1, json.dumps(x)) for x in (got if isinstance(got, list) else [got])]
+        yield pd.DataFrame(out, columns=["file", "line", "object"])
+
+
+def read_declarations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, object as JSON) of declaration files; blank lines and ``#`` comments are skipped, errors name the line."""
+    return declaration_files(spark, path).mapInPandas(_declared, "file string, line int, object string")
+
+
+def load_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The declarations of all files of a folder as one table with their ``file`` and ``line``."""
-    rows = [json.dumps(x | {"file": f, "line": n}) for f in declaration_files(folder) for n, x in read_declarations(f)]
-    text = spark.createDataFrame([(r,) for r in rows], "value string")
-    return text.select(F.from_json("value", f"{schema}, file string, line int").alias("x")).select("x.*")
+    return read_declarations(spark, path).select(F.from_json("object", schema).alias("x"), "file", "line").select("x.*", "file", "line")
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
@@ -116,3 +121,13 @@ def integrity_errors(digests: DataFrame, declared: DataFrame) -> DataFrame:
     j = d.join(digests, "path", "left")
     error = F.when(F.col("bytes").isNull(), "missing").when(F.col("want_bytes") != F.col("bytes"), "bytes").when(F.col("want_sha") != F.col("sha256"), "sha256")
     return j.select("path", error.alias("error")).where("error is not null")
+
+
+def shard_errors(plan: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(shard, error) of a sharded job against its plan (shard, expected): ``missing`` and ``unplanned`` shards, those with
+    more or fewer rows than planned (``rows``), and those with a key that repeats in the shard or elsewhere (``repeated``)."""
+    got = rows.groupBy("shard").agg(F.count("*").alias("n"))
+    j = plan.join(got, "shard", "full")
+    counted = j.select("shard", F.when(F.col("n").isNull(), "missing").when(F.col("expected").isNull(), "unplanned").when(F.col("n") != F.col("expected"), "rows").alias("error")).where("error is not null")
+    twice = rows.groupBy(key).agg(F.count("*").alias("n"), F.collect_set("shard").alias("shards")).where("n > 1")
+    return counted.unionByName(twice.select(F.explode("shards").alias("shard"), F.lit("repeated").alias("error")).distinct())

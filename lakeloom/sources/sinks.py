@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,10 +107,39 @@ def export_cuts(rows: DataFrame, path: str) -> int:
 
 
 def write_report(findings: DataFrame, path: str, most: int = 10_000) -> None:
-    """A CSV of all findings and a markdown table of up to ``most``, counts stated; reports are small by nature."""
+    """A CSV of all findings and a markdown table of up to ``most``, counts stated; reports are small by nature. Both go
+    through Spark, so ``path`` may be any store."""
     findings.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     total, rows = findings.count(), findings.limit(most).collect()
-    head = "| " + " | ".join(findings.columns) + " |\n|" + " --- |" * len(findings.columns)
-    body = "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
-    Path(path).mkdir(parents=True, exist_ok=True)
-    Path(path, "report.md").write_text(f"{total} findings\n\n{head}\n{body}\n", encoding="utf-8")
+    lines = [f"{total} findings", "", "| " + " | ".join(findings.columns) + " |", "|" + " --- |" * len(findings.columns)]
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
+    findings.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
+def write_status(spark: SparkSession, path: str, status: dict) -> None:
+    """A JSON status as a whole or not at all: written beside, then renamed over the old one."""
+    fs, target, new_path = _fs(spark, path)
+    sc, hadoop = spark.sparkContext, spark.sparkContext._jvm.org.apache.hadoop.fs
+    tmp = new_path(f"{path}.writing")
+    out = fs.create(tmp, True)
+    out.write(bytearray(json.dumps(status, sort_keys=True).encode("utf-8")))
+    out.close()
+    rename = sc._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = rename.getEnumConstants()[1]
+    hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(target), options)
+
+
+def copy_confirmed(spark: SparkSession, source: str, to: str, files: list[str]) -> int:
+    """Files copied to another store, each confirmed by its length there; gives their number. One already there with that
+    length is left, so a broken copy can be run again."""
+    fs, _, new_path = _fs(spark, source)
+    there, _, _ = _fs(spark, to)
+    for name in files:
+        a, b = new_path(f"{source}/{name}"), new_path(f"{to}/{name}")
+        size = fs.getFileStatus(a).getLen()
+        if not (there.exists(b) and there.getFileStatus(b).getLen() == size):
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, there, b, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+        if there.getFileStatus(b).getLen() != size:
+            raise OSError(f"{to}/{name} isn't whole")
+    return len(files)

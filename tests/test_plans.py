@@ -132,7 +132,11 @@ def test_files_round_trip(spark, tmp_path):
     assert K.cleanup(spark, str(tmp_path / "v"), {"2"}) == ["1"]
     assert K.export_cuts(rows, str(tmp_path / "cuts")) == 2
     K.write_report(rows.select("id"), str(tmp_path / "report"))
-    assert "2 findings" in (tmp_path / "report" / "report.md").read_text()
+    assert [r[0] for r in spark.read.text(str(tmp_path / "report" / "markdown")).collect()][0] == "2 findings"
+    K.write_status(spark, str(tmp_path / "s.json"), {"a": 1})
+    K.write_status(spark, str(tmp_path / "s.json"), {"a": 2})
+    assert K.copy_confirmed(spark, str(tmp_path), str(tmp_path / "c"), ["s.json"]) == 1 == K.copy_confirmed(spark, str(tmp_path), str(tmp_path / "c"), ["s.json"])
+    assert (tmp_path / "c" / "s.json").read_text() == '{"a": 2}'
     (tmp_path / "bad.jsonl").write_text("{bad\n")
     with pytest.raises(Exception):
         R.read_records(spark, str(tmp_path / "bad.jsonl")).collect()
@@ -145,8 +149,8 @@ def test_declarations_and_logs(spark, tmp_path):
     (d / "a.txt").write_text("no")
     assert [r["line"] for r in R.load_catalog(spark, str(d), "dataset_id string, version string").collect()] == [3]
     (d / "c.jsonl").write_text("{\n")
-    with pytest.raises(ValueError, match="c.jsonl:1"):
-        R.load_catalog(spark, str(d), "dataset_id string")
+    with pytest.raises(Exception, match="c.jsonl:1"):
+        R.load_catalog(spark, str(d), "dataset_id string").collect()
     log = tmp_path / "log"
     log.write_text('{"k": 1}\n{"k": 2}\n{"k": ')
     assert sorted(r["k"] for r in R.read_log(spark, str(log), "k int").collect()) == [1, 2]
@@ -447,3 +451,26 @@ def test_merged_batches(spark):
     assert [sorted(k * 7 % 10 for k in range(8) if got[k][0] == s) for s in range(4)] == steps
     with pytest.raises(ValueError):
         S.merged_batches(b, "k", F.col("longest"), F.col("o"), 3, 8)
+
+
+def test_enrolment_signals():
+    from lakeloom.operators import waveform as G
+
+    x = np.sin(np.arange(100.0))
+    assert len(G.cropped(x, 0.0, 30)) == 30 and (G.cropped(x, 0.999, 30) == x[70:]).all() and G.cropped(x, 0.5, 200) is x
+    dirty = G.contaminated(x, np.ones(400), 0.25, 0.0)
+    scale = dirty[1] / x[1]
+    assert np.allclose(dirty[:75], scale * x[:75]) and not np.allclose(dirty[75:], scale * x[75:]) and G.contaminated(x, np.ones(3), 0.0, 0.0) is x
+    assert G.reflected(np.array([1.0, 2.0, 3.0]), 6).tolist() == [1, 2, 3, 2, 1, 2] and G.reflected(np.zeros(0), 2).tolist() == [0, 0] and G.reflected(np.array([4.0]), 3).tolist() == [4, 4, 4]
+    m = G.placed_in_rooms([x, x], [np.r_[1.0], np.r_[1.0]], [-6.0, -12.0], [0, 200], 60.0, 1)
+    assert len(m) == 300 and abs(20 * np.log10(np.sqrt((m[:100] ** 2).mean()) / np.sqrt((m[200:] ** 2).mean())) - 6) < 0.1
+    assert len(G.placed_in_rooms([], [], [], [], 20.0, 1)) == 0 and np.abs(G.placed_in_rooms([x], [np.r_[1.0]], [40.0], [0], 20.0, 1)).max() <= 0.99 + 1e-9
+
+
+def test_sessions_in_two_stages_and_parts(spark):
+    v = [[1.0, 0.0], [0.99, 0.1], [0.0, 1.0], [0.1, 0.99], [0.7, 0.7]]
+    rows = spark.createDataFrame([(1, i, x, 1.0 if i == 4 else 10.0, i % 2) for i, x in enumerate(v)] + [(1, 9, None, 1.0, 7)], "session long, id long, v array<double>, speech double, cut long")
+    got = {r["id"]: r["cluster"] for r in Y.session_clusters(rows, 0.9, low=0.5, small=0.1).collect()}
+    assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2] and got[9] not in (got[0], got[2])
+    parts = Y.session_clusters(rows, 0.9, stretch=2).collect()
+    assert len(parts) == 6 and len({r["id"] for r in parts}) == 6
