@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.packing import limits_of
@@ -238,5 +238,21 @@ def p8_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_pieces(spark, sf_dir).groupBy("limit_name", "cut_at").agg(F.count("*").alias("pieces"), F.count_distinct("doc_id").alias("documents"), F.max("tokens").alias("largest"), F.round(F.avg("tokens"), 1).alias("mean_tokens"))
 
 
-QUERIES = {"p8_pieces": p8_pieces, "p8_cuts": p8_cuts}
-SQL: dict[str, str] = {}
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p8_pieces``, per limit: no piece is over it; each piece is the stretch of its document that its
+    places name (``torn``); a document's new parts follow one another from its start to its end (``gaps``); and each piece but the
+    first begins before the one above ends where the limit asks for an overlap (``apart``)."""
+    limits = table(spark, sf_dir, "size_limits").where("limit_name like 'piece\\_%'").select("limit_name", "capacity_tokens", "overlap_tokens")
+    pieces = p8_pieces(spark, sf_dir).join(F.broadcast(limits), "limit_name")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"))
+    w = Window.partitionBy("limit_name", "doc_id").orderBy("piece_no")
+    at = pieces.join(docs, "doc_id").select("limit_name", "tokens", "capacity_tokens", "overlap_tokens", "start_char", "core_start", "end_char", F.lag("end_char").over(w).alias("before"), F.lead("piece_no").over(w).alias("next"), (F.col("text") == F.expr("substring(whole, start_char + 1, end_char - start_char)")).alias("fits"), F.length("whole").alias("n"))
+    gap = (F.col("core_start") != F.coalesce("before", F.lit(0))) | (F.col("next").isNull() & (F.col("end_char") != F.col("n")))
+    bad = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    sums = at.groupBy("limit_name").agg(bad(F.col("tokens") > F.col("capacity_tokens")).alias("over"), bad(~F.col("fits")).alias("torn"), bad(gap).alias("gaps"), bad((F.col("overlap_tokens") > 0) & (F.col("start_char") >= F.col("before"))).alias("apart"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("over", "torn", "gaps", "apart")]
+    return limits.select("limit_name").join(sums, "limit_name", "left").select("limit_name", *zero)
+
+
+QUERIES = {"p8_pieces": p8_pieces, "p8_cuts": p8_cuts, "p8_kept": p8_kept}
+SQL = {"p8_kept": "SELECT limit_name, 0 AS over, 0 AS torn, 0 AS gaps, 0 AS apart FROM size_limits WHERE limit_name LIKE 'piece\\_%' ESCAPE '\\'"}

@@ -176,10 +176,21 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares}
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p4_splits``: records once each, related ones and their groups, no group in two splits, and no split
+    more than half a point off its share unless a group is larger than that."""
+    assigned = checkpointed(_assigned(spark, sf_dir))
+    per = assigned.groupBy("group_key").agg(F.max("related").alias("related"), F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    groups = per.agg(F.sum("n").alias("records"), F.sum(F.when(F.col("related") & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("in_groups"), F.sum((F.col("related") & (F.col("n") > 1)).cast("long")).alias("groups"), F.sum((F.col("splits") > 1).cast("long")).alias("torn"), F.max("n").alias("largest"))
+    plan = table(spark, sf_dir, "split_plan").select(F.col("split_name").alias("split"), "target_share")
+    got = plan.join(assigned.groupBy("split").agg(F.count("*").alias("got")), "split", "left").crossJoin(F.broadcast(groups))
+    off = F.abs(F.coalesce("got", F.lit(0)) - F.col("target_share") * F.col("records")) > F.greatest(0.005 * F.col("records"), F.col("largest"))
+    return groups.crossJoin(F.broadcast(got.agg(F.sum(off.cast("long")).alias("off")))).drop("largest")
 
-SQL = {
-    "p4_found": r"""
+
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_kept": p4_kept}
+
+_KEYED = r"""
 WITH RECURSIVE own AS (SELECT dataset_id, aliases FROM dataset_catalog),
 names AS (
   SELECT DISTINCT dataset_id, regexp_replace(regexp_replace(lower(trim(name)), '\s*@.*$', ''), '[-\s_]+', '_', 'g') AS name
@@ -191,17 +202,20 @@ fields AS (
          ELSE regexp_replace(r.source_record_id, '^(?:[^:|]*:)?(?:.*/)?', '') END AS field
   FROM audio_records r JOIN names n ON n.name = regexp_replace(regexp_replace(lower(trim(r.dataset_id)), '\s*@.*$', ''), '[-\s_]+', '_', 'g')
 ),
-found AS (
+named AS (
   SELECT id, dataset_id, mixed, list_filter(regexp_split_to_array(field, '[^A-Za-z0-9]+'), lambda x: regexp_matches(x, '^[A-TV-Za-tv-z][0-9]+$')) AS codes FROM fields
 ),
 speakers AS (
   SELECT DISTINCT id, dataset_id || ':' || upper(c[1]) || CASE WHEN length(CAST(CAST(c[2:] AS BIGINT) AS VARCHAR)) < 6 THEN lpad(CAST(CAST(c[2:] AS BIGINT) AS VARCHAR), 6, '0') ELSE CAST(CAST(c[2:] AS BIGINT) AS VARCHAR) END AS speaker
-  FROM (SELECT id, dataset_id, unnest(CASE WHEN mixed THEN codes ELSE codes[1:1] END) AS c FROM found)
+  FROM (SELECT id, dataset_id, unnest(CASE WHEN mixed THEN codes ELSE codes[1:1] END) AS c FROM named)
 ),
 links AS (SELECT DISTINCT a.speaker AS u, b.speaker AS v FROM speakers a JOIN speakers b USING (id)),
 reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
 least AS (SELECT u, min(v) AS group_key FROM reach GROUP BY u),
-keyed AS (SELECT DISTINCT s.id, l.group_key FROM speakers s JOIN least l ON l.u = s.speaker)
-SELECT id, group_key FROM keyed WHERE group_key IN (SELECT group_key FROM keyed GROUP BY group_key HAVING count(*) > 1)
-""",
+keyed AS (SELECT DISTINCT s.id, l.group_key FROM speakers s JOIN least l ON l.u = s.speaker),
+found AS (SELECT id, group_key FROM keyed WHERE group_key IN (SELECT group_key FROM keyed GROUP BY group_key HAVING count(*) > 1))
+"""
+SQL = {
+    "p4_found": f"{_KEYED} SELECT id, group_key FROM found",
+    "p4_kept": f"{_KEYED} SELECT (SELECT count(DISTINCT id) FROM audio_records) AS records, count(*) AS in_groups, count(DISTINCT group_key) AS groups, 0 AS torn, 0 AS off FROM found",
 }

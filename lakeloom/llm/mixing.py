@@ -13,7 +13,7 @@ from lakeloom.llm.tokens import encoding, read_vocabulary
 from lakeloom.session import broadcast_within, checkpointed
 from lakeloom.sources.tables import table
 
-SEED, BUCKET_BITS, MAX_SOURCES = 7, 10, 10_000
+SEED, BUCKET_BITS, BUCKET_DOCUMENTS, MAX_SOURCES = 7, 10, 50_000, 10_000
 MIX_SCHEMA = "source string, doc_id long, epoch int, tokens long, taken long"
 
 
@@ -52,7 +52,7 @@ def mix(sized: DataFrame, mix_targets: DataFrame, total_tokens: int | None = Non
     """Rows (source, doc_id, epoch, tokens, taken) of the mix, and (source, available, budget) of every target.
 
     Each document gets a random key by hash; within a source keys are cut into ranges (buckets), whose token sums are
-    prefix-summed, so that no window holds more than a bucket, a 2^-10th of a source. Full epochs take all documents;
+    prefix-summed; there are 2^10 buckets or more, so that no window holds many more than 2 * BUCKET_DOCUMENTS. Full epochs take all documents;
     the last takes those in key order up to the budget, of the one on the edge the first ``taken`` tokens. Documents
     without tokens, and of sources without target, aren't in the mix. Only one sum per target reaches the driver.
     """
@@ -63,9 +63,13 @@ def mix(sized: DataFrame, mix_targets: DataFrame, total_tokens: int | None = Non
     spark = sized.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(s,) for s in targets], "catalogue_id string"))
     key = F.xxhash64(F.lit(seed), "doc_id")
-    docs = checkpointed(sized.where("tokens > 0").join(wanted, "catalogue_id").select(F.col("catalogue_id").alias("source"), "doc_id", "tokens", key.alias("key"), F.shiftrightunsigned(key, 64 - BUCKET_BITS).cast("int").alias("bucket")))
+    docs = checkpointed(sized.where("tokens > 0").join(wanted, "catalogue_id").select(F.col("catalogue_id").alias("source"), "doc_id", "tokens", key.alias("key")))
+    sizes = {r[0]: (int(r[1]), int(r[2])) for r in docs.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}
+    available = {s: n for s, (n, _) in sizes.items()}
+    most = max((n for _, n in sizes.values()), default=1)
+    bits = max(BUCKET_BITS, (most // BUCKET_DOCUMENTS).bit_length())
+    docs = docs.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int"))
     sums = docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum"))
-    available = {r[0]: int(r[1]) for r in sums.groupBy("source").agg(F.sum("sum")).collect()}
     plan = plan_budgets(available, targets, total_tokens)
     planned = F.broadcast(spark.createDataFrame([(s, *plan[s]) for s in sorted(plan)], "source string, budget long, epochs int, rest long"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,5 +105,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p7_shares``, per source that has tokens: nothing is repeated more often than allowed, and the share
+    is met but for the whole tokens that rounding each budget down costs."""
+    got = checkpointed(p7_shares(spark, sf_dir).where("available > 0"))
+    sums = got.agg(F.sum("taken").alias("total"), F.sum("target_share").alias("shares"), F.count("*").alias("sources"))
+    off = F.abs(F.col("taken") - F.col("target_share") / F.col("shares") * F.col("total")) > F.col("sources") + 1
+    return got.crossJoin(F.broadcast(sums)).select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", (F.col("most_uses") > F.col("max_repeats")).alias("over"), off.alias("off"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_kept": p7_kept}
+SQL = {"p7_kept": r"""WITH names AS (SELECT DISTINCT dataset_id, regexp_replace(regexp_replace(lower(trim(name)), '\s*@.*$', ''), '[-\s_]+', '_', 'g') AS name FROM (SELECT dataset_id, dataset_id AS name FROM dataset_catalog UNION ALL SELECT dataset_id, unnest(aliases) FROM dataset_catalog))
+SELECT source, round(target_share, 6) AS target_share, max_repeats, false AS over, false AS off FROM mix_targets m WHERE EXISTS (SELECT 1 FROM documents d JOIN names n ON n.name = regexp_replace(regexp_replace(lower(trim(d.source)), '\s*@.*$', ''), '[-\s_]+', '_', 'g') WHERE n.dataset_id = m.source AND d.text <> '')"""}

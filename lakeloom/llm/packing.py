@@ -175,5 +175,18 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(limits, "limit_name").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4))
 
 
-QUERIES = {"p6_packing": p6_packing, "p6_fill": p6_fill}
-SQL: dict[str, str] = {}
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p6_packing``, per limit: every document is there; no container is over capacity; no document has a
+    gap or an overlap between its pieces (``broken``) or is cut below the capacity; fill is at least 95 %, once there are
+    a hundred containers."""
+    limits = table(spark, sf_dir, "size_limits").where("limit_name like 'pack\\_%'").select("limit_name", "capacity_tokens")
+    packed = checkpointed(p6_packing(spark, sf_dir)).join(F.broadcast(limits), "limit_name")
+    docs = packed.groupBy("limit_name", "doc_id").agg(F.sum("tokens").alias("tokens"), F.max(F.col("token_start") + F.col("tokens")).alias("stop"), F.count("*").alias("pieces"), F.count_distinct("piece_no").alias("numbers"), F.max("capacity_tokens").alias("capacity"))
+    per_doc = docs.groupBy("limit_name").agg(F.count("*").alias("documents"), F.sum(((F.col("tokens") != F.col("stop")) | (F.col("pieces") != F.col("numbers"))).cast("long")).alias("broken"), F.sum(((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).cast("long")).alias("needless"))
+    bins = packed.groupBy("limit_name", "container_id").agg(F.sum("tokens").alias("used"), F.max("capacity_tokens").alias("capacity"))
+    per_bin = bins.groupBy("limit_name").agg(F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("over"), ((F.sum("used") < 0.95 * F.sum("capacity")) & (F.count("*") >= 100)).alias("loose"))
+    return per_doc.join(per_bin, "limit_name")
+
+
+QUERIES = {"p6_packing": p6_packing, "p6_fill": p6_fill, "p6_kept": p6_kept}
+SQL = {"p6_kept": "SELECT limit_name, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, 0 AS broken, 0 AS needless, 0 AS over, false AS loose FROM size_limits WHERE limit_name LIKE 'pack\\_%' ESCAPE '\\'"}

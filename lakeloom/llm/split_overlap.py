@@ -303,5 +303,31 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(*(table(spark, sf_dir, t) for t in ("audio_records", "dataset_catalog", "prep_reports")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
-SQL: dict[str, str] = {}
+def p5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b) of the overlaps by audio."""
+    pairs = audio_pairs(prepared(table(spark, sf_dir, "audio_records"), table(spark, sf_dir, "dataset_catalog"))).where("train_id <> eval_id")
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+
+
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pairs are found among: per side the records, the distinct cuts, and the texts that can be compared."""
+    rows = prepared(table(spark, sf_dir, "audio_records"), table(spark, sf_dir, "dataset_catalog"))
+    cuts = rows.select("train", F.explode("spans.cut").alias("cut")).groupBy("train").agg(F.count_distinct("cut").alias("cuts"))
+    return rows.groupBy("train").agg(F.count_distinct("id").alias("records"), F.count_distinct(F.when(F.col("norm").isNotNull(), F.col("id"))).alias("texts")).join(cuts, "train")
+
+
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_audio": p5_audio, "p5_kept": p5_kept}
+
+_ROLES = r"""
+WITH names AS (SELECT DISTINCT dataset_id, regexp_replace(regexp_replace(lower(trim(name)), '\s*@.*$', ''), '[-\s_]+', '_', 'g') AS name FROM (SELECT dataset_id, dataset_id AS name FROM dataset_catalog UNION ALL SELECT dataset_id, unnest(aliases) FROM dataset_catalog)),
+splits AS (SELECT dataset_id, version, unnest(map_entries(splits)) AS e FROM dataset_catalog),
+roles AS (SELECT r.id, r.task, r.target, r.audio_slots, s.e.value.split_group = 'train' AS train FROM audio_records r JOIN names n ON n.name = regexp_replace(regexp_replace(lower(trim(r.dataset_id)), '\s*@.*$', ''), '[-\s_]+', '_', 'g') JOIN splits s ON s.dataset_id = n.dataset_id AND s.version = r.version AND s.e.key = r.split WHERE s.e.value.split_group IN ('train', 'validation', 'test')),
+slots AS (SELECT id, train, unnest(audio_slots) AS s FROM roles),
+cuts AS (SELECT DISTINCT id, train, regexp_replace(regexp_replace(regexp_replace(lower(trim(s.ref.cut_id)), '^.*[/\\]', ''), '\.(?:wav|flac|mp3|opus|ogg|m4a)$', ''), '(?:[-_#.](?:ch|sp|vp|tempo|speed|vol|volume)[-_]?\d+(?:\.\d+)?)+$', '') AS cut,
+  CASE WHEN s.ref.duration > 0 THEN CAST(round(s.ref.start * 1000) AS BIGINT) END AS a, CASE WHEN s.ref.duration > 0 AND s.ref.start IS NOT NULL THEN CAST(round(s.ref.start * 1000) AS BIGINT) + CAST(round(s.ref.duration * 1000) AS BIGINT) END AS b
+  FROM slots WHERE s.name IN ('primary', 'mixture') AND s.ref.cut_id IS NOT NULL)
+"""
+SQL = {
+    "p5_audio": f"{_ROLES} SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM cuts x JOIN cuts y ON x.cut = y.cut AND x.train AND NOT y.train AND x.id <> y.id WHERE x.a IS NULL OR y.a IS NULL OR (least(x.b, y.b) > greatest(x.a, y.a) AND 2 * (least(x.b, y.b) - greatest(x.a, y.a)) >= least(x.b - x.a, y.b - y.a))",
+    "p5_kept": f"{_ROLES} SELECT r.train, count(DISTINCT r.id) AS records, count(DISTINCT CASE WHEN r.task IN ('asr', 'target_speaker_asr') AND length(regexp_replace(lower(r.target), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 40 THEN r.id END) AS texts, any_value(c.cuts) AS cuts FROM roles r JOIN (SELECT train, count(DISTINCT cut) AS cuts FROM cuts GROUP BY train) c ON c.train = r.train GROUP BY r.train",
+}

@@ -64,7 +64,12 @@ def p1_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_token_budget": p1_token_budget}
+def p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items the totals of ``p1_token_budget`` are over."""
+    return p1_token_budget(spark, sf_dir).select("kind", "dataset_id", "language", "domain", "items")
+
+
+QUERIES = {"p1_found": p1_found, "p1_token_budget": p1_token_budget, "p1_items": p1_items}
 
 NAMES_SQL = """
 own AS (SELECT dataset_id, languages, json_extract_string(provenance, '$.domain') AS domain, aliases FROM dataset_catalog),
@@ -75,7 +80,17 @@ spelled AS (
 facts AS (SELECT dataset_id, min(l) AS first_language, count(DISTINCT l) AS n, max(domain) AS domain FROM (SELECT dataset_id, domain, unnest(languages) AS l FROM own) GROUP BY dataset_id),
 names AS (SELECT s.name, s.dataset_id, CASE WHEN f.n = 1 THEN f.first_language END AS only_language, f.domain FROM spelled s JOIN facts f USING (dataset_id))
 """
+_MEANT = """CASE WHEN {x} IS NULL OR lower(trim({x})) IN ('', 'n/a') THEN coalesce(n.only_language, 'und')
+       WHEN regexp_extract(lower(trim({x})), '^[^-_ ]+') IN ('zh', 'zho', 'chi', 'cmn', 'chinese', '中文') THEN 'zh'
+       WHEN regexp_extract(lower(trim({x})), '^[^-_ ]+') IN ('en', 'eng', 'english') THEN 'en'
+       WHEN regexp_extract(lower(trim({x})), '^[^-_ ]+') IN ('de', 'deu', 'ger', 'german', 'deutsch') THEN 'de' ELSE 'und' END"""
+_NAMED = "LEFT JOIN names n ON n.name = regexp_replace(regexp_replace(lower(trim({x})), '\\s*@.*$', ''), '[-\\s_]+', '_', 'g')"
 SQL = {
+    "p1_items": f"""
+WITH {NAMES_SQL},
+r AS (SELECT DISTINCT ON (r.id) 'record' AS kind, n.dataset_id, {_MEANT.format(x='r.language')} AS language, n.domain FROM audio_records r {_NAMED.format(x='r.dataset_id')}),
+d AS (SELECT 'document' AS kind, n.dataset_id, {_MEANT.format(x='d.lang')} AS language, n.domain FROM documents d {_NAMED.format(x='d.source')})
+SELECT kind, coalesce(dataset_id, 'unknown') AS dataset_id, language, coalesce(domain, 'unknown') AS domain, count(*) AS items FROM (SELECT * FROM r UNION ALL SELECT * FROM d) GROUP BY ALL""",
     "p1_found": f"""
 WITH {NAMES_SQL}
 SELECT DISTINCT r.id, n.dataset_id,
