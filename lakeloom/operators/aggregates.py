@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.ordering import ordered_positions, sums_before
+from lakeloom.session import broadcast_within
+
 
 def rate(errors: Column, units: Column) -> Column:
     """Pooled rate: the sum of errors by the sum of units; null without units."""
@@ -44,10 +47,14 @@ def edge_bucket(value: Column, edges: list[float]) -> Column:
 
 
 def nearest_rank(rows: DataFrame, groups: list[str], value: str, q: float, tie: list[str] = []) -> DataFrame:
-    """The value at rank round(q * (n - 1)), half to even, without gathering a group."""
-    w = Window.partitionBy(*groups)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(w.orderBy(value, *tie)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("rn") == F.bround(F.lit(q) * (F.col("n") - 1)).cast("long")).select(*groups, F.col(value).alias("at_rank"))
+    """The value at rank round(q * (n - 1)), half to even, without gathering a group: rows are numbered by range partitions."""
+    ranked = ordered_positions(rows.where(F.col(value).isNotNull()).select(*groups, value, *tie), groups, [value, *tie], "_rn")
+    sizes = ranked.groupBy(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(groups)]).agg(F.count("*").alias("_n"))
+    on = F.lit(True)
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_s{i}"))
+    j = ranked.join(broadcast_within(sizes), on) if groups else ranked.crossJoin(F.broadcast(sizes))
+    return j.where(F.col("_rn") == F.bround(F.lit(q) * (F.col("_n") - 1)).cast("long")).select(*groups, F.col(value).alias("at_rank"))
 
 
 def spread(value: Column) -> list[Column]:
@@ -57,12 +64,14 @@ def spread(value: Column) -> list[Column]:
 def auc(rows: DataFrame, groups: list[str], positive: Column, score: Column) -> DataFrame:
     """P(score of a positive > of a negative), ties half; null where a side is empty.
 
-    Ranks come from counts per distinct score, so the window holds one row per distinct score.
+    Ranks come from counts per distinct score, summed over range partitions, so a group's scores are in no one task. A
+    null group counts as a group of its own.
     """
     per = rows.where(score.isNotNull() & positive.isNotNull()).groupBy(*groups, score.alias("score")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    w = Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return per.withColumn("won", F.col("p") * (below + F.col("n") * 0.5)).groupBy(*groups).agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+    keys = [f"_g{i}" for i in range(len(groups))]
+    keyed = per.select(*groups, *[F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(k) for g, k in zip(groups, keys)], "score", "p", "n")
+    per = sums_before(keyed, keys, "score", "n", "below").drop(*keys)
+    return per.withColumn("won", F.col("p") * (F.col("below") + F.col("n") * 0.5)).groupBy(*groups).agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
 def share_distance(rows: DataFrame, group: str, label: str) -> DataFrame:

@@ -32,6 +32,21 @@ def ordered_positions(rows: DataFrame, groups: list[str], order: list[Column | s
     return placed.join(broadcast_within(offsets), on).withColumn(name, F.col("_at") + F.col("_offset")).drop("_pid", "_at", "_p", "_offset", *names)
 
 
+def sums_before(rows: DataFrame, groups: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Rows with ``name``, the sum of ``value`` over those of their group that come before in the order, which must be total.
+
+    As in ``ordered_positions`` rows are range-partitioned; sums run within a partition and start from the sums of those
+    before, so a hot group is spread. Groups' values must not be null.
+    """
+    placed = rows.repartitionByRange(*groups, order).withColumn("_pid", F.spark_partition_id())
+    placed = checkpointed(placed)
+    per = placed.groupBy(*groups, "_pid").agg(F.sum(value).alias("_sum"))
+    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*groups, "_pid", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*groups, "_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(broadcast_within(base), [*groups, "_pid"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_pid", "_base")
+
+
 def quantiles(rows: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:
     """(groups, q0, q1, …): interpolated quantiles of the values that aren't null; a group without any has no row.
 

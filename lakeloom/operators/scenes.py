@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.alignment import best_assignment, edit_distance, units
-from lakeloom.operators.timeline import islands
+from lakeloom.operators.timeline import islands, next_few
 from lakeloom.session import broadcast_within
 
 
@@ -219,12 +219,8 @@ def diarization(sides: DataFrame, collar: int, shard: int = 360_000) -> DataFram
 def repeated_lines(t: DataFrame, least_units: int = 4, similarity: float = 0.8) -> DataFrame:
     """(window_id, pairs): neighbouring turns (of the next three) of different speakers that overlap by half of the
     shorter one and say nearly the same."""
-    w = Window.partitionBy("window_id").orderBy("s", "e", "turn_id")
-    out = None
-    for k in (1, 2, 3):
-        nxt = F.lead(F.struct("speaker", "s", "e", "text"), k).over(w)
-        j = t.withColumn("n", nxt).where("n is not null and n.speaker <> speaker and least(e, n.e) - n.s >= 0.5 * least(e - s, n.e - n.s)")
-        out = j.select("window_id", "text", F.col("n.text").alias("other")) if out is None else out.unionByName(j.select("window_id", "text", F.col("n.text").alias("other")))
+    j = next_few(t.select("window_id", "turn_id", "speaker", "s", "e", "text"), ["speaker", "text"], 3).withColumn("n", F.explode("few"))
+    out = j.where("n.speaker <> speaker and least(e, n.e) - n.s >= 0.5 * least(e - s, n.e - n.s)").select("window_id", "text", F.col("n.text").alias("other"))
 
     def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

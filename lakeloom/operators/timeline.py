@@ -109,13 +109,32 @@ def active_spans(t: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(*keys, "s", F.coalesce(F.lead("s").over(w), "_next").alias("e"), active.alias("active")).where("e is not null")
 
 
+def followed(t: DataFrame, columns: list[str]) -> DataFrame:
+    """Turns with ``next``, a struct (s, e, turn_id, columns) of the turn that follows in their window by (s, e, turn_id)."""
+    row = F.struct("s", "e", "turn_id", *columns)
+    got = _across(t, ["window_id"], F.floor(F.col("s") / SHARD), {"_first": F.min_by(row, F.struct("s", "e", "turn_id"))}, {"_following": lambda w: F.lead("_first").over(w)})
+    w = Window.partitionBy("window_id", "_shard").orderBy("s", "e", "turn_id")
+    return got.withColumn("next", F.coalesce(F.lead(row).over(w), "_following")).drop("_following", "_shard")
+
+
+def next_few(t: DataFrame, columns: list[str], few: int) -> DataFrame:
+    """Turns with ``few``, the list of up to that many structs (s, e, turn_id, columns) that follow in their window. Each shard
+    gets the first ones of the shards after it, never more than ``few`` of each."""
+    row = F.struct("s", "e", "turn_id", *columns)
+    w = Window.partitionBy("window_id", "_shard").orderBy("s", "e", "turn_id")
+    at = t.withColumn("_shard", F.floor(F.col("s") / SHARD)).withColumn("_n", F.row_number().over(w))
+    at = at.withColumn("_here", F.collect_list(row).over(w.rowsBetween(1, few)))
+    heads = at.where(F.col("_n") <= few).groupBy("window_id", "_shard").agg(F.array_sort(F.collect_list(row)).alias("_head"))
+    by = Window.partitionBy("window_id").orderBy("_shard").rowsBetween(1, few)
+    heads = heads.select(F.col("window_id").alias("_w"), F.col("_shard").alias("_s"), F.flatten(F.collect_list("_head").over(by)).alias("_after"))
+    j = at.join(heads, at["window_id"].eqNullSafe(heads["_w"]) & (at["_shard"] == heads["_s"]))
+    return j.withColumn("few", F.slice(F.concat("_here", "_after"), 1, few)).drop("_shard", "_n", "_here", "_after", "_w", "_s")
+
+
 def speaker_change_gaps(t: DataFrame) -> DataFrame:
     """(window_id, gap): time from each turn's end to the next start where another speaker follows; negative if they overlap."""
-    row = F.struct("s", "e", "turn_id", "speaker")
-    got = _across(t.select("window_id", "s", "e", "turn_id", "speaker"), ["window_id"], F.floor(F.col("s") / SHARD), {"_first": F.min(row)}, {"_next": lambda w: F.lead("_first").over(w)})
-    w = Window.partitionBy("window_id", "_shard").orderBy("s", "e", "turn_id")
-    n = got.withColumn("n", F.coalesce(F.lead(row).over(w), "_next"))
-    return n.where("n.speaker is not null and speaker is not null and n.speaker <> speaker").select("window_id", (F.col("n.s") - F.col("e")).alias("gap"))
+    n = followed(t.select("window_id", "s", "e", "turn_id", "speaker"), ["speaker"])
+    return n.where("next.speaker is not null and speaker is not null and next.speaker <> speaker").select("window_id", (F.col("next.s") - F.col("e")).alias("gap"))
 
 
 def self_overlaps(t: DataFrame) -> DataFrame:

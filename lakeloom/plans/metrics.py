@@ -3,7 +3,6 @@ quantity for errors, the flag and status for dataset and condition."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.alignment import batched, repeated_grams
@@ -114,7 +113,8 @@ def mixing_distance(spark, d):
 
 def distinct_sources(spark, d):
     """Distinct datasets, padding and used share of each window of 64 records in hash order."""
-    r = timed_records(spark, d).where("duration is not null").select("id", "dataset_id", "duration", (F.floor((F.row_number().over(Window.partitionBy("task").orderBy(F.sha2("id", 256))) - 1) / 64)).alias("update"), "task")
+    r = timed_records(spark, d).where("duration is not null").select("id", "dataset_id", "duration", "task", F.sha2("id", 256).alias("h"))
+    r = ordered_positions(r, ["task"], ["h"]).withColumn("update", F.floor(F.col("ix") / 64))
     return r.groupBy("task", "update").agg(F.count_distinct("dataset_id").alias("datasets"), F.round(1 - F.sum("duration") / (F.max("duration") * F.count("*")), 6).alias("padding"))
 
 

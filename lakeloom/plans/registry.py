@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import attribution, configured, inference, metrics, numerics, relations, rendering, sampling, scenes, selection, storage, streams, text_metrics, timeline, turn_periods, versioning
+from lakeloom.plans import attribution, configured, inference, metrics, numerics, operations, relations, rendering, sampling, scenes, selection, storage, streams, text_metrics, timeline, turn_periods, versioning
 
-MODULES = [turn_periods, selection, metrics, timeline, text_metrics, sampling, relations, versioning, rendering, inference, numerics, scenes, streams, configured, attribution, storage]
+MODULES = [turn_periods, selection, metrics, timeline, text_metrics, sampling, relations, versioning, rendering, inference, numerics, scenes, streams, configured, attribution, storage, operations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

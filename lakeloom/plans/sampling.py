@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.draws import categorical, hash_sql, log_uniform, u, u_sql
@@ -148,6 +147,9 @@ QUERIES = {f.__name__: f for f in [shard_rotation, weighted_mux, replay_plan, fu
 
 _QUOTAS = "q0 AS (SELECT source, target_share * 100.0 / sum(target_share) OVER () AS exact FROM mix_targets), q1 AS (SELECT *, CAST(floor(exact) AS BIGINT) AS base FROM q0), q2 AS (SELECT source, base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, source) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q1), sizes AS (SELECT dataset_id AS source, count(*) AS n FROM records GROUP BY ALL), quotas AS (SELECT source, quota, n FROM q2 JOIN sizes USING (source) WHERE quota > 0)"
 _COSTED = f"{TIMED_SQL}, costed AS (SELECT id, CASE WHEN task = 'target_speaker_asr' THEN 2 ELSE 1 END AS slots, least(duration, 30.0) AS cost FROM timed WHERE duration IS NOT NULL)"
+_BUFFERS = f"{_COSTED}, placed AS (SELECT *, (row_number() OVER (PARTITION BY slots ORDER BY {u_sql(1, 'arrival', 'id')}, id) - 1) // 500 AS buffer, {u_sql(1, 'arrival', 'id')} AS at_ FROM costed)"
+# Greedy cuts, one step a row: over the sum of costs, or over the padded size as costs ascend.
+_GREEDY = "cut AS (SELECT slots, buffer, bin, i, cost, 0 AS batch, 1 AS n, cost AS total FROM o WHERE i = 1 UNION ALL SELECT o.slots, o.buffer, o.bin, o.i, o.cost, CASE WHEN {full} THEN c.batch + 1 ELSE c.batch END, CASE WHEN {full} THEN 1 ELSE c.n + 1 END, CASE WHEN {full} THEN o.cost ELSE c.total + o.cost END FROM cut c JOIN o ON o.slots = c.slots AND o.buffer = c.buffer AND o.bin = c.bin AND o.i = c.i + 1)"
 _CAT = "CASE WHEN {x} < 0.5 THEN 1 WHEN {x} < 0.8 THEN 2 ELSE 3 END"
 SQL = {
     "shard_rotation": f"WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM records), c AS (SELECT *, least(40, n) AS cap FROM r), s AS (SELECT *, (3 % CAST(ceil(n / cap) AS BIGINT)) * cap AS start FROM c) SELECT dataset_id, id, unnest([1, 2]) AS rep FROM s WHERE ((ix - start) % n + n) % n < cap",
@@ -155,6 +157,8 @@ SQL = {
     "replay_plan": f"WITH {RECORDS_SQL}, {_QUOTAS}, d AS (SELECT source, quota, n, unnest(range(0, CAST(quota * 5 AS BIGINT))) AS draw FROM quotas), p AS (SELECT source, draw, CAST(floor(draw / quota) AS BIGINT) AS w, CAST(floor((2 * quota * 5 + draw) / n) AS BIGINT) AS cycle, CAST((2 * quota * 5 + draw) % n AS BIGINT) AS off FROM d), o AS (SELECT c.source, c.cycle, r.id, row_number() OVER (PARTITION BY c.source, c.cycle ORDER BY sha256(concat_ws(':', '9', 'replay', CAST(c.cycle AS VARCHAR), r.id)), r.id) - 1 AS off FROM (SELECT DISTINCT source, cycle FROM p) c JOIN records r ON r.dataset_id = c.source) SELECT p.source, p.draw, p.w AS \"window\", p.cycle, p.off AS \"offset\", o.id FROM p JOIN o USING (source, cycle, off)",
     "full_coverage": f"WITH {RECORDS_SQL}, {_QUOTAS} SELECT CAST(max(ceil(n / quota)) AS BIGINT) AS windows FROM quotas",
     "bucket_keys": f"WITH {_COSTED} SELECT slots, CAST(least(7, floor(cost / ((SELECT max(cost) FROM costed) / 8))) AS INTEGER) AS bin, count(*) AS n, round(sum(cost), 3) AS seconds FROM costed GROUP BY ALL",
+    "bucket_batching": f"WITH RECURSIVE {_BUFFERS}, b AS (SELECT *, CAST(least(7, floor(cost / ((SELECT max(cost) FROM costed) / 8))) AS INTEGER) AS bin FROM placed), o AS (SELECT *, row_number() OVER (PARTITION BY slots, buffer, bin ORDER BY at_, id) AS i FROM b), {_GREEDY.format(full='(c.n >= 16 OR c.total + o.cost > 120.0)')} SELECT slots, buffer, bin, batch, count(*) AS n, round(sum(cost), 3) AS seconds FROM cut GROUP BY ALL",
+    "sorted_packing": f"WITH RECURSIVE {_BUFFERS}, o AS (SELECT *, 0 AS bin, row_number() OVER (PARTITION BY slots, buffer ORDER BY cost, id) AS i FROM placed), {_GREEDY.format(full='(c.n >= 16 OR o.cost * (c.n + 1) > 120.0)')} SELECT slots, buffer, batch, count(*) AS n, round(count(*) * max(cost), 3) AS padded, round(1 - sum(cost) / (count(*) * max(cost)), 6) AS padding FROM cut GROUP BY ALL",
     "balance": f"WITH b AS (SELECT l_orderkey AS batch_id, count(*) AS n, max(l_quantity) AS longest FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY round(n * longest, 9), batch_id) - 1 AS k FROM b), g AS (SELECT *, k // 8 AS up, k % 8 AS i, count(*) OVER (PARTITION BY k // 8) = 8 AS whole FROM k), o AS (SELECT up, row_number() OVER (ORDER BY {hash_sql(3, 'groups', 'up')}) - 1 AS place FROM (SELECT DISTINCT up FROM g)) SELECT batch_id, place, i // 4 AS row, CASE WHEN whole AND (i // 4) % 2 = 1 THEN 3 - i % 4 ELSE i % 4 END AS rank FROM g JOIN o USING (up)",
     "rank_partition": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders), t AS (SELECT count(*) AS total FROM b), a AS (SELECT o_orderkey, p FROM b UNION ALL SELECT o_orderkey, p + total FROM b, t WHERE p < (7 - total % 7) % 7) SELECT o_orderkey, p AS position FROM a WHERE p % 7 = 1",
     "resume_suffix": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders), t AS (SELECT count(*) AS total FROM b) SELECT o_orderkey, p AS position FROM b, t WHERE p < total - total % 8 AND p >= 120",

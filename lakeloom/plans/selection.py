@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lakeloom.functions.catalog import LANGUAGE_NAMES
 from lakeloom.functions.draws import hash_sql, u, u_sql
 from lakeloom.operators import selection as S
+from lakeloom.operators.ordering import ordered_positions
 from lakeloom.plans.views import CLEAN_SQL, MAIN_SQL, RECORDS_SQL, TIMED_SQL, records, timed_records
+from lakeloom.session import broadcast_within
 from lakeloom.sources.tables import table
 
 
@@ -135,12 +137,9 @@ def name_filter(spark, d):
 
 def keep_closest(spark, d):
     """of each brand the half of the parts whose size is closest to 25, at least one."""
-    from pyspark.sql import Window
-
-    p = table(spark, d, "part")
-    w = Window.partitionBy("p_brand").orderBy(F.abs(F.col("p_size") - 25), "p_partkey")
-    n = F.count("*").over(Window.partitionBy("p_brand"))
-    return p.withColumn("rn", F.row_number().over(w)).withColumn("keep", F.greatest(F.lit(1), F.floor(n * 0.5))).where("rn <= keep").select("p_partkey", "p_brand", "rn")
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.abs(F.col("p_size") - 25).alias("off"))
+    n = p.groupBy("p_brand").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.5)).alias("keep"))
+    return ordered_positions(p, ["p_brand"], ["off", "p_partkey"]).join(broadcast_within(n), "p_brand").where("ix < keep").select("p_partkey", "p_brand", (F.col("ix") + 1).alias("rn"))
 
 
 def nearest_rooms(spark, d):

@@ -42,5 +42,6 @@ QUERIES = {f.__name__: f for f in [event_tail, tumbling_counts, preview_times, w
 SQL = {
     "event_tail": "SELECT event_type, value > 100 AS high, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "tumbling_counts": "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "preview_times": "WITH RECURSIVE e AS (SELECT user_id AS session, epoch_us(ts) / 3.6e9 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT session, i, t AS last, true AS due FROM e WHERE i = 1 UNION ALL SELECT e.session, e.i, CASE WHEN e.t - w.last >= 24 THEN e.t ELSE w.last END, e.t - w.last >= 24 FROM w JOIN e ON e.session = w.session AND e.i = w.i + 1) SELECT session, round(last, 4) AS at FROM w WHERE due",
     "window_layout": f"WITH {TIMED_SQL}, n AS (SELECT id, duration, greatest(CAST(floor(duration / 6) AS BIGINT) - CASE WHEN duration % 6 <= 1 THEN 1 ELSE 0 END, 0) AS n, greatest(ceil(duration / 27), 1) AS c FROM timed WHERE duration IS NOT NULL) SELECT id, n + CASE WHEN n * 6 < duration THEN 1 ELSE 0 END AS windows, round(CASE WHEN n * 6 < duration THEN duration - n * 6 ELSE 6 END, 3) AS tail, CAST(c AS INTEGER) AS chunks, round(duration / c, 4) AS length FROM n",
 }

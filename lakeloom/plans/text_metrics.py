@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import alignment as A
 from lakeloom.functions import text as X
+from lakeloom.operators.timeline import followed
 from lakeloom.plans.views import RECORDS_SQL, TURNS_SQL, records, turns
 from lakeloom.sources.tables import table
 
@@ -18,9 +19,8 @@ STOP = ["the", "a", "of", "we", "i", "to", "in"]
 
 def _pairs(spark, d):
     """Each turn beside the next of its window."""
-    w = Window.partitionBy("window_id").orderBy("s", "e", "turn_id")
-    t = turns(spark, d).where(F.col("text").isNotNull()).withColumn("other", F.lead("text").over(w))
-    return t.where("other is not null").select("turn_id", "text", "other")
+    t = followed(turns(spark, d).where(F.col("text").isNotNull()).select("turn_id", "window_id", "s", "e", "text"), ["text"])
+    return t.where("next is not null").select("turn_id", "text", F.col("next.text").alias("other"))
 
 
 def cer_pairs(spark, d):

@@ -474,3 +474,48 @@ def test_sessions_in_two_stages_and_parts(spark):
     assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2] and got[9] not in (got[0], got[2])
     parts = Y.session_clusters(rows, 0.9, stretch=2).collect()
     assert len(parts) == 6 and len({r["id"] for r in parts}) == 6
+
+
+def test_task_levels_and_states(spark):
+    from lakeloom.operators import operations as O
+
+    tasks = spark.createDataFrame([(t,) for t in "abcd"], "task string")
+    needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "gone"), (None, "a")], "task string, needed string")
+    levels = O.task_levels(tasks, needs)
+    assert {r["task"]: (r["level"], r["missing"]) for r in levels.collect()} == {"a": (0, 0), "b": (1, 0), "c": (2, 0), "d": (0, 1)}
+    done = spark.createDataFrame([("a",)], "task string")
+    assert {r["task"]: r["state"] for r in O.runnable(levels, needs, done).collect()} == {"a": "done", "b": "ready", "c": "blocked", "d": "blocked"}
+    with pytest.raises(ValueError):
+        O.task_levels(tasks, spark.createDataFrame([("a", "b"), ("b", "a")], "task string, needed string"), most=5)
+    assert O.task_levels(tasks.limit(0), needs).count() == 0
+
+
+def test_overviews_arms_and_terminal_states(spark):
+    from lakeloom.operators import operations as O
+
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "k string, d string")
+    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("e", "1")], "k string, d string")
+    assert {r["k"]: r["state"] for r in O.overview_changes(old, new, "k", "d").collect()} == {"a": "current", "b": "stale", "c": "gone", "e": "new"}
+    w = spark.createDataFrame([("x", 1.0, True), ("y", 1.0, False), ("z", 3.0, False)], "source string, weight double, trained boolean")
+    got = {(r["arm"], r["source"]): r["quota"] for r in O.recipe_arms(w, 10, {"control": 0.0, "replay": 0.5}).collect()}
+    assert got == {("control", "x"): 0, ("control", "y"): 3, ("control", "z"): 7, ("replay", "x"): 5, ("replay", "y"): 1, ("replay", "z"): 4}
+    log = spark.createDataFrame([("k1", "run", 1), ("k1", "done", 2), ("k2", "run", 1), ("k3", "done", 1), ("k4", "done", 1)], "key string, state string, at int")
+    remote = spark.createDataFrame([("k1", "done", 2), ("k2", "run", 1), ("k3", "failed", 5)], "key string, state string, at int")
+    assert {r["key"]: r["error"] for r in O.terminal_check(log, remote, ["done"]).collect()} == {"k2": "open", "k3": "differs", "k4": "missing"}
+
+
+def test_next_few_and_sums_before(spark, monkeypatch):
+    from lakeloom.operators import timeline as L
+    from lakeloom.operators.ordering import sums_before
+
+    monkeypatch.setattr(L, "SHARD", 16)
+    rng = np.random.default_rng(5)
+    rows = [(w, i, int(s), int(s) + 5) for w in "ab" for i, s in enumerate(rng.integers(-40, 200, 40))]
+    t = spark.createDataFrame(rows, "window_id string, turn_id int, s long, e long")
+    order = {w: [i for _, i, *_ in sorted((r for r in rows if r[0] == w), key=lambda r: (r[2], r[3], r[1]))] for w in "ab"}
+    got = {(r["window_id"], r["turn_id"]): [x["turn_id"] for x in r["few"]] for r in L.next_few(t, [], 3).collect()}
+    assert got == {(w, i): o[k + 1 : k + 4] for w, o in order.items() for k, i in enumerate(o)}
+    nxt = {(r["window_id"], r["turn_id"]): r["next"]["turn_id"] if r["next"] else None for r in L.followed(t, []).collect()}
+    assert nxt == {(w, i): (o[k + 1 : k + 2] or [None])[0] for w, o in order.items() for k, i in enumerate(o)}
+    v = spark.createDataFrame([("g" if i % 3 else "h", i, i % 7) for i in range(100)], "g string, o int, v int")
+    assert all(r["b"] == sum(j % 7 for j in range(r["o"]) if (j % 3 == 0) == (r["o"] % 3 == 0)) for r in sums_before(v, ["g"], "o", "v", "b").collect())
