@@ -23,6 +23,17 @@ def one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full").select(key, F.coalesce("in_a", F.lit(0)).alias("in_a"), F.coalesce("in_b", F.lit(0)).alias("in_b")).where("in_a <> 1 or in_b <> 1")
 
 
+def paired(a: DataFrame, b: DataFrame, key: str, value: str, ok: str, same_keys: bool = False) -> DataFrame:
+    """(key, value_a, value_b) of keys that succeeded (``ok``) on both sides. With ``same_keys`` keys that only one side has, or
+    that repeat on one, are an error that names some; otherwise they drop out."""
+    if same_keys:
+        odd = [tuple(r) for r in one_to_one(a, b, key).limit(5).collect()]
+        if odd:
+            raise ValueError(f"keys (key, in a, in b) that don't match one to one: {odd}")
+    x = a.where(ok).select(key, F.col(value).alias(f"{value}_a"))
+    return x.join(b.where(ok).select(key, F.col(value).alias(f"{value}_b")), key)
+
+
 def slots_located(records: DataFrame, index: DataFrame) -> DataFrame:
     """(id, pos, name, cut_id, duration, missing) of each slot, with its cut's duration where the slot gives none."""
     slots = records.select("id", F.posexplode("audio_slots").alias("pos", "slot")).select("id", "pos", "slot.name", "slot.ref.cut_id", F.col("slot.ref.duration").alias("own"))

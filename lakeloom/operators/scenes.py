@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.alignment import best_assignment, edit_distance, units
+from lakeloom.operators.ordering import ordered_positions, sums_before
 from lakeloom.operators.timeline import islands, next_few
 from lakeloom.session import broadcast_within
 
@@ -23,6 +24,25 @@ def scene_extents(t: DataFrame, mode: Column, gap: float) -> DataFrame:
     return sums.select("window_id", F.when(mode == "alternate", F.col("all_s") + gap * (F.col("all_n") - 1)).otherwise(F.col("longest")).alias("extent"))
 
 
+def scene_starts(t: DataFrame, mode: Column, gap: int) -> DataFrame:
+    """(window_id, turn_id, speaker, s, e) -> (window_id, turn_id, start): a scene of each window's turns by ``mode``.
+
+    ``alternate``: one turn of each speaker after the other, ``gap`` apart; ``burst``: each speaker's turns one after the other
+    from the start, all speakers at once; ``short``: as burst, but of turns of at most 2 s only; ``full``: as they are, from
+    the first start. Turns are numbered and summed in range partitions, so no task holds a window that is always on.
+    """
+    at = t.withColumn("mode", mode).where("speaker is not null and (mode <> 'short' or e - s <= 200)")
+    first = at.groupBy("window_id").agg(F.min("s").alias("first"))
+    numbered = ordered_positions(at.select("window_id", "speaker", "turn_id", "s", "e", "mode"), ["window_id", "speaker"], ["s", "e", "turn_id"], "k")
+    length = numbered.withColumn("step", F.col("e") - F.col("s") + gap)
+    turnwise = length.withColumn("key", F.struct("k", "speaker"))
+    one = sums_before(turnwise.where("mode = 'alternate'"), ["window_id"], "key", "step", "start")
+    own = sums_before(length.where("mode in ('burst', 'short')"), ["window_id", "speaker"], "k", "step", "start")
+    full = length.where("mode = 'full'").join(first, "window_id").withColumn("start", F.col("s") - F.col("first"))
+    columns = ["window_id", "turn_id", "start"]
+    return one.select(*columns).unionByName(own.select(*columns)).unionByName(full.select(*columns))
+
+
 def gap_windows(t: DataFrame, longest: int, anchor: int = 360_000) -> DataFrame:
     """(window_id, s, e) -> (window_id, s, e, periods): windows of at most ``longest`` that end where nobody speaks; one
     grows past that only if an uncut stretch of speech is longer.

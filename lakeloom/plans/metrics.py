@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.alignment import batched, repeated_grams
 from lakeloom.operators import aggregates as A
 from lakeloom.operators.ordering import ordered_positions, quantiles
-from lakeloom.plans.views import INDEX_SQL, RECORDS_SQL, TIMED_SQL, index, records, timed_records
+from lakeloom.plans.views import FIRST_TURNS_SQL, INDEX_SQL, RECORDS_SQL, TIMED_SQL, TURNS_SQL, index, records, timed_records, turns
 from lakeloom.session import checkpointed
 from lakeloom.sources.tables import table
 
@@ -36,10 +36,16 @@ def attribution_coverage(spark, d):
 
 
 def boundary_scores(spark, d):
-    """A4: precision, recall, F1, and mean boundary error of matched rows."""
-    e = table(spark, d, "lineitem")
-    matched = (F.col("l_discount") < 0.05).cast("int")
-    return e.groupBy("l_returnflag").agg(*[F.round(c, 6).alias(n) for c, n in zip(A.precision_recall(matched, F.lit(1), (F.col("l_tax") < 0.06).cast("int")), ["precision", "recall", "f1"])], F.round(F.avg(F.when(matched == 1, F.abs(F.col("l_tax") - F.col("l_discount")))), 6).alias("boundary_mae"))
+    """A4: precision, recall and F1 of turn times, and the mean error of matched bounds, by split: first deliveries as
+    predictions of the latest, matched where both bounds are within a quarter of a second."""
+    a = turns(spark, d, first=True).select("turn_id", F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("split").alias("predicted_split"))
+    b = turns(spark, d).select("turn_id", "s", "e", "split")
+    j = b.join(a, "turn_id", "full").withColumn("split", F.coalesce("split", "predicted_split"))
+    off = F.greatest(F.abs(F.col("s") - F.col("ps")), F.abs(F.col("e") - F.col("pe")))
+    matched = F.coalesce((off <= 25).cast("int"), F.lit(0))
+    scores = A.precision_recall(matched, F.col("ps").isNotNull().cast("int"), F.col("s").isNotNull().cast("int"))
+    error = (F.abs(F.col("s") - F.col("ps")) + F.abs(F.col("e") - F.col("pe"))) / 200.0
+    return j.groupBy("split").agg(*[F.round(c, 6).alias(n) for c, n in zip(scores, ["precision", "recall", "f1"])], F.round(F.avg(F.when(matched == 1, error)), 6).alias("boundary_mae"))
 
 
 def grouping_sets(spark, d):
@@ -213,7 +219,7 @@ SQL = {
     "pooled_rate": f"SELECT l_returnflag, round(sum({_E}) / sum({_U}), 6) AS rate, round(sum({_U}), 2) AS units FROM lineitem GROUP BY ALL",
     "utterance_weighted": "SELECT l_linestatus, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL",
     "attribution_coverage": "SELECT o_orderpriority, count(DISTINCT o_orderstatus) <= 1 AS poolable, round(avg((o_orderstatus <> 'P')::INT), 6) AS coverage, round(sum((o_orderstatus = 'F')::INT) / nullif(sum((o_orderstatus <> 'P')::INT), 0), 6) AS accuracy FROM orders GROUP BY ALL",
-    "boundary_scores": "SELECT l_returnflag, round(sum(m) / count(*), 6) AS precision, round(sum(m) / sum(r), 6) AS recall, round(2 * sum(m) / (count(*) + sum(r)), 6) AS f1, round(avg(CASE WHEN m = 1 THEN abs(l_tax - l_discount) END), 6) AS boundary_mae FROM (SELECT *, (l_discount < 0.05)::INT AS m, (l_tax < 0.06)::INT AS r FROM lineitem) GROUP BY ALL",
+    "boundary_scores": f"WITH {TURNS_SQL}, {FIRST_TURNS_SQL}, j AS (SELECT coalesce(t.split, f.split) AS split, t.s, t.e, f.s AS ps, f.e AS pe FROM t FULL JOIN f ON f.turn_id = t.turn_id), m AS (SELECT *, coalesce((greatest(abs(s - ps), abs(e - pe)) <= 25)::INT, 0) AS ok FROM j) SELECT split, round(sum(ok) / count(ps), 6) AS precision, round(sum(ok) / count(s), 6) AS recall, round(2 * sum(ok) / (count(ps) + count(s)), 6) AS f1, round(avg(CASE WHEN ok = 1 THEN (abs(s - ps) + abs(e - pe)) / 200 END), 6) AS boundary_mae FROM m GROUP BY split",
     "grouping_sets": f"SELECT l_returnflag AS dataset, l_linestatus AS condition, CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level, round(sum({_E}) / sum({_U}), 6) AS rate, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())",
     "condition_keys": "SELECT CAST(o_custkey % 3 + 1 AS INTEGER) AS speakers, regexp_extract(lower(substr(o_orderpriority, 3, 4)), '^([a-z ]+)$', 1) AS level, count(*) AS n FROM orders GROUP BY ALL",
     "meeting_summary": "SELECT CASE WHEN speakers <= 2 THEN '2' WHEN speakers <= 4 THEN '3-4' ELSE '5+' END AS bucket, count(*) AS windows, round(avg(speech_cov), 6) AS coverage, round(sum(overlap_time * duration_s) / sum(CASE WHEN overlap_time IS NOT NULL THEN duration_s END), 6) AS overlap, round(avg((gap_median_s > 1)::INT), 6) AS slow_share, round(sum(duration_s), 2) AS seconds FROM label_stats WHERE overlap_time IS NOT NULL GROUP BY ALL",

@@ -44,13 +44,29 @@ def eligible_semi(spark, d):
     return records(spark, d).join(ok, ["dataset_id", "version"], "left_semi").select("id")
 
 
+def _systems(spark, d):
+    """Scores of two systems per turn: the characters of its first and of its latest delivery; one without text failed."""
+    t = table(spark, d, "turns").groupBy("turn_id").agg(F.min_by(F.struct("text", "window_id", "speaker"), "ingested_at").alias("a"), F.max_by(F.struct("text", "window_id", "speaker"), "ingested_at").alias("b"))
+    side = lambda x: t.select("turn_id", F.length(f"{x}.text").alias("score"), F.col(f"{x}.text").isNotNull().alias("ok"))
+    return side("a"), side("b")
+
+
 def run_pairs(spark, d):
-    """Order lines flown and returned against each other, per part."""
-    l = table(spark, d, "lineitem")
-    a = l.where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.sum("l_quantity").alias("qa"))
-    b = l.where("l_returnflag = 'A'").groupBy("l_partkey").agg(F.sum("l_quantity").alias("qb"))
-    j = a.join(b, "l_partkey")
-    return j.agg(F.count("*").alias("paired"), F.round(F.sum(F.col("qb") - F.col("qa")), 2).alias("net"), F.round(F.sum(F.abs(F.col("qb") - F.col("qa"))), 2).alias("absolute"), F.sum((F.abs(F.col("qb") - F.col("qa")) > 1e-9).cast("int")).alias("changed"))
+    """The systems' scores by turn, sets of turns asserted equal, failed ones left out: net, absolute and
+    changed scores."""
+    j = R.paired(*_systems(spark, d), "turn_id", "score", "ok", same_keys=True)
+    diff = F.col("score_b") - F.col("score_a")
+    return j.agg(F.count("*").alias("paired"), F.sum(diff).alias("net"), F.sum(F.abs(diff)).alias("absolute"), F.sum((diff != 0).cast("int")).alias("changed"))
+
+
+def counterfactual_pairs(spark, d):
+    """What happens to a mixture's outcome when only the enrolment changes: target-speaker records of one mixture cut and
+    text presence, crossed with those of another enrolment; counted by class, no pair is listed."""
+    slot = lambda n: F.get(F.filter("audio_slots", lambda s: s["name"] == n), F.lit(0))["ref"]["cut_id"]
+    r = records(spark, d).where("task = 'target_speaker_asr'").select(slot("mixture").alias("mix"), slot("enrollment").alias("enr"), (F.coalesce(F.trim("target"), F.lit("")) != "").alias("said")).where("mix is not null and enr is not null")
+    per = r.groupBy("mix", "enr").agg(F.sum(F.col("said").cast("long")).alias("yes"), F.sum((~F.col("said")).cast("long")).alias("no"))
+    sums = per.groupBy("mix").agg(F.sum("yes").alias("y"), F.sum("no").alias("n"), F.sum(F.col("yes") * F.col("yes")).alias("yy"), F.sum(F.col("no") * F.col("no")).alias("nn"), F.sum(F.col("yes") * F.col("no")).alias("yn"))
+    return sums.agg(F.sum(F.expr("(y * y - yy) div 2")).alias("both"), F.sum(F.expr("(n * n - nn) div 2")).alias("neither"), F.sum(F.expr("y * n - yn")).alias("one"))
 
 
 def same_mixture(spark, d):
@@ -181,7 +197,7 @@ def set_operations(spark, d):
     return a.intersect(b).select(F.lit("both").alias("side")).unionByName(a.exceptAll(b).select(F.lit("records").alias("side"))).unionByName(b.exceptAll(a).select(F.lit("index").alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in [cut_scan, slot_locations, annotation_match, alignment_join, eligible_semi, run_pairs, same_mixture, lineage_family, index_verification, context_join, dataset_voice_ranks, identity_reuse, index_gaps, resolve_split, resolved_paths, reader_shards, enrollment_lists, pool_clips, read_ids, take_positions, sorted_turns, extremes, ordered_dedup, last_delivery, set_operations]}
+QUERIES = {f.__name__: f for f in [cut_scan, slot_locations, annotation_match, alignment_join, eligible_semi, run_pairs, counterfactual_pairs, same_mixture, lineage_family, index_verification, context_join, dataset_voice_ranks, identity_reuse, index_gaps, resolve_split, resolved_paths, reader_shards, enrollment_lists, pool_clips, read_ids, take_positions, sorted_turns, extremes, ordered_dedup, last_delivery, set_operations]}
 
 _FIRST_LAST = "SELECT id, {f}(task, ingested_at) AS task, {f}(target, ingested_at) AS target, {f}(language, ingested_at) AS language, {f}(dataset_id, ingested_at) AS dataset_id FROM (SELECT * FROM audio_records) GROUP BY id"
 _SLOT = "list_filter(audio_slots, lambda s: s.name = '{n}')[1].ref.cut_id"
@@ -191,7 +207,8 @@ SQL = {
     "annotation_match": "WITH a AS (SELECT DISTINCT window_id, 1 AS in_a FROM turns), b AS (SELECT window_id, count(*) AS in_b FROM (SELECT DISTINCT window_id, published_at FROM label_stats) GROUP BY ALL) SELECT window_id, coalesce(in_a, 0) AS in_a, coalesce(in_b, 0) AS in_b FROM a FULL JOIN b USING (window_id) WHERE coalesce(in_a, 0) <> 1 OR coalesce(in_b, 0) <> 1",
     "alignment_join": f"WITH {RECORDS_SQL} SELECT r.dataset_id, count(*) AS n, sum(list_contains(c.languages, r.language)::INT) AS language_ok, sum((r.audio_slots[1].ref.dataset_id = r.dataset_id)::INT) AS same_dataset, sum((r.audio_slots[1].ref.version = r.version)::INT) AS same_version FROM records r JOIN dataset_catalog c USING (dataset_id, version) GROUP BY ALL",
     "eligible_semi": f"WITH {RECORDS_SQL} SELECT id FROM records r WHERE EXISTS (SELECT 1 FROM prep_reports p LEFT JOIN names n ON n.spelled = {SPELLED_SQL.format(x='p.dataset_id')} WHERE p.passed AND coalesce(n.named, p.dataset_id) = r.dataset_id AND p.version = r.version)",
-    "run_pairs": "WITH a AS (SELECT l_partkey, sum(l_quantity) AS qa FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), b AS (SELECT l_partkey, sum(l_quantity) AS qb FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT count(*) AS paired, round(sum(qb - qa), 2) AS net, round(sum(abs(qb - qa)), 2) AS absolute, sum((abs(qb - qa) > 1e-9)::INT) AS changed FROM a JOIN b USING (l_partkey)",
+    "run_pairs": "WITH p AS (SELECT turn_id, length(arg_min_null(text, ingested_at)) AS a, length(arg_max_null(text, ingested_at)) AS b FROM turns GROUP BY turn_id) SELECT count(*) AS paired, CAST(sum(b - a) AS BIGINT) AS net, CAST(sum(abs(b - a)) AS BIGINT) AS absolute, sum((a <> b)::INT) AS changed FROM p WHERE a IS NOT NULL AND b IS NOT NULL",
+    "counterfactual_pairs": f"WITH {RECORDS_SQL}, r AS (SELECT id, {_SLOT.format(n='mixture')} AS mix, {_SLOT.format(n='enrollment')} AS enr, coalesce(trim(target), '') <> '' AS said FROM records WHERE task = 'target_speaker_asr') SELECT coalesce(sum((a.said AND b.said)::INT), 0) AS both, coalesce(sum((NOT a.said AND NOT b.said)::INT), 0) AS neither, coalesce(sum((a.said <> b.said)::INT), 0) AS one FROM r a JOIN r b ON a.mix = b.mix AND a.enr <> b.enr AND a.id < b.id",
     "same_mixture": f"WITH {RECORDS_SQL}, r AS (SELECT id, {_SLOT.format(n='mixture')} AS mix, {_SLOT.format(n='enrollment')} AS enr FROM records WHERE task = 'target_speaker_asr') SELECT a.mix, count(*) AS pairs FROM r a JOIN r b ON a.mix = b.mix AND a.id < b.id AND a.enr <> b.enr GROUP BY ALL",
     "lineage_family": "WITH RECURSIVE c AS (SELECT dataset_id || '@' || version AS ref, derived_from FROM dataset_catalog), w(ref, root, up, steps) AS (SELECT ref, ref, derived_from, 0 FROM c UNION ALL SELECT w.ref, w.up, c.derived_from, w.steps + 1 FROM w LEFT JOIN c ON c.ref = w.up WHERE w.up IS NOT NULL AND w.steps < 20) SELECT ref, root, steps, false AS cyclic FROM w WHERE up IS NULL",
     "index_verification": f"WITH a AS ({_FIRST_LAST.format(f='arg_min_null')}), b AS ({_FIRST_LAST.format(f='arg_max_null')}) SELECT unnest(['task', 'target', 'language', 'dataset_id']) AS column, unnest([sum((a.task IS DISTINCT FROM b.task)::INT), sum((a.target IS DISTINCT FROM b.target)::INT), sum((a.language IS DISTINCT FROM b.language)::INT), sum((a.dataset_id IS DISTINCT FROM b.dataset_id)::INT)]) AS differing FROM a JOIN b USING (id)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeloom.functions import render as P
@@ -9,6 +11,9 @@ from lakeloom.functions.draws import u, u_sql
 from lakeloom.operators import similarity as Y
 from lakeloom.plans.views import INDEX_SQL, MAIN_SQL, RECORDS_SQL, records
 from lakeloom.operators.selection import main_slot
+from lakeloom.session import shared_folder
+from lakeloom.sources import files as R
+from lakeloom.sources import sinks as K
 from lakeloom.sources.tables import table
 
 
@@ -96,6 +101,15 @@ def lookalike_draw(spark, d):
     return t.select("id", F.when((u(12, "take", "id") < 0.3) & (F.size("n") > 0), pick).otherwise(F.col("id")).alias("used"))
 
 
+def lookalike_table(spark, d):
+    """Each query's neighbours, padded with -1, written as one .npz and read back."""
+    e = _vectors(spark, d)
+    at = f"{shared_folder(spark, 'files').rstrip('/')}/lookalike-{uuid.uuid4().hex}.npz"
+    K.write_npz(Y.padded(Y.cosine_top_k(_asked(e), e, 5, 0.4), 5), at)
+    back = R.read_npz(spark, at, "id long, neighbours array<bigint>")
+    return back.select("id", F.array_join("neighbours", " ").alias("neighbours"))
+
+
 def label_consistency(spark, d):
     """Cosine of each vector to the mean of the rest of its label."""
     return Y.rest_consistency(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("vec_id", F.round("consistency", 4).alias("consistency"))
@@ -152,7 +166,7 @@ def linked_clusters(spark, d):
     return Y.session_clusters(e, 0.3, low=0.05, small=0.1)
 
 
-QUERIES = {f.__name__: f for f in [render_examples, native_messages, structured_answers, task_codes, record_projection, round_trip, numeric_tree, event_projection, lookalike_topk, lookalike_draw, label_consistency, centroid_norms, medoid_cohort, identity_decisions, identity_conflicts, recall_at_k, clusters, linked_clusters]}
+QUERIES = {f.__name__: f for f in [render_examples, native_messages, structured_answers, task_codes, record_projection, round_trip, numeric_tree, event_projection, lookalike_topk, lookalike_draw, lookalike_table, label_consistency, centroid_norms, medoid_cohort, identity_decisions, identity_conflicts, recall_at_k, clusters, linked_clusters]}
 
 
 def _template_sql():
@@ -177,6 +191,7 @@ SQL = {
     "event_projection": "SELECT concat_ws(':', event_type, event_id % 50) AS key, round(arg_max(value, event_id), 4) AS value, count(*) AS n FROM events GROUP BY ALL",
     "lookalike_topk": f"WITH {_TOP} SELECT id, rank, neighbour FROM top WHERE rank <= 5",
     "lookalike_draw": f"WITH {_TOP}, p AS (SELECT id, list(neighbour ORDER BY rank) AS n FROM top WHERE rank <= 3 AND {u_sql(12, 'length', 'neighbour')} >= {u_sql(12, 'length', 'id')} GROUP BY id), q AS (SELECT e.vec_id AS id, n, coalesce(n[CAST(floor({u_sql(12, 'which', 'e.vec_id')} * len(n)) AS BIGINT) + 1], -1) AS pick FROM embeddings e LEFT JOIN p ON p.id = e.vec_id WHERE e.vec_id % 20 = 0) SELECT id, CASE WHEN {u_sql(12, 'take', 'id')} < 0.3 AND pick >= 0 THEN pick ELSE id END AS used FROM q",
+    "lookalike_table": f"WITH {_TOP} SELECT id, array_to_string(list_concat(list(neighbour ORDER BY rank), list_transform(range(5 - count(*)), lambda i: -1)), ' ') AS neighbours FROM top WHERE rank <= 5 GROUP BY id",
     "label_consistency": f"WITH {_MEANS}, s AS (SELECT label, pos, sum(x) AS t, count(*) AS n FROM x GROUP BY ALL), j AS (SELECT x.vec_id, x.x, (s.t - x.x) / (s.n - 1) AS r, s.n FROM x JOIN s USING (label, pos)) SELECT vec_id, CASE WHEN max(n) > 1 THEN round(sum(x * r) / sqrt(sum(x * x) * sum(r * r)), 4) END AS consistency FROM j GROUP BY vec_id",
     "centroid_norms": f"WITH {_MEANS}, s AS (SELECT label, pos, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT label, round(sqrt(sum(m * m)), 4) AS length, max(n) AS n FROM s GROUP BY label",
     "medoid_cohort": f"WITH {_LIKE} SELECT label, medoid, round(median, 5) AS median FROM best",

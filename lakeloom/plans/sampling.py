@@ -86,17 +86,28 @@ def resume_suffix(spark, d):
     return S.resumed(S.with_tail(b, 8, True), consumed)
 
 
+def _rewards(spark, d):
+    """Four samples of each record with a reward of 0, 1 or -1 by hash, records with text seldom at 0."""
+    r = records(spark, d).select("id", "dataset_id", (F.coalesce(F.trim("target"), F.lit("")) != "").alias("present")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    x = u(8, "reward", "id", "sample")
+    return r.withColumn("reward", F.when(x < 0.5, 1).when(x < F.when(F.col("present"), 0.6).otherwise(0.9), 0).otherwise(-1))
+
+
 def mined_prompts(spark, d):
-    """Customers whose orders differ in status, and how often each is drawn with replacement."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderstatus").alias("kinds")).where("kinds > 1")
-    n = F.floor(u(8, "mined", "o_custkey") * 3)
-    return o.select("o_custkey", n.cast("long").alias("draws"))
+    """The prompts of a plan: of sources that are only mined the records whose samples' rewards differ, each drawn as
+    often as a hash says; of the others every record once by replay, less what is mined there too."""
+    varied = _rewards(spark, d).groupBy("id", "dataset_id").agg(F.count_distinct("reward").alias("kinds")).where("kinds > 1")
+    only = u(8, "mined-only", "dataset_id") < 0.4
+    mined = varied.withColumn("draws", F.floor(u(8, "mined", "id") * 3).cast("long")).where("draws > 0")
+    replayed = records(spark, d).where(~only).join(mined.select("id"), "id", "left_anti").select("id", F.lit("replay").alias("origin"), F.lit(1).cast("long").alias("draws"))
+    return replayed.unionByName(mined.select("id", F.lit("mined").alias("origin"), "draws"))
 
 
 def contrast_groups(spark, d):
-    """Orders all of whose lines were returned, with the last, and counts of each direction."""
-    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min((F.col("l_returnflag") == "R").cast("int")).alias("all_r"), F.max("l_linenumber").alias("last"), F.sum((F.col("l_linestatus") == "O").cast("int")).alias("open"))
-    return l.where("all_r = 1").select("l_orderkey", "last", "open")
+    """Records all of whose samples decide presence wrongly (reward -1), with the last of them, and by direction: text
+    missed where there is some, or written where there is none."""
+    g = _rewards(spark, d).groupBy("id", "present").agg(F.bool_and(F.col("reward") == -1).alias("wrong"), F.max("sample").alias("last"))
+    return g.where("wrong").select("id", "last", F.when(F.col("present"), "missed").otherwise("false_alarm").alias("direction"))
 
 
 def hotword_lists(spark, d):
@@ -151,6 +162,7 @@ _BUFFERS = f"{_COSTED}, placed AS (SELECT *, (row_number() OVER (PARTITION BY sl
 # Greedy cuts, one step a row: over the sum of costs, or over the padded size as costs ascend.
 _GREEDY = "cut AS (SELECT slots, buffer, bin, i, cost, 0 AS batch, 1 AS n, cost AS total FROM o WHERE i = 1 UNION ALL SELECT o.slots, o.buffer, o.bin, o.i, o.cost, CASE WHEN {full} THEN c.batch + 1 ELSE c.batch END, CASE WHEN {full} THEN 1 ELSE c.n + 1 END, CASE WHEN {full} THEN o.cost ELSE c.total + o.cost END FROM cut c JOIN o ON o.slots = c.slots AND o.buffer = c.buffer AND o.bin = c.bin AND o.i = c.i + 1)"
 _CAT = "CASE WHEN {x} < 0.5 THEN 1 WHEN {x} < 0.8 THEN 2 ELSE 3 END"
+_REWARDS = f"w AS (SELECT *, CASE WHEN x < 0.5 THEN 1 WHEN x < CASE WHEN present THEN 0.6 ELSE 0.9 END THEN 0 ELSE -1 END AS reward FROM (SELECT *, {u_sql(8, 'reward', 'id', 'sample')} AS x FROM (SELECT id, dataset_id, coalesce(trim(target), '') <> '' AS present, unnest(range(0, 4)) AS sample FROM records)))"
 SQL = {
     "shard_rotation": f"WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM records), c AS (SELECT *, least(40, n) AS cap FROM r), s AS (SELECT *, (3 % CAST(ceil(n / cap) AS BIGINT)) * cap AS start FROM c) SELECT dataset_id, id, unnest([1, 2]) AS rep FROM s WHERE ((ix - start) % n + n) % n < cap",
     "weighted_mux": f"WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, target_share FROM records JOIN mix_targets ON source = dataset_id), m AS (SELECT id, dataset_id, (row_number() OVER (PARTITION BY dataset_id ORDER BY {hash_sql(42, 'mux', 'id')}, id) - 1 + {u_sql(42, 'mux-time', 'id')}) / target_share AS at_ FROM r) SELECT id, dataset_id, round(at_, 6) AS \"at\" FROM m",
@@ -162,8 +174,8 @@ SQL = {
     "balance": f"WITH b AS (SELECT l_orderkey AS batch_id, count(*) AS n, max(l_quantity) AS longest FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY round(n * longest, 9), batch_id) - 1 AS k FROM b), g AS (SELECT *, k // 8 AS up, k % 8 AS i, count(*) OVER (PARTITION BY k // 8) = 8 AS whole FROM k), o AS (SELECT up, row_number() OVER (ORDER BY {hash_sql(3, 'groups', 'up')}) - 1 AS place FROM (SELECT DISTINCT up FROM g)) SELECT batch_id, place, i // 4 AS row, CASE WHEN whole AND (i // 4) % 2 = 1 THEN 3 - i % 4 ELSE i % 4 END AS rank FROM g JOIN o USING (up)",
     "rank_partition": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders), t AS (SELECT count(*) AS total FROM b), a AS (SELECT o_orderkey, p FROM b UNION ALL SELECT o_orderkey, p + total FROM b, t WHERE p < (7 - total % 7) % 7) SELECT o_orderkey, p AS position FROM a WHERE p % 7 = 1",
     "resume_suffix": "WITH b AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS p FROM orders), t AS (SELECT count(*) AS total FROM b) SELECT o_orderkey, p AS position FROM b, t WHERE p < total - total % 8 AND p >= 120",
-    "mined_prompts": f"SELECT o_custkey, CAST(floor({u_sql(8, 'mined', 'o_custkey')} * 3) AS BIGINT) AS draws FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1)",
-    "contrast_groups": "SELECT l_orderkey, max(l_linenumber) AS last, sum((l_linestatus = 'O')::INT) AS open FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')",
+    "mined_prompts": f"WITH {RECORDS_SQL}, {_REWARDS}, v AS (SELECT id FROM w GROUP BY id HAVING count(DISTINCT reward) > 1), m AS (SELECT id, CAST(floor({u_sql(8, 'mined', 'id')} * 3) AS BIGINT) AS draws FROM v) SELECT id, 'mined' AS origin, draws FROM m WHERE draws > 0 UNION ALL SELECT id, 'replay', 1 FROM records WHERE NOT ({u_sql(8, 'mined-only', 'dataset_id')} < 0.4) AND id NOT IN (SELECT id FROM m WHERE draws > 0)",
+    "contrast_groups": f"WITH {RECORDS_SQL}, {_REWARDS} SELECT id, max(sample) AS last, CASE WHEN present THEN 'missed' ELSE 'false_alarm' END AS direction FROM w GROUP BY id, present HAVING bool_and(reward = -1)",
     "hotword_lists": f"""WITH {RECORDS_SQL}, r AS (SELECT id, dataset_id, hotwords FROM records WHERE hotwords IS NOT NULL), pw AS (SELECT dataset_id, w, row_number() OVER (PARTITION BY dataset_id ORDER BY w) - 1 AS ix, count(*) OVER (PARTITION BY dataset_id) AS n FROM (SELECT DISTINCT dataset_id, unnest(hotwords) AS w FROM r) WHERE w IS NOT NULL),
 own AS (SELECT DISTINCT id, unnest(hotwords) AS w FROM r), kept AS (SELECT id, w FROM own WHERE w IS NOT NULL AND {u_sql(4, 'miss', 'id', 'w')} >= 0.2), sizes AS (SELECT dataset_id, max(n) AS n FROM pw GROUP BY ALL),
 room AS (SELECT r.id, r.dataset_id, s.n, CAST(floor({u_sql(4, 'count', 'r.id')} * (greatest(8 - (SELECT count(*) FROM kept k WHERE k.id = r.id), 0) + 1)) AS BIGINT) AS c FROM r JOIN sizes s USING (dataset_id)),

@@ -14,12 +14,21 @@ from lakeloom.plans.views import RECORDS_SQL, TURNS_SQL, records, turns
 from lakeloom.sources.tables import table
 
 
+_MODES = ["alternate", "burst", "short", "full"]
+
+
 def scene_extents(spark, d):
     """Extents of windows as scenes, by mode."""
     t = turns(spark, d).where("speaker is not null").select("window_id", "speaker", ((F.col("e") - F.col("s")) / 100.0).alias("seconds"))
     return C.scene_extents(t, F.when(F.pmod(F.length("window_id"), F.lit(2)) == 0, "alternate").otherwise("burst"), 0.5).select("window_id", F.round("extent", 3).alias("extent"))
 
 
+def scene_builds(spark, d):
+    """Scenes of all windows, by mode."""
+    mode = F.element_at(F.array(*[F.lit(m) for m in _MODES]), F.pmod(F.length("window_id"), F.lit(4)) + 1)
+    return C.scene_starts(turns(spark, d), mode, 50)
+
+
 def gap_cuts(spark, d):
     """W13."""
     return C.gap_windows(turns(spark, d), 3000)
@@ -79,12 +88,14 @@ def latency_metrics(spark, d):
     return e.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("event_type") == "purchase", F.col("lag_s"))), 3).alias("after_purchase"), F.round(F.percentile("lag_s", 0.9), 3).alias("p90"))
 
 
-QUERIES = {f.__name__: f for f in [scene_extents, gap_cuts, quiet_points, meeting_plan, room_groups, diarization_errors, duplicate_lines, session_lines, latency_metrics]}
+QUERIES = {f.__name__: f for f in [scene_extents, scene_builds, gap_cuts, quiet_points, meeting_plan, room_groups, diarization_errors, duplicate_lines, session_lines, latency_metrics]}
 
 _SPEECH = "SELECT window_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY window_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY window_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM t)) GROUP BY window_id, i"
 SQL = {
     "gap_cuts": f"WITH RECURSIVE {TURNS_SQL}, speech AS ({_SPEECH}), k AS (SELECT *, s // 360000 AS h, row_number() OVER (PARTITION BY window_id, s // 360000 ORDER BY s) AS i FROM speech), r AS (SELECT window_id, h, i, s AS first, e AS last FROM k WHERE i = 1 UNION ALL SELECT k.window_id, k.h, k.i, CASE WHEN k.e - r.first <= 3000 THEN r.first ELSE k.s END, k.e FROM r JOIN k ON k.window_id = r.window_id AND k.h = r.h AND k.i = r.i + 1) SELECT window_id, first AS s, max(last) AS e, CAST(count(*) AS INTEGER) AS periods FROM r GROUP BY window_id, h, first",
     "scene_extents": f"WITH {TURNS_SQL}, p AS (SELECT window_id, speaker, sum((e - s) / 100) AS total, count(*) AS n FROM t WHERE speaker IS NOT NULL GROUP BY ALL) SELECT window_id, round(CASE WHEN length(window_id) % 2 = 0 THEN sum(total) + 0.5 * (sum(n) - 1) ELSE max(total + 0.5 * (n - 1)) END, 3) AS extent FROM p GROUP BY window_id",
+    "scene_builds": f"""WITH {TURNS_SQL}, m AS (SELECT *, ['alternate', 'burst', 'short', 'full'][length(window_id) % 4 + 1] AS mode FROM t WHERE speaker IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY window_id, speaker ORDER BY s, e, turn_id) AS k, min(s) OVER (PARTITION BY window_id) AS first FROM m WHERE mode <> 'short' OR e - s <= 200)
+SELECT window_id, turn_id, CAST(CASE mode WHEN 'full' THEN s - first WHEN 'alternate' THEN coalesce(sum(e - s + 50) OVER (PARTITION BY window_id ORDER BY k, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE coalesce(sum(e - s + 50) OVER (PARTITION BY window_id, speaker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS BIGINT) AS start FROM k""",
     "room_groups": r"SELECT room, count(*) AS positions FROM (SELECT DISTINCT cut_id, regexp_extract(cut_id, '^(.*\d{3})\d{2}$', 1) AS room FROM audio_index) WHERE room <> '' GROUP BY room HAVING count(*) >= 3",
     "session_lines": rf"WITH {RECORDS_SQL}, l AS (SELECT id, unnest(string_split(target, chr(10))) AS line, generate_subscripts(string_split(target, chr(10)), 1) - 1 AS pos FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL), h AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\[S\d+\]\[\d') THEN pos END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS head FROM l) SELECT id, head, string_agg(line, ' ' ORDER BY pos) AS text FROM h WHERE head IS NOT NULL GROUP BY ALL",
     "latency_metrics": "WITH e AS (SELECT *, (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1e6 AS lag_s FROM events) SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN lag_s END), 3) AS after_purchase, round(quantile_cont(lag_s, 0.9), 3) AS p90 FROM e GROUP BY ALL",

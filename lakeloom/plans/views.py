@@ -73,3 +73,5 @@ def turns(spark: SparkSession, sf_dir: str, first: bool = False) -> DataFrame:
 
 TURNS_SQL = """best AS (SELECT turn_id, window_id, dataset_id, split, regexp_extract(trim(speaker), '([0-9]+)$', 1) AS num, chars, text, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns),
 t AS (SELECT turn_id, window_id, dataset_id, split, CASE WHEN num <> '' THEN 'S' || CAST(CAST(num AS INTEGER) AS VARCHAR) END AS speaker, chars, text, s, e FROM best WHERE rn = 1 AND s IS NOT NULL AND e IS NOT NULL AND e > s)"""
+FIRST_TURNS_SQL = """early AS (SELECT turn_id, window_id, dataset_id, split, regexp_extract(trim(speaker), '([0-9]+)$', 1) AS num, chars, text, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at) AS rn FROM turns),
+f AS (SELECT turn_id, window_id, dataset_id, split, CASE WHEN num <> '' THEN 'S' || CAST(CAST(num AS INTEGER) AS VARCHAR) END AS speaker, chars, text, s, e FROM early WHERE rn = 1 AND s IS NOT NULL AND e IS NOT NULL AND e > s)"""

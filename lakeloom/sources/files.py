@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +106,19 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_npz(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of .npz files, their arrays as columns."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for content in p["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    yield pd.DataFrame({n: list(z[n]) if z[n].ndim > 1 else z[n] for n in names})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, schema)
+
+
 def manifest_seconds(rows: DataFrame, tracks: Column) -> DataFrame:
     """(id, seconds): of a mixed cut the end of its last track, else its duration."""
     return rows.select("id", F.coalesce(F.array_max(F.transform(tracks, lambda t: t["offset"] + t["duration"])), F.col("duration")).alias("seconds"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,28 @@ def write_report(findings: DataFrame, path: str, most: int = 10_000) -> None:
     findings.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
 
 
+def write_npz(rows: DataFrame, path: str, most: int = 1_000_000) -> int:
+    """All rows as one .npz file with an array a column, lists padded to one length with -1; a lookup table that every reader
+    loads whole, so more than ``most`` rows are an error. Gives the number of rows."""
+    data = rows.limit(most + 1).toPandas()
+    if len(data) > most:
+        raise ValueError(f"more than {most} rows")
+    arrays = {}
+    for c in data.columns:
+        if any(isinstance(v, (list, np.ndarray)) for v in data[c]):
+            width = max(len(v) for v in data[c])
+            arrays[c] = np.array([[*v, *[-1] * (width - len(v))] for v in data[c]]).reshape(len(data), width)
+        else:
+            arrays[c] = data[c].to_numpy()
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    fs, target, _ = _fs(rows.sparkSession, path)
+    stream = fs.create(target, False)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
+    return len(data)
+
+
 def write_status(spark: SparkSession, path: str, status: dict) -> None:
     """A JSON status as a whole or not at all: written beside, then renamed over the old one."""
     fs, target, new_path = _fs(spark, path)

@@ -519,3 +519,29 @@ def test_next_few_and_sums_before(spark, monkeypatch):
     assert nxt == {(w, i): (o[k + 1 : k + 2] or [None])[0] for w, o in order.items() for k, i in enumerate(o)}
     v = spark.createDataFrame([("g" if i % 3 else "h", i, i % 7) for i in range(100)], "g string, o int, v int")
     assert all(r["b"] == sum(j % 7 for j in range(r["o"]) if (j % 3 == 0) == (r["o"] % 3 == 0)) for r in sums_before(v, ["g"], "o", "v", "b").collect())
+
+
+def test_paired_systems(spark):
+    from lakeloom.operators.relations import paired
+
+    a = spark.createDataFrame([(1, 0.5, True), (2, 0.1, False), (3, 0.2, True)], "k int, v double, ok boolean")
+    b = spark.createDataFrame([(1, 0.7, True), (2, 0.1, True), (3, 0.2, True)], "k int, v double, ok boolean")
+    assert sorted(tuple(r) for r in paired(a, b, "k", "v", "ok", same_keys=True).collect()) == [(1, 0.5, 0.7), (3, 0.2, 0.2)]
+    assert paired(a, b.limit(0), "k", "v", "ok").count() == 0
+    with pytest.raises(ValueError, match="3"):
+        paired(a, b.where("k < 3"), "k", "v", "ok", same_keys=True)
+
+
+def test_npz_and_scenes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [2, 3], 0.5), (2, [], None)], "id long, n array<bigint>, x double")
+    assert K.write_npz(rows, str(tmp_path / "t.npz")) == 2
+    back = {r["id"]: list(r["n"]) for r in R.read_npz(spark, str(tmp_path / "t.npz"), "id long, n array<bigint>").collect()}
+    assert back == {1: [2, 3], 2: [-1, -1]}
+    with pytest.raises(ValueError):
+        K.write_npz(rows, str(tmp_path / "u.npz"), most=1)
+    t = spark.createDataFrame([(w, i, "AB"[i % 2], 100 * i, 100 * i + (30 if i < 4 else 300)) for w in ("alternate", "burst", "short", "full") for i in range(6)] + [("full", 9, None, 0, 5)], "window_id string, turn_id int, speaker string, s long, e long")
+    got = {}
+    for r in C.scene_starts(t, F.col("window_id"), 10).collect():
+        got.setdefault(r["window_id"], {})[r["turn_id"]] = r["start"]
+    assert got["full"] == {i: 100 * i for i in range(6)} and got["burst"] == {0: 0, 2: 40, 4: 80, 1: 0, 3: 40, 5: 80}
+    assert got["alternate"] == {0: 0, 1: 40, 2: 80, 3: 120, 4: 160, 5: 470} and got["short"] == {0: 0, 2: 40, 1: 0, 3: 40}
