@@ -28,6 +28,8 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAIL = re.compile(r"[ ]*(?:\.{2,}|…+|[,，.。、~～—-])?")
 _PAUSE = re.compile(r"\s*(?:\.{2,}|…|[,，、~～—-])")
 LANGUAGES = ("zh", "en", "de")
+# Where a token stands: first in its utterance, alone in it, before a pause mark, beside the same form.
+PLACES = list(product((False, True), repeat=4))
 
 
 def form_features(form: str, language: str) -> tuple[float, ...]:
@@ -57,34 +59,40 @@ class FillerModel:
 
     def __init__(self, trees: BoostedTrees):
         self.trees = trees
-        self.known: dict[tuple, bool] = {}
-        self.forms: dict[tuple, tuple] = {}
+        self.known: dict[tuple, int] = {}
+        self.forms: dict[tuple, int] = {}
 
     def __getstate__(self):
         return {"trees": self.trees, "known": self.known, "forms": {}}
 
-    def decide(self, form: str, language: str, first: bool = True, alone: bool = True, pause: bool = False, repeated: bool = False) -> bool:
-        f = self.forms.get((form, language))
-        if f is None:
+    def places(self, form: str, language: str) -> int:
+        """A bit for each of PLACES, set where the form is a hesitation; 0 for a form that is a word everywhere."""
+        got = self.forms.get((form, language))
+        if got is None:
             f = form_features(form, language)
+            got = self.known.get(f)
+            if got is None:
+                got = self.known[f] = sum(self.trees.decide([*f, *p]) << i for i, p in enumerate(PLACES))
             if len(self.forms) < 200_000:
-                self.forms[form, language] = f
-        key = (f, first, alone, pause, repeated)
-        got = self.known.get(key)
-        if got is None:
-            got = self.known[key] = self.trees.decide([*f, first, alone, pause, repeated])
+                self.forms[form, language] = got
         return got
 
+    def decide(self, form: str, language: str, first: bool = True, alone: bool = True, pause: bool = False, repeated: bool = False) -> bool:
+        return bool(self.places(form, language) >> PLACES.index((first, alone, pause, repeated)) & 1)
+
     def removed(self, text: str, language: str = "und") -> str:
         """The text with each hesitation, and the pause mark after it, replaced by a space."""
         found = list(_TOKEN.finditer(text))
         out, last = [], 0
         for i, m in enumerate(found):
             form, end = m.group(), m.end()
-            beside = (i and found[i - 1].group() == form) or (i + 1 < len(found) and found[i + 1].group() == form)
-            if self.decide(form, language, i == 0, len(found) == 1, _PAUSE.match(text, end) is not None, bool(beside)):
-                out += [text[last : m.start()], " "]
-                last = _TAIL.match(text, end).end()
+            places = self.places(form, language)
+            if places:
+                beside = (i > 0 and found[i - 1].group() == form) or (i + 1 < len(found) and found[i + 1].group() == form)
+                at = PLACES.index((i == 0, len(found) == 1, _PAUSE.match(text, end) is not None, beside))
+                if places >> at & 1:
+                    out += [text[last : m.start()], " "]
+                    last = _TAIL.match(text, end).end()
         return "".join(out) + text[last:] if out else text
 
 
@@ -100,7 +108,7 @@ def labelled_rows(hesitations: dict[str, str] = HESITATIONS, words: dict[str, st
                 for k in [language, *others]:
                     if label == 1.0 and k == "und" and w in lexical and w not in hesitations["en"].split():
                         continue
-                    for place in product((0.0, 1.0), repeat=4):
+                    for place in PLACES:
                         x.append([*form_features(w, k), *place])
                         y.append(label)
     return np.array(x), np.array(y)
