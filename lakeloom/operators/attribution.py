@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.functions.alignment import charged_edits, semi_global, speaker_mapping, units
+from lakeloom.functions.alignment import charged_edits, common_share, semi_global, speaker_mapping, units
 from lakeloom.functions.text import char_error_rate
 from lakeloom.operators.timeline import overlapping
 
@@ -17,6 +17,23 @@ NEAR_S, FOUND = 2.0, 0.34
 LEAST_UNITS = 4
 
 
+# The share of an output's characters from which it counts as somebody's words, and what is short.
+COVERED, SHORT = 0.5, 4
+
+
+def output_category(said: str, others: str, own: str, fillers: str) -> str:
+    """What an output that should not be there consists of, first reason first: fillers only, words of others that speak at
+    the time, words the speaker said elsewhere, something short, or anything else. Texts are bare characters."""
+    if said and set(said) <= set(fillers):
+        return "filler"
+    theirs, mine = common_share(said, others), common_share(said, own)
+    if theirs >= COVERED and theirs >= mine:
+        return "words of others"
+    if mine >= COVERED:
+        return "words from elsewhere"
+    return "short" if len(said) <= SHORT else "unrelated"
+
+
 class Turn(NamedTuple):
     key: int
     speaker: str

@@ -15,7 +15,7 @@ from lakeloom.functions import text as X
 from lakeloom.functions.draws import hash_order, hash_sql, u
 from lakeloom.operators import attribution as T
 from lakeloom.operators.sampling import hotword_list, merged_batches
-from lakeloom.operators.timeline import SHARD
+from lakeloom.operators.timeline import SHARD, overlapping
 from lakeloom.plans.views import records, turns
 from lakeloom.sources.tables import table
 
@@ -57,6 +57,24 @@ def wrong_speaker(spark, d):
     return x.groupBy("split").agg(F.count("*").alias("turns"), F.round(F.avg((F.col("other") < F.col("own")).cast("double")), 6).alias("wrong"))
 
 
+def output_categories(spark, d):
+    """What the outputs of turns consist of, as if none were due: the turns of others that overlap them, and what their
+    speaker said first in the window, decide."""
+    t = turns(spark, d).where("speaker is not null and text is not null").select("turn_id", "window_id", "speaker", "s", "e", X.bare(F.col("text")).alias("text"))
+    said = _outputs(spark, d).select("turn_id", X.bare(F.col("text")).alias("said")).where("said <> ''")
+    pairs = overlapping(t.drop("text"), t, ["window_id"]).where("a_speaker <> b_speaker")
+    # Turns that overlap one turn are as many as fit beside it in time.
+    others = pairs.groupBy(F.col("a_turn_id").alias("turn_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_s", "b_turn_id", "b_text"))), lambda x: x["b_text"]), "").alias("others"))
+    first = t.groupBy("window_id", "speaker").agg(F.min_by("text", F.struct("s", "e", "turn_id")).alias("own"))
+    x = t.select("turn_id", "window_id", "speaker").join(said, "turn_id").join(others, "turn_id", "left").join(first, ["window_id", "speaker"])
+
+    @F.pandas_udf("string")
+    def kind(said: pd.Series, others: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([T.output_category(a, b or "", c or "", "嗯呃啊哦诶uhmerä") for a, b, c in zip(said, others, own)])
+
+    return x.groupBy(kind("said", "others", "own").alias("kind")).agg(F.count("*").alias("turns"))
+
+
 def alphabetic_hotwords(spark, d):
     """Of the list drawn for each record with an alphabetic target, of up to 24 words with distractors of its
     dataset, those that pass the score, the comparison of the best with the tenth, and the verification by length."""
@@ -79,7 +97,7 @@ def merged_updates(spark, d):
     return merged_batches(b, "batch_id", F.col("longest"), hash_order(7, "merge", "batch_id"), 2, 16)
 
 
-QUERIES = {f.__name__: f for f in [attribution_turns, attribution_kinds, attribution_rates, wrong_speaker, alphabetic_hotwords, merged_updates]}
+QUERIES = {f.__name__: f for f in [attribution_turns, attribution_kinds, attribution_rates, wrong_speaker, output_categories, alphabetic_hotwords, merged_updates]}
 SQL = {
     "merged_updates": f"WITH b AS (SELECT l_orderkey AS batch_id, max(l_quantity) AS longest FROM lineitem GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(7, 'merge', 'batch_id')}) - 1 AS p FROM b), w AS (SELECT *, p // 16 AS win, row_number() OVER (PARTITION BY p // 16 ORDER BY longest, p) - 1 AS i FROM p) SELECT batch_id, win * 8 + i // 2 AS step, i % 2 AS place FROM w",
 }

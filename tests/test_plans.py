@@ -402,6 +402,13 @@ def test_attribution_kinds():
     assert all(x.overlapped for x in over)
 
 
+def test_output_categories():
+    from lakeloom.operators.attribution import output_category as kind
+
+    assert kind("嗯嗯", "嗯嗯", "", "嗯啊") == "filler" and kind("abcdef", "xxabcdefxx", "abc", "") == "words of others"
+    assert kind("abcdef", "ab", "abcd", "") == "words from elsewhere" and kind("abcd", "", "", "") == "short" and kind("abcdefgh", "zz", "yy", "") == "unrelated"
+
+
 def test_attribution_and_wrong_speakers(spark):
     from lakeloom.operators import attribution as T
 
