@@ -17,7 +17,7 @@ def flagship_selection(spark, d):
     """Clean records of 1 to 30 s, hashed into train and dev, per dataset and part."""
     r = timed_records(spark, d).where("clean and duration between 1.0 and 30.0")
     part = F.when(S.hash_holdout(F.concat_ws(":", F.lit("42"), "dataset_id", "source_record_id"), 10), "dev").otherwise("train")
-    return r.groupBy("dataset_id", part.alias("part")).agg(F.count("*").alias("records"), F.round(F.sum("duration") / 3600, 4).alias("hours"))
+    return r.groupBy("dataset_id", part.alias("part")).agg(F.count("*").alias("records"), (F.sum(F.round(F.col("duration") * 1000).cast("long")) / 1000).alias("seconds"))
 
 
 def clean_filter(spark, d):
@@ -211,7 +211,7 @@ _HELD = "CAST(('0x' || substr(sha256({key}), 1, 15)) AS BIGINT) % {m} = 0"
 _NAME_CASE = "CASE " + " ".join(f"WHEN lower(language) IN ({', '.join(repr(n) for n in names)}) THEN '{code}'" for code, names in LANGUAGE_NAMES.items()) + " ELSE language END"
 _BARE = r"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '</?(?:b|i|u|em|strong)>', '', 'g'), '\(\s*\)|\[\s*\]', ' ', 'g'), '\s+', ' ', 'g')), '^#+ *', '')"
 SQL = {
-    "flagship_selection": f"WITH {TIMED_SQL} SELECT dataset_id, CASE WHEN {_HELD.format(key=chr(34) + 'k' + chr(34), m=10)} THEN 'dev' ELSE 'train' END AS part, count(*) AS records, round(sum(duration) / 3600, 4) AS hours FROM (SELECT *, concat_ws(':', '42', dataset_id, source_record_id) AS k FROM timed WHERE clean AND duration BETWEEN 1.0 AND 30.0) GROUP BY ALL",
+    "flagship_selection": f"WITH {TIMED_SQL} SELECT dataset_id, CASE WHEN {_HELD.format(key=chr(34) + 'k' + chr(34), m=10)} THEN 'dev' ELSE 'train' END AS part, count(*) AS records, CAST(sum(CAST(round(duration * 1000) AS BIGINT)) AS BIGINT) / 1000 AS seconds FROM (SELECT *, concat_ws(':', '42', dataset_id, source_record_id) AS k FROM timed WHERE clean AND duration BETWEEN 1.0 AND 30.0) GROUP BY ALL",
     "clean_filter": f"WITH {RECORDS_SQL} SELECT id, task FROM records WHERE coalesce({CLEAN_SQL}, false)",
     "clean_states": f"WITH {RECORDS_SQL} SELECT {CLEAN_SQL} AS clean, count(*) AS n FROM records GROUP BY ALL",
     "supervision_clean": f"""WITH {RECORDS_SQL}, s AS (SELECT id, unnest(CAST(json_extract(metadata, '$.segments[*]') AS JSON[])) AS s, {MAIN_SQL}.ref.duration AS cut_s, {CLEAN_SQL} AS flag FROM records)

@@ -108,7 +108,7 @@ def file_integrity(spark, d):
     """Files of a published table against declared digests, of which one is wrong, one is too long and one names
     no file; their tree's size."""
     at = _folder(spark)
-    records(spark, d).select("id").repartition(4, "id").write.parquet(f"{at}/t")
+    records(spark, d).select("id").repartition(4).write.parquet(f"{at}/t")
     digests = R.file_digests(spark, f"{at}/t").where("path like '%.parquet'")
     seen = [tuple(r) for r in digests.orderBy("path").limit(1000).collect()]
     declared = [(p, n + (i == 1), s if i else "0" * 64) for i, (p, n, s) in enumerate(seen)] + [(f"{at}/t/none", 1, "0")]
