@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.draws import u
+from lakeloom.operators.aggregates import let
 from lakeloom.operators.ordering import quantiles
 
 
@@ -21,9 +22,10 @@ def paired_bootstrap(units: DataFrame, draws: int, seed: int, strata: list[str]
     strata. A draw in which no unit is taken has no rate.
     """
     drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    x = u(seed, "boot", *strata, "draw", key)
-    drawn = drawn.withColumn("u", x).withColumn("times", sum(((F.col("u") >= F.lit(p)).cast("int") for p in POISSON), F.lit(0))).where("times > 0")
-    rates = drawn.groupBy("draw", *strata).agg((F.sum(F.col("times") * F.col("diff")) / F.sum(F.col("times") * F.col("n"))).alias("r")).groupBy("draw").agg(F.avg("r").alias("r"))
+    # The draw is computed once a row, and no filter is pushed down that would compute it again.
+    times = let(u(seed, "boot", *strata, "draw", key), lambda x: sum(((x >= F.lit(p)).cast("int") for p in POISSON), F.lit(0)))
+    drawn = drawn.withColumn("times", times)
+    rates = drawn.groupBy("draw", *strata).agg(F.try_divide(F.sum(F.col("times") * F.col("diff")), F.sum(F.col("times") * F.col("n"))).alias("r")).groupBy("draw").agg(F.avg("r").alias("r"))
     point = units.groupBy(*strata).agg((F.sum("diff") / F.sum("n")).alias("r")).agg(F.avg("r").alias("difference"))
     return point.crossJoin(rates.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high")))
 

@@ -121,7 +121,7 @@ def storage_findings(spark, d):
 def preflight(spark, d):
     """Per dataset what a run would see: records, flagged, timed, longest, hours."""
     r = timed_records(spark, d)
-    return r.groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("clean", F.lit(False)).cast("int")).alias("clean"), F.count("duration").alias("timed"), F.round(F.max("duration"), 3).alias("longest"), F.round(F.sum("duration") / 3600, 5).alias("hours"))
+    return r.groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("clean", F.lit(False)).cast("int")).alias("clean"), F.count("duration").alias("timed"), F.round(F.max("duration"), 3).alias("longest"), (F.sum(F.round(F.col("duration") * 1000).cast("long")) / 1000).alias("seconds"))
 
 
 def schema_pin(spark, d):
@@ -160,6 +160,6 @@ SELECT kind, count(*) AS n FROM k GROUP BY ALL""",
     "storage_rollup": "WITH f AS (SELECT cut_id, min(concat_ws('/', root_alias, relative_path)) AS path, max(num_frames * 2 * coalesce(channels, 1)) AS bytes FROM audio_index WHERE num_frames IS NOT NULL GROUP BY cut_id), a AS (SELECT bytes, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE len(string_split(path, '/')) >= k) SELECT path, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files FROM a GROUP BY ALL",
     "path_zones": "WITH n AS (SELECT DISTINCT root_alias || '/' || relative_path AS path, root_alias || '/' || string_split(relative_path, '/')[1] AS top FROM audio_index) SELECT CASE WHEN top NOT LIKE '%q%' THEN 'catalog' ELSE 'unregistered' END AS zone, count(*) AS n FROM n GROUP BY ALL",
     "storage_findings": f"WITH {TIMED_SQL}, f AS (SELECT 'missing' AS finding FROM timed WHERE duration IS NULL UNION ALL SELECT 'stale' FROM (SELECT id, max(ingested_at) AS t FROM audio_records GROUP BY id) WHERE date_diff('day', CAST(t AS DATE), DATE '2026-04-01') > 85 UNION ALL SELECT 'unregistered' FROM timed WHERE (dataset_id, version) NOT IN (SELECT (dataset_id, version) FROM dataset_catalog)) SELECT finding, count(*) AS n FROM f GROUP BY ALL",
-    "preflight": f"WITH {TIMED_SQL} SELECT dataset_id, count(*) AS n, sum(coalesce(clean, false)::INT) AS clean, count(duration) AS timed, round(max(duration), 3) AS longest, round(sum(duration) / 3600, 5) AS hours FROM timed GROUP BY ALL",
+    "preflight": f"WITH {TIMED_SQL} SELECT dataset_id, count(*) AS n, sum(coalesce(clean, false)::INT) AS clean, count(duration) AS timed, round(max(duration), 3) AS longest, CAST(sum(CAST(round(duration * 1000) AS BIGINT)) AS BIGINT) / 1000 AS seconds FROM timed GROUP BY ALL",
     "stale_cursors": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day FROM events GROUP BY ALL HAVING max(value) < 260), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY event_type ORDER BY day) AS INTEGER) AS g FROM d) SELECT event_type, min(day) AS first, count(*) AS days FROM g GROUP BY event_type, g HAVING count(*) >= 2",
 }
