@@ -110,11 +110,16 @@ def active_spans(t: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def followed(t: DataFrame, columns: list[str]) -> DataFrame:
-    """Turns with ``next``, a struct (s, e, turn_id, columns) of the turn that follows in their window by (s, e, turn_id)."""
-    row = F.struct("s", "e", "turn_id", *columns)
-    got = _across(t, ["window_id"], F.floor(F.col("s") / SHARD), {"_first": F.min_by(row, F.struct("s", "e", "turn_id"))}, {"_following": lambda w: F.lead("_first").over(w)})
-    w = Window.partitionBy("window_id", "_shard").orderBy("s", "e", "turn_id")
-    return got.withColumn("next", F.coalesce(F.lead(row).over(w), "_following")).drop("_following", "_shard")
+    """Turns with ``next``, a struct (s, e, turn_id, columns) of the turn that follows in their window by (s, e, turn_id).
+
+    Neighbours are found within shards of time; the first and last turn of each shard meet in a second window.
+    """
+    row, order = F.struct("s", "e", "turn_id", *columns), ["s", "e", "turn_id"]
+    w = Window.partitionBy("window_id", "_shard").orderBy(*order)
+    at = t.withColumn("_shard", F.floor(F.col("s") / SHARD)).withColumn("_next", F.lead(row).over(w)).withColumn("_first", F.lag("turn_id").over(w).isNull())
+    edge = F.when(F.col("_next").isNotNull() & ~F.col("_first"), F.col("_shard"))
+    by = Window.partitionBy("window_id", "_edge").orderBy(*order)
+    return at.withColumn("_edge", edge).withColumn("next", F.coalesce("_next", F.lead(row).over(by))).drop("_shard", "_next", "_first", "_edge")
 
 
 def next_few(t: DataFrame, columns: list[str], few: int) -> DataFrame:
