@@ -79,7 +79,7 @@ def accuracy(ref: str | None, hyp: str | None) -> float:
 
 def repeated_grams(text: str, n: int = 8) -> float:
     """The share of character n-grams of the text's units that occur before in it; 0 for fewer than ``n`` characters."""
-    t = "".join(units(text))
+    t = "".join(units(text)).replace("'", "")
     total = len(t) - n + 1
     return 1 - len({t[i : i + n] for i in range(total)}) / total if total > 0 else 0.0
 

@@ -80,7 +80,7 @@ def similar_starts(ref: DataFrame, hyp: DataFrame, within: int = 1500, least_cha
 
     Pairs of lengths that rule ``least`` out aren't compared. Null texts match nothing.
     """
-    plain = batched(lambda t, _: "".join(units(t)), "string")
+    plain = batched(lambda t, _: "".join(units(t)).replace("'", ""), "string")
     a = ref.select("turn_id", "window_id", "s", plain("text", F.lit("")).alias("x")).where(F.length("x") >= least_chars)
     b = hyp.select(F.col("turn_id").alias("match"), "window_id", F.col("s").alias("t"), plain("text", F.lit("")).alias("y"), F.floor(F.col("s") / (4 * within)).alias("bucket"))
     a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - within) / (4 * within)), F.floor((F.col("s") + within) / (4 * within)))))

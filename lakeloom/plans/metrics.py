@@ -215,7 +215,9 @@ QUERIES = {f.__name__: f for f in [pooled_rate, utterance_weighted, attribution_
 
 _E, _U = "l_discount * l_quantity", "l_quantity"
 _AUC = "SELECT {g}, sum(p * (below + n * 0.5)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {g} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {g}, {s} AS score, sum((l_returnflag = 'R')::INT) AS p, sum((l_returnflag <> 'R')::INT) AS n FROM {t} GROUP BY ALL)) GROUP BY ALL"
+_PLAIN = r"array_to_string(regexp_extract_all(lower(translate(nfc_normalize(text), '{wide}', '{narrow}')), '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[\p{{L}}\p{{N}}]'), '')".format(wide="".join(chr(0xFEE0 + k) for k in range(33, 127)), narrow="".join(chr(k) for k in range(33, 127)).replace("'", "''"))
 SQL = {
+    "repeated_character_ngrams": f"WITH p AS (SELECT doc_id, string_split({_PLAIN}, '') AS c, length({_PLAIN}) AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, n - 7 AS total, CASE WHEN n > 7 THEN len(list_distinct(list_transform(range(1, n - 6), lambda i: array_to_string(c[i:i + 7], '')))) END AS kinds FROM p) SELECT doc_id, CASE WHEN total > 0 THEN round(1 - kinds / total, 6) ELSE 0.0 END AS repeated FROM g",
     "pooled_rate": f"SELECT l_returnflag, round(sum({_E}) / sum({_U}), 6) AS rate, round(sum({_U}), 2) AS units FROM lineitem GROUP BY ALL",
     "utterance_weighted": "SELECT l_linestatus, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL",
     "attribution_coverage": "SELECT o_orderpriority, count(DISTINCT o_orderstatus) <= 1 AS poolable, round(avg((o_orderstatus <> 'P')::INT), 6) AS coverage, round(sum((o_orderstatus = 'F')::INT) / nullif(sum((o_orderstatus <> 'P')::INT), 0), 6) AS accuracy FROM orders GROUP BY ALL",

@@ -96,6 +96,7 @@ SQL = {
     "scene_extents": f"WITH {TURNS_SQL}, p AS (SELECT window_id, speaker, sum((e - s) / 100) AS total, count(*) AS n FROM t WHERE speaker IS NOT NULL GROUP BY ALL) SELECT window_id, round(CASE WHEN length(window_id) % 2 = 0 THEN sum(total) + 0.5 * (sum(n) - 1) ELSE max(total + 0.5 * (n - 1)) END, 3) AS extent FROM p GROUP BY window_id",
     "scene_builds": f"""WITH {TURNS_SQL}, m AS (SELECT *, ['alternate', 'burst', 'short', 'full'][length(window_id) % 4 + 1] AS mode FROM t WHERE speaker IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY window_id, speaker ORDER BY s, e, turn_id) AS k, min(s) OVER (PARTITION BY window_id) AS first FROM m WHERE mode <> 'short' OR e - s <= 200)
 SELECT window_id, turn_id, CAST(CASE mode WHEN 'full' THEN s - first WHEN 'alternate' THEN coalesce(sum(e - s + 50) OVER (PARTITION BY window_id ORDER BY k, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE coalesce(sum(e - s + 50) OVER (PARTITION BY window_id, speaker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS BIGINT) AS start FROM k""",
+    "quiet_points": "WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS y, len(embedding) AS n FROM embeddings), r AS (SELECT vec_id, y, n, 0 AS pos, 0 AS k FROM v UNION ALL SELECT vec_id, y, n, CAST(pos + 12 + list_position(y[pos + 13:pos + 21], list_min(y[pos + 13:pos + 21])) - 1 AS INTEGER), k + 1 FROM r WHERE pos + 20 < n) SELECT vec_id, coalesce(string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY k) FILTER (WHERE k > 0), '') AS cuts FROM r GROUP BY vec_id",
     "room_groups": r"SELECT room, count(*) AS positions FROM (SELECT DISTINCT cut_id, regexp_extract(cut_id, '^(.*\d{3})\d{2}$', 1) AS room FROM audio_index) WHERE room <> '' GROUP BY room HAVING count(*) >= 3",
     "session_lines": rf"WITH {RECORDS_SQL}, l AS (SELECT id, unnest(string_split(target, chr(10))) AS line, generate_subscripts(string_split(target, chr(10)), 1) - 1 AS pos FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL), h AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\[S\d+\]\[\d') THEN pos END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS head FROM l) SELECT id, head, string_agg(line, ' ' ORDER BY pos) AS text FROM h WHERE head IS NOT NULL GROUP BY ALL",
     "latency_metrics": "WITH e AS (SELECT *, (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1e6 AS lag_s FROM events) SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN lag_s END), 3) AS after_purchase, round(quantile_cont(lag_s, 0.9), 3) AS p90 FROM e GROUP BY ALL",

@@ -181,7 +181,12 @@ _JACCARD = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a},
 _LINES = r"""r AS (SELECT id, target, audio_slots[1].ref.duration AS total FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL),
 raw AS (SELECT id, total, unnest(regexp_split_to_array(target, '\r\n|[\r\n]')) AS l, generate_subscripts(regexp_split_to_array(target, '\r\n|[\r\n]'), 1) AS pos FROM r),
 lines AS (SELECT id, total, pos, l, regexp_matches(l, '^\[S\d+\]\[\d+(\.\d+)?-\d+(\.\d+)?\]\s?[^\r]*$') AS ok, TRY_CAST(regexp_extract(l, '^\[S(\d+)\]', 1) AS INTEGER) AS spk, TRY_CAST(regexp_extract(l, '^\[S\d+\]\[(\d+(?:\.\d+)?)-', 1) AS DOUBLE) AS s, TRY_CAST(regexp_extract(l, '^\[S\d+\]\[\d+(?:\.\d+)?-(\d+(?:\.\d+)?)\]', 1) AS DOUBLE) AS e, regexp_extract(l, '^\[S\d+\]\[\d+(?:\.\d+)?-\d+(?:\.\d+)?\]\s?(.*)$', 1) AS said FROM raw WHERE trim(l) <> '')"""
+# A unit of w characters repeats k + 1 times where k * w characters in a row equal the one w places on.
+_RUN = "contains(array_to_string(list_transform(range(1, n - {w} + 1), lambda i: CASE WHEN c[i] = c[i + {w}]{line} THEN '1' ELSE '0' END), ''), repeat('1', {size}))"
+_LOOP = "(" + " OR ".join(_RUN.format(w=w, size=7 * w, line=" AND c[i] NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233))") for w in range(1, 5)) + ")"
+_DEGENERATE = "(" + " OR ".join(_RUN.format(w=w, size=29 if w == 1 else 19 * w, line="") for w in range(1, 11)) + ")"
 SQL = {
+    "loop_flags": f"WITH d AS (SELECT doc_id, string_split(text, '') AS c, len(string_split(text, '')) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_LOOP} AS loop, {_DEGENERATE} AS degenerate FROM d",
     "bigram_jaccard": f"WITH {_PAIRS}, g AS (SELECT turn_id, {_GRAMS.format(x='lower(text)')} AS a, {_GRAMS.format(x='lower(other)')} AS b FROM p) SELECT turn_id, round({_JACCARD.format(a='a', b='b')}, 6) AS j FROM g",
     "word_overlap": rf"""WITH {_PAIRS}, x AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), lambda w: w NOT IN ('the', 'a', 'of', 'we', 'i', 'to', 'in')) AS w, regexp_split_to_array(lower(other), '\s+') AS o, regexp_replace(text, '^[a-m].*', '') AS h, regexp_replace(other, '^[a-m].*', '') AS f FROM p)
 SELECT turn_id, CASE WHEN len(w) > 0 THEN round(len(list_intersect(w, o)) / len(w), 6) ELSE 0.0 END AS overlap, contains(' ' || lower(other) || ' ', ' the ') AS has_the, lower(regexp_replace(text, '[\p{{P}}\p{{Z}}\p{{S}}]', '', 'g')) AS bare, CASE WHEN len({_UNITS.format(x='h')}) = 0 THEN CASE WHEN len({_UNITS.format(x='f')}) = 0 THEN 1 ELSE -1 END WHEN len({_UNITS.format(x='f')}) = 0 THEN -1 ELSE 0 END AS presence FROM x""",

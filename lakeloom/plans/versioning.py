@@ -125,10 +125,14 @@ def preflight(spark, d):
 
 
 def schema_pin(spark, d):
-    """§1.3, V14: hashes of table schemas; equal schemas have equal pins."""
+    """§1.3, V14: hashes of table schemas, as names and types in order; equal schemas have equal pins."""
     import hashlib
 
-    pins = [(t, hashlib.sha256(table(spark, d, t).schema.simpleString().encode()).hexdigest()[:16]) for t in ("orders", "lineitem", "events")]
+    types = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+    pins = []
+    for t in ("orders", "lineitem", "part", "customer"):
+        columns = ",".join(f"{f.name} {types.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in table(spark, d, t).schema.fields)
+        pins.append((t, hashlib.sha256(columns.encode()).hexdigest()))
     return spark.createDataFrame(pins, "name string, pin string")
 
 
@@ -161,5 +165,6 @@ SELECT kind, count(*) AS n FROM k GROUP BY ALL""",
     "path_zones": "WITH n AS (SELECT DISTINCT root_alias || '/' || relative_path AS path, root_alias || '/' || string_split(relative_path, '/')[1] AS top FROM audio_index) SELECT CASE WHEN top NOT LIKE '%q%' THEN 'catalog' ELSE 'unregistered' END AS zone, count(*) AS n FROM n GROUP BY ALL",
     "storage_findings": f"WITH {TIMED_SQL}, f AS (SELECT 'missing' AS finding FROM timed WHERE duration IS NULL UNION ALL SELECT 'stale' FROM (SELECT id, max(ingested_at) AS t FROM audio_records GROUP BY id) WHERE date_diff('day', CAST(t AS DATE), DATE '2026-04-01') > 85 UNION ALL SELECT 'unregistered' FROM timed WHERE (dataset_id, version) NOT IN (SELECT (dataset_id, version) FROM dataset_catalog)) SELECT finding, count(*) AS n FROM f GROUP BY ALL",
     "preflight": f"WITH {TIMED_SQL} SELECT dataset_id, count(*) AS n, sum(coalesce(clean, false)::INT) AS clean, count(duration) AS timed, round(max(duration), 3) AS longest, CAST(sum(CAST(round(duration * 1000) AS BIGINT)) AS BIGINT) / 1000 AS seconds FROM timed GROUP BY ALL",
+    "schema_pin": " UNION ALL ".join(f"SELECT '{t}' AS name, sha256(string_agg(column_name || ' ' || split_part(column_type, ' ', 1), ',')) AS pin FROM (DESCRIBE {t})" for t in ("orders", "lineitem", "part", "customer")),
     "stale_cursors": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day FROM events GROUP BY ALL HAVING max(value) < 260), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY event_type ORDER BY day) AS INTEGER) AS g FROM d) SELECT event_type, min(day) AS first, count(*) AS days FROM g GROUP BY event_type, g HAVING count(*) >= 2",
 }
