@@ -160,6 +160,43 @@ def turn_lines(text: Column) -> Column:
     )
 
 
+# Notations of a turn's header as (pattern, groups of speaker, start, end, unit and text; 0 where there is none).
+TIME = r"((?:\d{1,9}:){0,2}\d{1,12}(?:[.,]\d{1,12})?)"
+NOTATIONS = [
+    (rf"^\s*\[([^\[\]]*)\]\s*\[\s*{TIME}\s*[-–~]\s*{TIME}\s*(ms|s)?\s*\]\s?(.*)$", (1, 2, 3, 4, 5)),
+    (rf"^\s*{TIME}\s*-->\s*{TIME}\s([^:：]*)[:：]\s?(.*)$", (3, 1, 2, 0, 4)),
+    (rf"^\s*\(\s*{TIME}\s*\)([^<>]*)>\s?(.*)$", (2, 1, 0, 0, 3)),
+    (rf"^([^:：()\[\]<>]*)\(\s*{TIME}\s*[-–~]\s*{TIME}\s*\)\s*[:：]\s?(.*)$", (1, 2, 3, 0, 4)),
+    (rf"^\s*<\s*{TIME}\s*>\s*<\s*{TIME}\s*>([^:：]*)[:：]\s?(.*)$", (3, 1, 2, 0, 4)),
+]
+NUMBERED = r"^(?i:s|ｓ|Ｓ|spk|speaker|spkr|说话人|发言人|讲话人|sprecher)?[\s_\-#.]*0*(\d+)$"
+
+
+def clock_seconds(text: Column) -> Column:
+    """Seconds of ``12.5``, ``1:02.5`` or ``1:00:02,5``."""
+    return F.aggregate(F.split(F.replace(text, F.lit(","), F.lit(".")), ":"), F.lit(0.0), lambda total, part: total * 60 + part.try_cast("double"))
+
+
+def any_turn_lines(text: Column) -> Column:
+    """The lines of a text in any of the five NOTATIONS as structs (speaker, start, end, text); null for a line in none, or
+    whose label has no speaker's number. A notation without an end gives a null one."""
+
+    def parsed(line: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+        who, start, end, unit, said = (F.regexp_extract(line, pattern, g) if g else F.lit("") for g in groups)
+        scale = F.when(unit == "ms", 1000.0).otherwise(1.0)
+        speaker = F.regexp_extract(F.trim(who), NUMBERED, 1).try_cast("int")
+        turn = F.struct(speaker.alias("speaker"), (clock_seconds(start) / scale).alias("start"), F.when(end != "", clock_seconds(end) / scale).alias("end"), said.alias("text"))
+        return F.when(speaker.isNotNull(), turn)
+
+    def first(line: Column) -> Column:
+        out = None
+        for pattern, groups in NOTATIONS:
+            out = F.when(line.rlike(pattern), parsed(line, pattern, groups)) if out is None else out.when(line.rlike(pattern), parsed(line, pattern, groups))
+        return out
+
+    return F.transform(F.filter(F.split(text, r"\r\n|[\r\n]"), lambda l: F.trim(l) != ""), first)
+
+
 def turn_text(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.format_string("[S%d][%.2f-%.2f] %s", t["speaker"], t["start"], t["end"], t["text"])), "\n")
 
@@ -176,7 +213,7 @@ def turn_errors(turns: Column, duration: Column) -> Column:
     return (
         F.when(F.size(turns) == 0, "empty")
         .when(F.exists(turns, lambda t: t.isNull()), "malformed")
-        .when(F.exists(turns, lambda t: (t["start"] >= t["end"]) | (t["end"] > duration)), "bounds")
+        .when(F.exists(turns, lambda t: F.coalesce((t["start"] >= t["end"]) | (t["end"] > duration), F.lit(False))), "bounds")
         .when(F.exists(F.transform(turns, lambda t, i: (i > 0) & (t["start"] < F.get(turns, i - 1)["start"])), lambda x: x), "order")
         .when(F.array_max(first) > 0, "numbering")
     )

@@ -86,16 +86,15 @@ def hotword_retrieval(spark, d):
 
 
 def turn_parsing(spark, d):
-    """Lines of all attributed targets, the bracketed ones retimed, and why a target isn't valid;
-    lines of other notations are malformed."""
-    r = records(spark, d).where("task = 'speaker_attributed_asr' and target is not null").select("id", X.turn_lines(F.col("target")).alias("t"), F.get("audio_slots", F.lit(0))["ref"]["duration"].alias("total"))
+    """Lines of all attributed targets, in any of five notations, retimed, and why a target isn't valid."""
+    r = records(spark, d).where("task = 'speaker_attributed_asr' and target is not null").select("id", X.any_turn_lines(F.col("target")).alias("t"), F.get("audio_slots", F.lit(0))["ref"]["duration"].alias("total"))
     good = F.filter("t", lambda t: t.isNotNull())
     return r.select("id", F.size("t").alias("lines"), F.size(good).alias("parsed"), F.round(F.array_max(F.transform(X.retimed(good, 0.5), lambda t: t["end"])), 3).alias("half_end"), X.turn_errors(F.col("t"), F.col("total")).alias("error"))
 
 
 def target_views(spark, d):
-    """The bracketed lines of all attributed targets relabelled with speaker 2 as the wanted one."""
-    r = records(spark, d).where("task = 'speaker_attributed_asr' and target is not null").select("id", F.filter(X.turn_lines(F.col("target")), lambda t: t.isNotNull()).alias("t"))
+    """The lines of all attributed targets, in any of five notations, relabelled with speaker 2 as the wanted one."""
+    r = records(spark, d).where("task = 'speaker_attributed_asr' and target is not null").select("id", F.filter(X.any_turn_lines(F.col("target")), lambda t: t.isNotNull()).alias("t"))
     wanted = F.array(F.lit(2))
     return r.select("id", X.target_view(F.col("t"), wanted).alias("view"), X.target_view(F.col("t"), wanted, only=True).alias("only"))
 
@@ -178,9 +177,18 @@ _PAIRS = f"{TURNS_SQL}, l AS (SELECT turn_id, text, lead(text) OVER (PARTITION B
 _UNITS = r"regexp_extract_all(lower({x}), '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[a-z0-9\x{{00df}}-\x{{024f}}]+(?:''[a-z0-9\x{{00df}}-\x{{024f}}]+)*')"
 _GRAMS = "list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
 _JACCARD = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
-_LINES = r"""r AS (SELECT id, target, audio_slots[1].ref.duration AS total FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL),
-raw AS (SELECT id, total, unnest(regexp_split_to_array(target, '\r\n|[\r\n]')) AS l, generate_subscripts(regexp_split_to_array(target, '\r\n|[\r\n]'), 1) AS pos FROM r),
-lines AS (SELECT id, total, pos, l, regexp_matches(l, '^\[S\d+\]\[\d+(\.\d+)?-\d+(\.\d+)?\]\s?[^\r]*$') AS ok, TRY_CAST(regexp_extract(l, '^\[S(\d+)\]', 1) AS INTEGER) AS spk, TRY_CAST(regexp_extract(l, '^\[S\d+\]\[(\d+(?:\.\d+)?)-', 1) AS DOUBLE) AS s, TRY_CAST(regexp_extract(l, '^\[S\d+\]\[\d+(?:\.\d+)?-(\d+(?:\.\d+)?)\]', 1) AS DOUBLE) AS e, regexp_extract(l, '^\[S\d+\]\[\d+(?:\.\d+)?-\d+(?:\.\d+)?\]\s?(.*)$', 1) AS said FROM raw WHERE trim(l) <> '')"""
+def _notation(field: int, other: str = "NULL") -> str:
+    """A header's field (0 speaker, 1 start, 2 end, 3 unit, 4 text) by the first notation that matches."""
+    when = " ".join(f"WHEN regexp_matches(l, '{p}') THEN " + (f"regexp_extract(l, '{p}', {g[field]})" if g[field] else "''") for p, g in X.NOTATIONS)
+    return f"CASE {when} ELSE {other} END"
+
+
+_CLOCK = "list_reduce(list_prepend(0::DOUBLE, list_transform(string_split(replace({x}, ',', '.'), ':'), lambda p: TRY_CAST(p AS DOUBLE))), lambda a, b: a * 60 + b)"
+HEADERS_SQL = f"""r AS (SELECT id, target, metadata, dataset_id, language, audio_slots[1].ref.duration AS total FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL),
+raw AS (SELECT id, total, unnest(regexp_split_to_array(target, '\\r\\n|[\\r\\n]')) AS l, generate_subscripts(regexp_split_to_array(target, '\\r\\n|[\\r\\n]'), 1) AS pos FROM r),
+heads AS (SELECT id, total, pos, l, {_notation(0)} AS who, {_notation(1)} AS t0, {_notation(2)} AS t1, CASE WHEN {_notation(3)} = 'ms' THEN 1000.0 ELSE 1.0 END AS scale, {_notation(4)} AS said FROM raw)"""
+_LINES = f"""{HEADERS_SQL}, numbered AS (SELECT *, TRY_CAST(regexp_extract(trim(who), '{X.NUMBERED}', 1) AS INTEGER) AS spk FROM heads WHERE trim(l) <> ''),
+lines AS (SELECT id, total, pos, l, spk IS NOT NULL AS ok, spk, CASE WHEN spk IS NOT NULL THEN {_CLOCK.format(x='t0')} / scale END AS s, CASE WHEN spk IS NOT NULL AND t1 <> '' THEN {_CLOCK.format(x='t1')} / scale END AS e, said FROM numbered)"""
 # A unit of w characters repeats k + 1 times where k * w characters in a row equal the one w places on.
 _RUN = "contains(array_to_string(list_transform(range(1, n - {w} + 1), lambda i: CASE WHEN c[i] = c[i + {w}]{line} THEN '1' ELSE '0' END), ''), repeat('1', {size}))"
 _LOOP = "(" + " OR ".join(_RUN.format(w=w, size=7 * w, line=" AND c[i] NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233))") for w in range(1, 5)) + ")"
@@ -204,7 +212,7 @@ tg AS (SELECT id, dataset_id, target, {_GRAMS.format(x='target')} AS g FROM r),
 c AS (SELECT id, word, round(2.0 * contains(target, word)::INT + 0.5 * len(list_filter(string_split(word, ''), lambda ch: ch <> '' AND contains(target, ch))) / len(string_split(word, '')) + 0.3 * len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS score FROM tg JOIN wg USING (dataset_id) WHERE len(list_intersect(g, h)) > 0)
 SELECT id, rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS rank FROM c WHERE score > 1.0) WHERE rank <= 5""",
     "turn_parsing": f"""WITH {RECORDS_SQL}, {_LINES}, w AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS ps, coalesce(max(spk) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM lines)
-SELECT id, count(*) AS lines, sum(ok::INT) AS parsed, round(max(CASE WHEN ok THEN e * 0.5 END), 3) AS half_end, CASE WHEN NOT bool_and(ok) THEN 'malformed' WHEN bool_or(s >= e OR e > total) THEN 'bounds' WHEN bool_or(s < ps) THEN 'order' WHEN bool_or(spk > seen + 1) THEN 'numbering' END AS error FROM w GROUP BY id""",
+SELECT id, count(*) AS lines, sum(ok::INT) AS parsed, round(max(CASE WHEN ok THEN e * 0.5 END), 3) AS half_end, CASE WHEN NOT bool_and(ok) THEN 'malformed' WHEN bool_or(coalesce(s >= e, false) OR coalesce(e > total, false)) THEN 'bounds' WHEN bool_or(s < ps) THEN 'order' WHEN bool_or(spk > seen + 1) THEN 'numbering' END AS error FROM w GROUP BY id""",
     "target_views": f"""WITH {RECORDS_SQL}, {_LINES}, k AS (SELECT * FROM lines WHERE ok), f AS (SELECT id, spk, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS n FROM k WHERE spk <> 2 GROUP BY id, spk),
 v AS (SELECT k.id, k.pos, k.spk, '[' || CASE WHEN k.spk = 2 THEN 'T1' ELSE 'S' || f.n END || '] ' || said AS line FROM k LEFT JOIN f ON f.id = k.id AND f.spk = k.spk)
 SELECT r.id, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS view, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE spk = 2), '') AS only FROM r LEFT JOIN v ON v.id = r.id GROUP BY r.id""",
