@@ -183,12 +183,12 @@ def _notation(field: int, other: str = "NULL") -> str:
     return f"CASE {when} ELSE {other} END"
 
 
-_CLOCK = "list_reduce(list_prepend(0::DOUBLE, list_transform(string_split(replace({x}, ',', '.'), ':'), lambda p: TRY_CAST(p AS DOUBLE))), lambda a, b: a * 60 + b)"
+CLOCK_SQL = "list_reduce(list_prepend(0::DOUBLE, list_transform(string_split(replace({x}, ',', '.'), ':'), lambda p: TRY_CAST(p AS DOUBLE))), lambda a, b: a * 60 + b)"
 HEADERS_SQL = f"""r AS (SELECT id, target, metadata, dataset_id, language, audio_slots[1].ref.duration AS total FROM records WHERE task = 'speaker_attributed_asr' AND target IS NOT NULL),
 raw AS (SELECT id, total, unnest(regexp_split_to_array(target, '\\r\\n|[\\r\\n]')) AS l, generate_subscripts(regexp_split_to_array(target, '\\r\\n|[\\r\\n]'), 1) AS pos FROM r),
 heads AS (SELECT id, total, pos, l, {_notation(0)} AS who, {_notation(1)} AS t0, {_notation(2)} AS t1, CASE WHEN {_notation(3)} = 'ms' THEN 1000.0 ELSE 1.0 END AS scale, {_notation(4)} AS said FROM raw)"""
 _LINES = f"""{HEADERS_SQL}, numbered AS (SELECT *, TRY_CAST(regexp_extract(trim(who), '{X.NUMBERED}', 1) AS INTEGER) AS spk FROM heads WHERE trim(l) <> ''),
-lines AS (SELECT id, total, pos, l, spk IS NOT NULL AS ok, spk, CASE WHEN spk IS NOT NULL THEN {_CLOCK.format(x='t0')} / scale END AS s, CASE WHEN spk IS NOT NULL AND t1 <> '' THEN {_CLOCK.format(x='t1')} / scale END AS e, said FROM numbered)"""
+lines AS (SELECT id, total, pos, l, spk IS NOT NULL AS ok, spk, CASE WHEN spk IS NOT NULL THEN {CLOCK_SQL.format(x='t0')} / scale END AS s, CASE WHEN spk IS NOT NULL AND t1 <> '' THEN {CLOCK_SQL.format(x='t1')} / scale END AS e, said FROM numbered)"""
 # A unit of w characters repeats k + 1 times where k * w characters in a row equal the one w places on.
 _RUN = "contains(array_to_string(list_transform(range(1, n - {w} + 1), lambda i: CASE WHEN c[i] = c[i + {w}]{line} THEN '1' ELSE '0' END), ''), repeat('1', {size}))"
 _LOOP = "(" + " OR ".join(_RUN.format(w=w, size=7 * w, line=" AND c[i] NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233))") for w in range(1, 5)) + ")"
