@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.catalog import catalogue_names, spelling, two_letter_language
+from lakeloom.functions.text import NUMBERED
 from lakeloom.llm.boosting import BoostedTrees
 from lakeloom.llm.fillers import FillerModel, train_fillers
+from lakeloom.plans.text_metrics import CLOCK_SQL, HEADERS_SQL
+from lakeloom.plans.views import RECORDS_SQL
 from lakeloom.session import broadcast_within
 from lakeloom.sources.tables import table
 
@@ -270,4 +273,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns}
-SQL: dict[str, str] = {}
+
+_SOUND = r"\[\[[^\[\]]*\]\]|\[[^\[\]]*\]|\([^()]*\)|（[^（）]*）|【[^【】]*】|<[^<>]*>|＜[^＜＞]*＞|\{[^{}]*\}|\*[^*\s][^*]*\*"
+_BARE = f"regexp_replace(regexp_replace(said, '{_SOUND}', ' ', 'g'), '{_SOUND}', ' ', 'g')"
+_HESITATION = "[嗯呃啊哦诶唔噢喔欸额呣哎唉]+|u+h+m*|u+m+|e+r+m*|e+h+m*|a+h+m*|h+m+|m{2,}|m+h+m+|ä+h+m*|ö+h+m*|ü+h+m*"
+SQL = {
+    # Hesitations by patterns, annotations to a depth of two: a plain check of the operator's turns on these tables.
+    "p3_found": f"""WITH {RECORDS_SQL}, {HEADERS_SQL},
+headed AS (SELECT *, sum((trim(who) <> '')::INT) OVER (PARTITION BY id ORDER BY pos) AS g FROM heads),
+written AS (SELECT id, g AS place, max(trim(who)) AS who, max(CASE WHEN trim(who) <> '' THEN {CLOCK_SQL.format(x='t0')} / scale END) AS start, string_agg(CASE WHEN trim(who) <> '' THEN said ELSE l END, ' ' ORDER BY pos) AS said FROM headed WHERE g > 0 GROUP BY id, g),
+att AS (SELECT id, metadata FROM records WHERE task = 'speaker_attributed_asr' AND json_valid(metadata)),
+untimed AS (SELECT id, unnest(CAST(json_extract(metadata, '$.segments[*]') AS JSON[])) AS x, generate_subscripts(CAST(json_extract(metadata, '$.segments[*]') AS JSON[]), 1) AS place FROM att WHERE id NOT IN (SELECT id FROM written)),
+listed AS (SELECT id, place, coalesce(x->>'speaker', '') AS who, coalesce(last_value(TRY_CAST(x->>'start' AS DOUBLE) IGNORE NULLS) OVER (PARTITION BY id ORDER BY place), 0) AS start, coalesce(x->>'text', '') AS said FROM untimed),
+named AS (SELECT id, label, lower(trim(json_extract_string(metadata, '$.speaker_identities.' || label))) AS name FROM (SELECT id, metadata, unnest(json_keys(metadata, '$.speaker_identities')) AS label FROM att)),
+told AS (SELECT u.id, u.place, u.start, 'S' || CAST(regexp_extract(trim(coalesce(n.label, u.who)), '{NUMBERED}', 1) AS BIGINT) AS speaker, regexp_extract_all(lower({_BARE}), '[\\p{{L}}\\p{{N}}]+') AS words FROM (SELECT * FROM written UNION ALL SELECT * FROM listed) u LEFT JOIN named n ON n.id = u.id AND n.name = lower(trim(u.who))),
+kept AS (SELECT *, lag(speaker) OVER (PARTITION BY id ORDER BY start, place) AS before FROM told WHERE len(list_filter(words, lambda w: NOT regexp_full_match(w, '{_HESITATION}'))) > 0)
+SELECT DISTINCT id, CAST(round(start * 100 + 1e-7) AS BIGINT) AS start_cs, speaker FROM kept WHERE before IS NULL OR before <> speaker""",
+}
