@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakeloom.functions.draws import u, u_sql
 from lakeloom.operators import operations as O
 from lakeloom.operators.similarity import unit
 from lakeloom.plans.views import RECORDS_SQL, records
-from lakeloom.session import shared_folder
+from lakeloom.session import scratch
 from lakeloom.sources.tables import table
 from lakeloom.streaming import tail as Z
 
@@ -72,7 +70,7 @@ def synced_log(spark, d):
 def bounded_pipeline(spark, d):
     """All orders in eight files, taken one file at a time so that little is held at once; each row once, in eight
     batches."""
-    at = f"{shared_folder(spark, 'streams').rstrip('/')}/bounded-{uuid.uuid4().hex}"
+    at = scratch(spark, "streams")
     table(spark, d, "orders").select("o_orderkey").repartition(8, "o_orderkey").write.parquet(f"{at}/in")
     rows = spark.readStream.schema("o_orderkey long").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     Z.consumed_batches(rows, F.pmod("o_orderkey", F.lit(8)), f"{at}/out")

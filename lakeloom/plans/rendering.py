@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakeloom.functions import render as P
@@ -11,7 +9,7 @@ from lakeloom.functions.draws import u, u_sql
 from lakeloom.operators import similarity as Y
 from lakeloom.plans.views import INDEX_SQL, MAIN_SQL, RECORDS_SQL, records
 from lakeloom.operators.selection import main_slot
-from lakeloom.session import shared_folder
+from lakeloom.session import scratch
 from lakeloom.sources import files as R
 from lakeloom.sources import sinks as K
 from lakeloom.sources.tables import table
@@ -104,7 +102,7 @@ def lookalike_draw(spark, d):
 def lookalike_table(spark, d):
     """Each query's neighbours, padded with -1, written as one .npz and read back."""
     e = _vectors(spark, d)
-    at = f"{shared_folder(spark, 'files').rstrip('/')}/lookalike-{uuid.uuid4().hex}.npz"
+    at = f"{scratch(spark, 'files')}/lookalike.npz"
     K.write_npz(Y.padded(Y.cosine_top_k(_asked(e), e, 5, 0.4), 5), at)
     back = R.read_npz(spark, at, "id long, neighbours array<bigint>")
     return back.select("id", F.array_join("neighbours", " ").alias("neighbours"))

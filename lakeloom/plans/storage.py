@@ -3,13 +3,11 @@ compared in SQL with the tables they came from."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import portable_digest
 from lakeloom.plans.views import RECORDS_SQL, index, records
-from lakeloom.session import shared_folder
+from lakeloom.session import scratch
 from lakeloom.sources import files as R
 from lakeloom.sources import sinks as K
 from lakeloom.sources.tables import table
@@ -19,7 +17,7 @@ _DIGESTED = ["id", "task", "target", "language"]
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark, 'files').rstrip('/')}/files-{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 def jsonl_records(spark, d):

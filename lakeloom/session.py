@@ -42,6 +42,22 @@ def shared_folder(spark: SparkSession, use: str) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark, use)
 
 
+def scratch(spark: SparkSession, use: str) -> str:
+    """A new path in the shared folder for tables and files that a result may still read until the program ends; it is
+    removed at exit if the session still runs then."""
+    path = f"{shared_folder(spark, use).rstrip('/')}/{use}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:
+            pass  # the session is gone, and with it the means to reach the store
+
+    atexit.register(remove)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
@@ -57,7 +73,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows written as a compressed table in the shared folder and read again: a checkpoint for wide rows that
     several branches read, each only the columns it needs."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark, 'tables').rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lakeloom.session import shared_folder
-
-
-def stream_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and offsets, in the shared folder of ``spark.checkpoint.dir``."""
-    return f"{shared_folder(spark, 'streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
+from lakeloom.session import scratch
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +24,7 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 
 def drain(rows: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that a stream gives for what has arrived, each exactly once, written to the shared folder and read again."""
-    spark, at = rows.sparkSession, stream_folder(rows.sparkSession)
+    spark, at = rows.sparkSession, scratch(rows.sparkSession, "streams")
     if mode == "append":
         q = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start()
     else:
