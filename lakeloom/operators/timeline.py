@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.alignment import batched, indel_similarity, units
+from lakeloom.session import checkpointed
 
 BUCKET = 3000
 SHARD = 1 << 18
@@ -74,21 +75,35 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], margin: int = 0, bu
     return left.join(right, on).drop("bucket", "b_bucket", "lo", "hi")
 
 
-def similar_starts(ref: DataFrame, hyp: DataFrame, within: int = 1500, least_chars: int = 10, least: float = 0.7) -> DataFrame:
+def plain_text(text: Column) -> Column:
+    """Letters, digits and ideographs of a text in one width and lower case."""
+    return batched(lambda t, _: "".join(units(t)).replace("'", ""), "string")(text, F.lit(""))
+
+
+def similar_starts(ref: DataFrame, hyp: DataFrame, within: int = 1500, least_chars: int = 10, least: float = 0.7, plain: bool = False) -> DataFrame:
     """Turns (turn_id, window_id, s, text) of ``ref`` with the turn of ``hyp`` that is most similar by normalised indel
     similarity among those of the window starting less than ``within`` units away: (turn_id, window_id, match, similarity, off).
 
-    Pairs of lengths that rule ``least`` out aren't compared. Null texts match nothing.
+    Pairs of lengths that rule ``least`` out aren't compared. Null texts match nothing. ``plain`` texts are
+    ``plain_text`` already.
     """
-    plain = batched(lambda t, _: "".join(units(t)).replace("'", ""), "string")
-    a = ref.select("turn_id", "window_id", "s", plain("text", F.lit("")).alias("x")).where(F.length("x") >= least_chars)
-    b = hyp.select(F.col("turn_id").alias("match"), "window_id", F.col("s").alias("t"), plain("text", F.lit("")).alias("y"), F.floor(F.col("s") / (4 * within)).alias("bucket"))
-    a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - within) / (4 * within)), F.floor((F.col("s") + within) / (4 * within)))))
-    shorter, longer = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    p = a.join(b, ["window_id", "bucket"]).where((F.abs(F.col("s") - F.col("t")) < within) & (2 * shorter >= least * (shorter + longer) - 1e-9))
-    p = p.withColumn("similarity", F.when(F.col("x") == F.col("y"), 1.0).otherwise(batched(indel_similarity, "double")("x", "y"))).where(F.col("similarity") >= least)
+    said = F.col("text") if plain else plain_text(F.col("text"))
+    near = F.abs(F.col("s") - F.col("t")) < within
+    a = ref.select("turn_id", "window_id", "s", said.alias("x")).where(F.length("x") >= least_chars)
+    b = hyp.select(F.col("turn_id").alias("match"), "window_id", F.col("s").alias("t"), said.alias("y"), F.floor(F.col("s") / (4 * within)).alias("bucket"))
+    spread = F.explode(F.sequence(F.floor((F.col("s") - within) / (4 * within)), F.floor((F.col("s") + within) / (4 * within))))
     best = F.max_by(F.struct("match", "similarity", (F.col("t") - F.col("s")).alias("off")), F.struct("similarity", -F.col("t"), -F.col("match")))
-    return p.groupBy("turn_id", "window_id").agg(best.alias("m")).select("turn_id", "window_id", "m.*")
+    columns = ["turn_id", "window_id", "match", "similarity", "off"]
+    # A turn with an equal one nearby needs no comparison: nothing is more similar. Texts meet by their hashes.
+    key = ["window_id", "bucket", "h"]
+    equal = a.select("turn_id", "window_id", "s", F.xxhash64("x").alias("h"), F.xxhash64(F.lit("second"), "x").alias("h2"), spread.alias("bucket")).join(b.select("match", "window_id", "t", F.xxhash64("y").alias("h"), F.xxhash64(F.lit("second"), "y").alias("h3"), "bucket"), key).where(near & (F.col("h2") == F.col("h3")))
+    equal = checkpointed(equal.withColumn("similarity", F.lit(1.0)).groupBy("turn_id", "window_id").agg(best.alias("m")).select("turn_id", "window_id", "m.*"))
+    rest = a.join(equal.select("turn_id"), "turn_id", "left_anti").withColumn("bucket", spread)
+    shorter, longer = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
+    p = rest.join(b, ["window_id", "bucket"]).where(near & (2 * shorter >= least * (shorter + longer) - 1e-9))
+    p = p.withColumn("similarity", batched(indel_similarity, "double")("x", "y")).where(F.col("similarity") >= least)
+    fuzzy = p.groupBy("turn_id", "window_id").agg(best.alias("m")).select("turn_id", "window_id", "m.*")
+    return equal.select(*columns).unionByName(fuzzy.select(*columns))
 
 
 def covered(t: DataFrame, other: DataFrame, keys: list[str], id_col: str) -> DataFrame:

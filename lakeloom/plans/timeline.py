@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import timeline as L
 from lakeloom.operators.relations import in_ranges
-from lakeloom.plans.views import RECORDS_SQL, TURNS_SQL, records, turns
+from lakeloom.plans.views import RECORDS_SQL, TURNS_SQL, deliveries, records, turns
+from lakeloom.session import stored
 from lakeloom.sources.tables import table
 
 
@@ -74,7 +75,9 @@ def start_offsets(spark, d):
     digits, ideographs) with a best normalised indel similarity of at least 0.7 have a row; of equal ones the one that
     starts first, then the smaller id, is taken.
     """
-    return L.similar_starts(turns(spark, d), turns(spark, d, first=True)).select("turn_id", "window_id", "match", F.round("similarity", 6).alias("similarity"), "off")
+    both = stored(deliveries(spark, d).select("turn_id", F.struct("last.window_id", "last.s", L.plain_text(F.col("last.text")).alias("text")).alias("last"), F.struct("first.window_id", "first.s", L.plain_text(F.col("first.text")).alias("text")).alias("first"), F.expr("last.e > last.s").alias("last_ok"), F.expr("first.e > first.s").alias("first_ok")))
+    ref, hyp = (both.where(f"{x}_ok").select("turn_id", f"{x}.window_id", f"{x}.s", f"{x}.text") for x in ("last", "first"))
+    return L.similar_starts(ref, hyp, plain=True).select("turn_id", "window_id", "match", F.round("similarity", 6).alias("similarity"), "off")
 
 
 def late_starts(spark, d):

@@ -71,6 +71,14 @@ def turns(spark: SparkSession, sf_dir: str, first: bool = False) -> DataFrame:
     return best.where("s is not null and e is not null and e > s").withColumn("speaker", F.when(number != "", F.concat(F.lit("S"), number.try_cast("int"))))
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(turn_id, first, last) as structs (window_id, s, e, text) of each turn's first and latest delivery, bounds in hundredths
+    of a second or null. Rows are brought together before they are reduced, so each text is shuffled once."""
+    t = table(spark, sf_dir, "turns").select("turn_id", "window_id", "text", "ingested_at", to_units(F.col("start_sec")).alias("s"), to_units(F.col("end_sec")).alias("e"))
+    row = F.struct("window_id", "s", "e", "text")
+    return t.repartition("turn_id").groupBy("turn_id").agg(F.min_by(row, "ingested_at").alias("first"), F.max_by(row, "ingested_at").alias("last"))
+
+
 TURNS_SQL = """best AS (SELECT turn_id, window_id, dataset_id, split, regexp_extract(trim(speaker), '([0-9]+)$', 1) AS num, chars, text, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns),
 t AS (SELECT turn_id, window_id, dataset_id, split, CASE WHEN num <> '' THEN 'S' || CAST(CAST(num AS INTEGER) AS VARCHAR) END AS speaker, chars, text, s, e FROM best WHERE rn = 1 AND s IS NOT NULL AND e IS NOT NULL AND e > s)"""
 FIRST_TURNS_SQL = """early AS (SELECT turn_id, window_id, dataset_id, split, regexp_extract(trim(speaker), '([0-9]+)$', 1) AS num, chars, text, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at) AS rn FROM turns),
