@@ -81,17 +81,22 @@ def closest_unused(durations: np.ndarray, used: np.ndarray, want: float, limit:
     return int(ok[np.abs(np.log(durations[ok] / want)).argmin()]) if len(ok) else -1
 
 
-def fill_template(turns: list[tuple[float, float, int]], durations: np.ndarray, chars: np.ndarray, end: float, lookahead: int = 8, ratio: float = 1.6, gap: float = 0.2, least: float = 0.5) -> list[tuple[int, int, float]]:
+# Utterances looked ahead, the ratio of durations that fits, seconds between utterances and left over, and the
+# characters up to which one is a backchannel.
+LOOKAHEAD, FIT_RATIO, GAP_S, LEFT_S, SMALL_CHARS = 8, 1.6, 0.2, 0.5, 2
+
+
+def fill_template(turns: list[tuple[float, float, int]], durations: np.ndarray, chars: np.ndarray, end: float, lookahead: int = LOOKAHEAD, ratio: float = FIT_RATIO, gap: float = GAP_S, least: float = LEFT_S) -> list[tuple[int, int, float]]:
     """Material for template turns (start, end, chars) -> (turn, utterance, start), each utterance once.
 
     A short turn takes one backchannel, a longer one is filled until less than ``least`` is left. Of the next
     ``lookahead`` utterances the one that fits best is taken, or the closest of all where that fits clearly better.
     """
     used, out, cursor = np.zeros(len(durations), bool), [], 0
-    small = chars <= 2
+    small = chars <= SMALL_CHARS
     for k, (start, stop, n) in enumerate(turns):
         limit_end = (turns[k + 1][0] if k + 1 < len(turns) else end) - gap
-        at, kind = start, n <= 2
+        at, kind = start, n <= SMALL_CHARS
         while stop - at >= least or at == start:
             room = limit_end - at
             if room <= 0:
